@@ -1,0 +1,23 @@
+"""Joining a fact table to a dimension with a checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when its row count is proven at or under
+# this bound; above it the join falls back to a shuffle join (sort-merge,
+# with AQE skew splitting).
+MAX_BROADCAST_ROWS = 200_000
+
+
+def is_small(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Counts at most ``max_rows + 1`` rows of ``dim``; True if within the bound."""
+    return dim.limit(max_rows + 1).count() <= max_rows
+
+
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
+                   max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    if is_small(dim, max_rows):
+        dim = F.broadcast(dim)
+    return fact.join(dim, on, how)

@@ -1,0 +1,88 @@
+"""Independent SQL for each registered query, runnable by DuckDB over the
+driver tables.  The clean step is re-expressed here in plain SQL (not
+generated from the Spark code) so the check is independent; only the
+listing recipe text is shared, since it is test-data derivation.
+"""
+
+from __future__ import annotations
+
+from rentlens.sources.tables import listing_select_sql
+
+NL = "chr(10)"
+
+
+def _s(c: str) -> str:
+    return f"replace({c}, {NL}, '')"
+
+
+def _money(c: str) -> str:
+    s = _s(c)
+    return (f"CASE WHEN {s} IS NULL OR {s} = '-' THEN 0.0 "
+            f"ELSE CAST(replace(replace({s}, '万円', ''), '円', '') AS DOUBLE) END")
+
+
+RAW_CTE = (
+    "raw_listings AS (SELECT " + listing_select_sql() +
+    " FROM (SELECT o_orderkey AS k, o_custkey, o_orderdate FROM orders) o"
+    " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
+)
+
+_FLOOR_TEXT = (f"CASE WHEN strpos({_s('floor')}, '地上') > 0 "
+               f"THEN split_part(split_part({_s('floor')}, '地上', 2), '階', 1) "
+               f"ELSE split_part({_s('floor')}, '階', 1) END")
+_EKI = _s("nearest_eki")
+
+CLEAN_CTE = f"""clean_listings AS (SELECT listing_id, scraped_at,
+ {_money('rent_price')} AS rent_price,
+ {_s('address')} AS address,
+ CAST(split_part({_s('sqr_m')}, 'm', 1) AS DOUBLE) AS sqr_m,
+ {_s('name_place')} AS name_place,
+ {_money('rei_price')} AS rei_price,
+ {_money('shikikin')} AS shikikin,
+ {_money('maintenence_price')} AS maintenence_price,
+ {_s('apartment_type')} AS apartment_type,
+ CASE WHEN {_s('year_built')} = '-' THEN 0
+      WHEN strpos({_s('year_built')}, '新築') > 0 THEN CAST(replace({_s('year_built')}, '新築', '0') AS INTEGER)
+      ELSE CAST(replace(replace({_s('year_built')}, '年', ''), '築', '') AS INTEGER) END AS year_built,
+ CASE WHEN strpos({_s('ku_name')}, '東京都') > 0
+      THEN split_part(split_part({_s('ku_name')}, '東京都', 2), '区', 1) END AS ku_name,
+ CASE WHEN ({_FLOOR_TEXT}) IS NULL OR ({_FLOOR_TEXT}) = '' THEN 0
+      ELSE CAST({_FLOOR_TEXT} AS INTEGER) END AS floor,
+ {_s('house_type')} AS house_type,
+ CASE WHEN {_EKI} IS NULL OR {_EKI} IN ('-', 'nan') THEN 0
+      ELSE CAST(split_part(split_part({_EKI}, '歩', 2), '分', 1) AS INTEGER) END AS eki_walk,
+ CASE WHEN {_EKI} IS NULL OR {_EKI} IN ('-', 'nan') THEN '0'
+      ELSE split_part({_EKI}, '歩', 1) END AS eki_name
+ FROM raw_listings WHERE sqr_m IS NOT NULL)"""
+
+
+def with_listings(body: str, ctes: str = "") -> str:
+    """Prefix ``body`` with the raw and clean listing CTEs (plus extra CTEs)."""
+    extra = f",\n{ctes}" if ctes else ""
+    return f"WITH {RAW_CTE},\n{CLEAN_CTE}{extra}\n{body}"
+
+
+FIT_ALL = ("fit AS (SELECT regr_slope(rent_price, sqr_m) AS slope, "
+           "regr_intercept(rent_price, sqr_m) AS intercept FROM clean_listings)")
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["clean_listings"] = with_listings("SELECT * FROM clean_listings")
+
+ORACLES["ward_value_summary"] = with_listings("""
+SELECT ku_name, apartment_type, count(*) AS listings,
+ round(avg(rent_price), 4) AS avg_rent, round(avg(sqr_m), 4) AS avg_sqr_m,
+ round(avg(rent_price * 10000.0 / sqr_m), 2) AS avg_yen_per_sqm,
+ round(quantile_disc(rent_price * 10000.0 / sqr_m, 0.5), 2) AS median_yen_per_sqm
+FROM clean_listings GROUP BY ku_name, apartment_type""")
+
+ORACLES["bargain_topk"] = with_listings("""
+SELECT ku_name, bargain_rank, listing_id, rent_price, sqr_m,
+ round(predicted, 4) AS predicted_rent, round(residual, 4) AS residual
+FROM (SELECT c.ku_name, c.listing_id, c.rent_price, c.sqr_m,
+        f.intercept + f.slope * c.sqr_m AS predicted,
+        c.rent_price - (f.intercept + f.slope * c.sqr_m) AS residual,
+        row_number() OVER (PARTITION BY c.ku_name
+          ORDER BY c.rent_price - (f.intercept + f.slope * c.sqr_m), c.listing_id) AS bargain_rank
+      FROM clean_listings c CROSS JOIN fit f WHERE c.ku_name IS NOT NULL) t
+WHERE bargain_rank <= 3""", FIT_ALL)
