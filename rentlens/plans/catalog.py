@@ -1,44 +1,4 @@
-"""Registered queries: name → callable(spark, sf_dir) → DataFrame.
+"""All registered queries.  Importing this module fills the registry."""
 
-Every query reads the driver tables under ``sf_dir`` (or data Spark derives
-from them) in full, so its work grows with them.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from rentlens.operators.clean import clean_listings
-from rentlens.operators.value import bargain_topk, ward_value_summary
-from rentlens.sources.tables import raw_listings
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(name: str):
-    def register(fn: Query) -> Query:
-        QUERIES[name] = fn
-        return fn
-    return register
-
-
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_listings(raw_listings(spark, sf_dir))
-
-
-@query("clean_listings")
-def q_clean_listings(spark, sf_dir):
-    return listings(spark, sf_dir)
-
-
-@query("ward_value_summary")
-def q_ward_value_summary(spark, sf_dir):
-    return ward_value_summary(listings(spark, sf_dir))
-
-
-@query("bargain_topk")
-def q_bargain_topk(spark, sf_dir):
-    return bargain_topk(listings(spark, sf_dir), k=3)
+from rentlens.plans import listing_queries  # noqa: F401
+from rentlens.plans.registry import ORACLES, QUERIES  # noqa: F401

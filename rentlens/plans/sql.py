@@ -1,4 +1,4 @@
-"""Independent SQL for each registered query, runnable by DuckDB over the
+"""SQL building blocks for the oracles, runnable by DuckDB over the
 driver tables.  The clean step is re-expressed here in plain SQL (not
 generated from the Spark code) so the check is independent; only the
 listing recipe text is shared, since it is test-data derivation.
@@ -64,25 +64,3 @@ def with_listings(body: str, ctes: str = "") -> str:
 
 FIT_ALL = ("fit AS (SELECT regr_slope(rent_price, sqr_m) AS slope, "
            "regr_intercept(rent_price, sqr_m) AS intercept FROM clean_listings)")
-
-ORACLES: dict[str, str] = {}
-
-ORACLES["clean_listings"] = with_listings("SELECT * FROM clean_listings")
-
-ORACLES["ward_value_summary"] = with_listings("""
-SELECT ku_name, apartment_type, count(*) AS listings,
- round(avg(rent_price), 4) AS avg_rent, round(avg(sqr_m), 4) AS avg_sqr_m,
- round(avg(rent_price * 10000.0 / sqr_m), 2) AS avg_yen_per_sqm,
- round(quantile_disc(rent_price * 10000.0 / sqr_m, 0.5), 2) AS median_yen_per_sqm
-FROM clean_listings GROUP BY ku_name, apartment_type""")
-
-ORACLES["bargain_topk"] = with_listings("""
-SELECT ku_name, bargain_rank, listing_id, rent_price, sqr_m,
- round(predicted, 4) AS predicted_rent, round(residual, 4) AS residual
-FROM (SELECT c.ku_name, c.listing_id, c.rent_price, c.sqr_m,
-        f.intercept + f.slope * c.sqr_m AS predicted,
-        c.rent_price - (f.intercept + f.slope * c.sqr_m) AS residual,
-        row_number() OVER (PARTITION BY c.ku_name
-          ORDER BY c.rent_price - (f.intercept + f.slope * c.sqr_m), c.listing_id) AS bargain_rank
-      FROM clean_listings c CROSS JOIN fit f WHERE c.ku_name IS NOT NULL) t
-WHERE bargain_rank <= 3""", FIT_ALL)
