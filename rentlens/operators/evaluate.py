@@ -37,3 +37,56 @@ def with_line_residual(df: DataFrame, y: str, x: str, fit_on: DataFrame | None =
     slope, intercept = fit_line(fit_on if fit_on is not None else df, y, x)
     p = line_prediction(x, slope, intercept)
     return df.withColumn(pred, p).withColumn(resid, F.col(y) - p)
+
+
+def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
+    """M6: n, MSE, RMSE, MAE, R² in one aggregate pass (plus the label's sums)."""
+    err = F.col(label) - F.col(pred)
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("mse"),
+                   F.avg(F.abs(err)).alias("mae"), F.var_pop(label).alias("var_y"))
+    return stats.select("n", "mse", F.sqrt("mse").alias("rmse"), "mae",
+                        (F.lit(1.0) - F.col("mse") / F.col("var_y")).alias("r2"))
+
+
+def promotion_gate(metrics: DataFrame, threshold: float) -> DataFrame:
+    """M7: the metrics row with the gate threshold and a pass flag (MSE < threshold)."""
+    return metrics.withColumn("threshold", F.lit(float(threshold))) \
+                  .withColumn("passed", F.col("mse") < F.lit(float(threshold)))
+
+
+def residual_histogram(df: DataFrame, resid: str = "residual", width: float = 0.25) -> DataFrame:
+    """R2: counts per residual bin [k·width, (k+1)·width)."""
+    k = F.floor(F.col(resid) / F.lit(width)).cast("long")
+    return (df.groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+              .select("bin", (F.col("bin") * F.lit(width)).alias("lower"),
+                      ((F.col("bin") + 1) * F.lit(width)).alias("upper"), "n"))
+
+
+def residual_density(df: DataFrame, resid: str = "residual", bin_width: float = 0.05,
+                     grid_from: float = -3.0, grid_step: float = 0.25, grid_points: int = 25) -> DataFrame:
+    """Gaussian kernel density of residuals on a fixed grid.
+
+    Residuals are first binned (partial aggregation), so the kernel sum
+    costs bins × grid rather than rows × grid.  Bandwidth = sd · n^(-1/5).
+    Each bin row expands over the grid with a generated array; no join.
+    """
+    st = df.agg(F.count(F.col(resid)).alias("n"), F.stddev_samp(resid).alias("sd")).first()
+    n, sd = int(st["n"]), float(st["sd"])
+    h = sd * n ** (-0.2)
+    centre = (F.floor(F.col(resid) / F.lit(bin_width)) + F.lit(0.5)) * F.lit(bin_width)
+    bins = df.groupBy(centre.alias("c")).agg(F.count(F.lit(1)).alias("m"))
+    g = F.lit(grid_from) + F.col("i") * F.lit(grid_step)
+    z = (g - F.col("c")) / F.lit(h)
+    kern = F.col("m") * F.exp(F.lit(-0.5) * z * z) / F.lit(n * h * (2 * 3.141592653589793) ** 0.5)
+    return (bins.select("c", "m", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("i"))
+                .groupBy("i").agg(F.sum(kern).alias("density"))
+                .select((F.lit(grid_from) + F.col("i") * F.lit(grid_step)).alias("x"), "density"))
+
+
+def breusch_pagan_lm(df: DataFrame, y: str, x: str) -> DataFrame:
+    """LM = n · R² of squared residuals regressed on x (one regressor, 1 df)."""
+    slope, intercept = fit_line(df, y, x)
+    e = F.col(y) - line_prediction(x, slope, intercept)
+    aux = df.select(F.col(x), (e * e).alias("e2"))
+    return aux.agg(F.regr_count("e2", x).alias("n"), F.regr_r2("e2", x).alias("r2_aux")) \
+              .select("n", "r2_aux", (F.col("n") * F.col("r2_aux")).alias("lm"))
