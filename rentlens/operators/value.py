@@ -17,8 +17,8 @@ def ward_value_summary(clean: DataFrame, accuracy: int = 10000) -> DataFrame:
     per_sqm = F.col("rent_price") * F.lit(10000.0) / F.col("sqr_m")
     return (clean.groupBy("ku_name", "apartment_type")
                  .agg(F.count(F.lit(1)).alias("listings"),
-                      F.round(F.avg("rent_price"), 4).alias("avg_rent"),
-                      F.round(F.avg("sqr_m"), 4).alias("avg_sqr_m"),
+                      F.round(F.avg("rent_price"), 8).alias("avg_rent"),
+                      F.round(F.avg("sqr_m"), 8).alias("avg_sqr_m"),
                       F.round(F.avg(per_sqm), 2).alias("avg_yen_per_sqm"),
                       F.round(F.percentile_approx(per_sqm, 0.5, accuracy), 2).alias("median_yen_per_sqm")))
 

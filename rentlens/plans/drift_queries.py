@@ -77,16 +77,16 @@ def q_drift_js_daily(spark, sf_dir):
 
 
 @query("drift_distribution_daily", """
-SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS chunk, count(*) AS n, round(avg(value), 4) AS mean,
-       round(stddev_samp(value), 4) AS std,
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS chunk, count(*) AS n, round(avg(value), 8) AS mean,
+       round(stddev_samp(value), 8) AS std,
        round(quantile_disc(value, 0.05), 4) AS p05, round(quantile_disc(value, 0.25), 4) AS p25,
        round(quantile_disc(value, 0.5), 4) AS p50, round(quantile_disc(value, 0.75), 4) AS p75,
        round(quantile_disc(value, 0.95), 4) AS p95
 FROM events GROUP BY 1""")
 def q_drift_distribution_daily(spark, sf_dir):
     d = D.distribution_daily(read_table(spark, sf_dir, "events"), "ts", "value")
-    return d.select("chunk", "n", *[F.round(c, 4).alias(c) for c in
-                                    ("mean", "std", "p05", "p25", "p50", "p75", "p95")])
+    return d.select("chunk", "n", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"),
+                    *[F.round(c, 4).alias(c) for c in ("p05", "p25", "p50", "p75", "p95")])
 
 
 def _line_scored(spark, sf_dir):

@@ -28,7 +28,7 @@ def q_clean_listings(spark, sf_dir):
 
 @query("ward_value_summary", with_listings("""
 SELECT ku_name, apartment_type, count(*) AS listings,
- round(avg(rent_price), 4) AS avg_rent, round(avg(sqr_m), 4) AS avg_sqr_m,
+ round(avg(rent_price), 8) AS avg_rent, round(avg(sqr_m), 8) AS avg_sqr_m,
  round(avg(rent_price * 10000.0 / sqr_m), 2) AS avg_yen_per_sqm,
  round(quantile_disc(rent_price * 10000.0 / sqr_m, 0.5), 2) AS median_yen_per_sqm
 FROM clean_listings GROUP BY ku_name, apartment_type"""))
