@@ -99,6 +99,20 @@ def parse_html(doc: str | None) -> Node:
     return b.root
 
 
+def first_matches(node: Node, selectors: dict[str, tuple[str, str | None]]) -> dict[str, "Node | None"]:
+    """First descendant matching each (tag, class) selector, in one traversal."""
+    found: dict[str, Node | None] = dict.fromkeys(selectors)
+    left = dict(selectors)
+    for n in node.iter():
+        for name, (tag, cls) in list(left.items()):
+            if n.matches(tag, cls):
+                found[name] = n
+                del left[name]
+        if not left:
+            break
+    return found
+
+
 def path_text(node: Node | None, path: list[tuple[str, str | None]]) -> str | None:
     """Text of the element reached by successive first matches, or None."""
     for tag, cls in path:

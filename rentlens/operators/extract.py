@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rentlens.functions.html import parse_html, path_text
+from rentlens.functions.html import first_matches, parse_html, path_text
 from rentlens.schema import RAW_COLUMNS
 
 
@@ -92,9 +92,15 @@ def extract_listings(pages: DataFrame, html_col: str = "html", keep: list[str] |
                           + [T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
     names = [f.name for f in schema.fields]
 
+    single = {k: p[0] for k, p in LISTING_SELECTORS.items() if len(p) == 1}
+    single["_age_floor"] = AGE_FLOOR
+    nested = {k: p for k, p in LISTING_SELECTORS.items() if len(p) > 1}
+
     def one(c) -> dict:
-        rec = {k: path_text(c, p) for k, p in LISTING_SELECTORS.items()}
-        cell = c.find(*AGE_FLOOR)
+        hits = first_matches(c, single)
+        rec = {k: (None if hits[k] is None else hits[k].text) for k in single}
+        rec.update({k: path_text(c, p) for k, p in nested.items()})
+        cell = hits["_age_floor"]
         kids = cell.elements() if cell is not None else []
         rec["year_built"] = kids[0].text if len(kids) > 0 else None
         rec["floor"] = kids[1].text if len(kids) > 1 else None
@@ -164,6 +170,10 @@ def render_listing_pages(raw: DataFrame, per_page: int = 20) -> DataFrame:
               "</li></ul></td></tr></tbody></table></div>"),
     )
     page = F.floor(c("listing_id") / per_page).cast("long")
+    # Parsing costs CPU per container while the pages are few bytes, so the
+    # page table is spread over the configured shuffle width instead of the
+    # byte-sized partitions AQE would coalesce it into.
+    width = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (raw.select(page.alias("page_id"), c("listing_id"), container.alias("container"))
                .groupBy("page_id")
                .agg(F.array_sort(F.collect_list(F.struct("listing_id", "container"))).alias("items"))
@@ -171,4 +181,5 @@ def render_listing_pages(raw: DataFrame, per_page: int = 20) -> DataFrame:
                    F.lit("<!DOCTYPE html><html><head><title>results</title></head><body>"
                          '<div class="designateline-box-txt02">東京都</div>'),
                    F.array_join(F.transform("items", lambda x: x["container"]), ""),
-                   F.lit("</body></html>")).alias("html")))
+                   F.lit("</body></html>")).alias("html"))
+               .repartition(width))
