@@ -107,7 +107,11 @@ def main(argv: list[str]) -> int:
     from rentlens.session import build_session
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:]
-    spark = build_session(shuffle_partitions=8)
+    import os
+    extra = {"spark.sql.session.timeZone": os.environ["CHECK_TZ"]} if os.environ.get("CHECK_TZ") else None
+    spark = build_session(shuffle_partitions=8, extra=extra)
+    if extra:
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
     qs, orc = E.queries(), E.oracle_sql()
     bad = 0
     for n in (names or list(qs)):
