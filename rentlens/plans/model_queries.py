@@ -85,7 +85,20 @@ FORMULA = ("rent_price ~ rei_price + shikikin + maintenence_price + sqr_m + floo
            "apartment_type + ku_name")
 
 
-@query("formula_design_matrix")
+def _design_sql() -> str:
+    """Treatment coding as RFormula lays it out: numeric terms in formula
+    order, then per categorical term one indicator per level in descending
+    alphabetical order, the alphabetically first level being the base."""
+    cols = ["rei_price", "shikikin", "maintenence_price", "sqr_m", "CAST(floor AS DOUBLE)"]
+    for c in ("apartment_type", "ku_name"):
+        levels = sorted(_LEVELS[c], reverse=True)[:-1]
+        cols += [f"CASE WHEN {c} = '{lvl}' THEN 1.0 ELSE 0.0 END" for lvl in levels]
+    return with_listings(
+        f"SELECT listing_id, rent_price AS label, [{', '.join(cols)}] AS features FROM split_listings "
+        "WHERE split = 'train' AND ku_name IS NOT NULL", SPLIT_CTE)
+
+
+@query("formula_design_matrix", _design_sql())
 def q_formula_design_matrix(spark, sf_dir):
     train = split_listings(spark, sf_dir).where(F.col("split") == "train")
     return Fe.formula_design_matrix(train, FORMULA, keep=["listing_id"])

@@ -35,7 +35,7 @@ def test_rows_only_queries_run(spark, name):
 
 def test_every_query_has_oracle_or_is_model_based():
     rows_only = set(QUERIES) - set(ORACLES)
-    assert rows_only <= {"formula_design_matrix", "ols_champion_predictions", "ols_summary_table",
+    assert rows_only <= {"ols_champion_predictions", "ols_summary_table",
                          "gbt_challenger_predictions", "model_roundtrip_score", "batch_score_champion",
                          "batch_score_challenger", "champion_challenger_compare", "model_run_log",
                          "estimated_mae_daily", "stream_score"}
