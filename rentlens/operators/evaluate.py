@@ -90,3 +90,19 @@ def breusch_pagan_lm(df: DataFrame, y: str, x: str) -> DataFrame:
     aux = df.select(F.col(x), (e * e).alias("e2"))
     return aux.agg(F.regr_count("e2", x).alias("n"), F.regr_r2("e2", x).alias("r2_aux")) \
               .select("n", "r2_aux", (F.col("n") * F.col("r2_aux")).alias("lm"))
+
+
+def compare_models(df: DataFrame, label: str, preds: list[str]) -> DataFrame:
+    """N, MSE, RMSE, MAE, R² per prediction column from one aggregate pass;
+    ``winner`` marks the lowest MSE (ties: every tied model)."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.var_pop(label).alias("var_y")]
+    for p in preds:
+        e = F.col(label) - F.col(p)
+        aggs += [F.avg(e * e).alias(f"{p}__mse"), F.avg(F.abs(e)).alias(f"{p}__mae")]
+    wide = df.agg(*aggs)
+    best = F.least(*[F.col(f"{p}__mse") for p in preds])
+    rows = [F.struct(F.lit(p).alias("model"), F.col(f"{p}__mse").alias("mse"),
+                     F.sqrt(F.col(f"{p}__mse")).alias("rmse"), F.col(f"{p}__mae").alias("mae"),
+                     (F.lit(1.0) - F.col(f"{p}__mse") / F.col("var_y")).alias("r2"),
+                     (F.col(f"{p}__mse") == best).alias("winner")) for p in preds]
+    return wide.select("n", F.inline(F.array(*rows))).select("model", "n", "mse", "rmse", "mae", "r2", "winner")

@@ -12,20 +12,32 @@ from rentlens.functions.split import hash_bucket, is_train
 MAX_LEVELS = 10_000
 
 
-def category_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted non-null levels; a bounded distinct (at most ``max_levels + 1`` rows reach the driver)."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; one-hot is not meaningful")
-    return sorted(r[0] for r in rows)
+def category_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted non-null levels of each column from one pass over ``df``.
+
+    (column, value) pairs are de-duplicated with a partial distinct on every
+    partition; at most ``len(cols) * max_levels + 1`` rows reach the driver.
+    """
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                               for c in cols]))
+    cap = len(cols) * max_levels
+    rows = (df.select(pairs).where(F.col("v").isNotNull()).distinct().limit(cap + 1).collect())
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    too_many = [c for c, v in out.items() if len(v) > max_levels] or (["(total)"] if len(rows) > cap else [])
+    if too_many:
+        raise ValueError(f"{too_many} exceed {max_levels} levels; one-hot is not meaningful")
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def one_hot_columns(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
     """``<col>_<level>`` int indicator for every level; null → all zeros; source column dropped."""
     keep = keep if keep is not None else [c for c in df.columns if c not in cols]
     out = [F.col(c) for c in keep]
+    levels = category_levels(df, cols)
     for c in cols:
-        for lvl in category_levels(df, c):
+        for lvl in levels[c]:
             out.append(F.coalesce((F.col(c) == F.lit(lvl)).cast("int"), F.lit(0)).alias(f"{c}_{lvl}"))
     return df.select(*out)
 

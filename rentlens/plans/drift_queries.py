@@ -71,7 +71,7 @@ js AS (SELECT d, n, sqrt(greatest(sum(
 SELECT CAST(d AS VARCHAR) AS chunk, CAST(n AS BIGINT) AS n, round(jsd, 6) AS js_distance,
        jsd > {JS_ALERT} AS alert FROM js""")
 def q_drift_js_daily(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events")
+    ev = read_table(spark, sf_dir, "events", spread=True)
     r = D.js_distance_daily(ev, "ts", "value", EVENTS_REFERENCE_END, JS_WIDTH, JS_BINS, JS_ALERT)
     return r.select("chunk", "n", F.round("js_distance", 6).alias("js_distance"), "alert")
 
@@ -84,7 +84,7 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS chunk, count(*) AS n, round(avg(valu
        round(quantile_disc(value, 0.95), 4) AS p95
 FROM events GROUP BY 1""")
 def q_drift_distribution_daily(spark, sf_dir):
-    d = D.distribution_daily(read_table(spark, sf_dir, "events"), "ts", "value")
+    d = D.distribution_daily(read_table(spark, sf_dir, "events", spread=True), "ts", "value")
     return d.select("chunk", "n", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"),
                     *[F.round(c, 4).alias(c) for c in ("p05", "p25", "p50", "p75", "p95")])
 

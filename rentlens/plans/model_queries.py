@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rentlens.operators import evaluate as E
 from rentlens.operators import features as Fe
 from rentlens.operators import models as M
-from rentlens.operators.score import score, validate_scoring_input
+from rentlens.operators.score import score, score_many, validate_scoring_input
 from rentlens.plans.common import listings
 from rentlens.plans.registry import query
 from rentlens.plans.sql import with_listings
@@ -108,8 +108,7 @@ def q_formula_design_matrix(spark, sf_dir):
 
 @query("ols_champion_predictions")
 def q_ols_champion_predictions(spark, sf_dir):
-    test = _test(spark, sf_dir)
-    return score(champion(spark, sf_dir), test).join(test.select("listing_id", TARGET), "listing_id")
+    return score(champion(spark, sf_dir), _test(spark, sf_dir), keep=[TARGET])
 
 
 @query("ols_coefficients", with_listings("""
@@ -165,8 +164,7 @@ def q_ols_summary_table(spark, sf_dir):
 
 @query("gbt_challenger_predictions")
 def q_gbt_challenger_predictions(spark, sf_dir):
-    test = _test(spark, sf_dir)
-    return score(challenger(spark, sf_dir), test).join(test.select("listing_id", TARGET), "listing_id")
+    return score(challenger(spark, sf_dir), _test(spark, sf_dir), keep=[TARGET])
 
 
 # ---------------------------------------------------------------- M6, M7, R1-R4
@@ -256,10 +254,8 @@ def q_model_roundtrip_score(spark, sf_dir):
     root = scratch_path(spark, "models")
     M.save_model(champion(spark, sf_dir), root, "passed")
     M.save_model(challenger(spark, sf_dir), root, "challenger")
-    test = _test(spark, sf_dir)
-    a = score(M.load_model(root, "passed"), test, out="champion")
-    b = score(M.load_model(root, "challenger"), test, out="challenger")
-    return a.join(b, "listing_id")
+    return score_many({"champion": M.load_model(root, "passed"),
+                       "challenger": M.load_model(root, "challenger")}, _test(spark, sf_dir))
 
 
 @query("batch_score_champion")
@@ -280,15 +276,9 @@ def q_batch_score_challenger(spark, sf_dir):
 @query("champion_challenger_compare")
 def q_champion_challenger_compare(spark, sf_dir):
     """Both models on the same test rows; the lower MSE wins."""
-    test = _test(spark, sf_dir)
-    both = (score(champion(spark, sf_dir), test, out="champion")
-            .join(score(challenger(spark, sf_dir), test, out="challenger"), "listing_id")
-            .join(test.select("listing_id", TARGET), "listing_id"))
-    rows = [E.regression_metrics(both, TARGET, m).select(F.lit(m).alias("model"), "*")
-            for m in ("champion", "challenger")]
-    out = rows[0].unionByName(rows[1])
-    from pyspark.sql import Window
-    return out.withColumn("winner", F.col("mse") == F.min("mse").over(Window.partitionBy()))
+    both = score_many({"champion": champion(spark, sf_dir), "challenger": challenger(spark, sf_dir)},
+                      _test(spark, sf_dir), keep=[TARGET])
+    return E.compare_models(both, TARGET, ["champion", "challenger"])
 
 
 @query("model_run_log")
@@ -297,8 +287,7 @@ def q_model_run_log(spark, sf_dir):
     path = scratch_path(spark, "runs")
     test = _test(spark, sf_dir)
     for name, model in (("champion_ols", champion(spark, sf_dir)), ("challenger_gbt", challenger(spark, sf_dir))):
-        m = E.regression_metrics(score(model, test).join(test.select("listing_id", TARGET), "listing_id"),
-                                 TARGET, "prediction").first()
+        m = E.regression_metrics(score(model, test, keep=[TARGET]), TARGET, "prediction").first()
         params = {**M.model_params(model), "test_size": 0.2, "split": "md5(listing_id) % 10 >= 8"}
         M.log_run(spark, path, name, params, {"mse": m["mse"], "rmse": m["rmse"], "mae": m["mae"], "r2": m["r2"]})
     return M.read_runs(spark, path)

@@ -18,9 +18,30 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations"]
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one driver table; projections and filters push into it."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has cores.
+
+    A small file that is one parquet row group is one task however many
+    cores there are; spreading it costs a shuffle of a small input.  A
+    large table already has more splits than cores and is left untouched,
+    so at scale this adds nothing to the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        narrow = df.rdd.getNumPartitions() < cores
+    except Exception:  # no RDD view (e.g. a remote session): keep the scan as is
+        return df
+    return df.repartition(cores) if narrow else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Parquet scan of one driver table; projections and filters push into it.
+
+    ``spread`` is for fact tables whose per-row work is heavy (see
+    ``spread_if_narrow``).
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_if_narrow(df) if spread else df
 
 
 # The listing recipe (column name, SQL expression over
@@ -75,7 +96,7 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     AQE splits a hot customer); nation joins through the size-checked
     broadcast helper.
     """
-    orders = read_table(spark, sf_dir, "orders").select(
+    orders = read_table(spark, sf_dir, "orders", spread=True).select(
         F.col("o_orderkey").alias("k"), "o_custkey", "o_orderdate")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
