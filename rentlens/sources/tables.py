@@ -96,10 +96,15 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     AQE splits a hot customer); nation joins through the size-checked
     broadcast helper.
     """
-    orders = read_table(spark, sf_dir, "orders", spread=True).select(
-        F.col("o_orderkey").alias("k"), "o_custkey", "o_orderdate")
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return listings_from(read_table(spark, sf_dir, "orders", spread=True),
+                         read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation"))
+
+
+def listings_from(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """The listing recipe over given orders / customer / nation frames."""
+    orders = orders.select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderdate")
+    customer = customer.select("c_custkey", "c_nationkey")
+    nation = nation.select("n_nationkey", "n_name")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
     joined = join_dimension(joined, nation, joined.c_nationkey == nation.n_nationkey)
     exprs = dict(LISTING_RECIPE + LISTING_EXTRA)
