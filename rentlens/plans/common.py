@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rentlens.operators.clean import clean_listings
-from rentlens.sources.tables import raw_listings
+from rentlens.sources.tables import listing_snapshot
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_listings(spark, sf_dir)
+    """Raw listings as landed (a parquet snapshot derived from the driver tables)."""
+    return listing_snapshot(spark, sf_dir)
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_listings(raw_listings(spark, sf_dir))
+    return clean_listings(listing_snapshot(spark, sf_dir))

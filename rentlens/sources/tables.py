@@ -8,6 +8,9 @@ very same expressions feed Spark (``selectExpr``) and the DuckDB oracles.
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +103,27 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
                          read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation"))
 
 
+def listing_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw listings written once as a parquet table and read back.
+
+    The large join runs once per set of input files instead of once per
+    query.  The table lives under the shared checkpoint folder (so it
+    survives executor loss and cuts the lineage) and its name is a hash of
+    the input tables' file lists: landing new files makes a new snapshot.
+    """
+    from rentlens.session import checkpoint_root
+    files = []
+    for t in ("orders", "customer", "nation"):
+        files += sorted(read_table(spark, sf_dir, t).inputFiles())
+    key = hashlib.sha256("\n".join(files).encode()).hexdigest()[:20]
+    path = f"{checkpoint_root(spark)}/rentlens/snapshots/raw-listings-{key}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        raw_listings(spark, sf_dir).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+
 def listings_from(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
     """The listing recipe over given orders / customer / nation frames."""
     orders = orders.select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderdate")
