@@ -9,6 +9,7 @@ very same expressions feed Spark (``selectExpr``) and the DuckDB oracles.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +104,9 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
                          read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation"))
 
 
+_SNAPSHOT_LOCK = threading.Lock()
+
+
 def listing_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings written once as a parquet table and read back.
 
@@ -117,11 +121,12 @@ def listing_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         files += sorted(read_table(spark, sf_dir, t).inputFiles())
     key = hashlib.sha256("\n".join(files).encode()).hexdigest()[:20]
     path = f"{checkpoint_root(spark)}/rentlens/snapshots/raw-listings-{key}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        raw_listings(spark, sf_dir).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    with _SNAPSHOT_LOCK:  # one writer per driver; readers wait for the finished table
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            raw_listings(spark, sf_dir).write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
 
 
 def listings_from(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
