@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from rentlens.plans import model_queries as MQ
