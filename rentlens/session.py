@@ -28,6 +28,8 @@ def build_session(master: str | None = None, app: str = "rentlens",
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # HTML documents can be hundreds of KB: bound a Python worker's Arrow batch
+         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
          .config("spark.sql.shuffle.partitions",
                  str(shuffle_partitions or int(cpus) * 2))
          .config("spark.driver.memory", "16g"))
