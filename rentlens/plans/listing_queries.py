@@ -37,7 +37,7 @@ def q_ward_value_summary(spark, sf_dir):
 
 
 @query("bargain_topk", with_listings("""
-SELECT ku_name, bargain_rank, listing_id, rent_price, sqr_m,
+SELECT ku_name, CAST(bargain_rank AS INTEGER) AS bargain_rank, listing_id, rent_price, sqr_m,
  round(predicted, 4) AS predicted_rent, round(residual, 4) AS residual
 FROM (SELECT c.ku_name, c.listing_id, c.rent_price, c.sqr_m,
         f.intercept + f.slope * c.sqr_m AS predicted,

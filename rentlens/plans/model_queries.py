@@ -132,7 +132,8 @@ def q_ols_coefficients(spark, sf_dir):
 
 
 @query("ols_simple_fit", with_listings("""
-SELECT round(f.slope, 8) AS slope, round(f.intercept, 8) AS intercept, round(f.r2, 8) AS r2, f.n AS n,
+SELECT round(f.slope, 8) AS slope, round(f.intercept, 8) AS intercept, round(f.r2, 8) AS r2,
+       CAST(f.n AS BIGINT) AS n,
        round(avg(power(s.rent_price - (f.intercept + f.slope * s.sqr_m), 2)), 8) AS test_mse
 FROM split_listings s CROSS JOIN fit f WHERE s.split = 'test'
 GROUP BY f.slope, f.intercept, f.r2, f.n""", SPLIT_CTE + ",\n" + TRAIN_FIT_CTE))
@@ -235,7 +236,7 @@ def q_residual_density(spark, sf_dir):
 
 
 @query("breusch_pagan_lm", with_listings("""
-SELECT regr_count(e2, sqr_m) AS n, round(regr_r2(e2, sqr_m), 8) AS r2_aux,
+SELECT CAST(regr_count(e2, sqr_m) AS BIGINT) AS n, round(regr_r2(e2, sqr_m), 8) AS r2_aux,
        round(regr_count(e2, sqr_m) * regr_r2(e2, sqr_m), 6) AS lm
 FROM (SELECT c.sqr_m, power(c.rent_price - (f.intercept + f.slope * c.sqr_m), 2) AS e2
       FROM clean_listings c CROSS JOIN fit f) t""",

@@ -90,6 +90,12 @@ def compare(spark, name: str, sf_dir: str, fn, sql: str | None) -> dict:
     dc, dh = digest(dk)
     out["rows_match"] = len(sp) == len(dk)
     out["schema_match"] = sc == dc
+    norm = lambda t: "datetime64" if str(t).startswith("datetime64") else str(t)
+    dtype_diff = {c: (norm(sp[c].dtype), norm(dk[c].dtype)) for c in sc if c in dk.columns
+                  and norm(sp[c].dtype) != norm(dk[c].dtype)}
+    out["dtype_match"] = not dtype_diff
+    if dtype_diff:
+        out["dtype_diff"] = dtype_diff
     out["hash_match"] = sh == dh
     if not out["hash_match"] and sc == dc:
         srows = {repr(tuple(_norm(v) for v in r)) for r in sp[sc].itertuples(index=False, name=None)}
@@ -119,7 +125,8 @@ def main(argv: list[str]) -> int:
             r = compare(spark, n, sf_dir, qs[n], orc.get(n))
         except Exception as e:  # report and continue
             r = {"query": n, "error": f"{type(e).__name__}: {str(e)[:400]}"}
-        ok = r.get("hash_match", r.get("oracle") == "rows-only") and "error" not in r
+        ok = (r.get("hash_match", r.get("oracle") == "rows-only") and r.get("dtype_match", True)
+              and "error" not in r)
         bad += 0 if ok else 1
         print(("OK  " if ok else "BAD ") + repr(r), flush=True)
     print(f"{bad} failing of {len(names or qs)}")

@@ -18,13 +18,13 @@ QUERIES = E.queries()
 @pytest.mark.parametrize("name", sorted(n for n in ORACLES if n not in SLOW))
 def test_query_matches_oracle(spark, name):
     r = compare(spark, name, SF_CHECK, QUERIES[name], ORACLES[name])
-    assert r["rows_match"] and r["schema_match"] and r["hash_match"], r
+    assert r["rows_match"] and r["schema_match"] and r["hash_match"] and r["dtype_match"], r
 
 
 @pytest.mark.parametrize("name", sorted(SLOW))
 def test_slow_query_matches_oracle_small(spark, name):
     r = compare(spark, name, SF_SMALL, QUERIES[name], ORACLES[name])
-    assert r["rows_match"] and r["schema_match"] and r["hash_match"], r
+    assert r["rows_match"] and r["schema_match"] and r["hash_match"] and r["dtype_match"], r
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ORACLES))
