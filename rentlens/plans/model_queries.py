@@ -150,17 +150,9 @@ def q_ols_simple_fit(spark, sf_dir):
 @query("ols_summary_table")
 def q_ols_summary_table(spark, sf_dir):
     """M3: coefficient table of the formula model (treatment-coded layout and ward)."""
-    train = split_listings(spark, sf_dir).where(F.col("split") == "train")
-    from pyspark.ml.feature import RFormula
-    from pyspark.ml.regression import LinearRegression
-    data = train.dropna(subset=["ku_name"])
-    rf = RFormula(formula=FORMULA, stringIndexerOrderType="alphabetDesc").fit(data)
-    design = rf.transform(data)
-    lr = LinearRegression(solver="normal", regParam=0.0, standardization=False).fit(design)
-    attrs = design.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
-    names = sorted((a["idx"], a["name"]) for group in attrs.values() for a in group)
-    from pyspark.ml import PipelineModel
-    return M.ols_coefficient_table(spark, PipelineModel(stages=[lr]), [n for _, n in names])
+    train = split_listings(spark, sf_dir).where(F.col("split") == "train").dropna(subset=["ku_name"])
+    model, names = M.fit_formula_ols(train, FORMULA)
+    return M.ols_coefficient_table(spark, model, names)
 
 
 @query("gbt_challenger_predictions")
