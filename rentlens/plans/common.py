@@ -15,3 +15,14 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_listings(listing_snapshot(spark, sf_dir))
+
+
+_FITTED: dict[tuple, object] = {}
+
+
+def fitted_once(spark: SparkSession, sf_dir: str, name: str, build):
+    """A fitted model per (application, input folder, name): fit once, share between queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rentlens.operators import drift as D
 from rentlens.operators import evaluate as E
 from rentlens.operators.enrich import facility_distances, geocode, nearest_facility
-from rentlens.plans.common import listings
+from rentlens.plans.common import fitted_once, listings
 from rentlens.plans.registry import query
 from rentlens.plans.sql import with_listings
 from rentlens.schema import TARGET
@@ -114,5 +114,6 @@ def q_estimated_mae_daily(spark, sf_dir):
     s = _line_scored(spark, sf_dir)
     cut = F.lit(LISTINGS_REFERENCE_END).cast("timestamp_ntz")
     feats = ["sqr_m", "rei_price", "shikikin", "maintenence_price"]
-    est = D.fit_loss_estimator(s.where(F.col("scraped_at") < cut), feats, TARGET, "predicted")
+    est = fitted_once(spark, sf_dir, "loss_estimator", lambda: D.fit_loss_estimator(
+        s.where(F.col("scraped_at") < cut), feats, TARGET, "predicted"))
     return D.estimated_mae_daily(s.where(F.col("scraped_at") >= cut), est, "scraped_at", TARGET, "predicted")

@@ -9,14 +9,12 @@ from rentlens.operators import evaluate as E
 from rentlens.operators import features as Fe
 from rentlens.operators import models as M
 from rentlens.operators.score import score, score_many, validate_scoring_input
-from rentlens.plans.common import listings
+from rentlens.plans.common import fitted_once, listings
 from rentlens.plans.registry import query
 from rentlens.plans.sql import with_listings
 from rentlens.schema import TARGET
 from rentlens.session import scratch_path
 
-_MODELS: dict[tuple, object] = {}
-
 SPLIT_SQL = ("CASE WHEN CAST('0x' || substr(md5(CAST(listing_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 < 8 "
              "THEN 'train' ELSE 'test' END")
 SPLIT_CTE = f"split_listings AS (SELECT *, {SPLIT_SQL} AS split FROM clean_listings)"
@@ -29,16 +27,9 @@ def split_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Fe.with_split(listings(spark, sf_dir))
 
 
-def _cached(spark: SparkSession, sf_dir: str, name: str, build):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _MODELS:
-        _MODELS[key] = build()
-    return _MODELS[key]
-
-
 def champion(spark: SparkSession, sf_dir: str):
     """M1: OLS on the seven features, fitted on the train split (fit once per session)."""
-    return _cached(spark, sf_dir, "champion", lambda: M.fit_ols(
+    return fitted_once(spark, sf_dir, "champion", lambda: M.fit_ols(
         split_listings(spark, sf_dir).where(F.col("split") == "train")))
 
 
@@ -47,7 +38,7 @@ def challenger(spark: SparkSession, sf_dir: str):
     def build():
         df = split_listings(spark, sf_dir).withColumn("is_valid", F.col("split") == "test")
         return M.fit_gbt(df)
-    return _cached(spark, sf_dir, "challenger", build)
+    return fitted_once(spark, sf_dir, "challenger", build)
 
 
 def _test(spark, sf_dir):
