@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import threading
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,26 +106,50 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SNAPSHOT_LOCK = threading.Lock()
 
 
+def _hadoop_fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def input_fingerprint(spark: SparkSession, frames: list[DataFrame]) -> str:
+    """Hash of every input file's path, length and modification time."""
+    parts = []
+    for df in frames:
+        for f in sorted(df.inputFiles()):
+            try:
+                p, fs = _hadoop_fs(spark, f)
+                st = fs.getFileStatus(p)
+                parts.append(f"{f}|{st.getLen()}|{st.getModificationTime()}")
+            except Exception:  # no file-system view: fall back to the path alone
+                parts.append(f)
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:20]
+
+
+def _committed(spark: SparkSession, path: str) -> bool:
+    try:
+        p, fs = _hadoop_fs(spark, f"{path}/_SUCCESS")
+        return bool(fs.exists(p))
+    except Exception:
+        return False
+
+
 def listing_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw listings written once as a parquet table and read back.
 
-    The large join runs once per set of input files instead of once per
-    query.  The table lives under the shared checkpoint folder (so it
-    survives executor loss and cuts the lineage) and its name is a hash of
-    the input tables' file lists: landing new files makes a new snapshot.
+    The large join runs once per version of the input files instead of once
+    per query.  The table lives under the shared checkpoint folder (so it
+    survives executor loss and cuts the lineage); its name hashes the input
+    files' paths, lengths and modification times, so changed or new input
+    makes a new snapshot, and only a committed table (``_SUCCESS``) is reused.
     """
     from rentlens.session import checkpoint_root
-    files = []
-    for t in ("orders", "customer", "nation"):
-        files += sorted(read_table(spark, sf_dir, t).inputFiles())
-    key = hashlib.sha256("\n".join(files).encode()).hexdigest()[:20]
-    path = f"{checkpoint_root(spark)}/rentlens/snapshots/raw-listings-{key}"
+    inputs = [read_table(spark, sf_dir, t) for t in ("orders", "customer", "nation")]
+    path = f"{checkpoint_root(spark)}/rentlens/snapshots/raw-listings-{input_fingerprint(spark, inputs)}"
     with _SNAPSHOT_LOCK:  # one writer per driver; readers wait for the finished table
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
+        if not _committed(spark, path):
             raw_listings(spark, sf_dir).write.mode("overwrite").parquet(path)
-            return spark.read.parquet(path)
+        return spark.read.parquet(path)
 
 
 def listings_from(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:

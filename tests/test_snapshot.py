@@ -1,0 +1,28 @@
+"""The listing snapshot is reused only for unchanged, committed input."""
+
+from rentlens.session import scratch_path
+from rentlens.sources.tables import _committed, input_fingerprint, listing_snapshot, raw_listings
+from tests.conftest import SF_SMALL
+
+
+def test_fingerprint_follows_the_files(spark):
+    path = scratch_path(spark, "fp")
+    spark.range(10).write.parquet(path)
+    a = input_fingerprint(spark, [spark.read.parquet(path)])
+    assert a == input_fingerprint(spark, [spark.read.parquet(path)])
+    spark.range(5).write.mode("append").parquet(path)
+    assert a != input_fingerprint(spark, [spark.read.parquet(path)])
+
+
+def test_uncommitted_folder_is_not_trusted(spark):
+    path = scratch_path(spark, "partial")
+    spark.range(3).write.parquet(path)
+    assert _committed(spark, path)
+    assert not _committed(spark, scratch_path(spark, "missing"))
+
+
+def test_snapshot_equals_derivation(spark):
+    snap = listing_snapshot(spark, SF_SMALL)
+    fresh = raw_listings(spark, SF_SMALL)
+    assert snap.schema == fresh.schema
+    assert snap.count() == fresh.count() and snap.exceptAll(fresh).count() == 0
