@@ -10,7 +10,8 @@ from rentlens.operators import relational as R
 from rentlens.operators.value import bargain_topk, ward_value_summary
 from rentlens.plans.common import listings, raw
 from rentlens.plans.registry import query
-from rentlens.plans.sql import FIT_ALL, _money, _s, with_listings
+from rentlens.operators.clean import clean_with_rejects
+from rentlens.plans.sql import CLEAN_CTE, FIT_ALL, _money, _s, with_listings
 
 MODEL_DROP = ["name_place", "address", "eki_name", "apartment_type", "house_type", "ku_name"]
 
@@ -50,6 +51,23 @@ def q_bargain_topk(spark, sf_dir):
     return bargain_topk(listings(spark, sf_dir), k=3)
 
 
+_PERMISSIVE_CTE = CLEAN_CTE.replace("clean_listings AS (", "permissive AS (", 1).replace("CAST(", "TRY_CAST(")
+_REJECT_SOURCES = {"sqr_m": "sqr_m", "year_built": "year_built", "floor": "floor", "eki_walk": "nearest_eki",
+                   "rent_price": "rent_price", "rei_price": "rei_price", "shikikin": "shikikin",
+                   "maintenence_price": "maintenence_price"}
+
+
+@query("clean_listings_permissive", with_listings(
+    "SELECT p.*, " + " + ".join(f"CASE WHEN r.{src} IS NOT NULL AND p.{c} IS NULL THEN 1 ELSE 0 END"
+                                for c, src in _REJECT_SOURCES.items())
+    + " AS n_rejected FROM permissive p JOIN raw_listings r ON p.listing_id = r.listing_id",
+    _PERMISSIVE_CTE))
+def q_clean_listings_permissive(spark, sf_dir):
+    """Permissive clean; unparsable fields become null and are counted per row."""
+    df = clean_with_rejects(raw(spark, sf_dir))
+    return df.withColumn("n_rejected", F.size("rejected")).drop("rejected")
+
+
 # ---------------------------------------------------------------- C1-C10, X4
 
 @query("parse_area", with_listings(
