@@ -5,6 +5,10 @@ is checked, else a shuffle join).  J2/J3 measure every listing against a
 facility list: the list is configuration-sized, so after a bounded count it
 travels inside the plan as a literal array and each listing row computes
 its distances with ``transform`` – a narrow map, no join, no shuffle.
+Beyond that bound, J3 turns the problem around: listing locations are the
+few distinct geocoded points, so the points travel as the array, every
+facility row measures itself against them, a partial ``min`` per point keeps
+the nearest, and the small result joins back on the point.
 """
 
 from __future__ import annotations
@@ -13,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.functions.geo import haversine_km
-from rentlens.operators.dims import join_dimension
+from rentlens.operators.dims import is_small, join_dimension
 
 MAX_FACILITIES = 5_000
+MAX_POINTS = 5_000
 
 
 def geocode(df: DataFrame, geo: DataFrame, key: str = "ku_name") -> DataFrame:
@@ -23,14 +28,18 @@ def geocode(df: DataFrame, geo: DataFrame, key: str = "ku_name") -> DataFrame:
     return join_dimension(df, geo, key, "left")
 
 
+def _literal_array(rows, fields: list[str]) -> Column:
+    return F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in rows])
+
+
 def facility_array(facilities: DataFrame, max_rows: int = MAX_FACILITIES) -> Column:
     """Facility list as an array literal of (facility_id, facility, flat, flon) structs."""
     rows = facilities.select("facility_id", "facility", "flat", "flon").limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         raise ValueError(f"facility list exceeds {max_rows} rows; not a configuration list")
-    return F.array(*[F.struct(F.lit(r["facility_id"]).alias("facility_id"), F.lit(r["facility"]).alias("facility"),
-                              F.lit(float(r["flat"])).alias("flat"), F.lit(float(r["flon"])).alias("flon"))
-                     for r in sorted(rows, key=lambda r: r["facility_id"])])
+    rows = sorted(rows, key=lambda r: r["facility_id"])
+    return _literal_array([{**r.asDict(), "flat": float(r["flat"]), "flon": float(r["flon"])} for r in rows],
+                          ["facility_id", "facility", "flat", "flon"])
 
 
 def _distances(lat: str, lon: str, fac: Column) -> Column:
@@ -49,9 +58,31 @@ def facility_distances(df: DataFrame, facilities: DataFrame, lat: str = "lat", l
 
 
 def nearest_facility(df: DataFrame, facilities: DataFrame, lat: str = "lat", lon: str = "lon",
-                     keep: list[str] | None = None) -> DataFrame:
+                     keep: list[str] | None = None, max_rows: int = MAX_FACILITIES,
+                     max_points: int = MAX_POINTS) -> DataFrame:
     """The closest facility per listing (ties → lower facility_id)."""
     keep = keep or ["listing_id"]
-    best = F.array_min(_distances(lat, lon, facility_array(facilities))).alias("best")
-    return (df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-              .select(*keep, best).select(*keep, "best.facility_id", "best.facility", "best.km"))
+    located = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    if is_small(facilities, max_rows):
+        best = F.array_min(_distances(lat, lon, facility_array(facilities, max_rows))).alias("best")
+        return located.select(*keep, best).select(*keep, "best.facility_id", "best.facility", "best.km")
+    return _nearest_by_point(located, facilities, lat, lon, keep, max_points)
+
+
+def _nearest_by_point(located: DataFrame, facilities: DataFrame, lat: str, lon: str,
+                      keep: list[str], max_rows: int) -> DataFrame:
+    points = located.select(F.col(lat).alias("plat"), F.col(lon).alias("plon")).distinct()
+    rows = points.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"the facility list and the {len(rows) - 1}+ distinct listing points both exceed "
+                         "their bounds; no exact join-free plan")
+    parr = _literal_array([{"plat": float(r["plat"]), "plon": float(r["plon"])} for r in rows], ["plat", "plon"])
+    per_point = (facilities.select("facility_id", "facility", "flat", "flon", F.explode(parr).alias("p"))
+                 .select(F.col("p.plat").alias("plat"), F.col("p.plon").alias("plon"),
+                         F.struct(haversine_km(F.col("p.plat"), F.col("p.plon"), F.col("flat"), F.col("flon"))
+                                  .alias("km"), "facility_id", "facility").alias("d"))
+                 .groupBy("plat", "plon").agg(F.min("d").alias("best")))
+    # one row per distinct point (bounded above), so the join back is a checked broadcast
+    joined = join_dimension(located, per_point,
+                            (located[lat] == per_point["plat"]) & (located[lon] == per_point["plon"]))
+    return joined.select(*keep, "best.facility_id", "best.facility", "best.km")

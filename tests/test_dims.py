@@ -39,3 +39,18 @@ def test_fallback_is_a_shuffle_join_with_same_rows(spark):
         assert a.where(F.col("lat").isNull()).count() > 0  # failed lookups stay, with null point
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_nearest_facility_beyond_bound_is_exact(spark):
+    from rentlens.operators.enrich import nearest_facility
+    from rentlens.sources.tables import facility_dim
+    from rentlens.operators.enrich import geocode
+    df = geocode(listings(spark, SF_SMALL), geo_dim(spark, SF_SMALL))
+    fac = facility_dim(spark, SF_SMALL)
+    small = nearest_facility(df, fac, max_rows=100)       # facilities embedded
+    large = nearest_facility(df, fac, max_rows=4)         # 5 facilities > 4: points embedded instead
+    p = plan(large)
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    cols = ["listing_id", "facility_id", "facility", "km"]
+    a, b = small.select(*cols), large.select(*cols)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
