@@ -171,15 +171,17 @@ def render_listing_pages(raw: DataFrame, per_page: int = 20) -> DataFrame:
     )
     page = F.floor(c("listing_id") / per_page).cast("long")
     # Parsing costs CPU per container while the pages are few bytes, so the
-    # page table is spread over the configured shuffle width instead of the
-    # byte-sized partitions AQE would coalesce it into.
+    # page table keeps the configured shuffle width instead of the byte-sized
+    # partitions AQE would coalesce it into.
     width = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One exchange: hash by page at the explicit width (AQE keeps an explicit
+    # width), which also satisfies the group-by's distribution.
     return (raw.select(page.alias("page_id"), c("listing_id"), container.alias("container"))
+               .repartition(width, "page_id")
                .groupBy("page_id")
                .agg(F.array_sort(F.collect_list(F.struct("listing_id", "container"))).alias("items"))
                .select("page_id", F.concat(
                    F.lit("<!DOCTYPE html><html><head><title>results</title></head><body>"
                          '<div class="designateline-box-txt02">東京都</div>'),
                    F.array_join(F.transform("items", lambda x: x["container"]), ""),
-                   F.lit("</body></html>")).alias("html"))
-               .repartition(width))
+                   F.lit("</body></html>")).alias("html")))
