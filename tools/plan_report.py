@@ -75,8 +75,8 @@ NOTES = """
 * **Aggregates** (`partial` > 0) combine map-side before their one shuffle; no query collects a
   group.  `bargain_topk` has `WindowGroupLimit` twice: partial before the exchange, final after.
 * **python** = 1 only for the three HTML queries (one `MapInPandas` each); everything else stays in
-  JVM codegen.  `html_extract_listings` adds the renderer's group-by (bounded pages of 20) and a
-  repartition to the shuffle width before parsing.
+  JVM codegen.  `html_extract_listings` adds the renderer's one exchange: hash by page at the
+  shuffle width, which also serves its group-by (bounded pages of 20).
 * Queries that write and read back (CSV, dated partitions, model store, run log, streams) show the
   plan of the read-back table.
 """
