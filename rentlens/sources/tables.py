@@ -112,18 +112,22 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def input_fingerprint(spark: SparkSession, frames: list[DataFrame]) -> str:
-    """Hash of every input file's path, length and modification time."""
+def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Hash of every data file's path, length and modification time under ``paths``
+    (a file or a folder), listed through the cluster's file system."""
     parts = []
-    for df in frames:
-        for f in sorted(df.inputFiles()):
-            try:
-                p, fs = _hadoop_fs(spark, f)
-                st = fs.getFileStatus(p)
-                parts.append(f"{f}|{st.getLen()}|{st.getModificationTime()}")
-            except Exception:  # no file-system view: fall back to the path alone
-                parts.append(f)
-    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:20]
+    for path in paths:
+        try:
+            p, fs = _hadoop_fs(spark, path)
+            it = fs.listFiles(p, True)
+            while it.hasNext():
+                st = it.next()
+                name = st.getPath().getName()
+                if not name.startswith(("_", ".")):
+                    parts.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+        except Exception:  # no file-system view: fall back to the path alone
+            parts.append(path)
+    return hashlib.sha256("\n".join(sorted(parts)).encode()).hexdigest()[:20]
 
 
 def _committed(spark: SparkSession, path: str) -> bool:
@@ -144,7 +148,7 @@ def listing_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     makes a new snapshot, and only a committed table (``_SUCCESS``) is reused.
     """
     from rentlens.session import checkpoint_root
-    inputs = [read_table(spark, sf_dir, t) for t in ("orders", "customer", "nation")]
+    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "nation")]
     path = f"{checkpoint_root(spark)}/rentlens/snapshots/raw-listings-{input_fingerprint(spark, inputs)}"
     with _SNAPSHOT_LOCK:  # one writer per driver; readers wait for the finished table
         if not _committed(spark, path):

@@ -8,10 +8,12 @@ from tests.conftest import SF_SMALL
 def test_fingerprint_follows_the_files(spark):
     path = scratch_path(spark, "fp")
     spark.range(10).write.parquet(path)
-    a = input_fingerprint(spark, [spark.read.parquet(path)])
-    assert a == input_fingerprint(spark, [spark.read.parquet(path)])
+    a = input_fingerprint(spark, [path])
+    assert a == input_fingerprint(spark, [path])
     spark.range(5).write.mode("append").parquet(path)
-    assert a != input_fingerprint(spark, [spark.read.parquet(path)])
+    assert a != input_fingerprint(spark, [path])
+    single = f"{SF_SMALL}/nation.parquet"
+    assert input_fingerprint(spark, [single]) == input_fingerprint(spark, [single])
 
 
 def test_uncommitted_folder_is_not_trusted(spark):
