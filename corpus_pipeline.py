@@ -1,14 +1,64 @@
-"""A corpus pipeline over ``documents``; each stage calls one operator of ``rentlens.llm``."""
+"""A corpus pipeline over ``documents``: five stages, each calling one operator of ``rentlens.llm``.
+
+A stage takes (spark, docs, sf_dir); its result is written as Parquet and reread
+as the next one's docs.  The first four return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rentlens.llm.common import documents, table, written
+from rentlens.llm.ngram_join import ngram_jaccard_join
+from rentlens.llm.packing import best_fit_packing
+from rentlens.llm.quality import apply_verdicts, quality_classifier
+from rentlens.llm.secrets import redacted, secret_scan
+from rentlens.llm.substring_dedup import substring_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return apply_verdicts(docs, quality_classifier(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8): the smallest doc_id.
+
+    Rows without a doc_id cannot be told apart and stay; repeated rows of a doc_id become one.
+    """
+    kept = ngram_jaccard_join(docs, n=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 or more words that an earlier document has."""
+    cut = substring_dedup(docs, window=50)
+    return with_text(cut, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")), docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with each secret replaced by a mark."""
+    out = redacted(secret_scan(docs))
+    return with_text(out, F.col("text"), docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the training sequences."""
+    return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def with_text(df: DataFrame, text, names: list[str]) -> DataFrame:
+    df = df.withColumn("text", text)
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else df.select(*names)
 
-from rentlens.llm.common import documents, written
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages),
+          ("secrets", secrets), ("packing", packing)]
 
-#: The stages hold trained models, hashing and tokenizers, which SQL cannot express.
+#: The stages hold trained models, tokenizers and a packing, which SQL cannot express.
 ORACLE_SQL = None
 
 
