@@ -108,7 +108,7 @@ class FMIndex:
         for level in range(len(self._low) - 1, -1, -1):
             span, low = 1 << level, self._low[level]
             at = lo - span + 1  # rows at..lo all continue the interval to the left
-            ok = at >= 0
+            ok = at >= 1  # the first row continues nothing
             ok[ok] = low[at[ok]] >= depth[ok]
             lo = np.where(ok, lo - span, lo)
             ok = hi + span <= self.n
