@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,18 @@ from pyspark.sql import DataFrame
 
 from rentlens.llm.common import mapped, sliced
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: The white space of the pre-tokenizer's pattern (Unicode White_Space).
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Pieces between which the pre-tokenizer always cuts: a run of non-space with one blank before it, or space.
-PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-PLAIN = re.compile(r" ?[A-Za-z]+")
+#: Letters and numbers below U+0180.
+LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_GAP = f"[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: The pre-tokenizer's words, for texts without an ``UNUSUAL`` character.
+WORDS = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|{_GAP}")
+UNUSUAL = re.compile("[^\x00-\u017f\u2000-\u2027\u202a-\u205e]")
+#: For other texts: pieces between which the pre-tokenizer always cuts.
+PIECES = re.compile(f" ?[^{SPACE}]+|{_GAP}")
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,7 +66,12 @@ class TrieEncoder:
         self._bytes_of = lambda s: bytes(letters[c] for c in s)
         vocab = spec["model"]["vocab"]
         self.ids = {self._bytes_of(t): i for t, i in vocab.items()}
-        self.width = max(map(len, self.ids))
+        self._state_of = {b"": 0}  # every beginning of a token is a state
+        for token in self.ids:
+            for i in range(1, len(token) + 1):
+                self._state_of.setdefault(token[:i], len(self._state_of))
+        self._states = list(self._state_of)
+        self._moves: dict[int, tuple[int, list[tuple[int, int]]]] = {}
         self.merges: dict[tuple[int, int], int] = {}  # pair -> order of the merge
         self.made: dict[int, tuple[int, int, int]] = {}  # token -> order, left, right
         for order, merge in enumerate(spec["model"]["merges"]):
@@ -67,7 +79,6 @@ class TrieEncoder:
             a, b, c = vocab[left], vocab[right], vocab[left + right]
             self.merges[a, b] = order
             self.made.setdefault(c, (order, a, b))
-        self.shorter: dict[int, list[tuple[int, int]]] = {}  # token -> tokens that end it, longest first
         self._text = {i: t for t, i in self.ids.items()}
         self._stable: dict[int, bool] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -104,80 +115,92 @@ class TrieEncoder:
             else:  # equal pairs merge from the left, so the border's came before this one
                 before, b = right[0] + 1, right[1]
 
-    def _endings(self, token: int) -> list[tuple[int, int]]:
-        got = self.shorter.get(token)
-        if got is None:
-            text = self._text[token]
-            got = self.shorter[token] = [(self.ids[text[i:]], len(text) - i) for i in range(len(text)) if text[i:] in self.ids]
-        return got
+    def _step(self, state: int, byte: int) -> tuple[int, list[tuple[int, int]]]:
+        """Next state, and the tokens that end there, longest first.
+
+        A state is the longest end of the path that begins some token.
+        """
+        path = self._states[state] + bytes((byte,))
+        while path not in self._state_of:
+            path = path[1:]
+        here = self._state_of[path]
+        ends = [(self.ids[path[i:]], len(path) - i) for i in range(len(path)) if path[i:] in self.ids]
+        if len(self._moves) > 600_000:
+            self._moves.clear()
+        self._moves[state << 8 | byte] = here, ends
+        return here, ends
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Each distinct word's ids (little-endian 32-bit), by one depth-first pass over their trie."""
-        out, ids, width, stable, endings = {}, self.ids, self.width, self.stable, self._endings
+        out, moves, step, known, stable = {}, self._moves, self._step, self._stable, self.stable
         path = b""
-        last: list[int] = [-1]  # last[d]: last token of the path's first d bytes
-        size: list[int] = [0]
+        states, last, size = [0], [-1], [0]  # per depth of the path: state, last token and its length
         for word in sorted(words):
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1:], size[shared + 1:]
+            del states[shared + 1:], last[shared + 1:], size[shared + 1:]
+            state = states[shared]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - width), end):
-                    longest = ids.get(word[start:end])
-                    if longest is not None:
+                move = moves.get(state << 8 | word[end - 1])
+                state, ends = move if move is not None else step(state, word[end - 1])
+                for token, n in ends:
+                    if n == end:
                         break
-                for token, n in endings(longest):
-                    at = end - n
-                    if at == 0 or stable(last[at], token):
-                        last.append(token)
-                        size.append(n)
+                    before = last[end - n]
+                    ok = known.get(before << 20 | token)
+                    if ok or ok is None and stable(before, token):
                         break
-            path, tokens, at = word, [], len(word)
+                states.append(state)
+                last.append(token)
+                size.append(n)
+            tokens, at = [], len(word)
             while at:
                 tokens.append(last[at])
                 at -= size[at]
-            out[word] = np.array(tokens[::-1], "<u4").tobytes()
+            tokens.reverse()
+            out[word] = pack(f"<{len(tokens)}I", *tokens)
+            path = word
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self._known) + len(pieces) > CACHE_WORDS:
-            self._known.clear()
-        fresh = [p for p in pieces if p not in self._known]
-        split, letters = {}, self._bytes_of
-        for p in fresh:
-            split[p] = [p.encode()] if PLAIN.fullmatch(p) else [letters(w) for w, _ in self._pre.pre_tokenize_str(p)]
+    def _split(self, piece: str) -> list[bytes]:
+        return [self._bytes_of(w) for w, _ in self._pre.pre_tokenize_str(piece)]
+
+    def _learned(self, words: set[str], pieces: set[str]) -> dict[str, bytes]:
+        """Ids of words and pieces that are not in the cache, which takes them up."""
+        split = {w: [w.encode()] for w in words} | {p: self._split(p) for p in pieces}
         done = self.encode_words(list({w for ws in split.values() for w in ws}))
-        for p, ws in split.items():
-            self._known[p] = done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws])
+        fresh = {p: done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws]) for p, ws in split.items()}
+        if len(self._known) + len(fresh) > CACHE_WORDS:
+            self._known = {}
+        self._known.update(fresh)
+        return fresh
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian 32-bit values."""
-        parts = [[] if not t else [t] if self._cut is None else self._cut.split(t) for t in texts]
-        found = [[p if i % 2 else PIECES.findall(p) for i, p in enumerate(ps)] for ps in parts]
-        self._learn({w for fs in found for f in fs if isinstance(f, list) for w in f} - self._known.keys())
-        missing: dict[str, bytes] = {}
-
-        def of(w: str) -> bytes:  # only after the cache was emptied
-            got = known.get(w) or missing.get(w)
-            if got is None:
-                words = [letters(x) for x, _ in self._pre.pre_tokenize_str(w)]
-                done = self.encode_words(list(set(words)))
-                got = missing[w] = b"".join([done[x] for x in words])
-            return got
-
-        known, letters = self._known, self._bytes_of
-        for fs in found:
-            out = []
-            for f in fs:
-                if isinstance(f, str):
-                    out.append(np.array([self.special[f]], "<u4").tobytes())
+        found: list[list] = []
+        words: set[str] = set()
+        pieces: set[str] = set()
+        for t in texts:
+            parts = []
+            for i, part in enumerate([] if not t else [t] if self._cut is None else self._cut.split(t)):
+                if i % 2:
+                    parts.append(self.special[part])
+                elif UNUSUAL.search(part):
+                    parts.append(PIECES.findall(part))
+                    pieces.update(parts[-1])
                 else:
-                    try:
-                        out.append(b"".join(map(known.__getitem__, f)))
-                    except KeyError:
-                        out.append(b"".join(map(of, f)))
-            yield b"".join(out)
+                    parts.append(WORDS.findall(part))
+                    words.update(parts[-1])
+            found.append(parts)
+        cache = self._known
+        pieces -= cache.keys()
+        words -= cache.keys()
+        words -= pieces
+        fresh = self._learned(words, pieces)
+        cache = self._known if self._known is cache else {**cache, **fresh}
+        for parts in found:
+            yield b"".join([pack("<I", p) if isinstance(p, int) else b"".join(map(cache.__getitem__, p)) for p in parts])
 
     def decode(self, ids: bytes | None) -> str:
         at = self.table.__getitem__

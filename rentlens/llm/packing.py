@@ -19,10 +19,12 @@ result.  Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -30,50 +32,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rentlens.llm.bpe import LETTER, NUMBER, SPACE, byte_letters
 from rentlens.llm.common import mapped, sliced, written
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 GROUP_PIECES = 40_000
 
 
+#: Text of which lower-casing and the tokenizer's splitting are known here; other text is encoded run by run.
+UNUSUAL = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027]")
+#: The tokenizer's words in lower-cased usual text; white space falls away.
+WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
+
+
 class WordIds:
-    """Ids of a tokenizer that drops white space: each run between ASCII spaces is encoded once and kept."""
+    """Ids of a lower-casing tokenizer that drops white space: each different word is encoded once and kept."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special = {k.encode(): np.array([i], "<u4").tobytes() for k, i in special.items()}
-        self._cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if special else None
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
+        self.special = {k: pack("<I", i) for k, i in special.items()}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        # the same merges alone, for words that are split and lower-cased already
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.merges = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        self._letters = {b: c for c, b in byte_letters().items()}
+        self.known: dict[str, bytes] = {}
+
+    def _coded(self, words: list[str], whole: bool) -> dict[str, bytes]:
+        out = {}
         for i in range(0, len(words), 20_000):
             some = words[i: i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        raw = (text or "").encode()
-        if self._cut is not None and self._cut.search(raw):
-            return b"".join(self.special.get(p) or self._plain(p) for p in self._cut.split(raw))
-        return self._plain(raw)
-
-    def _plain(self, raw: bytes) -> bytes:
-        words, known = raw.split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in known])
-            if all(w in known for w in words):
-                return b"".join(map(known.__getitem__, words))
-            return b"".join(map(self._one, words))  # more different words than the cache holds
-
-    def _one(self, w: bytes) -> bytes:
-        return self.known.get(w) or np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            if whole:
+                coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            else:
+                coded = self.merges.encode_batch_fast([w.encode().decode("latin-1").translate(self._letters) for w in some], add_special_tokens=False)
+            for w, e in zip(some, coded):
+                ids = e.ids
+                out[w] = pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit values."""
+        found, split, runs = [], set(), set()
+        for t in texts:
+            parts = [t or ""] if self._cut is None or not t else self._cut.split(t)
+            for i in range(0, len(parts), 2):
+                if UNUSUAL.search(parts[i]):
+                    parts[i] = [w.decode() for w in parts[i].encode().split()]  # between ASCII spaces nothing joins
+                    runs.update(parts[i])
+                else:
+                    parts[i] = WORDS.findall(parts[i].lower())
+                    split.update(parts[i])
+            found.append(parts)
+        known = self.known
+        split -= known.keys()
+        runs -= known.keys()
+        fresh = self._coded(list(split - runs), False) | self._coded(list(runs), True)
+        if len(known) + len(fresh) > CACHE_WORDS:  # the old entries still serve this batch
+            self.known, known = fresh, {**known, **fresh}
+        else:
+            known.update(fresh)
+        for parts in found:
+            yield b"".join([b"".join(map(known.__getitem__, p)) if isinstance(p, list) else self.special[p] for p in parts])
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -81,7 +105,7 @@ _WORDS: dict[str, WordIds] = {}
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = pack("<I", end_id)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         if vocabulary not in _WORDS:
@@ -89,8 +113,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -
         coder = _WORDS[vocabulary]
         for part in sliced(batch, text="text"):
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = coder.ids(text) + end
+            for doc, ids in zip(part.column("doc_id").to_pylist(), coder.ids(part.column("text").to_pylist())):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     body = ids[at: at + 4 * capacity]
                     out["doc_id"].append(doc)
@@ -106,7 +130,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each item, and the room left in each bin; equal lengths go in their order."""
-    order = np.argsort(-lengths, kind="stable")
+    order, capacity = np.argsort(-lengths, kind="stable"), int(capacity)
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by room
     rooms, some = [], 0  # bit r of ``some``: a bin with room r is open
