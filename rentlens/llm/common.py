@@ -28,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def carried(df: DataFrame, added: list[str]) -> list[str]:
+    """Columns of ``df`` that an operator passes on: all but those, in any case, that it adds."""
+    low = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in low]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

@@ -143,7 +143,7 @@ def embedding_near_dedup(vectors: DataFrame, least: float = 0.98, bits: int = 14
     sound = ("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0 and "
              "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
     v = v.withColumn("sound", F.expr(sound)).withColumn("embedding", F.expr("transform(embedding, x -> x + 0.0D)"))
-    v = v.withColumn("print", F.when("sound", F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>")), 256)))
+    v = v.withColumn("print", F.when(F.col("sound"), F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>")), 256)))
     keyed = v.select("vec_id", "label", "print")
     classes = written(v.where("sound").groupBy("label", "print").agg(
         F.min("vec_id").alias("class"), F.count("*").alias("n"), F.min("embedding").alias("embedding")), "vector-classes")

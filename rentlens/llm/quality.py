@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import mapped, sliced, written
+from rentlens.llm.common import mapped, sliced, unused, written
 
 ORDER = 4
 SYMBOLS = 42
@@ -241,5 +241,6 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, low: float = 0.002, h
 
 def apply_verdicts(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judged`` accepts."""
-    out = judged.where("not accepted").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
-    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_print")), "left_anti")
+    a, b = unused(docs, "rejected_doc"), unused(docs, "rejected_print")
+    out = judged.where("not accepted").select(F.col("doc_id").alias(a), F.col("print").alias(b)).distinct()
+    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(F.col("text").cast("string")) == F.col(b)), "left_anti")

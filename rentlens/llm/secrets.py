@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import mapped, sliced
+from rentlens.llm.common import carried, mapped, sliced
 
 #: The rules, in the order that breaks ties.
 KINDS = ("assign", "access", "hex", "net")
@@ -237,7 +237,7 @@ def fitted(docs: DataFrame, sample_docs: int, recall: float, seed: int) -> Secre
 
 def secret_scan(docs: DataFrame, sample_docs: int = 5000, recall: float = 0.98, seed: int = 11, model: SecretModel | None = None) -> DataFrame:
     """``docs`` with ``spans``: array of (kind, start, end, base, score), by start, then kind."""
-    names = [c for c in docs.columns if c != "spans"]
+    names = carried(docs, ["spans"])
     docs = docs.select(*names)
     model = model or fitted(docs, sample_docs, recall, seed)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
