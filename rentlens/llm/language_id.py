@@ -66,12 +66,16 @@ def cells(text: str) -> np.ndarray:
 
 def text_models(docs: DataFrame, per_language: int) -> tuple[list[str], np.ndarray]:
     """Languages and, per language, the log-probability of each cell; from at most ``per_language`` documents of each."""
-    t = docs.where("lang <> '' and text <> ''").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    names = sorted(r[0] for r in t.select("lang").distinct().collect())
+    t = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang <> '' and text <> ''")
+    t = t.withColumn("h", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    picks = t.select("lang", "h").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "h")
+    # as many rows as languages times ``per_language``: small enough to broadcast, and to fetch with their texts
+    rows = t.join(F.broadcast(picks), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    names = sorted({r.lang for r in rows})
     counts = np.full((len(names), CELLS), 0.1)
-    for i, lang in enumerate(names):
-        for (text,) in t.where(F.col("lang") == lang).select("text").withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(per_language).select("text").collect():
-            counts[i] += np.bincount(cells(text), minlength=CELLS)
+    for r in sorted(rows, key=lambda r: (r.lang, r.h)):
+        counts[names.index(r.lang)] += np.bincount(cells(r.text), minlength=CELLS)
     return names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -102,10 +106,6 @@ def page_evidence(pages: DataFrame, names: list[str], logp: np.ndarray) -> DataF
                     empty("host").alias("host"), F.coalesce(empty("domain"), empty("host")).alias("domain"), "text"))
 
 
-def _weights(values: np.ndarray) -> np.ndarray:
-    return values
-
-
 def language_id(pages: DataFrame, docs: DataFrame, per_language: int = 500) -> DataFrame:
     """page_id, lang, probability, declared, text_lang of every row of ``pages`` (page_id, url, html)."""
     names, logp = text_models(docs, per_language)
