@@ -11,10 +11,10 @@ layer, one logit.
 Training.  Labelled findings are drawn from a bounded sample of documents
 (``sample_docs``, the smallest hashes of the texts): base findings are positive,
 ordinary words, numbers and random substitutes that follow the shape of ordinary
-words negative; copies of the positives without the assignment's name make the
-network judge the value.  A part of the findings is held out: a logistic map
-calibrates the logit on it, and each kind's threshold is the highest with recall
-at or above ``recall`` there and not below one half.
+words negative; copies of the positives without the assignment's name, with their own
+and with random values of the same shape, make the network judge the value.  A part of the findings is held out: a logistic map
+calibrates the logit on it, and each kind's threshold is one half, or lower where
+the recall on it asks for that.
 
 Spans are half-open, in code points.  Null or empty text has none.  Very long
 texts are scanned whole.  Rows that repeat give equal results.  If the sample has
@@ -46,6 +46,9 @@ DIGIT = re.compile(r"[0-9]")
 SIDE = 20
 WIDTH = 88
 SPAN_CLASS = 97
+TRAIN_STEPS = 1500
+#: Random values put in a finding's place, beside its own.
+COPIES = 3
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -115,27 +118,24 @@ class CharNet:
         out = (h @ p["o"] + p["ob"])[:, 0]
         return (out, f, h, back, chars) if keep else out
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int, seed: int, rate: float = 0.004) -> None:
-        """Adam on the logistic loss, classes weighted equally."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int, seed: int, rate: float = 0.006) -> None:
+        """Adam on the logistic loss; half of each batch is positive, and the rate falls to zero."""
         g = np.random.default_rng(seed)
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+        sides = [np.flatnonzero(y == v) for v in (0, 1)]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(a) for k, a in self.p.items()}
-        step = 0
-        for _ in range(epochs):
-            order = g.permutation(len(y))
-            for at in range(0, len(y), 128):
-                some = order[at: at + 128]
-                step += 1
-                for k, d in self._gradient(x[some], y[some], weight[some]).items():
-                    m[k] = 0.9 * m[k] + 0.1 * d
-                    v[k] = 0.99 * v[k] + 0.01 * d * d
-                    self.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-
-    def _gradient(self, x, y, weight) -> dict[str, np.ndarray]:
+        for step in range(1, steps + 1):
+            some = np.concatenate([g.choice(s, 64) for s in sides])
+            for k, d in self._gradient(x[some], y[some]).items():
+                m[k] = 0.9 * m[k] + 0.1 * d
+                v[k] = 0.99 * v[k] + 0.01 * d * d
+                speed = rate * (1 - (step - 1) / steps) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+                self.p[k] -= speed.astype(np.float32)
+
+    def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         out, f, h, back, chars = self.forward(x, keep=True)
-        d = (weight * (1 / (1 + np.exp(-out)) - y) / len(y)).astype(np.float32)[:, None]
+        d = ((1 / (1 + np.exp(-out)) - y) / len(y)).astype(np.float32)[:, None]
         g = {"o": h.T @ d, "ob": d.sum(axis=0)}
         dh = (d @ p["o"].T) * (h > 0)
         g |= {"h": f.T @ dh, "hb": dh.sum(axis=0), "embed": np.zeros_like(p["embed"])}
@@ -181,61 +181,73 @@ def kind_of(value: str) -> str:
     return "digits" if value.strip("+/_=-").isdigit() else "mixed"
 
 
-def findings(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Labelled windows of the sampled texts: (windows, label, kind)."""
+def alike(value: str, g: np.random.Generator) -> str:
+    """A random value of the same alphabet and shape."""
+    sets = ["0123456789abcdef"] if re.fullmatch("[0-9a-f]+", value) else ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    of = {c: s for s in sets for c in s}
+    return "".join(of[c][int(g.integers(len(of[c])))] if c in of else c for c in value)
+
+
+def findings(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labelled windows of the sampled texts: (windows, label, kind, number of the text)."""
     g = np.random.default_rng(seed)
-    x, y, kinds = [], [], []
+    x, y, kinds, of = [], [], [], []
 
     def add(text: str, spans: list[tuple[int, int]], label: int, kind: str) -> None:
         if spans:
             x.append(windows(text, spans))
             y.extend([label] * len(spans))
             kinds.extend([kind] * len(spans))
+            of.extend([number] * len(spans))
 
-    for t in texts:
+    for number, t in enumerate(texts):
         base = base_spans(t)
         for kind, s, e in base:
             add(t, [(s, e)], 1, "mixed")
             value = ASSIGN.match(t, s).group(2) if kind == 0 else t[s:e]
-            bare = t[max(0, s - SIDE): s] + value + t[e: e + SIDE]
-            at = min(s, SIDE)
-            add(bare, [(at, at + len(value))], 1, "mixed")
+            before, after, at = t[max(0, s - SIDE): s], t[e: e + SIDE], min(s, SIDE)
+            for v in (value, *(alike(value, g) for _ in range(COPIES))):
+                add(before + v + after, [(at, at + len(v))], 1, "mixed")
+            add(t[:s] + t[s:e].replace(value, alike(value, g)) + t[e:], [(s, e)], 1, "mixed")
         taken = [(s, e) for _, s, e in base]
         free = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{6,}", t) if not any(a < m.end() and m.start() < b for a, b in taken)]
         pick = [free[i] for i in sorted(g.permutation(len(free))[:3])]
         add(t, pick, 0, "mixed")
         for s, e in pick[:1]:  # a number in its place, and words with a number, as in references
-            number = "".join(map(str, g.integers(0, 10, 16)))
-            add(t[:s] + number + t[e:], [(s, s + 16)], 0, "digits")
-            joined = t[s:e] + "-" + t[s:e] + "-" + number[:3]
+            digits = "".join(map(str, g.integers(0, 10, 16)))
+            add(t[:s] + digits + t[e:], [(s, s + 16)], 0, "digits")
+            joined = t[s:e] + "-" + t[s:e] + "-" + digits[:3]
             add(t[:s] + joined + t[e:], [(s, s + len(joined))], 0, "mixed")
-    return (np.concatenate(x) if x else np.zeros((0, 2, WIDTH), np.uint8)), np.array(y, np.float64), kinds
+    return (np.concatenate(x) if x else np.zeros((0, 2, WIDTH), np.uint8)), np.array(y, np.float64), np.array(kinds), np.array(of)
 
 
 def fitted(docs: DataFrame, sample_docs: int, recall: float, seed: int) -> SecretModel | None:
     """The model of at most ``sample_docs`` whole documents, those with the smallest hashes."""
-    t = docs.select(F.col("text").cast("string").alias("text")).where("text <> ''")
-    picked = [r[0] for r in t.withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(sample_docs).collect()]
-    x, y, kinds = findings(picked, seed)
+    t = docs.select(F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("h", F.xxhash64("text"))
+    hashes = [r.h for r in t.select("h").distinct().orderBy("h").limit(sample_docs).collect()]
+    rows = t.where(F.col("h") <= max(hashes)).groupBy("h").agg(F.min("text").alias("text")).collect() if hashes else []
+    picked = [r.text for r in sorted(rows, key=lambda r: r.h)]
+    x, y, kinds, of = findings(picked, seed)
     if not (y == 1).any() or not (y == 0).any():
         return None
-    held = np.random.default_rng(seed + 1).random(len(y)) < 0.3
-    held[0] = False
+    held = (np.random.default_rng(seed + 1).random(len(picked)) < 0.3)[of]  # whole texts, as their findings are alike
+    if len(set(y[~held])) < 2:
+        held[:] = False
     net = CharNet(seed)
-    net.train(x[~held], y[~held], epochs=6, seed=seed)
+    net.train(x[~held], y[~held], TRAIN_STEPS, seed)
     if not 0 < y[held].sum() < held.sum():
         held[:] = True
     slope, offset = calibrated(net.logits(x[held]).astype(np.float64), y[held])
     model = SecretModel(net, slope, offset, {})
     score = model.scores(x[held])
     for kind in ("mixed", "digits"):
-        good = np.sort(score[(y[held] == 1) & np.array([k == kind for k in np.array(kinds)[held]])])
-        # the highest threshold that keeps the recall; one half at least, and without labelled secrets of a kind 0.99
-        model.thresholds[kind] = max(0.5, float(good[int(np.floor((1 - recall) * len(good)))])) if len(good) else 0.99
+        good = np.sort(score[(y[held] == 1) & (kinds[held] == kind)])
+        # one half, or less if the recall asks for it; 0.99 for a kind without labelled secrets
+        model.thresholds[kind] = min(0.5, float(good[int(np.floor((1 - recall) * len(good)))])) if len(good) else 0.99
     return model
 
 
-def secret_scan(docs: DataFrame, sample_docs: int = 5000, recall: float = 0.98, seed: int = 11, model: SecretModel | None = None) -> DataFrame:
+def secret_scan(docs: DataFrame, sample_docs: int = 4000, recall: float = 0.98, seed: int = 11, model: SecretModel | None = None) -> DataFrame:
     """``docs`` with ``spans``: array of (kind, start, end, base, score), by start, then kind."""
     names = carried(docs, ["spans"])
     docs = docs.select(*names)

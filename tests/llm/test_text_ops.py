@@ -207,7 +207,7 @@ def test_secret_network_on_held_out_findings(spark):
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
     model = sec.fitted(docs.where("doc_id % 2 = 0"), 2000, 0.98, 11)
     texts = [r.text for r in docs.where("doc_id % 2 = 1").select("text").collect()]
-    x, y, _ = sec.findings(texts, 5)
+    x, y, *_ = sec.findings(texts, 5)
     hit = model.scores(x) >= model.thresholds["mixed"]
     assert hit[y == 1].mean() >= 0.95 and hit[y == 0].mean() <= 0.1
 
