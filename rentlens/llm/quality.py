@@ -4,7 +4,7 @@ Model.  Characters are folded to ``SYMBOLS`` symbols (lower-case Latin letters,
 one symbol for capitals, eight classes of other letters, digits, blank, line
 end, common marks), so an n-gram of order ``ORDER`` is a number below
 ``SYMBOLS ** ORDER`` and a language's table has a proven bound of that many
-entries (12.4 MB).  Per language the counts of *all* trusted documents are
+entries (12.4 MB; only the rows of contexts that were seen are sent).  Per language the counts of *all* trusted documents are
 gathered: each task counts its batches, and the counts are summed by a grouped
 aggregation.  Continuation counts (in how many contexts an n-gram was seen) come
 from joins and groupings of those counts, sharded by language and n-gram.
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import mapped, sliced, unused, written
+from rentlens.llm.common import discard, mapped, sliced, unused, written
 
 ORDER = 4
 SYMBOLS = 42
@@ -72,6 +72,7 @@ def _fold_table() -> np.ndarray:
 
 
 _FOLD: list[np.ndarray] = []
+_TABLES: list[tuple] = []
 
 
 def symbols(text: str) -> np.ndarray:
@@ -144,6 +145,22 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 def model_table(k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Natural log-probability of an n-gram's last symbol after the others, for every n-gram."""
+    return unpacked(packed_model(k, gram, n))
+
+
+def unpacked(model: bytes) -> np.ndarray:
+    """The dense table of a packed model: contexts that were never seen have the lower order's rows."""
+    lower = np.frombuffer(model, "<f4", SYMBOLS ** (ORDER - 1))
+    seen = int(np.frombuffer(model, "<i4", 1, 4 * len(lower))[0])
+    at = np.frombuffer(model, "<i4", seen, 4 * len(lower) + 4)
+    rows = np.frombuffer(model, "<f4", seen * SYMBOLS, 4 * len(lower) + 4 + 4 * seen)
+    table = np.tile(lower.reshape(-1, SYMBOLS), (SYMBOLS, 1))
+    table[at] = rows.reshape(-1, SYMBOLS)
+    return table.ravel()
+
+
+def packed_model(k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> bytes:
+    """The next lower order's log-probabilities, and those of the highest order for the contexts that were seen."""
     lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
     for order in range(1, ORDER + 1):
         at = k == order
@@ -157,23 +174,28 @@ def model_table(k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
         own = np.divide(table - cut, total, out=np.zeros_like(table), where=total > 0)
         # the lower order's context is this one's without its first symbol
         low = np.tile(lower.reshape(-1, SYMBOLS), (max(1, len(table) // max(1, lower.size // SYMBOLS)), 1))[: len(table)]
-        lower = (own + back * low).ravel()
-    return np.log(lower).astype(np.float32)
+        before, lower = lower, (own + back * low).ravel()
+    at = np.flatnonzero(total[:, 0] > 0).astype("<i4")
+    rows = np.log(lower.reshape(-1, SYMBOLS)[at])
+    return b"".join([np.log(before).astype("<f4").tobytes(), np.array([len(at)], "<i4").tobytes(), at.tobytes(), rows.astype("<f4").tobytes()])
 
 
 def trained(trusted: DataFrame) -> DataFrame:
-    """(lang, table): one row per language with trusted text, and one of all, named ``POOLED``."""
+    """(lang, model): one row per language with trusted text, and one of all, named ``POOLED``."""
     counts = written(gram_counts(trusted), "gram-counts")
     pooled = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
     every = written(order_counts(counts.unionByName(pooled)), "order-counts")
+    discard(counts)
 
     def build(pdf):
         import pandas as pd
-        table = model_table(pdf["k"].to_numpy(), pdf["gram"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "table": [table.tobytes()]})
+        model = packed_model(pdf["k"].to_numpy(), pdf["gram"].to_numpy(), pdf["n"].to_numpy())
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "model": [model]})
 
     # a group has at most the sum of SYMBOLS ** k rows
-    return written(every.groupBy("lang").applyInPandas(build, "lang string, table binary"), "models")
+    models = written(every.groupBy("lang").applyInPandas(build, "lang string, model binary"), "models")
+    discard(every)
+    return models
 
 
 def scored(docs: DataFrame, models: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -186,10 +208,12 @@ def scored(docs: DataFrame, models: DataFrame, text: str = "text", lang: str = "
     names, types = docs.columns, dict(docs.dtypes)
     for number, some in enumerate(passes if known else []):
         want = some + [POOLED] * (number == 0)
-        held = spark.sparkContext.broadcast({r[0]: r[1] for r in models.where(F.col("lang").isin(want)).collect()})
+        held = spark.sparkContext.broadcast({r[0]: r[1] for r in models.where(F.col("lang").isin(want)).toLocalIterator()})
 
         def run(batch: pa.RecordBatch, held=held, first=number == 0) -> Iterator[dict]:
-            tables = {k: np.frombuffer(v, np.float32) for k, v in held.value.items()}
+            if not _TABLES or _TABLES[0][0] is not held.value:  # unpacked once per worker and pass
+                _TABLES[:] = [(held.value, {k: unpacked(v) for k, v in held.value.items()})]
+            tables = _TABLES[0][1]
             for part in sliced(batch, text=text):
                 nll = part.column("nll").to_pylist()
                 for i, (t, l) in enumerate(zip(part.column(text).to_pylist(), part.column(lang).to_pylist())):
@@ -224,8 +248,11 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, low: float = 0.002, h
         F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("doc_id")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(POOLED)).alias("lang")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, F.col("text").cast("string").alias("text"))
-    models = trained(plain.where("text <> ''").join(sound, "doc_id", "left_semi"))
-    marks = written(scored(plain, models).select("doc_id", "lang", F.xxhash64("text").alias("print"), "nll",
+    # merged, not broadcast: the labels grow with the documents
+    models = trained(plain.where("text <> ''").hint("merge").join(sound, "doc_id", "left_semi"))
+    scores = scored(plain, models)
+    discard(models)
+    marks = written(scores.select("doc_id", "lang", F.xxhash64("text").alias("print"), "nll",
                                                  length_class(F.length("text")).alias("length")), "scores")
     limits = bands(marks.join(sound, "doc_id", "left_semi"), low, high, least)
     # a length class with too few trusted documents takes the language's nearest shorter one
@@ -243,4 +270,4 @@ def apply_verdicts(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judged`` accepts."""
     a, b = unused(docs, "rejected_doc"), unused(docs, "rejected_print")
     out = judged.where("not accepted").select(F.col("doc_id").alias(a), F.col("print").alias(b)).distinct()
-    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(F.col("text").cast("string")) == F.col(b)), "left_anti")
+    return docs.hint("merge").join(out, F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(F.col("text").cast("string")) == F.col(b)), "left_anti")
