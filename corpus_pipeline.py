@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without a doc_id cannot be told apart and stay; repeated rows of a doc_id become one.
     """
     kept = ngram_jaccard_join(docs, n=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.hint("merge").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

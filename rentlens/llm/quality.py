@@ -241,7 +241,7 @@ def bands(trusted: DataFrame, low: float, high: float, least: int) -> DataFrame:
         .where(F.col("all") >= least).select("lang", "length", (F.col("lo") / 1000).alias("lo"), (F.col("hi") / 1000).alias("hi")))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, margin: float = 0.05,
+def quality_classifier(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, margin: float = 0.1,
                        least: int = 50) -> DataFrame:
     """doc_id, print (hash of the text), perplexity, accepted of every row of ``docs``; ``labels`` say which are trusted."""
     sound = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
