@@ -1,18 +1,70 @@
-"""Per-document HTML helper for the extraction operators.
-
-A light element tree over the standard library's ``html.parser`` so that
-find-all / find-first by tag and class behave like the usual soup API:
-a one-token class matches any token of the attribute, a class with spaces
-must equal the whole attribute, ``text`` joins all descendant text,
-character references are decoded, comments are skipped, and an end tag
-closes the nearest open element of that name (unclosed tags are tolerated).
+"""Per-document HTML helpers for the extraction operators.
+
+``events`` splits a document into start tags, end tags and text in one scan;
+``parse_html`` builds a light element tree from it, and ``ListingReader`` fills the
+fields of listing containers without a tree.  Find-all / find-first by tag and
+class behave like the usual soup API: a one-token class matches any token of the
+attribute, several tokens must equal the whole attribute up to white space,
+``text`` joins all descendant text, character references are decoded, comments
+are skipped, and an end tag closes the nearest open element of that name
+(unclosed tags are tolerated).
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from collections.abc import Iterator
+from html import unescape
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW_TEXT = frozenset(("script", "style"))
+
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a start tag; the first of a repeated name counts last, as parsers that build a dict do."""
+    out = {}
+    for name, a, b, c in _ATTR.findall(text):
+        out[name.lower()] = unescape(a or b or c)
+    return out
+
+
+def events(doc: str | None) -> Iterator[tuple[str, str, str]]:
+    """('start', tag, attribute text), ('end', tag, '') and ('text', '', text), in document order."""
+    at, raw = 0, None
+    doc = doc or ""
+    while at < len(doc):
+        if raw:  # up to the end tag, nothing is markup
+            m = re.compile(rf"</{raw}\b", re.I).search(doc, at)
+            end = m.start() if m else len(doc)
+            if end > at:
+                yield "text", "", doc[at:end]
+            at, raw = end, None
+            continue
+        m = _TOKEN.match(doc, at)
+        at = m.end()
+        tag = m.group(2)
+        if tag:
+            tag = tag.lower()
+            if m.group(1):
+                yield "end", tag, ""
+            else:
+                yield "start", tag, m.group(3)
+                if tag in RAW_TEXT:
+                    raw = tag
+        elif m.group()[:2] not in ("<!", "<?"):
+            yield "text", "", unescape(m.group())
+
+
+def class_matches(have: str | None, cls: str | None) -> bool:
+    if cls is None:
+        return True
+    if have is None:
+        return False
+    tokens, want = have.split(), cls.split()
+    return tokens == want if len(want) > 1 else cls.strip() in tokens
 
 
 class Node:
@@ -41,76 +93,35 @@ class Node:
         return "".join(out)
 
     def matches(self, tag: str | None, cls: str | None) -> bool:
-        if tag is not None and self.tag != tag:
-            return False
-        if cls is None:
-            return True
-        have = self.attrs.get("class")
-        if have is None:
-            return False
-        if " " in cls.strip():
-            return have == cls
-        return cls in have.split()
+        return (tag is None or self.tag == tag) and class_matches(self.attrs.get("class"), cls)
 
     def find_all(self, tag: str | None = None, cls: str | None = None) -> list["Node"]:
         return [n for n in self.iter() if n.matches(tag, cls)]
 
     def find(self, tag: str | None = None, cls: str | None = None) -> "Node | None":
-        for n in self.iter():
-            if n.matches(tag, cls):
-                return n
-        return None
+        return next((n for n in self.iter() if n.matches(tag, cls)), None)
 
     def elements(self) -> list["Node"]:
         return [c for c in self.children if isinstance(c, Node)]
 
 
-class _TreeBuilder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node(None, {}, None)
-        self.cur = self.root
-
-    def handle_starttag(self, tag, attrs):
-        n = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur)
-        self.cur.children.append(n)
-        if tag not in VOID:
-            self.cur = n
-
-    def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.cur))
-
-    def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
-
-    def handle_data(self, data):
-        self.cur.children.append(data)
-
-
 def parse_html(doc: str | None) -> Node:
-    b = _TreeBuilder()
-    if doc:
-        b.feed(doc)
-        b.close()
-    return b.root
-
-
-def first_matches(node: Node, selectors: dict[str, tuple[str, str | None]]) -> dict[str, "Node | None"]:
-    """First descendant matching each (tag, class) selector, in one traversal."""
-    found: dict[str, Node | None] = dict.fromkeys(selectors)
-    left = dict(selectors)
-    for n in node.iter():
-        for name, (tag, cls) in list(left.items()):
-            if n.matches(tag, cls):
-                found[name] = n
-                del left[name]
-        if not left:
-            break
-    return found
+    cur = root = Node(None, {}, None)
+    for kind, tag, text in events(doc):
+        if kind == "text":
+            cur.children.append(text)
+        elif kind == "start":
+            n = Node(tag, attributes(text), cur)
+            cur.children.append(n)
+            if tag not in VOID and not text.rstrip().endswith("/"):
+                cur = n
+        else:
+            n = cur
+            while n is not None and n.tag != tag:
+                n = n.parent
+            if n is not None and n.parent is not None:
+                cur = n.parent
+    return root
 
 
 def path_text(node: Node | None, path: list[tuple[str, str | None]]) -> str | None:
@@ -120,3 +131,94 @@ def path_text(node: Node | None, path: list[tuple[str, str | None]]) -> str | No
             return None
         node = node.find(tag, cls)
     return None if node is None else node.text
+
+
+class _Field:
+    """Progress of one selector path inside one container: the steps reached, and the text once at the end."""
+
+    __slots__ = ("path", "step", "depth", "text", "waits")
+
+    def __init__(self, path: list[tuple[str, str | None]]):
+        self.path, self.step, self.depth, self.text = path, 0, 0, None
+        self.waits = False  # for a sibling of the element that closed, under the parent at ``depth``
+
+
+class Container:
+    """One open container: its depth and what its selectors found so far."""
+
+    __slots__ = ("depth", "attrs", "fields", "live")
+
+    def __init__(self, depth: int, attrs: dict[str, str], paths: dict[str, list[tuple[str, str | None]]]):
+        self.depth, self.attrs = depth, attrs
+        self.fields = {k: _Field(p) for k, p in paths.items()}
+        self.live = list(self.fields.values())  # not yet found, or open
+
+
+def read_containers(doc: str | None, container: tuple[str, str], paths: dict[str, list[tuple[str, str | None]]],
+                    page: dict[str, list[tuple[str, str | None]]] | None = None) -> tuple[list[Container], dict[str, str | None]]:
+    """Every container of a document with the text of the first match of each selector path, in one scan.
+
+    A path's step is the first match inside the step before it, or, written ``+tag``,
+    the first such element after it under the same parent; a step whose element
+    (or its parent) closes before the next is found makes the field null, as
+    successive first matches do.  ``page`` are paths from the document's root.  No tree is kept: only the
+    open elements' tags and the open containers.
+    """
+    open_tags: list[str] = []
+    found: list[Container] = []
+    whole = Container(-1, {}, page or {})
+    active: list[Container] = [whole]
+
+    def close(depth: int) -> None:
+        """Elements at ``depth`` and deeper end."""
+        for c in active:
+            for f in [f for f in c.live if f.step and f.depth >= depth]:
+                if f.depth == depth and not f.waits and f.step < len(f.path) and f.path[f.step][0][0] == "+":
+                    f.depth, f.waits = depth - 1, True
+                else:
+                    c.live.remove(f)
+        while len(active) > 1 and active[-1].depth >= depth:
+            active.pop()
+
+    for kind, tag, text in events(doc):
+        if kind == "text":
+            for c in active:
+                for f in c.live:
+                    if f.step == len(f.path):
+                        f.text.append(text)
+        elif kind == "end":
+            for at in range(len(open_tags) - 1, -1, -1):
+                if open_tags[at] == tag:
+                    close(at)
+                    del open_tags[at:]
+                    break
+        else:
+            attrs, depth = None, len(open_tags)
+            leaf = tag in VOID or text.rstrip().endswith("/")
+            for c in active:
+                for f in c.live:
+                    if f.step < len(f.path) and f.path[f.step][0] in (tag, "+" + tag):
+                        cls = f.path[f.step][1]
+                        if f.path[f.step][0] != tag and not (f.waits and f.depth == depth - 1):
+                            continue
+                        if cls is not None:
+                            attrs = attributes(text) if attrs is None else attrs
+                            if not class_matches(attrs.get("class"), cls):
+                                continue
+                        f.step, f.depth, f.waits = f.step + 1, depth, False
+                        if f.step == len(f.path):
+                            f.text = []
+            if tag == container[0] and not leaf:
+                attrs = attributes(text) if attrs is None else attrs
+                if class_matches(attrs.get("class"), container[1]):
+                    found.append(Container(depth, attrs, paths))
+                    active.append(found[-1])
+            if leaf:
+                close(depth)
+            else:
+                open_tags.append(tag)
+    return found, {k: None if f.text is None else "".join(f.text) for k, f in whole.fields.items()}
+
+
+def field_texts(c: Container) -> dict[str, str | None]:
+    return {k: None if f.text is None else "".join(f.text) for k, f in c.fields.items()}

@@ -68,6 +68,11 @@ def parse_money(c: Column, mode: str = "fail") -> Column:
              .otherwise(_to(_strip_money(c), "double", mode)))
 
 
+def parse_rent(c: Column, mode: str = "fail") -> Column:
+    """C2 for the rent: a missing rent stays null (only fees and deposits default to 0.0)."""
+    return _to(_strip_money(c), "double", mode)
+
+
 def parse_fee_yen(c: Column, mode: str = "fail") -> Column:
     """Text before 円 as double (``9000円`` → 9000.0)."""
     return _to(_part(c, YEN, 1), "double", mode)

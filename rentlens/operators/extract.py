@@ -1,8 +1,9 @@
 """Extraction from HTML documents held in a DataFrame column.
 
-Each operator is one ``mapInPandas`` pass (Arrow batches, one parse per
-document); partitions of the page table are processed independently, so
-the work spreads over all executors with no shuffle.
+Each operator is one ``mapInPandas`` pass; a document is parsed, its rows are
+taken and the parse is dropped before the next one, so a worker holds one page
+and at most ``CHUNK`` result rows.  Partitions of the page table are processed
+independently, with no shuffle.
 """
 
 from __future__ import annotations
@@ -11,13 +12,26 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rentlens.functions.html import first_matches, parse_html, path_text
+from rentlens.functions.html import field_texts, parse_html, path_text, read_containers
 from rentlens.schema import RAW_COLUMNS
 
 
+#: Result rows handed on at a time.
+CHUNK = 2000
+
+
+def _in_chunks(rows: Iterator[list], names: list[str]) -> Iterator[pd.DataFrame]:
+    held: list[list] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == CHUNK:
+            yield pd.DataFrame(held, columns=names)
+            held = []
+    yield pd.DataFrame(held, columns=names)
+
+
 def _keep_fields(df: DataFrame, keep: list[str]) -> list[T.StructField]:
     return [df.schema[c] for c in keep]
 
@@ -31,14 +45,14 @@ def html_find_all(df: DataFrame, html_col: str, tag: str, cls: str | None = None
                           + [T.StructField("text", T.StringType())])
     names = [f.name for f in schema.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
         for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                r = rec._asdict()
-                for i, n in enumerate(parse_html(r[html_col]).find_all(tag, cls), start=1):
-                    rows.append([r[k] for k in keep] + [i] + [n.attrs.get(a) for a in attrs] + [n.text])
-            yield pd.DataFrame(rows, columns=names)
+            for *kept, html in pdf.itertuples(index=False, name=None):
+                for i, n in enumerate(parse_html(html).find_all(tag, cls), start=1):
+                    yield [*kept, i, *[n.attrs.get(a) for a in attrs], n.text]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _in_chunks(rows(batches), names)
 
     return df.select(*keep, html_col).mapInPandas(run, schema)
 
@@ -49,19 +63,20 @@ def html_find_first(df: DataFrame, html_col: str, selectors: dict[str, list[tupl
     keep = keep or []
     schema = T.StructType(_keep_fields(df, keep) + [T.StructField(n, T.StringType()) for n in selectors])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
         for pdf in batches:
-            out = {k: pdf[k] for k in keep}
-            roots = [parse_html(h) for h in pdf[html_col]]
-            for name, path in selectors.items():
-                out[name] = [path_text(r, path) for r in roots]
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+            for *kept, html in pdf.itertuples(index=False, name=None):
+                root = parse_html(html)
+                yield [*kept, *[path_text(root, path) for path in selectors.values()]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _in_chunks(rows(batches), schema.names)
 
     return df.select(*keep, html_col).mapInPandas(run, schema)
 
 
 # The selectors of one listing container (first match inside
-# the container).  Class strings with a space must equal the whole attribute.
+# the container).  Class strings of several tokens must equal the whole attribute.
 CONTAINER = ("div", "cassetteitem")
 LISTING_SELECTORS: dict[str, list[tuple[str, str | None]]] = {
     "rent_price": [("tbody", None), ("ul", None), ("span", None)],
@@ -75,113 +90,43 @@ LISTING_SELECTORS: dict[str, list[tuple[str, str | None]]] = {
     "apartment_type": [("span", "cassetteitem_madori")],
     "house_type": [("span", "ui-pct ui-pct--util1")],
 }
-AGE_FLOOR = ("li", "cassetteitem_detail-col3")   # first child: age, second child: storeys
+# The detail cell: its first child element is the age, the second the storeys.
+DETAIL = ("li", "cassetteitem_detail-col3")
+# Page-level variants: the ward in the page's head, the name in the container's first list item.
+PAGE_WARD = [("div", "designateline-box-txt02")]
+FIRST_ITEM = [("div", None), ("li", None)]
 
 
 def extract_listings(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None,
-                     id_attr: str | None = "data-id") -> DataFrame:
+                     id_attr: str | None = "data-id", ward_from: str = "address", name_from: str = "title") -> DataFrame:
     """One raw 13-field listing row per container, in page order.
 
-    The age and storey texts are the first and second child elements of the
-    detail cell (not a fixed-width slice of its text); the ward is the
-    address text.  A missing element gives null.
+    The age and storey texts are the first and second element of the detail cell
+    (not a fixed-width slice of its text).  ``ward_from`` 'page' takes the ward from
+    the page's head instead of the address; ``name_from`` 'item' takes the name from
+    the container's first list item.  A missing element gives null.
     """
+    if ward_from not in ("address", "page") or name_from not in ("title", "item"):
+        raise ValueError("ward_from is 'address' or 'page'; name_from is 'title' or 'item'")
     keep = keep or []
     id_field = [T.StructField("listing_id", T.LongType())] if id_attr else []
     schema = T.StructType(_keep_fields(pages, keep) + id_field + [T.StructField("position", T.IntegerType())]
                           + [T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
-    names = [f.name for f in schema.fields]
-
-    single = {k: p[0] for k, p in LISTING_SELECTORS.items() if len(p) == 1}
-    single["_age_floor"] = AGE_FLOOR
-    nested = {k: p for k, p in LISTING_SELECTORS.items() if len(p) > 1}
-
-    def one(c) -> dict:
-        hits = first_matches(c, single)
-        rec = {k: (None if hits[k] is None else hits[k].text) for k in single}
-        rec.update({k: path_text(c, p) for k, p in nested.items()})
-        cell = hits["_age_floor"]
-        kids = cell.elements() if cell is not None else []
-        rec["year_built"] = kids[0].text if len(kids) > 0 else None
-        rec["floor"] = kids[1].text if len(kids) > 1 else None
-        rec["ku_name"] = rec["address"]
-        return rec
+    paths = {**LISTING_SELECTORS, "year_built": [DETAIL, ("div", None)], "floor": [DETAIL, ("div", None), ("+div", None)]}
+    if name_from == "item":
+        paths["name_place"] = FIRST_ITEM
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
         for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                r = rec._asdict()
-                for i, c in enumerate(parse_html(r[html_col]).find_all(*CONTAINER), start=1):
-                    f = one(c)
+            for *kept, html in pdf.itertuples(index=False, name=None):
+                found, head = read_containers(html, CONTAINER, paths, {"ward": PAGE_WARD})
+                for i, c in enumerate(found, start=1):
+                    f = field_texts(c)
+                    f["ku_name"] = head["ward"] if ward_from == "page" else f["address"]
                     ident = [int(c.attrs[id_attr]) if c.attrs.get(id_attr) else None] if id_attr else []
-                    rows.append([r[k] for k in keep] + ident + [i] + [f[k] for k in RAW_COLUMNS])
-            yield pd.DataFrame(rows, columns=names)
-
-    return pages.select(*keep, html_col).mapInPandas(run, schema)
-
-
-def html_escape(c):
-    """Escape text for HTML element content / attribute values."""
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
-
+                    yield [*kept, *ident, i, *[f[k] for k in RAW_COLUMNS]]
 
-def _el(tag: str, cls: str | None, value) -> F.Column:
-    """Element with escaped text, or '' when the value is null (element missing)."""
-    open_tag = f'<{tag} class="{cls}">' if cls else f"<{tag}>"
-    return F.when(value.isNull(), F.lit("")).otherwise(
-        F.concat(F.lit(open_tag), html_escape(value), F.lit(f"</{tag}>")))
-
-
-def render_listing_pages(raw: DataFrame, per_page: int = 20) -> DataFrame:
-    """Render raw listings as result pages, ``per_page`` containers each.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _in_chunks(rows(batches), schema.names)
 
-    Pages are formed by ``listing_id div per_page``; with a unique key no
-    page holds more than ``per_page`` containers, so each group is bounded.
-    Every container also carries a decoy span whose class only partly
-    matches, an unclosed <p>, an entity and a second <tbody>.
-    """
-    c = F.col
-    container = F.concat(
-        F.lit('<div class="cassetteitem" data-id="'), c("listing_id").cast("string"), F.lit('">'),
-        F.lit('<div class="cassetteitem_content">'),
-        _el("div", "cassetteitem_content-title", c("name_place")),
-        F.lit('<ul class="cassetteitem_detail"><li class="cassetteitem_detail-col1">'),
-        F.coalesce(html_escape(c("address")), F.lit("")), F.lit("</li>"),
-        F.lit('<li class="cassetteitem_detail-col2">'), _el("div", "cassetteitem_detail-text", c("nearest_eki")),
-        F.lit("</li>"),
-        F.lit('<li class="cassetteitem_detail-col3">'), _el("div", None, c("year_built")),
-        _el("div", None, c("floor")), F.lit("</li></ul>"),
-        _el("span", "ui-pct ui-pct--util1", c("house_type")),
-        F.lit("<p>note &amp; more</div>"),
-        F.lit('<span class="cassetteitem_price cassetteitem_price--gratuity cassetteitem_price--x">decoy</span>'),
-        F.lit("<table><tbody><tr><td><ul><li>"),
-        _el("span", "cassetteitem_price cassetteitem_price--rent", c("rent_price")),
-        _el("span", "cassetteitem_price cassetteitem_price--administration", c("maintenence_price")),
-        F.lit("</li></ul></td><td><ul><li>"),
-        _el("span", "cassetteitem_price cassetteitem_price--deposit", c("shikikin")),
-        _el("span", "cassetteitem_price cassetteitem_price--gratuity", c("rei_price")),
-        F.lit("</li></ul></td><td><ul><li>"),
-        _el("span", "cassetteitem_madori", c("apartment_type")),
-        _el("span", "cassetteitem_menseki", c("sqr_m")),
-        F.lit("</li></ul></td></tr></tbody><tbody><tr><td><ul><li><span>second body</span>"
-              "</li></ul></td></tr></tbody></table></div>"),
-    )
-    page = F.floor(c("listing_id") / per_page).cast("long")
-    # Parsing costs CPU per container while the pages are few bytes, so the
-    # page table keeps the configured shuffle width instead of the byte-sized
-    # partitions AQE would coalesce it into.
-    width = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # One exchange: hash by page at the explicit width (AQE keeps an explicit
-    # width), which also satisfies the group-by's distribution.
-    return (raw.select(page.alias("page_id"), c("listing_id"), container.alias("container"))
-               .repartition(width, "page_id")
-               .groupBy("page_id")
-               .agg(F.array_sort(F.collect_list(F.struct("listing_id", "container"))).alias("items"))
-               .select("page_id", F.concat(
-                   F.lit("<!DOCTYPE html><html><head><title>results</title></head><body>"
-                         '<div class="designateline-box-txt02">東京都</div>'),
-                   F.array_join(F.transform("items", lambda x: x["container"]), ""),
-                   F.lit("</body></html>")).alias("html")))
+    return pages.select(*keep, html_col).mapInPandas(run, schema)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rentlens.operators.extract import (extract_listings, html_find_all, html_find_first,
-                                        render_listing_pages)
+from rentlens.operators.extract import extract_listings, html_find_all, html_find_first
+from rentlens.plans.pages import render_listing_pages
 from rentlens.plans.common import listings, raw
 from rentlens.plans.registry import query
 from rentlens.plans.sql import with_listings
@@ -70,7 +70,7 @@ def q_sink_dated_partitions(spark, sf_dir):
 SELECT page_id, CAST(p AS INTEGER) AS page_no, url || CAST(p AS VARCHAR) || '&ref_=adv_nxt' AS page_url
 FROM pages, range(0, 50, 3) t(p)""")
 def q_page_url_frontier(spark, sf_dir):
-    return page_url_frontier(read_table(spark, sf_dir, "pages", spread=True), "url", 0, 50, 3, keep=["page_id"])
+    return page_url_frontier(read_table(spark, sf_dir, "pages"), "url", 0, 50, 3, keep=["page_id"])
 
 
 @query("html_find_all", f"""
@@ -81,7 +81,7 @@ FROM (SELECT page_id,
         unnest(range(1, len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) + 1)) AS position
       FROM pages) t""")
 def q_html_find_all(spark, sf_dir):
-    return html_find_all(read_table(spark, sf_dir, "pages", spread=True), "html", "a", attrs=("href",), keep=["page_id"])
+    return html_find_all(read_table(spark, sf_dir, "pages"), "html", "a", attrs=("href",), keep=["page_id"])
 
 
 @query("html_find_first", f"""
@@ -92,7 +92,7 @@ SELECT page_id,
       THEN {_decode("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} END AS h1
 FROM pages""")
 def q_html_find_first(spark, sf_dir):
-    return html_find_first(read_table(spark, sf_dir, "pages", spread=True), "html",
+    return html_find_first(read_table(spark, sf_dir, "pages"), "html",
                            {"title": [("title", None)], "h1": [("h1", None)]}, keep=["page_id"])
 
 

@@ -47,14 +47,16 @@ def write_dated(df: DataFrame, path: str, ts_col: str, date_col: str = "scrape_d
         .partitionBy(date_col).format(fmt).save(path))
 
 
+# Fixed value: what follows the page number in a listing site's URL.
+URL_SUFFIX = "&ref_=adv_nxt"
+
+
 def page_url_frontier(seeds: DataFrame, url_col: str, start: int, stop: int, step: int,
-                      suffix: str = "&ref_=adv_nxt", keep: list[str] | None = None) -> DataFrame:
+                      suffix: str = URL_SUFFIX, keep: list[str] | None = None) -> DataFrame:
     """S3: one URL per page number in ``range(start, stop, step)`` (half-open) per seed."""
-    pages = list(range(start, stop, step))
-    if not pages:
-        arr = F.array().cast("array<int>")
-    else:
-        arr = F.array(*[F.lit(p) for p in pages])
-    return (seeds.select(*(keep or []), url_col, F.explode(arr).alias("page_no"))
+    last = start + (stop - start - 1) // step * step  # the last number before ``stop``
+    none = (last < start) if step > 0 else (last > start)
+    numbers = F.sequence(F.lit(start), F.lit(start if none else last), F.lit(step))
+    return (seeds.where(F.lit(not none)).select(*(keep or []), url_col, F.explode(numbers).alias("page_no"))
                  .select(*(keep or []), "page_no",
                          F.concat(F.col(url_col), F.col("page_no").cast("string"), F.lit(suffix)).alias("page_url")))

@@ -8,43 +8,17 @@ very same expressions feed Spark (``selectExpr``) and the DuckDB oracles.
 
 from __future__ import annotations
 
-import hashlib
-import threading
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.operators.dims import join_dimension
-
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations"]
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores.
-
-    A small file that is one parquet row group is one task however many
-    cores there are; spreading it costs a shuffle of a small input.  A
-    large table already has more splits than cores and is left untouched,
-    so at scale this adds nothing to the plan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        narrow = df.rdd.getNumPartitions() < cores
-    except Exception:  # no RDD view (e.g. a remote session): keep the scan as is
-        return df
-    return df.repartition(cores) if narrow else df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Parquet scan of one driver table; projections and filters push into it.
-
-    ``spread`` is for fact tables whose per-row work is heavy (see
-    ``spread_if_narrow``).
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_if_narrow(df) if spread else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet scan of one driver table; projections and filters push into it."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # The listing recipe (column name, SQL expression over
@@ -54,7 +28,7 @@ LISTING_RECIPE = [
     ("listing_id", "k"),
     ("scraped_at", "o_orderdate"),
     ("rent_price",
-     "CAST(6 + k % 12 AS STRING) || CASE WHEN k % 10 = 0 THEN '' ELSE '.' || CAST(k % 10 AS STRING) END || '万円'"),
+     "CASE WHEN k % 71 = 0 THEN NULL ELSE CAST(6 + k % 12 AS STRING) || CASE WHEN k % 10 = 0 THEN '' ELSE '.' || CAST(k % 10 AS STRING) END || '万円' END"),
     ("sqr_m",
      "CASE WHEN k % 97 = 0 THEN NULL ELSE CAST(18 + 2 * (k % 12) + k % 5 AS STRING) || '.' || lpad(CAST(k % 100 AS STRING), 2, '0') || 'm2' END"),
     ("rei_price",
@@ -64,7 +38,7 @@ LISTING_RECIPE = [
     ("maintenence_price",
      "CASE WHEN k % 79 = 0 THEN NULL WHEN k % 11 = 0 THEN '-' ELSE CAST(1000 + 500 * (k % 20) AS STRING) || '円' END"),
     ("nearest_eki",
-     "'第' || CAST(k % 7 AS STRING) || '線/S' || CAST(k % 40 AS STRING) || '駅 歩' || CAST(1 + k % 15 AS STRING) || '分'"),
+     "CASE WHEN k % 67 = 0 THEN NULL WHEN k % 73 = 0 THEN '-' ELSE '第' || CAST(k % 7 AS STRING) || '線/S' || CAST(k % 40 AS STRING) || '駅 歩' || CAST(1 + k % 15 AS STRING) || '分' END"),
     ("apartment_type",
      "CASE k % 4 WHEN 0 THEN '1K' WHEN 1 THEN '1DK' WHEN 2 THEN '2K' ELSE '1LDK' END"),
     ("year_built",
@@ -76,6 +50,16 @@ LISTING_RECIPE = [
     ("house_type",
      "CASE WHEN k % 25 = 0 THEN '賃貸アパート' ELSE '賃貸マンション' END"),
 ]
+# Fields whose text does not parse, or has the other money unit;
+# for the permissive clean and the money parsers only.
+ODD_RECIPE = {
+    "rent_price": "CASE WHEN k % 29 = 0 THEN '102,000円' WHEN k % 31 = 0 THEN '98000円' WHEN k % 71 = 0 THEN NULL ELSE rent_price END",
+    "sqr_m": "CASE WHEN k % 41 = 0 THEN '約25m2' ELSE sqr_m END",
+    "maintenence_price": "CASE WHEN k % 19 = 0 THEN '1.2万円' WHEN k % 23 = 0 THEN '込み' ELSE maintenence_price END",
+    "nearest_eki": "CASE WHEN k % 37 = 0 THEN 'バス10分' ELSE nearest_eki END",
+    "year_built": "CASE WHEN k % 43 = 0 THEN '築99年以上' ELSE year_built END",
+    "floor": "CASE WHEN k % 47 = 0 THEN '平屋' ELSE floor END",
+}
 # address repeats the ward text; name_place is a building label from the key.
 LISTING_EXTRA = [
     ("address", "CASE WHEN k % 53 = 0 THEN '大阪府' ELSE '東京都' END || n_name || '区' || CAST(k % 6 AS STRING)"),
@@ -92,68 +76,28 @@ def listing_select_sql() -> str:
     return ",\n ".join(f"{exprs[c]} AS {c}" for c in RAW_ORDER)
 
 
-def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw 13-field listings (all text) plus ``listing_id`` and ``scraped_at``.
-
-    orders ⋈ customer is the one large join (sort-merge on the customer key;
-    AQE splits a hot customer); nation joins through the size-checked
-    broadcast helper.
-    """
-    return listings_from(read_table(spark, sf_dir, "orders", spread=True),
-                         read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation"))
-
-
-_SNAPSHOT_LOCK = threading.Lock()
-
+ODD_COLUMNS = [f"{ODD_RECIPE[c].replace('k %', 'listing_id %')} AS {c}" if c in ODD_RECIPE else c for c in RAW_ORDER]
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+def odd_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw listings with fields that a fail-mode clean would refuse."""
+    return raw_listings(spark, sf_dir).selectExpr(*ODD_COLUMNS)
 
-def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """Hash of every data file's path, length and modification time under ``paths``
-    (a file or a folder), listed through the cluster's file system."""
-    parts = []
-    for path in paths:
-        try:
-            p, fs = _hadoop_fs(spark, path)
-            it = fs.listFiles(p, True)
-            while it.hasNext():
-                st = it.next()
-                name = st.getPath().getName()
-                if not name.startswith(("_", ".")):
-                    parts.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
-        except Exception:  # no file-system view: fall back to the path alone
-            parts.append(path)
-    return hashlib.sha256("\n".join(sorted(parts)).encode()).hexdigest()[:20]
 
+def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw 13-field listings (all text) plus ``listing_id`` and ``scraped_at``.
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    try:
-        p, fs = _hadoop_fs(spark, f"{path}/_SUCCESS")
-        return bool(fs.exists(p))
-    except Exception:
-        return False
-
+    orders ⋈ customer is the one large join (AQE splits a hot customer); nation
+    is a dimension, which Catalyst broadcasts if its bytes allow.
+    """
+    return listings_from(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"),
+                         read_table(spark, sf_dir, "nation"))
 
-def listing_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw listings written once as a parquet table and read back.
 
-    The large join runs once per version of the input files instead of once
-    per query.  The table lives under the shared checkpoint folder (so it
-    survives executor loss and cuts the lineage); its name hashes the input
-    files' paths, lengths and modification times, so changed or new input
-    makes a new snapshot, and only a committed table (``_SUCCESS``) is reused.
-    """
-    from rentlens.session import checkpoint_root
-    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "nation")]
-    path = f"{checkpoint_root(spark)}/rentlens/snapshots/raw-listings-{input_fingerprint(spark, inputs)}"
-    with _SNAPSHOT_LOCK:  # one writer per driver; readers wait for the finished table
-        if not _committed(spark, path):
-            raw_listings(spark, sf_dir).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+def land(df: DataFrame, path: str) -> DataFrame:
+    """Write a derived table to ``path`` and read it back (a pipeline that uses it often does so once)."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def listings_from(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
@@ -162,7 +106,7 @@ def listings_from(orders: DataFrame, customer: DataFrame, nation: DataFrame) ->
     customer = customer.select("c_custkey", "c_nationkey")
     nation = nation.select("n_nationkey", "n_name")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    joined = join_dimension(joined, nation, joined.c_nationkey == nation.n_nationkey)
+    joined = joined.join(nation, joined.c_nationkey == nation.n_nationkey)
     exprs = dict(LISTING_RECIPE + LISTING_EXTRA)
     return joined.selectExpr(*[f"{exprs[c]} AS {c}" for c in RAW_ORDER])
 
