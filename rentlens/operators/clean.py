@@ -1,6 +1,6 @@
 """C11: the listing clean step, one filter plus one projection.
 
-Order of the original: fill money nulls, drop rows without area, strip LF
+Order of the original: fill the nulls of fees and deposits, drop rows without area, strip LF
 from every text column, parse area / money / ward / age / storeys, drop the
 coordinates if present, split the station text into walk minutes and name.
 Catalyst collapses it into a single stage with no shuffle.
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from rentlens.functions import parse as P
 from rentlens.schema import CLEAN_COLUMNS, RAW_COLUMNS
 
-MONEY = ["rent_price", "rei_price", "shikikin", "maintenence_price"]
+MONEY = ["rei_price", "shikikin", "maintenence_price"]  # '-' and null mean none
 DROP_IF_PRESENT = ["Lon", "Lat"]
 
 
@@ -29,6 +29,7 @@ def _stripped(df: DataFrame) -> dict[str, Column]:
 
 def _parsed(s: dict[str, Column], mode: str) -> dict[str, Column]:
     exprs = {c: s[c] for c in ("address", "name_place", "apartment_type", "house_type") if c in s}
+    exprs["rent_price"] = P.parse_rent(s["rent_price"], mode)
     for m in MONEY:
         exprs[m] = P.parse_money(s[m], mode)
     exprs["sqr_m"] = P.parse_area(s["sqr_m"], mode)
@@ -59,7 +60,7 @@ def clean_with_rejects(df: DataFrame) -> DataFrame:
     s = _stripped(df)
     exprs = _parsed(s, "permissive")
     sources = {"sqr_m": "sqr_m", "year_built": "year_built", "floor": "floor",
-               "eki_walk": "nearest_eki", **{m: m for m in MONEY}}
+               "eki_walk": "nearest_eki", **{m: m for m in ["rent_price", *MONEY]}}
     flags = [F.when(exprs[c].isNull() & s[src].isNotNull(), F.lit(c)) for c, src in sources.items()]
     rejected = F.filter(F.array(*flags), lambda x: x.isNotNull())
     passthrough = [c for c in df.columns if c not in RAW_COLUMNS and c not in DROP_IF_PRESENT]

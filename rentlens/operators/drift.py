@@ -7,15 +7,20 @@ the chunk (map-side combine), so a hot day costs a few counters per task.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlens.operators.models import fit_gbt
 
 
+#: Bins of values that are no measurement in [0, ∞): null or NaN, and negative.
+MISSING, NEGATIVE = -2, -1
+
+
 def value_bin(value: Column, width: float, n_bins: int) -> Column:
-    """Bins 0..n_bins: [k·width, (k+1)·width), the last one open-ended (overflow)."""
-    return F.least(F.greatest(F.floor(value / F.lit(width)), F.lit(0)), F.lit(n_bins)).cast("int")
+    """Bins 0..n_bins: [k·width, (k+1)·width), the last one open-ended; own bins for missing and negative values."""
+    return (F.when(value.isNull() | F.isnan(value), F.lit(MISSING)).when(value < 0, F.lit(NEGATIVE))
+             .otherwise(F.least(F.floor(value / F.lit(width)), F.lit(n_bins))).cast("int"))
 
 
 def _plogp_half(p: Column, m: Column) -> Column:
@@ -26,29 +31,35 @@ def js_distance_daily(df: DataFrame, ts: str, value: str, reference_end: str, wi
                       n_bins: int = 10, alert_above: float = 0.1) -> DataFrame:
     """Jensen–Shannon distance (base 2, in [0, 1]) of each day's binned
     ``value`` distribution against the reference period (days before
-    ``reference_end``); only analysis days are reported."""
-    day = F.to_date(F.col(ts))
-    b = value_bin(F.col(value), width, n_bins)
-    counts = [F.count_if(b == k).alias(f"b{k}") for k in range(n_bins + 1)]
-    end = F.lit(reference_end).cast("date")
-    ref = df.where(day < end).agg(*counts).first()
-    ref_n = sum(ref[f"b{k}"] for k in range(n_bins + 1))
-    if ref_n == 0:
-        raise ValueError("reference period is empty")
-    q = [ref[f"b{k}"] / ref_n for k in range(n_bins + 1)]
-    per_day = df.where(day >= end).groupBy(day.alias("chunk")).agg(F.count(F.lit(1)).alias("n"), *counts)
-    terms = []
-    for k in range(n_bins + 1):
-        p = F.col(f"b{k}") / F.col("n")
-        m = (p + F.lit(q[k])) / 2
-        terms.append(_plogp_half(p, m) + (_plogp_half(F.lit(q[k]), m) if q[k] > 0 else F.lit(0.0)))
-    js = F.sqrt(F.greatest(sum(terms[1:], terms[0]), F.lit(0.0)))
-    return per_day.select(F.col("chunk").cast("string").alias("chunk"), "n", js.alias("js_distance")) \
-                  .withColumn("alert", F.col("js_distance") > F.lit(alert_above))
+    ``reference_end``); only analysis days are reported.
+
+    The input is scanned once: days are counted, and the reference is the sum of
+    its days (a window over the day rows, a handful per month).  Missing and
+    negative values count, in bins of their own.  Without a reference the
+    distance is null.
+    """
+    b = value_bin(F.col(value).cast("double"), width, n_bins)
+    kinds = [MISSING, NEGATIVE, *range(n_bins + 1)]
+    days = df.groupBy(F.to_date(F.col(ts)).alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(b == k).alias(f"b{i}") for i, k in enumerate(kinds)])
+    end, all_days = F.lit(reference_end).cast("date"), Window.partitionBy(F.lit(0))
+    before = F.col("chunk") < end
+    total = lambda c: F.sum(F.when(before, F.col(c)).otherwise(F.lit(0))).over(all_days)
+    days = days.withColumn("rn", total("n")).withColumns({f"r{i}": total(f"b{i}") for i in range(len(kinds))}).where(F.col("chunk") >= end)
+    js = F.lit(0.0)
+    for i in range(len(kinds)):
+        p, q = F.col(f"b{i}") / F.col("n"), F.try_divide(F.col(f"r{i}"), F.col("rn"))
+        js = js + _plogp_half(p, (p + q) / 2) + _plogp_half(q, (p + q) / 2)
+    js = F.when(F.col("rn") > 0, F.sqrt(F.greatest(js, F.lit(0.0))))
+    return days.select(F.col("chunk").cast("string").alias("chunk"), "n", js.alias("js_distance")) \
+               .withColumn("alert", F.col("js_distance") > F.lit(alert_above))
 
 
 def distribution_daily(df: DataFrame, ts: str, value: str, accuracy: int = 100_000) -> DataFrame:
-    """Per-day count, mean, standard deviation and quantile sketch of ``value``."""
+    """Per-day count, mean, standard deviation and quantile sketch of ``value``.
+
+    The quantiles are exact up to ``accuracy`` rows a day; beyond, a rank may be off by n / accuracy.
+    """
     qs = [0.05, 0.25, 0.5, 0.75, 0.95]
     pct = F.percentile_approx(F.col(value), qs, accuracy)
     return (df.groupBy(F.to_date(F.col(ts)).alias("chunk"))
@@ -61,7 +72,7 @@ def distribution_daily(df: DataFrame, ts: str, value: str, accuracy: int = 100_0
 def realised_mae_daily(df: DataFrame, ts: str, label: str, pred: str) -> DataFrame:
     """MAE of ``pred`` per day."""
     return (df.groupBy(F.to_date(F.col(ts)).alias("chunk"))
-              .agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(label) - F.col(pred))).alias("mae"))
+              .agg(F.count(F.col(label) - F.col(pred)).alias("n"), F.avg(F.abs(F.col(label) - F.col(pred))).alias("mae"))
               .select(F.col("chunk").cast("string").alias("chunk"), "n", "mae"))
 
 
@@ -70,7 +81,7 @@ def fit_loss_estimator(reference: DataFrame, features: list[str], label: str, pr
     """Learn |label − pred| from the features and the prediction on reference rows."""
     train = reference.withColumn("abs_error", F.abs(F.col(label) - F.col(pred)))
     params = {"maxIter": 20, "maxDepth": 4, "maxBins": 64, "minInstancesPerNode": 20, **gbt}
-    return fit_gbt(train, [*features, pred], "abs_error", validation_col=None, **params)
+    return fit_gbt(train, [*features, pred], "abs_error", **params)
 
 
 def estimated_mae_daily(analysis: DataFrame, estimator: PipelineModel, ts: str, label: str,

@@ -1,88 +1,108 @@
 """Geocode lookup and distances to facilities.
 
-J1 is an equi-join to a geocode dimension (broadcast only after its size
-is checked, else a shuffle join).  J2/J3 measure every listing against a
-facility list: the list is configuration-sized, so after a bounded count it
-travels inside the plan as a literal array and each listing row computes
-its distances with ``transform`` – a narrow map, no join, no shuffle.
-Beyond that bound, J3 turns the problem around: listing locations are the
-few distinct geocoded points, so the points travel as the array, every
-facility row measures itself against them, a partial ``min`` per point keeps
-the nearest, and the small result joins back on the point.
+J1 is an equi-join to a geocode dimension; Catalyst's byte threshold and AQE
+choose between broadcast and shuffle.  J2 and J3 are spatial equi-joins: points
+on the unit sphere fall into cubic cells, and all facilities within one cell
+width (as a straight line through the sphere) of a point lie in the point's
+cell or one of its 26 neighbours.  Only distinct listing points are joined;
+listings get their result by a join on the point.  Nothing is collected, and no
+pair outside neighbouring cells is formed.  A listing without a point keeps its
+row with nulls, as a failed geocode does.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.functions.geo import haversine_km
-from rentlens.operators.dims import is_small, join_dimension
+from rentlens.functions.geo import EARTH_RADIUS_KM, haversine_km
+from rentlens.session import scratch_path
 
-MAX_FACILITIES = 5_000
-MAX_POINTS = 5_000
+#: Half the circumference: no two points are further apart.
+EVERYWHERE_KM = math.pi * EARTH_RADIUS_KM
 
 
 def geocode(df: DataFrame, geo: DataFrame, key: str = "ku_name") -> DataFrame:
     """Left join to (key, lat, lon); a failed lookup leaves lat/lon null."""
-    return join_dimension(df, geo, key, "left")
+    return df.join(geo, key, "left")
+
+
+def _chord(km: float) -> float:
+    """Straight-line distance on the unit sphere of a great-circle distance."""
+    return 2 * math.sin(min(km, EVERYWHERE_KM) / (2 * EARTH_RADIUS_KM))
+
 
+def _cell(lat: Column, lon: Column, width: float) -> list[Column]:
+    la, lo = F.radians(lat), F.radians(lon)
+    xyz = (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))
+    return [F.floor(c / F.lit(width)).cast("long") for c in xyz]
 
-def _literal_array(rows, fields: list[str]) -> Column:
-    return F.array(*[F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in rows])
+
+def _points(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    return (df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+              .select(F.col(lat).cast("double").alias("plat"), F.col(lon).cast("double").alias("plon")).distinct())
 
 
-def facility_array(facilities: DataFrame, max_rows: int = MAX_FACILITIES) -> Column:
-    """Facility list as an array literal of (facility_id, facility, flat, flon) structs."""
-    rows = facilities.select("facility_id", "facility", "flat", "flon").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"facility list exceeds {max_rows} rows; not a configuration list")
-    rows = sorted(rows, key=lambda r: r["facility_id"])
-    return _literal_array([{**r.asDict(), "flat": float(r["flat"]), "flon": float(r["flon"])} for r in rows],
-                          ["facility_id", "facility", "flat", "flon"])
+def _pairs_within(points: DataFrame, facilities: DataFrame, km: float) -> DataFrame:
+    """(plat, plon, facility_id, facility, km) for all pairs at most ``km`` apart."""
+    width = _chord(km) * (1 + 1e-9)
+    fx, fy, fz = _cell(F.col("flat"), F.col("flon"), width)
+    fac = (facilities.where("flat is not null and flon is not null")
+           .select("facility_id", "facility", F.col("flat").cast("double").alias("flat"),
+                   F.col("flon").cast("double").alias("flon"), fx.alias("cx"), fy.alias("cy"), fz.alias("cz")))
+    px, py, pz = _cell(F.col("plat"), F.col("plon"), width)
+    near = points.select("plat", "plon", px.alias("x"), py.alias("y"), pz.alias("z"))
+    for c in ("x", "y", "z"):
+        near = near.withColumn(f"c{c}", F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+    dist = haversine_km(F.col("plat"), F.col("plon"), F.col("flat"), F.col("flon"))
+    return (near.join(fac, ["cx", "cy", "cz"])
+                .select("plat", "plon", "facility_id", "facility", dist.alias("km")).where(F.col("km") <= km))
 
 
-def _distances(lat: str, lon: str, fac: Column) -> Column:
-    return F.transform(fac, lambda f: F.struct(
-        haversine_km(F.col(lat), F.col(lon), f["flat"], f["flon"]).alias("km"),
-        f["facility_id"].alias("facility_id"), f["facility"].alias("facility")))
+def _on_point(df: DataFrame, found: DataFrame, lat: str, lon: str) -> DataFrame:
+    return df.join(found, (F.col(lat).cast("double") == F.col("plat")) & (F.col(lon).cast("double") == F.col("plon")), "left")
 
 
-def facility_distances(df: DataFrame, facilities: DataFrame, lat: str = "lat", lon: str = "lon",
+def facility_distances(df: DataFrame, facilities: DataFrame, radius_km: float, lat: str = "lat", lon: str = "lon",
                        keep: list[str] | None = None) -> DataFrame:
-    """One row per (listing, facility) with great-circle km; rows without a point are skipped."""
+    """One row per listing and facility within ``radius_km`` (great circle); a listing without any
+    (or without a point) has one row with nulls.  ``EVERYWHERE_KM`` asks for all facilities."""
     keep = keep or ["listing_id"]
-    d = F.explode(_distances(lat, lon, facility_array(facilities))).alias("d")
-    return (df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-              .select(*keep, d).select(*keep, "d.facility_id", "d.facility", "d.km"))
+    found = _pairs_within(_points(df, lat, lon), facilities, radius_km)
+    return _on_point(df, found, lat, lon).select(*keep, "facility_id", "facility", "km")
 
 
 def nearest_facility(df: DataFrame, facilities: DataFrame, lat: str = "lat", lon: str = "lon",
-                     keep: list[str] | None = None, max_rows: int = MAX_FACILITIES,
-                     max_points: int = MAX_POINTS) -> DataFrame:
-    """The closest facility per listing (ties → lower facility_id)."""
+                     keep: list[str] | None = None, start_km: float = 4.0, growth: float = 4.0) -> DataFrame:
+    """The closest facility per listing (ties → lower facility_id); nulls without a point.
+
+    Points are searched within ``start_km``, those without a facility there
+    within ``growth`` times that, and so on up to the whole sphere: a facility
+    found within the radius is nearer than any beyond it.
+    """
     keep = keep or ["listing_id"]
-    located = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    if is_small(facilities, max_rows):
-        best = F.array_min(_distances(lat, lon, facility_array(facilities, max_rows))).alias("best")
-        return located.select(*keep, best).select(*keep, "best.facility_id", "best.facility", "best.km")
-    return _nearest_by_point(located, facilities, lat, lon, keep, max_points)
-
-
-def _nearest_by_point(located: DataFrame, facilities: DataFrame, lat: str, lon: str,
-                      keep: list[str], max_rows: int) -> DataFrame:
-    points = located.select(F.col(lat).alias("plat"), F.col(lon).alias("plon")).distinct()
-    rows = points.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"the facility list and the {len(rows) - 1}+ distinct listing points both exceed "
-                         "their bounds; no exact join-free plan")
-    parr = _literal_array([{"plat": float(r["plat"]), "plon": float(r["plon"])} for r in rows], ["plat", "plon"])
-    per_point = (facilities.select("facility_id", "facility", "flat", "flon", F.explode(parr).alias("p"))
-                 .select(F.col("p.plat").alias("plat"), F.col("p.plon").alias("plon"),
-                         F.struct(haversine_km(F.col("p.plat"), F.col("p.plon"), F.col("flat"), F.col("flon"))
-                                  .alias("km"), "facility_id", "facility").alias("d"))
-                 .groupBy("plat", "plon").agg(F.min("d").alias("best")))
-    # one row per distinct point (bounded above), so the join back is a checked broadcast
-    joined = join_dimension(located, per_point,
-                            (located[lat] == per_point["plat"]) & (located[lon] == per_point["plon"]))
-    return joined.select(*keep, "best.facility_id", "best.facility", "best.km")
+    spark, radius, parts = df.sparkSession, start_km, []
+    open_points = _written(spark, _points(df, lat, lon))
+    while True:
+        best = (_pairs_within(open_points, facilities, radius).groupBy("plat", "plon")
+                .agg(F.min(F.struct("km", "facility_id", "facility")).alias("best")))
+        parts.append(_written(spark, best))
+        if radius >= EVERYWHERE_KM:
+            break
+        open_points = _written(spark, open_points.join(parts[-1], ["plat", "plon"], "left_anti"))
+        if open_points.isEmpty():
+            break
+        radius = min(radius * growth, EVERYWHERE_KM)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return _on_point(df, found, lat, lon).select(*keep, "best.facility_id", "best.facility", "best.km")
+
+
+def _written(spark, df: DataFrame) -> DataFrame:
+    """A table of distinct points in the shared scratch folder (each round reads the last one's)."""
+    path = scratch_path(spark, "points")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

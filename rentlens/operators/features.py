@@ -7,27 +7,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.functions.split import hash_bucket, is_train
+from rentlens.functions.split import is_train
 
-MAX_LEVELS = 10_000
-
-
-def category_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
+def category_levels(df: DataFrame, cols: list[str]) -> dict[str, list]:
     """Sorted non-null levels of each column from one pass over ``df``.
 
     (column, value) pairs are de-duplicated with a partial distinct on every
-    partition; at most ``len(cols) * max_levels + 1`` rows reach the driver.
+    partition; what reaches the driver is the names of the result's columns.
     """
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
                                for c in cols]))
-    cap = len(cols) * max_levels
-    rows = (df.select(pairs).where(F.col("v").isNotNull()).distinct().limit(cap + 1).collect())
     out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
+    for r in df.select(pairs).where(F.col("v").isNotNull()).distinct().collect():
         out[r["c"]].append(r["v"])
-    too_many = [c for c, v in out.items() if len(v) > max_levels] or (["(total)"] if len(rows) > cap else [])
-    if too_many:
-        raise ValueError(f"{too_many} exceed {max_levels} levels; one-hot is not meaningful")
     return {c: sorted(v) for c, v in out.items()}
 
 
@@ -48,10 +40,6 @@ def with_split(df: DataFrame, key: str = "listing_id", train_tenths: int = 8,
     return df.withColumn(col, F.when(is_train(F.col(key), train_tenths), "train").otherwise("test"))
 
 
-def split_bucket(df: DataFrame, key: str = "listing_id") -> DataFrame:
-    return df.withColumn("bucket", hash_bucket(F.col(key)))
-
-
 def formula_design_matrix(df: DataFrame, formula: str, keep: list[str] | None = None) -> DataFrame:
     """treatment-coded design matrix; the alphabetically first level is the base.
 

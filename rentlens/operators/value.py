@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.operators.evaluate import with_line_residual
+from rentlens.operators.evaluate import fit_linear, with_residual
 
 
 def ward_value_summary(clean: DataFrame, accuracy: int = 10000) -> DataFrame:
@@ -26,14 +26,14 @@ def ward_value_summary(clean: DataFrame, accuracy: int = 10000) -> DataFrame:
 def bargain_topk(clean: DataFrame, k: int = 3) -> DataFrame:
     """Per ward, the k listings whose rent lies furthest below the fitted line.
 
-    The line is rent ~ area over all listings; ranking excludes listings
-    without a ward.  ``row_number() <= k`` lets Spark insert a partial
+    The line is rent ~ area over all listings with a rent; ranking excludes
+    listings without a ward or a rent.  ``row_number() <= k`` lets Spark insert a partial
     per-group limit before the shuffle, so a hot ward ships at most k rows
     per task.
     """
-    scored = with_line_residual(clean, "rent_price", "sqr_m")
+    scored = with_residual(clean, fit_linear(clean, "rent_price", ["sqr_m"]))
     w = Window.partitionBy("ku_name").orderBy(F.col("residual").asc(), F.col("listing_id").asc())
-    return (scored.where(F.col("ku_name").isNotNull())
+    return (scored.where(F.col("ku_name").isNotNull() & F.col("residual").isNotNull())
                   .withColumn("bargain_rank", F.row_number().over(w))
                   .where(F.col("bargain_rank") <= k)
                   .select("ku_name", "bargain_rank", "listing_id", "rent_price", "sqr_m",

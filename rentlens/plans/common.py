@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rentlens.operators.clean import clean_listings
-from rentlens.sources.tables import listing_snapshot
+from rentlens.operators.features import with_split
+from rentlens.sources.tables import raw_listings
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw listings as landed (a parquet snapshot derived from the driver tables)."""
-    return listing_snapshot(spark, sf_dir)
+    """Raw listings, derived from the driver tables."""
+    return raw_listings(spark, sf_dir)
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_listings(listing_snapshot(spark, sf_dir))
+    return clean_listings(raw(spark, sf_dir))
+
+
+def split_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_split(listings(spark, sf_dir))
+
 
+_FITTED: OrderedDict[tuple, object] = OrderedDict()
+_KEPT = 8
 
-_FITTED: dict[tuple, object] = {}
 
+def fitted_once(name: str, data: DataFrame, build):
+    """``build()``, shared by queries that fit the same model on the same rows.
 
-def fitted_once(spark: SparkSession, sf_dir: str, name: str, build):
-    """A fitted model per (application, input folder, name): fit once, share between queries."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    The key holds a checksum of all rows of ``data``, so changed input is fitted
+    anew; the ``_KEPT`` models used last are kept.
+    """
+    count, total = data.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*data.columns).cast("decimal(38,0)"))).first()
+    key = (data.sparkSession.sparkContext.applicationId, name, count, total)
     if key not in _FITTED:
         _FITTED[key] = build()
+        while len(_FITTED) > _KEPT:
+            _FITTED.popitem(last=False)
+    _FITTED.move_to_end(key)
     return _FITTED[key]

@@ -9,8 +9,8 @@ from rentlens.operators import evaluate as E
 from rentlens.operators.enrich import facility_distances, geocode, nearest_facility
 from rentlens.plans.common import fitted_once, listings
 from rentlens.plans.registry import query
-from rentlens.plans.sql import with_listings
-from rentlens.schema import TARGET
+from rentlens.plans.sql import residualised, with_listings
+from rentlens.schema import NOTEBOOK_FEATURES, TARGET
 from rentlens.sources.tables import FACILITY_SQL, GEO_SQL, facility_dim, geo_dim, read_table
 
 # Drift settings.  Events before 2024-01-08 are the reference
@@ -18,6 +18,11 @@ from rentlens.sources.tables import FACILITY_SQL, GEO_SQL, facility_dim, geo_dim
 EVENTS_REFERENCE_END = "2024-01-08"
 LISTINGS_REFERENCE_END = "1996-01-01"
 JS_WIDTH, JS_BINS, JS_ALERT = 10.0, 10, 0.1
+PREDICTION_WIDTH, PREDICTION_BINS = 1.0, 30
+# Facilities further away than this are not listed.
+RADIUS_KM = 20.0
+# Events with missing and negative readings put in (shared by Spark and the oracles).
+EVENT_VALUE = "CASE WHEN event_id % 53 = 0 THEN NULL WHEN event_id % 59 = 0 THEN -value ELSE value END"
 
 _DIM_CTES = f"geo AS ({GEO_SQL}), facility AS ({FACILITY_SQL})"
 _HAV = ("2 * 6371.0 * asin(sqrt(power(sin(radians(f.flat - g.lat) / 2), 2) + cos(radians(g.lat)) * "
@@ -36,46 +41,79 @@ def q_geocode_left_join(spark, sf_dir):
 
 
 @query("facility_distance_matrix", with_listings(
-    f"SELECT c.listing_id, f.facility_id, f.facility, round({_HAV}, 6) AS km "
-    "FROM clean_listings c JOIN geo g ON c.ku_name = g.ku_name CROSS JOIN facility f", _DIM_CTES))
+    f"SELECT c.listing_id, CAST(f.facility_id AS VARCHAR) AS facility_id, f.facility, round({_HAV}, 6) AS km "
+    "FROM clean_listings c LEFT JOIN geo g ON c.ku_name = g.ku_name "
+    f"LEFT JOIN facility f ON {_HAV} <= {RADIUS_KM}", _DIM_CTES))
 def q_facility_distance_matrix(spark, sf_dir):
-    d = facility_distances(_geocoded(spark, sf_dir), facility_dim(spark, sf_dir))
-    return d.select("listing_id", "facility_id", "facility", F.round("km", 6).alias("km"))
+    d = facility_distances(_geocoded(spark, sf_dir), facility_dim(spark, sf_dir), RADIUS_KM)
+    return d.select("listing_id", F.col("facility_id").cast("string").alias("facility_id"), "facility", F.round("km", 6).alias("km"))
 
 
 @query("nearest_facility", with_listings(f"""
-SELECT listing_id, facility_id, facility, round(km, 6) AS km FROM (
+SELECT listing_id, CAST(facility_id AS VARCHAR) AS facility_id, facility, round(km, 6) AS km FROM (
   SELECT c.listing_id, f.facility_id, f.facility, {_HAV} AS km,
          row_number() OVER (PARTITION BY c.listing_id ORDER BY {_HAV}, f.facility_id) AS rk
-  FROM clean_listings c JOIN geo g ON c.ku_name = g.ku_name CROSS JOIN facility f) t WHERE rk = 1""",
+  FROM clean_listings c LEFT JOIN geo g ON c.ku_name = g.ku_name LEFT JOIN facility f ON g.lat IS NOT NULL) t WHERE rk = 1""",
     _DIM_CTES))
 def q_nearest_facility(spark, sf_dir):
     d = nearest_facility(_geocoded(spark, sf_dir), facility_dim(spark, sf_dir))
-    return d.select("listing_id", "facility_id", "facility", F.round("km", 6).alias("km"))
+    return d.select("listing_id", F.col("facility_id").cast("string").alias("facility_id"), "facility", F.round("km", 6).alias("km"))
 
 
-@query("drift_js_daily", f"""
-WITH b AS (SELECT CAST(ts AS DATE) AS d,
-                  least(greatest(CAST(floor(value / {JS_WIDTH}) AS INTEGER), 0), {JS_BINS}) AS bin FROM events),
-ref AS (SELECT bin, count(*) * 1.0 / sum(count(*)) OVER () AS q FROM b
-        WHERE d < DATE '{EVENTS_REFERENCE_END}' GROUP BY bin),
-cur AS (SELECT d, bin, count(*) AS c FROM b WHERE d >= DATE '{EVENTS_REFERENCE_END}' GROUP BY d, bin),
+def _js_sql(day: str, value: str, source: str, end: str, width: float, bins: int) -> str:
+    """Jensen-Shannon distance per day: bins -2 (missing), -1 (negative), 0..bins."""
+    return f"""b AS (SELECT CAST({day} AS DATE) AS d,
+                  CASE WHEN {value} IS NULL THEN -2 WHEN {value} < 0 THEN -1
+                       ELSE least(CAST(floor({value} / {width}) AS INTEGER), {bins}) END AS bin FROM {source}),
+ref AS (SELECT bin, count(*) * 1.0 / sum(count(*)) OVER () AS q FROM b WHERE d < DATE '{end}' GROUP BY bin),
+cur AS (SELECT d, bin, count(*) AS c FROM b WHERE d >= DATE '{end}' GROUP BY d, bin),
 tot AS (SELECT d, sum(c) AS n FROM cur GROUP BY d),
 j AS (SELECT t.d, t.n, coalesce(c.c, 0) * 1.0 / t.n AS p, coalesce(r.q, 0.0) AS q
-      FROM tot t CROSS JOIN range(0, {JS_BINS + 1}) k(bin)
+      FROM tot t CROSS JOIN range(-2, {bins + 1}) k(bin)
       LEFT JOIN cur c ON c.d = t.d AND c.bin = k.bin LEFT JOIN ref r ON r.bin = k.bin),
 js AS (SELECT d, n, sqrt(greatest(sum(
          CASE WHEN p > 0 THEN 0.5 * p * log2(p / ((p + q) / 2)) ELSE 0 END +
          CASE WHEN q > 0 THEN 0.5 * q * log2(q / ((p + q) / 2)) ELSE 0 END), 0)) AS jsd
-       FROM j GROUP BY d, n)
-SELECT CAST(d AS VARCHAR) AS chunk, CAST(n AS BIGINT) AS n, round(jsd, 6) AS js_distance,
-       jsd > {JS_ALERT} AS alert FROM js""")
+       FROM j GROUP BY d, n)"""
+
+
+_JS_SELECT = (f"SELECT CAST(d AS VARCHAR) AS chunk, CAST(n AS BIGINT) AS n, round(jsd, 6) AS js_distance, "
+              f"jsd > {JS_ALERT} AS alert FROM js")
+
+
+@query("drift_js_daily", f"WITH readings AS (SELECT ts, {EVENT_VALUE} AS value FROM events),\n"
+       + _js_sql("ts", "value", "readings", EVENTS_REFERENCE_END, JS_WIDTH, JS_BINS) + "\n" + _JS_SELECT)
 def q_drift_js_daily(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events", spread=True)
+    ev = read_table(spark, sf_dir, "events").selectExpr("ts", f"{EVENT_VALUE} AS value")
     r = D.js_distance_daily(ev, "ts", "value", EVENTS_REFERENCE_END, JS_WIDTH, JS_BINS, JS_ALERT)
     return r.select("chunk", "n", F.round("js_distance", 6).alias("js_distance"), "alert")
 
 
+#: Every listing's prediction by the four-feature model of the reference period.
+_PREDICTED = residualised("clean_listings", ["listing_id", "scraped_at", "rent_price"], NOTEBOOK_FEATURES, "rent_price",
+                          f"scraped_at < TIMESTAMP '{LISTINGS_REFERENCE_END}'")
+
+
+@query("prediction_drift_js_daily", with_listings(_JS_SELECT, _PREDICTED + ",\n" + _js_sql(
+    "scraped_at", "predicted", "scored", LISTINGS_REFERENCE_END, PREDICTION_WIDTH, PREDICTION_BINS)))
+def q_prediction_drift_js_daily(spark, sf_dir):
+    """R5 on the model's predictions."""
+    r = D.js_distance_daily(_scored(spark, sf_dir), "scraped_at", "predicted", LISTINGS_REFERENCE_END,
+                            PREDICTION_WIDTH, PREDICTION_BINS, JS_ALERT)
+    return r.select("chunk", "n", F.round("js_distance", 6).alias("js_distance"), "alert")
+
+
+@query("prediction_distribution_daily", with_listings("""
+SELECT CAST(CAST(scraped_at AS DATE) AS VARCHAR) AS chunk, count(*) AS n, round(avg(predicted), 6) AS mean,
+       round(quantile_disc(predicted, 0.05), 4) AS p05, round(quantile_disc(predicted, 0.5), 4) AS p50,
+       round(quantile_disc(predicted, 0.95), 4) AS p95
+FROM scored GROUP BY 1""", _PREDICTED))
+def q_prediction_distribution_daily(spark, sf_dir):
+    """R6 on the model's predictions."""
+    d = D.distribution_daily(_scored(spark, sf_dir), "scraped_at", "predicted")
+    return d.select("chunk", "n", F.round("mean", 6).alias("mean"), *[F.round(c, 4).alias(c) for c in ("p05", "p50", "p95")])
+
+
 @query("drift_distribution_daily", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS chunk, count(*) AS n, round(avg(value), 8) AS mean,
        round(stddev_samp(value), 8) AS std,
@@ -84,36 +122,36 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS chunk, count(*) AS n, round(avg(valu
        round(quantile_disc(value, 0.95), 4) AS p95
 FROM events GROUP BY 1""")
 def q_drift_distribution_daily(spark, sf_dir):
-    d = D.distribution_daily(read_table(spark, sf_dir, "events", spread=True), "ts", "value")
+    d = D.distribution_daily(read_table(spark, sf_dir, "events"), "ts", "value")
     return d.select("chunk", "n", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"),
                     *[F.round(c, 4).alias(c) for c in ("p05", "p25", "p50", "p75", "p95")])
 
 
-def _line_scored(spark, sf_dir):
-    """Listings with the rent ~ area line fitted on the reference period."""
+def _reference(df):
+    return df.where(F.col("scraped_at") < F.lit(LISTINGS_REFERENCE_END).cast("timestamp_ntz"))
+
+
+def _analysis(df):
+    return df.where(F.col("scraped_at") >= F.lit(LISTINGS_REFERENCE_END).cast("timestamp_ntz"))
+
+
+def _scored(spark, sf_dir):
+    """Listings with the prediction of the four-feature model fitted on the reference period."""
     df = listings(spark, sf_dir)
-    ref = df.where(F.col("scraped_at") < F.lit(LISTINGS_REFERENCE_END).cast("timestamp_ntz"))
-    return E.with_line_residual(df, TARGET, "sqr_m", fit_on=ref)
+    return E.with_residual(df, E.fit_linear(_reference(df), TARGET, NOTEBOOK_FEATURES))
 
 
 @query("realised_mae_daily", with_listings(f"""
-SELECT CAST(CAST(c.scraped_at AS DATE) AS VARCHAR) AS chunk, count(*) AS n,
-       round(avg(abs(c.rent_price - (f.intercept + f.slope * c.sqr_m))), 6) AS mae
-FROM clean_listings c CROSS JOIN fit f WHERE c.scraped_at >= TIMESTAMP '{LISTINGS_REFERENCE_END}' GROUP BY 1""",
-    "fit AS (SELECT regr_slope(rent_price, sqr_m) AS slope, regr_intercept(rent_price, sqr_m) AS intercept "
-    f"FROM clean_listings WHERE scraped_at < TIMESTAMP '{LISTINGS_REFERENCE_END}')"))
+SELECT CAST(CAST(scraped_at AS DATE) AS VARCHAR) AS chunk, count(residual) AS n, round(avg(abs(residual)), 6) AS mae
+FROM scored WHERE scraped_at >= TIMESTAMP '{LISTINGS_REFERENCE_END}' GROUP BY 1""", _PREDICTED))
 def q_realised_mae_daily(spark, sf_dir):
-    s = _line_scored(spark, sf_dir)
-    a = s.where(F.col("scraped_at") >= F.lit(LISTINGS_REFERENCE_END).cast("timestamp_ntz"))
-    r = D.realised_mae_daily(a, "scraped_at", TARGET, "predicted")
+    r = D.realised_mae_daily(_analysis(_scored(spark, sf_dir)), "scraped_at", TARGET, "predicted")
     return r.select("chunk", "n", F.round("mae", 6).alias("mae"))
 
 
 @query("estimated_mae_daily")
 def q_estimated_mae_daily(spark, sf_dir):
-    s = _line_scored(spark, sf_dir)
-    cut = F.lit(LISTINGS_REFERENCE_END).cast("timestamp_ntz")
-    feats = ["sqr_m", "rei_price", "shikikin", "maintenence_price"]
-    est = fitted_once(spark, sf_dir, "loss_estimator", lambda: D.fit_loss_estimator(
-        s.where(F.col("scraped_at") < cut), feats, TARGET, "predicted"))
-    return D.estimated_mae_daily(s.where(F.col("scraped_at") >= cut), est, "scraped_at", TARGET, "predicted")
+    s = _scored(spark, sf_dir)
+    ref = _reference(s).select(*NOTEBOOK_FEATURES, TARGET, "predicted").dropna(subset=[TARGET])
+    est = fitted_once("loss_estimator", ref, lambda: D.fit_loss_estimator(ref, NOTEBOOK_FEATURES, TARGET, "predicted"))
+    return D.estimated_mae_daily(_analysis(s), est, "scraped_at", TARGET, "predicted")

@@ -11,8 +11,10 @@ from rentlens.operators.value import bargain_topk, ward_value_summary
 from rentlens.plans.common import listings, raw
 from rentlens.plans.registry import query
 from rentlens.operators.clean import clean_with_rejects
-from rentlens.plans.sql import CLEAN_CTE, FIT_ALL, _money, _s, with_listings
+from rentlens.plans.sql import CLEAN_CTE, FIT_ALL, ODD_CTE, _money, _rent, _s, with_listings
+from rentlens.sources.tables import odd_listings
 
+# The columns that the models do not use.
 MODEL_DROP = ["name_place", "address", "eki_name", "apartment_type", "house_type", "ku_name"]
 
 
@@ -45,27 +47,29 @@ FROM (SELECT c.ku_name, c.listing_id, c.rent_price, c.sqr_m,
         c.rent_price - (f.intercept + f.slope * c.sqr_m) AS residual,
         row_number() OVER (PARTITION BY c.ku_name
           ORDER BY c.rent_price - (f.intercept + f.slope * c.sqr_m), c.listing_id) AS bargain_rank
-      FROM clean_listings c CROSS JOIN fit f WHERE c.ku_name IS NOT NULL) t
+      FROM clean_listings c CROSS JOIN fit f WHERE c.ku_name IS NOT NULL AND c.rent_price IS NOT NULL) t
 WHERE bargain_rank <= 3""", FIT_ALL))
 def q_bargain_topk(spark, sf_dir):
     return bargain_topk(listings(spark, sf_dir), k=3)
 
 
-_PERMISSIVE_CTE = CLEAN_CTE.replace("clean_listings AS (", "permissive AS (", 1).replace("CAST(", "TRY_CAST(")
+_PERMISSIVE_CTE = CLEAN_CTE.replace("clean_listings AS (", "permissive AS (", 1).replace("CAST(", "TRY_CAST(").replace("FROM raw_listings", "FROM odd_listings")
 _REJECT_SOURCES = {"sqr_m": "sqr_m", "year_built": "year_built", "floor": "floor", "eki_walk": "nearest_eki",
                    "rent_price": "rent_price", "rei_price": "rei_price", "shikikin": "shikikin",
                    "maintenence_price": "maintenence_price"}
 
 
 @query("clean_listings_permissive", with_listings(
-    "SELECT p.*, " + " + ".join(f"CASE WHEN r.{src} IS NOT NULL AND p.{c} IS NULL THEN 1 ELSE 0 END"
+    "SELECT p.* REPLACE (CAST(p.year_built AS DOUBLE) AS year_built, CAST(p.floor AS DOUBLE) AS floor, CAST(p.eki_walk AS DOUBLE) AS eki_walk), " + " + ".join(f"CASE WHEN r.{src} IS NOT NULL AND p.{c} IS NULL THEN 1 ELSE 0 END"
                                 for c, src in _REJECT_SOURCES.items())
-    + " AS n_rejected FROM permissive p JOIN raw_listings r ON p.listing_id = r.listing_id",
-    _PERMISSIVE_CTE))
+    + " AS n_rejected FROM permissive p JOIN odd_listings r ON p.listing_id = r.listing_id",
+    ODD_CTE + ",\n" + _PERMISSIVE_CTE))
 def q_clean_listings_permissive(spark, sf_dir):
     """Permissive clean; unparsable fields become null and are counted per row."""
-    df = clean_with_rejects(raw(spark, sf_dir))
-    return df.withColumn("n_rejected", F.size("rejected")).drop("rejected")
+    df = clean_with_rejects(odd_listings(spark, sf_dir))
+    # as doubles, which hold nulls alike in both engines' frames
+    ints = {c: F.col(c).cast("double") for c in ("year_built", "floor", "eki_walk")}
+    return df.withColumns(ints).withColumn("n_rejected", F.size("rejected")).drop("rejected")
 
 
 # ---------------------------------------------------------------- C1-C10, X4
@@ -76,14 +80,15 @@ def q_parse_area(spark, sf_dir):
     return raw(spark, sf_dir).select("listing_id", P.parse_area(_raw_col("sqr_m")).alias("sqr_m"))
 
 
-MONEY = ["rent_price", "rei_price", "shikikin", "maintenence_price"]
+MONEY = ["rei_price", "shikikin", "maintenence_price"]
 
 
 @query("parse_money", with_listings(
-    "SELECT listing_id, " + ", ".join(f"{_money(c)} AS {c}" for c in MONEY) + " FROM raw_listings"))
+    f"SELECT listing_id, {_rent('rent_price')} AS rent_price, " + ", ".join(f"{_money(c)} AS {c}" for c in MONEY) + " FROM raw_listings"))
 def q_parse_money(spark, sf_dir):
     return raw(spark, sf_dir).select(
-        "listing_id", *[P.parse_money(_raw_col(c)).alias(c) for c in MONEY])
+        "listing_id", P.parse_rent(_raw_col("rent_price")).alias("rent_price"),
+        *[P.parse_money(_raw_col(c)).alias(c) for c in MONEY])
 
 
 @query("parse_fee_yen", with_listings(
@@ -97,7 +102,7 @@ def q_parse_fee_yen(spark, sf_dir):
 
 def _yen_sql(c: str) -> str:
     s = _s(c)
-    num = f"CAST(replace(replace({s}, '万円', ''), '円', '') AS DOUBLE)"
+    num = f"TRY_CAST(replace(replace({s}, '万円', ''), '円', '') AS DOUBLE)"
     return (f"CASE WHEN {s} IS NULL OR {s} = '-' THEN 0.0 ELSE round(CASE WHEN suffix({s}, '万円') "
             f"THEN {num} * 10000.0 ELSE {num} END, 0) END")
 
@@ -108,10 +113,10 @@ YEN_NAMES = {"rent_price": "rent_yen", "rei_price": "rei_yen", "shikikin": "shik
 
 @query("parse_money_to_yen", with_listings(
     "SELECT listing_id, " + ", ".join(f"{_yen_sql(c)} AS {n}" for c, n in YEN_NAMES.items())
-    + " FROM raw_listings"))
+    + " FROM odd_listings", ODD_CTE))
 def q_parse_money_to_yen(spark, sf_dir):
-    return raw(spark, sf_dir).select(
-        "listing_id", *[P.parse_money_to_yen(_raw_col(c)).alias(n) for c, n in YEN_NAMES.items()])
+    return odd_listings(spark, sf_dir).select(
+        "listing_id", *[P.parse_money_to_yen(_raw_col(c), "permissive").alias(n) for c, n in YEN_NAMES.items()])
 
 
 _AGE = _s("year_built")
@@ -249,12 +254,12 @@ def q_regex_replace_all_columns(spark, sf_dir):
 
 
 @query("cast_columns", with_listings(
-    "SELECT listing_id, CAST(trunc(rent_price) AS INTEGER) AS rent_price, "
+    "SELECT listing_id, CAST(trunc(rei_price) AS INTEGER) AS rei_price, "
     "CAST(trunc(maintenence_price) AS INTEGER) AS maintenence_price, "
     "CAST(year_built AS VARCHAR) AS year_built, CAST(floor AS DOUBLE) AS floor FROM clean_listings"))
 def q_cast_columns(spark, sf_dir):
-    df = listings(spark, sf_dir).select("listing_id", "rent_price", "maintenence_price", "year_built", "floor")
-    return R.cast_columns(df, {"rent_price": "int", "maintenence_price": "int",
+    df = listings(spark, sf_dir).select("listing_id", "rei_price", "maintenence_price", "year_built", "floor")
+    return R.cast_columns(df, {"rei_price": "int", "maintenence_price": "int",
                                "year_built": "string", "floor": "double"})
 
 

@@ -6,15 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rentlens.plans.common import raw
-from rentlens.plans.model_queries import _test, champion
+from rentlens.plans.model_queries import SPLIT_CTE, RECORD_SQL, champion, scoring_records
 from rentlens.plans.registry import query
 from rentlens.plans.sql import with_listings
-from rentlens.schema import FEATURES
 from rentlens.session import scratch_path
 from rentlens.sources.files import write_csv
 from rentlens.streaming.ingest import ingest_listings
 from rentlens.streaming.metrics import daily_metrics
-from rentlens.streaming.runner import run_available_now
+from rentlens.streaming.runner import newest, run_available_now, run_updates
 from rentlens.streaming.scoring import score_stream
 
 
@@ -32,30 +31,48 @@ def q_stream_clean_listings(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@query("stream_daily_metrics", """
+_METRICS = """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS chunk, event_type, count(*) AS n,
        round(sum(value), 4) AS value_sum, round(avg(value), 8) AS value_avg
 FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1) e
+"""
+
+
+def _event_stream(spark, sf_dir):
+    base = f"{sf_dir.rstrip('/')}"
+    schema = spark.read.parquet(f"{base}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{base}/event[s].parquet")
+
+
+def _rounded(r):
+    return r.select("chunk", "event_type", "n", F.round("value_sum", 4).alias("value_sum"), F.round("value_avg", 8).alias("value_avg"))
+
+
+@query("stream_daily_metrics", _METRICS + """
 WHERE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
 GROUP BY 1, 2""")
 def q_stream_daily_metrics(spark, sf_dir):
-    """Events as a file stream; only days closed by the one-day watermark are emitted."""
-    base = f"{sf_dir.rstrip('/')}"
-    schema = spark.read.parquet(f"{base}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{base}/event[s].parquet")
+    """Events as a file stream; only days closed by the one-day watermark are emitted (append)."""
     out, ck = scratch_path(spark, "stream-metrics"), scratch_path(spark, "stream-metrics-ck")
-    run_available_now(daily_metrics(stream, "ts", "value", "event_id", group="event_type"), out, ck)
-    r = spark.read.parquet(out)
-    return r.select("chunk", "event_type", "n", F.round("value_sum", 4).alias("value_sum"),
-                    F.round("value_avg", 8).alias("value_avg"))
+    run_available_now(daily_metrics(_event_stream(spark, sf_dir), "ts", "value", "event_id", group="event_type"), out, ck)
+    return _rounded(spark.read.parquet(out))
 
 
-@query("stream_score")
+@query("stream_daily_metrics_all", _METRICS + "GROUP BY 1, 2")
+def q_stream_daily_metrics_all(spark, sf_dir):
+    """All days, open ones included: each batch updates the days it changes, the newest version of a day counts."""
+    out, ck = scratch_path(spark, "stream-days"), scratch_path(spark, "stream-days-ck")
+    run_updates(daily_metrics(_event_stream(spark, sf_dir), "ts", "value", "event_id", group="event_type"), out, ck)
+    return _rounded(newest(spark.read.parquet(out), ["chunk", "event_type"]))
+
+
+@query("stream_score", with_listings(
+    "SELECT listing_id, round(predicted, 4) AS prediction FROM scored WHERE split = 'test'", SPLIT_CTE + ",\n" + RECORD_SQL))
 def q_stream_score(spark, sf_dir):
-    """Test-split scoring records land as parquet files; the champion scores the stream."""
+    """Scoring records land as parquet files; the champion scores the stream, one row for each record."""
     landing, out, ck = (scratch_path(spark, n) for n in ("score-landing", "stream-score", "stream-score-ck"))
-    records = _test(spark, sf_dir).select("listing_id", *FEATURES)
+    records = scoring_records(spark, sf_dir)
     records.write.mode("overwrite").parquet(landing)
     stream = spark.readStream.schema(records.schema).parquet(landing)
     run_available_now(score_stream(champion(spark, sf_dir), stream), out, ck)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("listing_id", F.round("prediction", 4).alias("prediction"))

@@ -32,13 +32,6 @@ CLEAN_TYPES = {
 TARGET = "rent_price"
 # Model features in cleaned column order (the champion's X).
 FEATURES = ["sqr_m", "rei_price", "shikikin", "maintenence_price", "year_built", "floor", "eki_walk"]
-CATEGORICALS = ["apartment_type", "house_type", "ku_name"]
-TEXT_COLUMNS = ["name_place", "address", "eki_name"]
-
-# Scoring contract: seven doubles.
-SCORING_SCHEMA = T.StructType([T.StructField(c, T.DoubleType(), True) for c in FEATURES])
-
-# Units travel with the columns: rent, key money and deposit are in 万円
-# (10,000 yen); the monthly maintenance fee is in yen.
-UNITS = {"rent_price": "man_yen", "rei_price": "man_yen", "shikikin": "man_yen",
-         "maintenence_price": "yen"}
+# The notebook's four-feature model.
+NOTEBOOK_FEATURES = ["rei_price", "shikikin", "maintenence_price", "sqr_m"]
+# Rent, key money and deposit are in 万円 (10,000 yen); the monthly maintenance fee is in yen.

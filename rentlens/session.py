@@ -8,32 +8,29 @@ folder, as tests do.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, app: str = "rentlens",
-                  shuffle_partitions: int | None = None,
-                  extra: dict[str, str] | None = None) -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    b = (SparkSession.builder.master(master).appName(app)
-         .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.adaptive.enabled", "true")
-         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         # HTML documents can be hundreds of KB: bound a Python worker's Arrow batch
-         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-         .config("spark.sql.shuffle.partitions",
-                 str(shuffle_partitions or int(cpus) * 2))
-         .config("spark.driver.memory", "16g"))
-    for k, v in (extra or {}).items():
+def build_session(master: str | None = None, app: str = "rentlens", extra: dict[str, str] | None = None) -> SparkSession:
+    """A session with this library's settings; master, memory and partitions are the submitter's unless given."""
+    b = SparkSession.builder.appName(app)
+    if master:
+        b = b.master(master)
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # HTML documents can be hundreds of KB: bound a Python worker's Arrow batch
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    }
+    for k, v in {**settings, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,6 +52,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return base
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/rentlens-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/rentlens/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path under this application's folder in the shared checkpoint folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete everything that this application wrote to scratch paths; results that read it end here."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
-from rentlens.operators.score import score, validate_scoring_input
+from rentlens.operators.score import score
 
 
 def score_stream(model: PipelineModel, records: DataFrame, key: str = "listing_id") -> DataFrame:
-    """Valid records are scored; invalid ones are left out here and can be
-    routed to a rejects sink from the same validated stream."""
-    checked = validate_scoring_input(records, key)
-    return score(model, checked.where("valid"), key)
+    """One row for each record; its prediction is null if a feature is no number
+    (``validate_scoring_input`` of the same stream names the reason)."""
+    return score(model, records, key)
