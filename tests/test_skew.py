@@ -86,8 +86,8 @@ def test_hot_ward_topk_and_summary_are_whole(spark):
     assert sorted(per_ward["HOT"]) == [1, 2, 3]
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in per_ward.values())
     # brute force for the hot ward: its three lowest residuals
-    from rentlens.operators.evaluate import with_line_residual
-    brute = (with_line_residual(hot, "rent_price", "sqr_m").where("ku_name = 'HOT'")
+    from rentlens.operators.evaluate import fit_linear, with_residual
+    brute = (with_residual(hot, fit_linear(hot, "rent_price", ["sqr_m"])).where("ku_name = 'HOT' and residual is not null")
              .orderBy("residual", "listing_id").limit(3).select("listing_id").collect())
     assert [r["listing_id"] for r in sorted((r for r in rows if r["ku_name"] == "HOT"),
                                             key=lambda r: r["bargain_rank"])] == [r[0] for r in brute]

@@ -39,10 +39,10 @@ def summary(p: str) -> dict:
 
 def main(argv: list[str]) -> None:
     sys.path.insert(0, ".")
-    import __spark_entry__ as E
+    from rentlens.plans.catalog import QUERIES
     from rentlens.session import build_session
     sf_dir = argv[0] if argv else "/root/testdata/sf0.1"
-    spark = build_session(shuffle_partitions=16)
+    spark = build_session(master="local[8]", extra={"spark.sql.shuffle.partitions": "16"})
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `python -m tools.plan_report {sf_dir}` (local[8], AQE on; plans before AQE "
           "re-optimisation). `shuffles` counts Exchange nodes other than broadcasts; `partial` counts "
@@ -50,7 +50,7 @@ def main(argv: list[str]) -> None:
           "each parquet scan with the number of columns it reads.\n")
     print("| query | shuffles | broadcasts | SMJ | BHJ | partial | limit | python | scans |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         s = summary(formatted(fn(spark, sf_dir)))
         print(f"| {name} | {s['shuffles']} | {s['broadcasts']} | {s['smj']} | {s['bhj']} | {s['partial_agg']} | "
               f"{s['group_limit']} | {s['python']} | {s['scans']} |")
@@ -60,23 +60,17 @@ def main(argv: list[str]) -> None:
 NOTES = """
 ## Reading the table at 100 TB
 
-* **Listing queries** scan the raw listing snapshot (`sources/tables.listing_snapshot`): one parquet
-  table written once per set of input files, read with only the columns each query needs (the
-  `scans` column shows e.g. 4 of 15 for `ward_value_summary`).  The derivation behind it,
-  `orders ⋈ customer ⋈ nation`, runs once: it reads 3 of 6 `orders` columns, 2 of 5 `customer`
-  columns and pushes `IsNotNull` into the scans (`tests/test_plans.py`).
-* **customer** is broadcast in that derivation by Catalyst's own size check
-  (`autoBroadcastJoinThreshold`, from parquet statistics); once it outgrows the threshold the plan
-  becomes a sort-merge join on the customer key, and AQE splits a hot customer (`tests/test_skew.py`
-  forces this and checks `skew=true`).  `nation` and the geocode dimension go through the explicit
-  bounded count in `operators/dims.py`.
-* A single round-robin exchange appears where a fact table is one parquet row group (fewer splits
-  than cores); large tables have more splits than cores and the spread disappears.
+* **Listing queries** derive the listings from `orders ⋈ customer ⋈ nation` in the query itself:
+  each reads the few columns it needs and pushes `IsNotNull` into the scans (`tests/test_plans.py`).
+  A pipeline that uses them often writes them once with `sources.tables.land(df, path)`.
+* **Dimensions** (customer, nation, geocode) carry no hint: Catalyst's byte threshold and AQE choose
+  broadcast or shuffle.  Beyond the threshold the plan is a sort-merge join, and AQE splits a hot
+  customer (`tests/test_skew.py` forces this and checks `skew=true`).
+* **Facility distances** are equi-joins of distinct points and facilities on sphere cells.
 * **Aggregates** (`partial` > 0) combine map-side before their one shuffle; no query collects a
   group.  `bargain_topk` has `WindowGroupLimit` twice: partial before the exchange, final after.
 * **python** = 1 only for the three HTML queries (one `MapInPandas` each); everything else stays in
-  JVM codegen.  `html_extract_listings` adds the renderer's one exchange: hash by page at the
-  shuffle width, which also serves its group-by (bounded pages of 20).
+  JVM codegen.  `html_extract_listings` adds the exchange of the fixture's renderer.
 * Queries that write and read back (CSV, dated partitions, model store, run log, streams) show the
   plan of the read-back table.
 """
