@@ -35,14 +35,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 or more words that an earlier document has."""
-    cut = substring_dedup(docs, window=50)
-    return with_text(cut, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")), docs.columns)
+    cut = substring_dedup(folded(docs), window=50)
+    return unfolded(cut, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")), docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each secret replaced by a mark."""
-    out = redacted(secret_scan(docs))
-    return with_text(out, F.col("text"), docs.columns)
+    return unfolded(redacted(secret_scan(folded(docs))), F.col("text"), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +49,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-def with_text(df: DataFrame, text, names: list[str]) -> DataFrame:
-    df = df.withColumn("text", text)
-    return df.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else df.select(*names)
+def folded(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns as one, so that none of their names meets those an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]).alias("others"))
+
+
+def unfolded(df: DataFrame, text, names: list[str]) -> DataFrame:
+    """The columns ``names`` again, with a new ``text`` and its number of characters."""
+    new = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
+    return df.select(*[new.get(c, F.col("others").getField(c)).alias(c) for c in names])
 
 
 STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import weakref
 from collections.abc import Callable, Iterator
 
@@ -56,12 +57,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing reads any more (what was made of them is written itself)."""
+    """Delete tables made by ``written`` that nothing reads any more (what was made of them is written itself).
+
+    The driver's garbage is collected then, as Spark deletes the shuffle files of
+    finished steps only when their plans have been collected.
+    """
     for df in tables:
         _, path = _PATHS.pop(id(df), (None, None))
+        jvm = df.sparkSession.sparkContext._jvm
         if path:
-            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if tables:
+        gc.collect()
+        jvm.System.gc()
 
 
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:

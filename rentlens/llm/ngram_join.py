@@ -14,7 +14,10 @@ its whole sequence as its one member.  Two documents link when
 3. *Tiles.*  A block of more than ``tile_rows`` classes is cut into size bands
    (a band's largest set is 1/t times its smallest; only a band and the next can
    hold partners) and a band into hash parts, so no task holds more than two
-   parts, however large the block.
+   parts.  Before that the classes of a band of more than ``tile_rows`` are tested
+   against a few hubs of it: a group of near copies, however large, becomes one
+   star in linear work, and pairs inside the block's largest star (its giant) need
+   no tile.
 4. In a tile, the bits in which two parity bitmaps differ bound the symmetric
    difference from below and so the overlap from above; what the bound leaves
    is decided by intersecting the sorted arrays.  Pairs that are connected
@@ -34,14 +37,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import (Forest, byte_words, components, gram_hashes, list_array, mapped, runs,
+from rentlens.llm.common import (Forest, byte_words, components, discard, gram_hashes, list_array, mapped,
                                  sliced, word_hashes, written)
 
-#: Share of the hash space whose members are counted; the rest of a prefix, if any, goes by hash alone.
-REGION = 0.2
+#: The share of the hash space whose members are counted, as a multiple of a prefix's share of a set; the rest of a
+#: prefix, if any, goes by hash alone.  A larger region lets more sets fill their prefix with members of their own.
+REGION = 1.4
 #: Bits of a parity bitmap.
 BITMAP = 1024
 #: Classes in one part of a tile.
@@ -64,9 +68,14 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def region(percent: int) -> int:
+    """First 32-bit key outside the counted region."""
+    return int(min(1.0, REGION * (100 - percent) / 100) * 2**32)
+
+
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, size, set_hash, and the members that can be in the prefix: 32-bit ``keys``, the first by hash."""
-    edge = np.uint64(int(REGION * 2**64))
+    edge = np.uint64(region(percent) << 32)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in sliced(batch, text="text"):
@@ -88,11 +97,11 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def blocks(classes: DataFrame, percent: int) -> DataFrame:
     """(doc_id, block) of every class that may have a partner."""
     rows = classes.select("doc_id", F.explode("keys").alias("key"))
-    live = (rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-            .where("lo < hi").select("key", "n"))
+    # (two members of one set with one key count as two; that only makes the key a candidate)
+    live = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     held = rows.join(live, "key").groupBy("doc_id").agg(F.collect_list(F.struct(
         # members outside the counted region come last, by hash alone
-        _outside("key").alias("out"), F.when(_outside("key"), F.lit(0)).otherwise(F.col("n")).alias("n"), "key")).alias("live"))
+        _outside("key", percent).alias("out"), F.when(_outside("key", percent), F.lit(0)).otherwise(F.col("n")).alias("n"), "key")).alias("live"))
     # members that only this class has come first in the order and fill its prefix
     sized = classes.select("doc_id", "size", F.size("keys").alias("given"))
     room = F.expr(f"size - ceil({percent} * size / 100) + 1 - (given - size(live))").cast("int")
@@ -102,35 +111,67 @@ def blocks(classes: DataFrame, percent: int) -> DataFrame:
     first = written(first, "ngram-prefix")
     hub = first.groupBy("key").agg(F.min("doc_id").alias("hub"))
     linked = components(first.join(hub, "key").where("doc_id <> hub").select("doc_id", "hub").distinct(), "doc_id", "hub")
+    discard(first)
     return linked.select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
 
 
-def _outside(key: str):
+def _outside(key: str, percent: int):
     unsigned = F.col(key).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    return unsigned >= F.lit(int(REGION * 2**32))
+    return unsigned >= F.lit(region(percent))
+
 
+def size_band(percent: int):
+    """Partners are in one band or in two neighbouring ones."""
+    return F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
 
-def tiles(members: DataFrame, percent: int, tile_rows: int) -> DataFrame:
-    """members (doc_id, block, size) with the tiles each goes to: ``block, t1, p1, t2, p2`` and ``side``.
 
-    A tile is a pair of (band, part) of one block; a class goes to every pair its own is in.
+def hub_links(large: DataFrame, arrays: DataFrame, percent: int, hubs: int = 3) -> DataFrame:
+    """(a, b): links between the classes of ``large`` (doc_id, block, size, band) and a few *hubs* of their band.
+
+    Linear in the band: it joins a group of near copies, however large, to a star.
+    """
+    order = Window.partitionBy("block", "band").orderBy(F.xxhash64("doc_id"), "doc_id")
+    some = large.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs)
+    some = some.join(arrays, ["doc_id", "size"]).select("block", "band", F.col("doc_id").alias("hub"), F.col("members").alias("hub_members"))
+    pairs = large.join(arrays, ["doc_id", "size"]).join(some, ["block", "band"]).where("doc_id <> hub")
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in sliced(batch):
+            a, b = [], []
+            for doc, hub, x, y in zip(*(part.column(c).to_pylist() for c in ("doc_id", "hub", "members", "hub_members"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                o = overlap(x, y)
+                if 100 * o >= percent * (len(x) + len(y) - o):
+                    a.append(doc)
+                    b.append(hub)
+            yield {"a": a, "b": b}
+
+    return mapped(pairs.select("doc_id", "hub", "members", "hub_members"), run, "a long, b long")
+
+
+def tiles(members: DataFrame, giants: DataFrame, percent: int, tile_rows: int) -> DataFrame:
+    """members (doc_id, block, size) with the tiles each goes to: ``block, t1, p1, t2, p2`` and ``left``.
+
+    A cell is a band of a block, apart for its *giant* (the classes that hub links
+    join to the block's largest component) and the rest; a cell of many classes
+    has hashed parts.  A tile is a pair of parts of cells that can hold partners:
+    equal or neighbouring bands, not both giant.  So a giant goes to as many tiles
+    as the rest has parts, and a pair that is connected already to none.
     """
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
     total = members.groupBy("block").agg(F.count("*").alias("total"))
-    # a small block is a single tile
-    m = members.join(total, "block").withColumn("band", F.when(F.col("total") <= tile_rows, F.lit(0)).otherwise(band))
-    parts = m.groupBy("block", "band").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("parts"))
-    nxt = parts.select("block", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-    prv = parts.select("block", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    counts = parts.join(nxt, ["block", "band"], "left").join(prv, ["block", "band"], "left").na.fill(0, ["above", "below"])
-    m = m.join(counts, ["block", "band"]).withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)"))
-    pair = lambda b1, p1, b2, p2: f"named_struct('t1', {b1}, 'p1', {p1}, 't2', {b2}, 'p2', {p2})"
-    own = f"transform(sequence(0, parts - 1), q -> {pair('band', 'least(part, q)', 'band', 'greatest(part, q)')})"
-    up = f"if(above > 0, transform(sequence(0, above - 1), q -> {pair('band', 'part', 'band + 1', 'q')}), array())"
-    down = f"if(below > 0, transform(sequence(0, below - 1), q -> {pair('band - 1', 'q', 'band', 'part')}), array())"
-    m = m.withColumn("at", F.explode(F.expr(f"concat({own}, {up}, {down})")))
-    return m.select("doc_id", "block", "size", "at.t1", "at.p1", "at.t2", "at.p2",
-                    F.expr("band = at.t1 and part = at.p1").alias("left"))
+    m = members.join(total, "block").join(giants.select("doc_id", F.lit(1).alias("giant")), "doc_id", "left")
+    cell = F.when(F.col("total") <= tile_rows, F.lit(0)).otherwise(2 * size_band(percent) + F.coalesce("giant", F.lit(0)))
+    m = m.withColumn("cell", cell)
+    sizes = m.groupBy("block", "cell").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("parts"))
+    # a block has at most two cells a band, and bands grow with the logarithm of the size
+    cells = sizes.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("cell", "parts"))).alias("parts"))
+    m = m.join(cells, "block").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), parts[cell]) as int)"))
+    # cells of this band and its neighbours: the rests, and the giants unless this is one
+    near = "filter(if(cell % 2 = 1, array(cell - 3, cell - 1, cell + 1), array(cell - 2, cell - 1, cell, cell + 1, cell + 2, cell + 3)), c -> parts[c] is not null)"
+    pair = ("case when c = cell then named_struct('t1', cell, 'p1', least(part, q), 't2', cell, 'p2', greatest(part, q)) "
+            "when c > cell then named_struct('t1', cell, 'p1', part, 't2', c, 'p2', q) else named_struct('t1', c, 'p1', q, 't2', cell, 'p2', part) end")
+    m = m.withColumn("at", F.explode(F.expr(f"flatten(transform({near}, c -> transform(sequence(0, parts[c] - 1), q -> {pair})))")))
+    return m.select("doc_id", "block", "size", "at.t1", "at.p1", "at.t2", "at.p2", F.expr("cell = at.t1 and part = at.p1").alias("left"))
 
 
 def member_arrays(docs: DataFrame, n: int) -> DataFrame:
@@ -161,13 +202,20 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def tile_links(ids: np.ndarray, sets: list[np.ndarray], bits: np.ndarray, left: np.ndarray, right: np.ndarray,
-               percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one tile; a pair is tested if one is in ``left`` and the other in ``right``."""
+               percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one tile; a pair is tested if one is in ``left`` and the other in ``right``.
+
+    Classes of ``joined`` are known to be one component.
+    """
     size = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((ids, size))
     ids, size, bits, left, right = ids[order], size[order], bits[order], left[order], right[order]
     sets = [sets[i] for i in order]
     forest, out = Forest(len(ids)), []
+    if joined is not None:
+        known = np.flatnonzero(joined[order])
+        for k in known[1:]:
+            forest.join(int(known[0]), int(k))
     for i in range(len(ids)):
         # sorted by size: partners above i end where 100 * size_i < percent * size_j
         end = int(np.searchsorted(size, 100 * size[i] // percent, side="right"))
@@ -203,9 +251,10 @@ def forest_edges(dealt: DataFrame, percent: int) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
+                left, right = (np.array([h[k] for h in held]) for k in (3, 4))
+                giant = left & (key[1] % 2 == 1) | right & (key[3] % 2 == 1)
                 links = tile_links(np.array([h[0] for h in held], np.int64), [np.frombuffer(h[1], np.uint64) for h in held],
-                                   np.array([np.frombuffer(h[2], np.uint64) for h in held]),
-                                   np.array([h[3] for h in held]), np.array([h[4] for h in held]), percent)
+                                   np.array([np.frombuffer(h[2], np.uint64) for h in held]), left, right, percent, giant)
                 if links:
                     a, b = zip(*links)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -237,9 +286,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, tile_rows
     # a doc_id with several texts has a set for each; its blocks are the same
     need = found.join(firsts, found.doc_id == firsts["first"]).select("doc_id", "block", "size").distinct()
     arrays = member_arrays(docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), n)
-    arrays = arrays.withColumn("size", F.length("members") / 8).withColumn("size", F.col("size").cast("long"))
-    dealt = tiles(need, percent, tile_rows).join(arrays.dropDuplicates(["doc_id", "members"]), ["doc_id", "size"])
-    linked = components(forest_edges(dealt, percent), "a", "b")
+    arrays = arrays.withColumn("size", (F.length("members") / 8).cast("long")).dropDuplicates(["doc_id", "members"])
+    banded = need.withColumn("band", size_band(percent))
+    hot = banded.groupBy("block", "band").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows).select("block", "band")
+    stars = giants = None
+    if not hot.isEmpty():
+        stars = written(hub_links(banded.join(hot, ["block", "band"], "left_semi"), arrays, percent), "hub-links")
+        joined = components(stars, "a", "b").join(found.withColumnRenamed("doc_id", "node"), "node")
+        largest = joined.groupBy("block", "component").agg(F.count("*").alias("n")).groupBy("block").agg(
+            F.max(F.struct("n", "component")).alias("x")).select("block", F.col("x.component").alias("component"))
+        giants = joined.join(largest, ["block", "component"]).select(F.col("node").alias("doc_id"))
+    dealt = tiles(need, giants if giants is not None else found.select("doc_id").where("false"), percent, tile_rows).join(arrays, ["doc_id", "size"])
+    edges = forest_edges(dealt, percent)
+    linked = components(edges.unionByName(stars) if stars is not None else edges, "a", "b")
     named = signed.join(firsts, ["set_hash", "size"], "left")
     named = named.join(linked, F.coalesce(F.col("first"), F.col("doc_id")) == F.col("node"), "left")
     return named.select("doc_id", F.col("size").alias("n_shingles"),

@@ -145,18 +145,26 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 def model_table(k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Natural log-probability of an n-gram's last symbol after the others, for every n-gram."""
-    return unpacked(packed_model(k, gram, n))
+    return Model(packed_model(k, gram, n)).log_probability(np.arange(SYMBOLS**ORDER))
 
 
-def unpacked(model: bytes) -> np.ndarray:
-    """The dense table of a packed model: contexts that were never seen have the lower order's rows."""
-    lower = np.frombuffer(model, "<f4", SYMBOLS ** (ORDER - 1))
-    seen = int(np.frombuffer(model, "<i4", 1, 4 * len(lower))[0])
-    at = np.frombuffer(model, "<i4", seen, 4 * len(lower) + 4)
-    rows = np.frombuffer(model, "<f4", seen * SYMBOLS, 4 * len(lower) + 4 + 4 * seen)
-    table = np.tile(lower.reshape(-1, SYMBOLS), (SYMBOLS, 1))
-    table[at] = rows.reshape(-1, SYMBOLS)
-    return table.ravel()
+class Model:
+    """A packed model: contexts that were never seen have the lower order's rows."""
+
+    def __init__(self, packed: bytes):
+        self.lower = np.frombuffer(packed, "<f4", SYMBOLS ** (ORDER - 1))
+        seen = int(np.frombuffer(packed, "<i4", 1, 4 * len(self.lower))[0])
+        at = np.frombuffer(packed, "<i4", seen, 4 * len(self.lower) + 4)
+        self.rows = np.frombuffer(packed, "<f4", seen * SYMBOLS, 4 * len(self.lower) + 4 + 4 * seen)
+        self.row_of = np.full(SYMBOLS ** (ORDER - 1), -1, np.int32)
+        self.row_of[at] = np.arange(seen, dtype=np.int32)
+
+    def log_probability(self, gram: np.ndarray) -> np.ndarray:
+        row = self.row_of[gram // SYMBOLS].astype(np.int64)
+        out = self.lower[gram % len(self.lower)]
+        known = row >= 0
+        out[known] = self.rows[row[known] * SYMBOLS + gram[known] % SYMBOLS]
+        return out
 
 
 def packed_model(k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> bytes:
@@ -211,15 +219,15 @@ def scored(docs: DataFrame, models: DataFrame, text: str = "text", lang: str = "
         held = spark.sparkContext.broadcast({r[0]: r[1] for r in models.where(F.col("lang").isin(want)).toLocalIterator()})
 
         def run(batch: pa.RecordBatch, held=held, first=number == 0) -> Iterator[dict]:
-            if not _TABLES or _TABLES[0][0] is not held.value:  # unpacked once per worker and pass
-                _TABLES[:] = [(held.value, {k: unpacked(v) for k, v in held.value.items()})]
+            if not _TABLES or _TABLES[0][0] is not held.value:  # once per worker and pass
+                _TABLES[:] = [(held.value, {k: Model(v) for k, v in held.value.items()})]
             tables = _TABLES[0][1]
             for part in sliced(batch, text=text):
                 nll = part.column("nll").to_pylist()
                 for i, (t, l) in enumerate(zip(part.column(text).to_pylist(), part.column(lang).to_pylist())):
                     use = tables.get(l) if l in tables else tables[POOLED] if first and l not in known else None
                     if t and use is not None:
-                        nll[i] = -float(use[grams(t)].mean(dtype=np.float64))
+                        nll[i] = -float(use.log_probability(grams(t)).mean(dtype=np.float64))
                 yield {**{c: part.column(c) for c in names}, "nll": nll}
 
         out = mapped(out, run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", nll double")

@@ -282,21 +282,11 @@ def secret_scan(docs: DataFrame, sample_docs: int = 4000, recall: float = 0.98,
 
 def redacted(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``scanned`` with every span of its text replaced by ``mark`` (overlapping spans by one), without ``spans``."""
-    names = [c for c in scanned.columns if c != "spans"]
-    types = dict(scanned.dtypes)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in sliced(batch, text="text"):
-            out = []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                if spans:
-                    pieces, at = [], 0
-                    for s in spans:
-                        if s["start"] >= at:
-                            pieces += [text[at: s["start"]], mark]
-                        at = max(at, s["end"])
-                    text = "".join(pieces) + text[at:]
-                out.append(text)
-            yield {**{c: part.column(c) for c in names}, "text": out}
-
-    return mapped(scanned, run, ", ".join(f"`{c}` {types[c]}" for c in names))
+    def step(done, s):
+        piece = F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, s["start"] - done["at"]), F.lit(mark))
+        return F.struct(F.when(s["start"] >= done["at"], piece).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
+
+    whole = F.aggregate("spans", start, step, lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
+    return scanned.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))).drop("spans")
