@@ -32,9 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rentlens.llm.common import mapped, sliced
+from rentlens.llm.common import carried, mapped, sliced
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 350_000
 #: The white space of the pre-tokenizer's pattern (Unicode White_Space).
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Letters and numbers below U+0180.
@@ -96,7 +96,7 @@ class TrieEncoder:
         key = a << 20 | b
         known = self._stable.get(key)
         if known is None:
-            if len(self._stable) > 1_000_000:
+            if len(self._stable) > 400_000:
                 self._stable.clear()
             known = self._stable[key] = self._border(a, b)
         return known
@@ -125,7 +125,7 @@ class TrieEncoder:
             path = path[1:]
         here = self._state_of[path]
         ends = [(self.ids[path[i:]], len(path) - i) for i in range(len(path)) if path[i:] in self.ids]
-        if len(self._moves) > 600_000:
+        if len(self._moves) > 250_000:
             self._moves.clear()
         self._moves[state << 8 | byte] = here, ends
         return here, ends
@@ -218,7 +218,7 @@ def encoder(path: str) -> TrieEncoder:
 
 
 def _with(df: DataFrame, source: str, added: list[tuple[str, str]], fn) -> DataFrame:
-    names = [c for c in df.columns if c not in {a for a, _ in added}]
+    names = carried(df, [a for a, _ in added])
     types = dict(df.dtypes)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
