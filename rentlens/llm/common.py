@@ -86,6 +86,7 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type, from_pandas=False)
                      for f, c in ((f, cols[f.name]) for f in arrow)], schema=arrow)
+            pa.default_memory_pool().release_unused()  # else a worker keeps its largest batch's memory
 
     return df.mapInArrow(run, target)
 
@@ -188,10 +189,10 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     for _ in range(max_rounds):
         # large star: every neighbour above a node goes to the node's smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(_own_shuffle("u"), F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every neighbour below a node, and the node, goes to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(_own_shuffle("u"), "m")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u")
         small = pairs.select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
@@ -209,11 +210,6 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     return stars.unionByName(centres)
 
 
-def _own_shuffle(name: str):
-    """The column as a new one, so that a join after a grouping shuffles both its sides and AQE can split a hot key."""
-    return (F.col(name) + F.lit(0)).alias(name)
-
-
 class Forest:
     """Union-find over 0..n-1 with the smaller index as root."""
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.llm.bpe import LETTER, NUMBER, SPACE, byte_letters
-from rentlens.llm.common import mapped, sliced, written
+from rentlens.llm.common import discard, mapped, sliced, written
 
 CACHE_WORDS = 1_000_000
 GROUP_PIECES = 40_000
@@ -210,6 +210,7 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 4096, end
         groups = max(1, -(-n // group_pieces))
         last = groups == 1 or number == rounds - 1
         packed = written(pack_round(active, capacity, groups, number, last), "packed")
+        discard(active)
         done.append(packed.where("final"))
         active = packed.where("not final")
         if last or not (n := active.count()):
