@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import (byte_words, gram_hashes, list_array, mapped, runs, sliced, sliding_min, word_hashes,
+from rentlens.llm.common import (byte_words, carried, discard, gram_hashes, mapped, runs, sliced, sliding_min, unused, word_hashes,
                                  written)
 from rentlens.llm.fm_index import FMIndex
 
@@ -144,7 +144,7 @@ def first_owners(bodies: list[bytes], owners: np.ndarray, window: int) -> list[n
     return out
 
 
-def search_shards(dealt: DataFrame, window: int, keep: str) -> DataFrame:
+def search_shards(dealt: DataFrame, window: int, keep: str, shards: int) -> DataFrame:
     """Index and search each shard's segments: (``keep``, at, count, first) for runs of windows with one first owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def search_shards(dealt: DataFrame, window: int, keep: str) -> DataFrame:
         yield from close()
 
     # rows of one shard lie together in one partition
-    return (dealt.select("shard", keep, "owner", "words").repartition("shard").sortWithinPartitions("shard", keep)
+    return (dealt.select("shard", keep, "owner", "words").repartition(shards, "shard").sortWithinPartitions("shard", keep)
             .mapInArrow(run, f"{keep} long, at int, count int, first long"))
 
 
@@ -187,6 +187,7 @@ def repeated_intervals(docs: DataFrame, window: int, anchor: int, hot_segments:
     shared = marked.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     held = marked.join(shared, "anchor").groupBy("doc_id", "row").agg(F.collect_list("anchor").alias("anchors"))
     segs = written(segments(docs.join(held, ["doc_id", "row"]), window, anchor), "segments")
+    discard(marked)
     own = segs.groupBy("seg").agg(F.min("doc_id").alias("owner"), F.min("anchor").alias("anchor"), F.first("words").alias("words"))
     own = written(own, "own-segments")
     groups = own.groupBy("anchor").agg(F.count("*").alias("n"))
@@ -195,11 +196,11 @@ def repeated_intervals(docs: DataFrame, window: int, anchor: int, hot_segments:
     shards = max(1, int(size / 6 / shard_words) + 1)  # a word is about six bytes
     shard = F.expr(f"cast(pmod(xxhash64(%s), {shards}) as int)".replace("%s", "anchor"))
     plain = search_shards(own.join(groups.where((F.col("n") > 1) & (F.col("n") <= hot_segments)).select("anchor"), "anchor")
-                          .withColumn("shard", shard), window, "seg")
+                          .withColumn("shard", shard), window, "seg", shards)
     # hot anchors: window by window
     pieces = segment_windows(own.join(hot, "anchor"), window)
     counted = pieces.groupBy("piece").agg(F.min("owner").alias("owner"), F.count("*").alias("n"), F.first("words").alias("words")).where("n > 1")
-    single = search_shards(counted.withColumn("shard", F.expr(f"cast(pmod(xxhash64(piece), {shards}) as int)")), window, "piece")
+    single = search_shards(counted.withColumn("shard", F.expr(f"cast(pmod(xxhash64(piece), {shards}) as int)")), window, "piece", shards)
     back = (pieces.select("piece", "seg", F.col("at").alias("offset"))
             .join(single, "piece").select("seg", F.col("offset").alias("at"), "count", "first"))
     # a segment that alone has its anchor repeats only as a whole
@@ -213,11 +214,13 @@ def repeated_intervals(docs: DataFrame, window: int, anchor: int, hot_segments:
                                                                   (F.col("count") + window - 1).alias("count"))).alias("cuts")))
 
 
-def cut_words(docs: DataFrame, names: list[str]) -> DataFrame:
+def cut_words(docs: DataFrame, names: list[str], cuts_column: str) -> DataFrame:
+    """``names`` of ``docs`` with n_words, n_removed and kept_text, the words outside the intervals of ``cuts_column``."""
+
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in sliced(batch, text="text"):
             n, gone, kept = [], [], []
-            for text, cuts in zip(part.column("text").to_pylist(), part.column("cuts").to_pylist()):
+            for text, cuts in zip(part.column("text").to_pylist(), part.column(cuts_column).to_pylist()):
                 words = byte_words(text)
                 n.append(len(words))
                 if cuts:
@@ -238,11 +241,12 @@ def cut_words(docs: DataFrame, names: list[str]) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = 50, anchor: int = ANCHOR, hot_segments: int = HOT_SEGMENTS,
                     shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (kept words joined by one space)."""
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "row", "cuts")]
-    base = docs.select(*names)
-    keyed = base.withColumn("row", F.xxhash64("text"))
-    plain = keyed.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row")
-    cuts = repeated_intervals(plain, window, min(anchor, window), hot_segments, shard_words)
-    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "cuts")
-    joined = keyed.join(cuts, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("row") == F.col("_row")), "left")
-    return cut_words(joined.select(*names, "cuts"), names)
+    names = carried(docs, ["n_words", "n_removed", "kept_text"])
+    docs = docs.select(*names)
+    text, number = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    plain = docs.where("doc_id is not null").select(number.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+    found = repeated_intervals(plain, window, min(anchor, window), hot_segments, shard_words)
+    a, b, cuts = (unused(docs, c) for c in ("cut_doc", "cut_row", "cuts"))
+    found = found.select(F.col("doc_id").alias(a), F.col("row").alias(b), F.col("cuts").alias(cuts))
+    joined = docs.join(found, (number == F.col(a)) & (F.xxhash64(text) == F.col(b)), "left")
+    return cut_words(joined.select(*names, cuts), names, cuts)
