@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame
 
 from rentlens.llm.common import carried, mapped, sliced
 
-CACHE_WORDS = 350_000
+CACHE_WORDS = 700_000
+#: Bytes of text that are encoded together.
+SLICE = 3 << 20
 #: The white space of the pre-tokenizer's pattern (Unicode White_Space).
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Letters and numbers below U+0180.
@@ -71,6 +73,7 @@ class TrieEncoder:
             for i in range(1, len(token) + 1):
                 self._state_of.setdefault(token[:i], len(self._state_of))
         self._states = list(self._state_of)
+        self._ends: dict[int, list[tuple[int, int]]] = {}  # state -> tokens that end there, longest first
         self._moves: dict[int, tuple[int, list[tuple[int, int]]]] = {}
         self.merges: dict[tuple[int, int], int] = {}  # pair -> order of the merge
         self.made: dict[int, tuple[int, int, int]] = {}  # token -> order, left, right
@@ -124,7 +127,9 @@ class TrieEncoder:
         while path not in self._state_of:
             path = path[1:]
         here = self._state_of[path]
-        ends = [(self.ids[path[i:]], len(path) - i) for i in range(len(path)) if path[i:] in self.ids]
+        ends = self._ends.get(here)
+        if ends is None:
+            ends = self._ends[here] = [(self.ids[path[i:]], len(path) - i) for i in range(len(path)) if path[i:] in self.ids]
         if len(self._moves) > 250_000:
             self._moves.clear()
         self._moves[state << 8 | byte] = here, ends
@@ -222,7 +227,7 @@ def _with(df: DataFrame, source: str, added: list[tuple[str, str]], fn) -> DataF
     types = dict(df.dtypes)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in sliced(batch, rows=1000, text=source):
+        for part in sliced(batch, rows=1000, chars=SLICE, text=source):
             yield {**{c: part.column(c) for c in names}, **fn(part.column(source).to_pylist())}
 
     return mapped(df, run, ", ".join([f"`{c}` {types[c]}" for c in names] + [f"{c} {t}" for c, t in added]))
