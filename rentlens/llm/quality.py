@@ -1,15 +1,21 @@
-"""Quality classifier: interpolated modified Kneser-Ney character model of trusted text.
-
-Model.  Characters are folded to ``SYMBOLS`` symbols (lower-case Latin letters,
-one symbol for capitals, eight classes of other letters, digits, blank, line
-end, common marks), so an n-gram of order ``ORDER`` is a number below
-``SYMBOLS ** ORDER`` and a language's table has a proven bound of that many
-entries (12.4 MB; only the rows of contexts that were seen are sent).  Per language the counts of *all* trusted documents are
-gathered: each task counts its batches, and the counts are summed by a grouped
-aggregation.  Continuation counts (in how many contexts an n-gram was seen) come
-from joins and groupings of those counts, sharded by language and n-gram.
+"""Quality classifier: interpolated modified Kneser-Ney character models of trusted text.
+
+Model.  N-grams of ``SHORT`` to ``LONG`` characters as they are (no folding, no
+cap) are counted over *all* trusted documents of each language.  Their counts,
+continuation counts (in how many contexts an n-gram was seen) and contexts are
+tables sharded by language and n-gram, which grow with the trusted text.
 Discounts are estimated per order from the counts of counts; each order
-interpolates with the next lower one.
+interpolates with the next lower one.  The lowest interpolates with a model of
+folded characters: ``SYMBOLS`` symbols (lower-case Latin letters, one symbol for
+capitals, eight classes of other letters, digits, blank, line end, common
+marks), each shared evenly by its code points, order ``ORDER``, at most 12.4 MB
+a language; it is a floor for text that has not been seen.
+
+Scoring joins.  Documents are dealt into blocks; a block's different n-grams are
+joined to the sharded table, what was found returns to the block, and each
+document's log-probabilities are summed.  A trusted document is scored by the
+unfolded n-grams of the other half of the trusted documents (halves by the text's
+hash), so that it is not its own evidence; all others by those of all of them.
 
 Score.  A document's perplexity is over all of its characters.  A document is
 rejected if it lies outside the band between two quantiles of the perplexity of
@@ -25,8 +31,8 @@ Rows that repeat are judged alike; a null doc_id is judged like others.  Trusted
 documents have quality 1 and are not toxic in all their labels.  Columns other
 than doc_id, text and lang are ignored.
 
-Models of more than ``MODELS_AT_ONCE`` languages are used in several passes, so
-what a pass broadcasts is bounded whatever the number of languages.
+Folded models of more than ``MODELS_AT_ONCE`` languages are used in several passes,
+so what a pass broadcasts is bounded whatever the number of languages.
 """
 
 from __future__ import annotations
@@ -38,12 +44,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import discard, mapped, sliced, unused, written
+from rentlens.llm.common import BASE, discard, mapped, mix, sliced, unused, written
 
 ORDER = 4
 SYMBOLS = 42
 MODELS_AT_ONCE = 6
 POOLED = ""
+#: Highest and lowest order of the unfolded n-grams, and what stands before a text (no code point).
+LONG, SHORT, PAD = 6, 4, 0x110000
+LEVELS = [f"{x}{k}" for k in range(LONG, SHORT - 1, -1) for x in "gc"]
+#: Characters of a block (its n-grams are looked up once) and bytes of text that a task works on at a time.
+BLOCK, SLICE = 16 << 20, 2 << 20
+#: Discounts of counts 1, 2 and 3 or more, from the numbers of n-grams counted one to four times (see ``discounts``).
+DISCOUNTS = {c: f"if(n1 > 0 and n2 > 0, least({c - 0.01}, greatest(0.01, {e})), 0.5D)" for c, e in {
+    1: "1 - 2 * n1 / (n1 + 2 * n2) * n2 / n1", 2: "if(n3 > 0, 2 - 3 * n1 / (n1 + 2 * n2) * n3 / n2, 1D)",
+    3: "if(n3 > 0 and n4 > 0, 3 - 4 * n1 / (n1 + 2 * n2) * n4 / n3, 1D)"}.items()}
 
 
 def _fold_table() -> np.ndarray:
@@ -91,35 +106,118 @@ def grams(text: str) -> np.ndarray:
     return g
 
 
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The different runs of ``LONG`` characters that end at a character, which of them ends at each, lengths of the texts."""
+    import pandas as pd
+    pads, parts, lengths = np.full(LONG - 1, PAD, np.uint32), [], []
+    for t in texts:
+        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+        parts += [pads, points]
+        lengths.append(len(points))
+    s = np.concatenate(parts)
+    at = np.flatnonzero(s[LONG - 1:] != PAD)
+    code, found = pd.factorize(keys([s[i: len(s) - LONG + 1 + i] for i in range(LONG)])[at])
+    first = np.empty(len(found), np.int64)
+    first[code[::-1]] = at[::-1]
+    return s[first[:, None] + np.arange(LONG)], code, lengths
+
+
+def keys(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit key of each run of characters, one column for each place."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            h = (h + mix(c.astype(np.uint64) + np.uint64(1))) * np.uint64(BASE)
+        return mix(h).view(np.int64)
+
+
+def levels(runs: np.ndarray) -> dict[str, np.ndarray]:
+    """Keys of the n-gram (g) and the context (c) of each unfolded order that end at the last character of ``runs``."""
+    out = {}
+    for k in range(LONG, SHORT - 1, -1):
+        columns = [runs[:, i] for i in range(LONG - k, LONG)]
+        out |= {f"g{k}": keys(columns), f"c{k}": keys(columns[:-1])}
+    return out
+
+
+def folded(runs: np.ndarray) -> np.ndarray:
+    """The folded n-gram at the end of each run."""
+    if not _FOLD:
+        _FOLD.append(_fold_table())
+    last = runs[:, LONG - ORDER:]
+    s = np.where(last == PAD, 0, _FOLD[0][np.where(last < 1 << 16, last, ord("㐀"))]).astype(np.int64)
+    return s @ SYMBOLS ** np.arange(ORDER - 1, -1, -1)
+
+
+def class_sizes() -> np.ndarray:
+    """How many code points each symbol stands for."""
+    if not _FOLD:
+        _FOLD.append(_fold_table())
+    n = np.bincount(_FOLD[0], minlength=SYMBOLS).astype(np.float64)
+    n[_FOLD[0][ord("㐀")]] += PAD - (1 << 16)
+    return np.maximum(n, 1)
+
+
+def long_counts(trusted: DataFrame) -> DataFrame:
+    """(lang, half, keys of each order, folded n-gram, n) of the different runs of ``trusted`` (lang, text)."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in sliced(batch, text="text", chars=SLICE):
+            by: dict[tuple, list] = {}
+            for of in zip(part.column("lang").to_pylist(), part.column("half").to_pylist(), part.column("text").to_pylist()):
+                by.setdefault(of[:2], []).append(of[2])
+            for (lang, half), texts in by.items():
+                runs, code, _ = windows(texts)
+                yield {"lang": [lang] * len(runs), "half": np.full(len(runs), half), "gram": folded(runs), **levels(runs),
+                       "n": np.bincount(code, minlength=len(runs))}
+
+    names = ["lang", "half", "gram", *LEVELS]
+    part = mapped(trusted.select("lang", F.expr("int(pmod(xxhash64(text), 2))").alias("half"), "text"), run,
+                  "lang string, half int, gram long, " + ", ".join(f"{c} long" for c in LEVELS) + ", n long")
+    return part.groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def long_model(counts: DataFrame) -> DataFrame:
+    """(model, half, key, own, back): discounted share of an n-gram, weight of the lower order after a context.
+
+    ``half`` 0 and 1 are of the other half of the trusted documents, 2 of all.  Below the
+    highest order the counts are continuation counts.
+    """
+    every = with_pooled(counts).withColumnRenamed("lang", "model").withColumn("half", F.explode(F.array(1 - F.col("half"), F.lit(2))))
+    of, out, cur = ["model", "half"], None, None
+    for k in range(LONG, SHORT - 1, -1):
+        names = LEVELS[2 * (LONG - k):]
+        cur = (every if cur is None else cur).groupBy(*of, *names).agg((F.sum("n") if k == LONG else F.count("*")).alias("n"))
+        rows = cur.select(*of, F.lit(k).alias("k"), F.col(f"g{k}").alias("gram"), F.col(f"c{k}").alias("context"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    seen = written(out, "long-counts")
+    few = seen.groupBy(*of, "k").agg(*[F.count_if(F.col("n") == c).cast("double").alias(f"n{c}") for c in (1, 2, 3, 4)])
+    few = few.select(*of, "k", *[F.expr(e).alias(f"d{c}") for c, e in DISCOUNTS.items()])
+    # a row for each order of a model
+    cut = seen.join(F.broadcast(few), [*of, "k"]).select(
+        *of, "gram", "context", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("cut"))
+    after = cut.groupBy(*of, "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cut"))
+    own = cut.join(after.select(*of, "context", "total"), [*of, "context"])
+    nothing = F.lit(None).cast("float")
+    table = own.select(*of, F.col("gram").alias("key"), ((F.col("n") - F.col("cut")) / F.col("total")).cast("float").alias("own"), nothing.alias("back"))
+    table = table.unionByName(after.select(*of, F.col("context").alias("key"), nothing.alias("own"), (F.col("cut") / F.col("total")).cast("float").alias("back")))
+    model = written(table.groupBy(*of, "key").agg(F.max("own").alias("own"), F.max("back").alias("back")), "long-model")
+    discard(seen)
+    return model
+
+
 def gram_counts(trusted: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all documents of ``trusted`` (lang, text), counted per task, then summed."""
+    """(lang, gram, n) of the folded n-grams over all documents of ``trusted`` (lang, text)."""
+    return folded_counts(long_counts(trusted))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, dense in held.items():
-                at = np.flatnonzero(dense)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()),
-                                                  pa.array(dense[at], pa.int64())], ["lang", "gram", "n"])
-            held.clear()
+def folded_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
-        for batch in batches:
-            by: dict[str, list] = {}
-            for part in sliced(batch, text="text"):
-                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                    by.setdefault(lang, []).append(grams(text))
-                for lang, g in by.items():
-                    if lang not in held and len(held) >= MODELS_AT_ONCE:
-                        yield from flush()
-                    if lang not in held:
-                        held[lang] = np.zeros(SYMBOLS**ORDER, np.int64)
-                    held[lang] += np.bincount(np.concatenate(g), minlength=SYMBOLS**ORDER)
-                by.clear()
-        yield from flush()
-
-    part = trusted.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
-    return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+def with_pooled(counts: DataFrame) -> DataFrame:
+    """The counts of each language, and those of all text under the name ``POOLED``."""
+    return counts.unionByName(counts.withColumn("lang", F.lit(POOLED)))
 
 
 def order_counts(counts: DataFrame) -> DataFrame:
@@ -134,13 +232,13 @@ def order_counts(counts: DataFrame) -> DataFrame:
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """Discount of counts 0, 1, 2 and 3 or more."""
+    """Discount of counts 0, 1, 2 and 3 or more; never nothing, so that no text is impossible."""
     n1, n2, n3, n4 = (float((n == c).sum()) for c in (1, 2, 3, 4))
     if not n1 or not n2:
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = n1 / (n1 + 2 * n2)
     d = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2 if n3 else 1.0, 3 - 4 * y * n4 / n3 if n3 and n4 else 1.0]
-    return np.clip(np.array(d), 0.0, np.array([0.0, 0.99, 1.99, 2.99]))
+    return np.clip(np.array(d), np.array([0.0, 0.01, 0.01, 0.01]), np.array([0.0, 0.99, 1.99, 2.99]))
 
 
 def model_table(k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -188,12 +286,9 @@ def packed_model(k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> bytes:
     return b"".join([np.log(before).astype("<f4").tobytes(), np.array([len(at)], "<i4").tobytes(), at.tobytes(), rows.astype("<f4").tobytes()])
 
 
-def trained(trusted: DataFrame) -> DataFrame:
-    """(lang, model): one row per language with trusted text, and one of all, named ``POOLED``."""
-    counts = written(gram_counts(trusted), "gram-counts")
-    pooled = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
-    every = written(order_counts(counts.unionByName(pooled)), "order-counts")
-    discard(counts)
+def trained(counts: DataFrame) -> DataFrame:
+    """(lang, model): the folded model of each language with trusted text, and one of all, named ``POOLED``."""
+    every = written(order_counts(folded_counts(with_pooled(counts))), "order-counts")
 
     def build(pdf):
         import pandas as pd
@@ -206,31 +301,83 @@ def trained(trusted: DataFrame) -> DataFrame:
     return models
 
 
-def scored(docs: DataFrame, models: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with ``nll``, the mean negative log-likelihood of a character (null without text)."""
+def asked(docs: DataFrame) -> DataFrame:
+    """(model, half, block, key): the different n-grams and contexts of each block of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd
+        names = ["model", "half", "block"]
+        for batch in batches:
+            for part in sliced(batch, text="text", chars=SLICE):
+                by: dict[tuple, list] = {}
+                for of in zip(*[part.column(c).to_pylist() for c in (*names, "text")]):
+                    by.setdefault(of[:3], []).append(of[3])
+                for of, texts in by.items():
+                    need = pd.unique(np.concatenate(list(levels(windows(texts)[0]).values())))
+                    yield pa.RecordBatch.from_arrays([pa.array([of[0]] * len(need), pa.string()), pa.array(np.full(len(need), of[1], np.int32)),
+                                                      pa.array(np.full(len(need), of[2], np.int64)), pa.array(need)], [*names, "key"])
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, "model string, half int, block long, key long").distinct()
+
+
+def scorer(held, marks: list[str]):
+    """Scores a block (texts) with what was found of its n-grams."""
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not _TABLES or _TABLES[0][0] is not held.value:  # once per worker and pass
+            _TABLES[:] = [(held.value, {k: Model(v) for k, v in held.value.items()}, class_sizes())]
+        base, sizes = _TABLES[0][1][texts.column("model")[0].as_py()], _TABLES[0][2]
+        key = found.column("key").to_numpy()
+        order = np.argsort(key)
+        key = key[order]
+        own, back = (np.append(np.nan_to_num(found.column(c).to_numpy().astype(np.float64)[order], nan=none), none) for c, none in (("own", 0.0), ("back", 1.0)))
+
+        def place(k: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(key, k)
+            return np.where((at < len(key)) & (np.append(key, 0)[at] == k), at, len(key))
+
+        nll = []
+        for batch in texts.select(["text"]).combine_chunks().to_batches():
+            for part in sliced(batch, text="text", chars=SLICE):
+                runs, code, lengths = windows(part.column("text").to_pylist())
+                gram, at = folded(runs), levels(runs)
+                p = np.exp(base.log_probability(gram).astype(np.float64)) / sizes[gram % SYMBOLS]
+                for k in range(SHORT, LONG + 1):
+                    p = own[place(at[f"g{k}"])] + back[place(at[f"c{k}"])] * p
+                ends = np.cumsum(lengths)
+                nll.append(-np.add.reduceat(np.log(p)[code], ends - lengths) / lengths)
+        return texts.select(marks).append_column("nll", pa.array(np.concatenate(nll)))
+
+    return score
+
+
+def scored(docs: DataFrame, models: DataFrame, table: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, lang, text, half) with ``nll`` for text, the mean negative log-likelihood of a character (null without text).
+
+    The documents of a model are dealt into blocks of about ``BLOCK`` characters.  A block's
+    different n-grams are joined to the sharded table, and what was found returns to the block.
+    """
     spark = docs.sparkSession
-    known = sorted(r[0] for r in models.select("lang").collect())
-    out = docs.withColumn("nll", F.lit(None).cast("double"))
-    rest = [x for x in known if x != POOLED]
-    passes = [rest[i: i + MODELS_AT_ONCE] for i in range(0, len(rest), MODELS_AT_ONCE)] or [[]]
-    names, types = docs.columns, dict(docs.dtypes)
-    for number, some in enumerate(passes if known else []):
-        want = some + [POOLED] * (number == 0)
-        held = spark.sparkContext.broadcast({r[0]: r[1] for r in models.where(F.col("lang").isin(want)).toLocalIterator()})
-
-        def run(batch: pa.RecordBatch, held=held, first=number == 0) -> Iterator[dict]:
-            if not _TABLES or _TABLES[0][0] is not held.value:  # once per worker and pass
-                _TABLES[:] = [(held.value, {k: Model(v) for k, v in held.value.items()})]
-            tables = _TABLES[0][1]
-            for part in sliced(batch, text=text):
-                nll = part.column("nll").to_pylist()
-                for i, (t, l) in enumerate(zip(part.column(text).to_pylist(), part.column(lang).to_pylist())):
-                    use = tables.get(l) if l in tables else tables[POOLED] if first and l not in known else None
-                    if t and use is not None:
-                        nll[i] = -float(use.log_probability(grams(t)).mean(dtype=np.float64))
-                yield {**{c: part.column(c) for c in names}, "nll": nll}
-
-        out = mapped(out, run, ", ".join(f"`{c}` {types[c]}" for c in names) + ", nll double")
+    names = sorted(r[0] for r in models.select("lang").collect())
+    marks = ["doc_id", "lang", "print", "length"]
+    docs = docs.select("doc_id", "lang", F.xxhash64("text").alias("print"), length_class(F.length("text")).alias("length"), "half", "text")
+    plain = docs.where("text <> ''") if names else docs.where("false")
+    out = docs.where("coalesce(text, '') = ''") if names else docs
+    out = out.select(*marks, F.lit(None).cast("double").alias("nll"))
+    blocks = max(1, -(-(plain.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK))
+    plain = plain.withColumn("model", F.when(F.col("lang").isin(names), F.col("lang")).otherwise(POOLED)).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id", "print"), F.lit(blocks)))
+    types, of = dict(docs.dtypes), ["model", "half", "block"]
+    for i in range(0, len(names), MODELS_AT_ONCE):
+        some = names[i: i + MODELS_AT_ONCE]
+        held = spark.sparkContext.broadcast({r[0]: r[1] for r in models.where(F.col("lang").isin(some)).toLocalIterator()})
+
+        # one exchange of the text serves both sides
+        mine = plain.where(F.col("model").isin(some)).repartition(*of)
+        found = asked(mine).join(table, ["model", "half", "key"]).select(*of, "key", "own", "back")
+        out = out.unionByName(mine.groupBy(*of).cogroup(found.groupBy(*of)).applyInArrow(
+            scorer(held, marks), ", ".join(f"{c} {types[c]}" for c in marks) + ", nll double"))
     return out
 
 
@@ -257,11 +404,15 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, low: float = 0.002, h
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(POOLED)).alias("lang")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, F.col("text").cast("string").alias("text"))
     # merged, not broadcast: the labels grow with the documents
-    models = trained(plain.where("text <> ''").hint("merge").join(sound, "doc_id", "left_semi"))
-    scores = scored(plain, models)
-    discard(models)
-    marks = written(scores.select("doc_id", "lang", F.xxhash64("text").alias("print"), "nll",
-                                                 length_class(F.length("text")).alias("length")), "scores")
+    trusted = plain.where("text <> ''").hint("merge").join(sound, "doc_id", "left_semi")
+    counts = written(long_counts(trusted), "gram-counts")
+    models, table = trained(counts), long_model(counts)
+    discard(counts)
+    # a text that is among the trusted is scored by the half it is not in
+    half = plain.hint("merge").join(sound.withColumn("known", F.lit(True)), "doc_id", "left").select(
+        "doc_id", "lang", "text", F.expr("if(known, int(pmod(xxhash64(text), 2)), 2)").alias("half"))
+    marks = written(scored(half, models, table), "scores")
+    discard(models, table)
     limits = bands(marks.join(sound, "doc_id", "left_semi"), low, high, least)
     # a length class with too few trusted documents takes the language's nearest shorter one
     nearest = Window.partitionBy("lang", "length").orderBy(F.desc("of"))

@@ -146,6 +146,56 @@ def test_gram_counts_and_continuations(spark):
     assert lower == {key: len(v) for key, v in left.items()}
 
 
+def test_unfolded_perplexity_equals_the_formula(spark):
+    """Documents' scores by the sharded count joins, against the recursion over dictionaries."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["The ", "the ", "CAT ", "cat ", "sat", "ö", "é 12", "日本", "😀", ". "]) for _ in range(rng.randrange(4, 30))) for _ in range(40)]
+    trusted = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    halves = dict(trusted.select("text", F.expr("int(pmod(xxhash64(text), 2))")).collect())
+    counts = q.long_counts(trusted).cache()
+    new = ["TCA het öse", "x", "日本日本 CAT"]
+    docs = spark.createDataFrame([(i, "en", t, halves.get(t, 2)) for i, t in enumerate(texts + new)], "doc_id long, lang string, text string, half int")
+    got = {r.doc_id: r.nll for r in q.scored(docs, q.trained(counts), q.long_model(counts)).collect()}
+    base_grams, n = np.unique(np.concatenate([q.grams(t) for t in texts]), return_counts=True)
+    k, gram, count, cur = [np.full(len(n), q.ORDER)], [base_grams], [n], base_grams
+    for order in range(q.ORDER - 1, 0, -1):
+        cur, c = np.unique(cur % q.SYMBOLS**order, return_counts=True)
+        k, gram, count = k + [np.full(len(cur), order)], gram + [cur], count + [c]
+    base = q.model_table(np.concatenate(k), np.concatenate(gram), np.concatenate(count))
+    for half in (0, 1, 2):
+        seen: dict = {}
+        for t in texts:
+            if half == 2 or halves[t] != half:
+                s = [None] * (q.LONG - 1) + list(t)
+                for i in range(len(t)):
+                    g = tuple(s[i: i + q.LONG])
+                    seen[g] = seen.get(g, 0) + 1
+        orders = {q.LONG: seen}
+        for order in range(q.LONG - 1, q.SHORT - 1, -1):
+            orders[order] = {}
+            for g in orders[order + 1]:
+                orders[order][g[1:]] = orders[order].get(g[1:], 0) + 1
+        cut, after = {o: q.discounts(np.array(list(c.values()))) for o, c in orders.items()}, {}
+        for o, c in orders.items():
+            for g, m in c.items():
+                total, back = after.get(g[:-1], (0, 0.0))
+                after[g[:-1]] = total + m, back + cut[o][min(m, 3)]
+        for i, t in enumerate(texts + new):
+            if halves.get(t, 2) != half:
+                continue
+            s, total = [None] * (q.LONG - 1) + list(t), 0.0
+            for j, f in enumerate(q.grams(t)):
+                p = np.exp(float(base[f])) / q.class_sizes()[f % q.SYMBOLS]
+                for o in range(q.SHORT, q.LONG + 1):
+                    g = tuple(s[j + q.LONG - o: j + q.LONG])
+                    if g[:-1] in after:
+                        m, (all_, back) = orders[o].get(g, 0), after[g[:-1]]
+                        p = (m - cut[o][min(m, 3)]) / all_ + back / all_ * p
+                total -= np.log(p)
+            assert got[i] == pytest.approx(total / len(t), rel=1e-4)
+    assert got[40] > got[42]  # scrambled capitals and letters fold to the same symbols; whole n-grams tell them apart
+
+
 def test_quality_keeps_clean_and_rejects_noise(spark):
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
     labels = spark.read.parquet(f"{SF_CHECK}/labels.parquet")
