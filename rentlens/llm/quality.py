@@ -27,6 +27,7 @@ Documents of a language without trusted text are scored by the model of all
 trusted text.  A band needs ``least`` trusted documents, else the language's
 widest band of shorter texts counts, else nothing is rejected.  Null or empty
 text has null perplexity and is kept; without any trusted text all is kept.
+A null or empty language is none: such text counts for the model of all trusted text only.
 Rows that repeat are judged alike; a null doc_id is judged like others.  Trusted
 documents have quality 1 and are not toxic in all their labels.  Columns other
 than doc_id, text and lang are ignored.
@@ -49,6 +50,7 @@ from rentlens.llm.common import BASE, discard, mapped, mix, sliced, unused, writ
 ORDER = 4
 SYMBOLS = 42
 MODELS_AT_ONCE = 6
+#: The model of all trusted text, and the language of text without one.
 POOLED = ""
 #: Highest and lowest order of the unfolded n-grams, and what stands before a text (no code point).
 LONG, SHORT, PAD = 6, 4, 0x110000
@@ -216,8 +218,8 @@ def folded_counts(counts: DataFrame) -> DataFrame:
 
 
 def with_pooled(counts: DataFrame) -> DataFrame:
-    """The counts of each language, and those of all text under the name ``POOLED``."""
-    return counts.unionByName(counts.withColumn("lang", F.lit(POOLED)))
+    """The counts of each language, and those of all text, also of no language, under the name ``POOLED``."""
+    return counts.where(F.col("lang") != POOLED).unionByName(counts.withColumn("lang", F.lit(POOLED)))
 
 
 def order_counts(counts: DataFrame) -> DataFrame:

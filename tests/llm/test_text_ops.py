@@ -196,6 +196,18 @@ def test_unfolded_perplexity_equals_the_formula(spark):
     assert got[40] > got[42]  # scrambled capitals and letters fold to the same symbols; whole n-grams tell them apart
 
 
+def test_pooled_counts_hold_each_text_once(spark):
+    rows = [("en", "abab ab"), (q.POOLED, "abab"), (q.POOLED, "zz"), ("de", "zz")]  # a null language becomes POOLED
+    counts = q.long_counts(spark.createDataFrame(rows, "lang string, text string"))
+    got = {(r.lang, r.gram): r.n for r in q.folded_counts(q.with_pooled(counts)).collect()}
+    want: dict = {}
+    for lang, t in rows:
+        for g in q.grams(t).tolist():
+            for of in {lang, q.POOLED}:
+                want[of, g] = want.get((of, g), 0) + 1
+    assert got == want
+
+
 def test_quality_keeps_clean_and_rejects_noise(spark):
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
     labels = spark.read.parquet(f"{SF_CHECK}/labels.parquet")
