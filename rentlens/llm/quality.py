@@ -22,11 +22,17 @@ rejected if it lies outside the band between two quantiles of the perplexity of
 the trusted documents of its language and length class (doubling lengths, as
 short texts scatter more), widened by a margin on the log scale.  The quantiles
 are exact to 0.001 in the mean negative log-likelihood, from grouped counts.
-
-Documents of a language without trusted text are scored by the model of all
-trusted text.  A band needs ``least`` trusted documents, else the language's
-widest band of shorter texts counts, else nothing is rejected.  Null or empty
-text has null perplexity and is kept; without any trusted text all is kept.
+Trusted documents count with their held-out perplexity, so a band holds for text
+that has not been seen and the margin is only for the quantiles' own error.
+
+Every document with text is judged.  A length class with fewer than ``least``
+trusted documents has the language's nearest shorter band, else its nearest longer
+one, else that of the whole language; the latter two are widened by ``WIDEN``
+standard errors of a mean of so many characters (the spread is the trusted
+documents', never under ``SPREAD``, and more of few documents).  A language with fewer than ``FEW`` trusted
+documents, and text without a language, is scored by the model of all trusted text
+and judged by the bands of all trusted documents under that model.  Null or
+empty text has null perplexity and is kept; without any trusted text all is kept.
 A null or empty language is none: such text counts for the model of all trusted text only.
 Rows that repeat are judged alike; a null doc_id is judged like others.  Trusted
 documents have quality 1 and are not toxic in all their labels.  Columns other
@@ -53,10 +59,13 @@ MODELS_AT_ONCE = 6
 #: The model of all trusted text, and the language of text without one.
 POOLED = ""
 #: Highest and lowest order of the unfolded n-grams, and what stands before a text (no code point).
-LONG, SHORT, PAD = 6, 4, 0x110000
-LEVELS = [f"{x}{k}" for k in range(LONG, SHORT - 1, -1) for x in "gc"]
+LONG, SHORT, PAD = 5, 4, 0x110000
 #: Characters of a block (its n-grams are looked up once) and bytes of text that a task works on at a time.
 BLOCK, SLICE = 16 << 20, 2 << 20
+#: Keys that a task holds before it merges or sends them.
+HELD = 8 << 20
+#: Trusted documents from which a language has a model of its own; standard errors and least spread of borrowed bands.
+FEW, WIDEN, SPREAD = 10, 3.0, 2.0
 #: Discounts of counts 1, 2 and 3 or more, from the numbers of n-grams counted one to four times (see ``discounts``).
 DISCOUNTS = {c: f"if(n1 > 0 and n2 > 0, least({c - 0.01}, greatest(0.01, {e})), 0.5D)" for c, e in {
     1: "1 - 2 * n1 / (n1 + 2 * n2) * n2 / n1", 2: "if(n3 > 0, 2 - 3 * n1 / (n1 + 2 * n2) * n3 / n2, 1D)",
@@ -160,8 +169,19 @@ def class_sizes() -> np.ndarray:
     return np.maximum(n, 1)
 
 
+def packed(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of each run as two numbers, 21 bits each: ``lo`` has the last three, ``hi`` those before."""
+    r, lo = runs.astype(np.int64), LONG - 3
+    return (sum(r[:, i] << 21 * (lo - 1 - i) for i in range(lo)), sum(r[:, i] << 21 * (LONG - 1 - i) for i in range(lo, LONG)))
+
+
+def unpacked(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    mask = (1 << 21) - 1
+    return np.stack([(hi >> 21 * (LONG - 4 - i)) & mask for i in range(LONG - 3)] + [(lo >> 21 * i) & mask for i in (2, 1, 0)], axis=1)
+
+
 def long_counts(trusted: DataFrame) -> DataFrame:
-    """(lang, half, keys of each order, folded n-gram, n) of the different runs of ``trusted`` (lang, text)."""
+    """(lang, half, hi, lo, n) of the different runs of ``trusted`` (lang, text)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in sliced(batch, text="text", chars=SLICE):
@@ -170,40 +190,52 @@ def long_counts(trusted: DataFrame) -> DataFrame:
                 by.setdefault(of[:2], []).append(of[2])
             for (lang, half), texts in by.items():
                 runs, code, _ = windows(texts)
-                yield {"lang": [lang] * len(runs), "half": np.full(len(runs), half), "gram": folded(runs), **levels(runs),
-                       "n": np.bincount(code, minlength=len(runs))}
+                hi, lo = packed(runs)
+                yield {"lang": [lang] * len(runs), "half": np.full(len(runs), half), "hi": hi, "lo": lo, "n": np.bincount(code, minlength=len(runs))}
 
-    names = ["lang", "half", "gram", *LEVELS]
     part = mapped(trusted.select("lang", F.expr("int(pmod(xxhash64(text), 2))").alias("half"), "text"), run,
-                  "lang string, half int, gram long, " + ", ".join(f"{c} long" for c in LEVELS) + ", n long")
-    return part.groupBy(*names).agg(F.sum("n").alias("n"))
+                  "lang string, half int, hi long, lo long, n long")
+    return part.groupBy("lang", "half", "hi", "lo").agg(F.sum("n").alias("n"))
 
 
 def long_model(counts: DataFrame) -> DataFrame:
-    """(model, half, key, own, back): discounted share of an n-gram, weight of the lower order after a context.
+    """(key, own, back): discounted share of an n-gram, weight of the lower order after a context.
 
-    ``half`` 0 and 1 are of the other half of the trusted documents, 2 of all.  Below the
-    highest order the counts are continuation counts.
+    A key is that of the characters, crossed with the hash of (model, half).  ``half`` 0 and 1
+    are of the other half of the trusted documents, 2 of all.  Below the highest order the
+    counts are continuation counts.
     """
-    every = with_pooled(counts).withColumnRenamed("lang", "model").withColumn("half", F.explode(F.array(1 - F.col("half"), F.lit(2))))
-    of, out, cur = ["model", "half"], None, None
+    of, out = ["model", "half"], None
+    cur = counts.withColumnRenamed("lang", "model").withColumn("half", F.explode(F.array(1 - F.col("half"), F.lit(2))))
     for k in range(LONG, SHORT - 1, -1):
-        names = LEVELS[2 * (LONG - k):]
-        cur = (every if cur is None else cur).groupBy(*of, *names).agg((F.sum("n") if k == LONG else F.count("*")).alias("n"))
-        rows = cur.select(*of, F.lit(k).alias("k"), F.col(f"g{k}").alias("gram"), F.col(f"c{k}").alias("context"), "n")
+        cur = cur.withColumn("hi", F.col("hi").bitwiseAND(F.lit((1 << 21 * (k - 3)) - 1)))
+        cur = cur.groupBy(*of, "hi", "lo").agg((F.sum("n") if k == LONG else F.count("*")).alias("n"))
+        rows = cur.select(*of, F.lit(k).alias("k"), "hi", "lo", "n")
         out = rows if out is None else out.unionByName(rows)
     seen = written(out, "long-counts")
     few = seen.groupBy(*of, "k").agg(*[F.count_if(F.col("n") == c).cast("double").alias(f"n{c}") for c in (1, 2, 3, 4)])
     few = few.select(*of, "k", *[F.expr(e).alias(f"d{c}") for c, e in DISCOUNTS.items()])
     # a row for each order of a model
     cut = seen.join(F.broadcast(few), [*of, "k"]).select(
-        *of, "gram", "context", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("cut"))
-    after = cut.groupBy(*of, "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cut"))
-    own = cut.join(after.select(*of, "context", "total"), [*of, "context"])
-    nothing = F.lit(None).cast("float")
-    table = own.select(*of, F.col("gram").alias("key"), ((F.col("n") - F.col("cut")) / F.col("total")).cast("float").alias("own"), nothing.alias("back"))
-    table = table.unionByName(after.select(*of, F.col("context").alias("key"), nothing.alias("own"), (F.col("cut") / F.col("total")).cast("float").alias("back")))
-    model = written(table.groupBy(*of, "key").agg(F.max("own").alias("own"), F.max("back").alias("back")), "long-model")
+        *of, "k", "hi", "lo", F.shiftright("lo", 21).alias("at"), "n", F.expr("case n when 1 then d1 when 2 then d2 else d3 end").alias("cut"))
+    after = cut.groupBy(*of, "k", "hi", "at").agg(F.sum("n").alias("total"), F.sum("cut").alias("back"))
+    own = cut.join(after.drop("back"), [*of, "k", "hi", "at"])
+    salt, nothing = F.xxhash64("model", "half").alias("salt"), F.lit(None).cast("float")
+    table = own.select(salt, "k", "hi", "lo", ((F.col("n") - F.col("cut")) / F.col("total")).cast("float").alias("own"), nothing.alias("back"))
+    table = table.unionByName(after.select(salt, "k", "hi", F.shiftleft("at", 21).alias("lo"), nothing.alias("own"), (F.col("back") / F.col("total")).cast("float").alias("back")))
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        runs, k = unpacked(*(batch.column(c).to_numpy() for c in ("hi", "lo"))), batch.column("k").to_numpy()
+        context = batch.column("own").is_null().to_numpy(zero_copy_only=False)
+        key = np.zeros(len(k), np.int64)
+        for order in range(SHORT, LONG + 1):
+            for end in (0, 1):
+                some = (k == order) & (context == bool(end))
+                key[some] = keys([runs[some, i] for i in range(LONG - order, LONG - end)])
+        yield {"key": key ^ batch.column("salt").to_numpy(), "own": batch.column("own"), "back": batch.column("back")}
+
+    keyed = mapped(table, run, "key long, own float, back float")
+    model = written(keyed.groupBy("key").agg(F.max("own").alias("own"), F.max("back").alias("back")), "long-model")
     discard(seen)
     return model
 
@@ -214,7 +246,10 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
 
 
 def folded_counts(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield {"lang": batch.column("lang"), "n": batch.column("n"), "gram": folded(unpacked(*(batch.column(c).to_numpy() for c in ("hi", "lo"))))}
+
+    return mapped(counts.select("lang", "hi", "lo", "n"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def with_pooled(counts: DataFrame) -> DataFrame:
@@ -289,8 +324,8 @@ def packed_model(k: np.ndarray, gram: np.ndarray, n: np.ndarray) -> bytes:
 
 
 def trained(counts: DataFrame) -> DataFrame:
-    """(lang, model): the folded model of each language with trusted text, and one of all, named ``POOLED``."""
-    every = written(order_counts(folded_counts(with_pooled(counts))), "order-counts")
+    """(lang, model): the folded model of each language of ``counts``."""
+    every = written(order_counts(folded_counts(counts)), "order-counts")
 
     def build(pdf):
         import pandas as pd
@@ -304,23 +339,41 @@ def trained(counts: DataFrame) -> DataFrame:
 
 
 def asked(docs: DataFrame) -> DataFrame:
-    """(model, half, block, key): the different n-grams and contexts of each block of ``docs``."""
+    """(block, key): the different n-grams and contexts of each block of ``docs`` (a block in several batches may repeat some)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
-        names = ["model", "half", "block"]
+        held: dict[int, list] = {}
+        size = 0
+
+        def merged() -> int:
+            for block, arrays in held.items():
+                held[block] = [pd.unique(np.concatenate(arrays))]
+            return sum(len(x[0]) for x in held.values())
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, arrays in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), block, np.int32)), pa.array(arrays[0])], ["block", "key"])
+            held.clear()
+
         for batch in batches:
             for part in sliced(batch, text="text", chars=SLICE):
                 by: dict[tuple, list] = {}
-                for of in zip(*[part.column(c).to_pylist() for c in (*names, "text")]):
-                    by.setdefault(of[:3], []).append(of[3])
-                for of, texts in by.items():
-                    need = pd.unique(np.concatenate(list(levels(windows(texts)[0]).values())))
-                    yield pa.RecordBatch.from_arrays([pa.array([of[0]] * len(need), pa.string()), pa.array(np.full(len(need), of[1], np.int32)),
-                                                      pa.array(np.full(len(need), of[2], np.int64)), pa.array(need)], [*names, "key"])
+                for block, salt, text in zip(*[part.column(c).to_pylist() for c in ("block", "salt", "text")]):
+                    by.setdefault((block, salt), []).append(text)
+                for (block, salt), texts in by.items():
+                    held.setdefault(block, []).extend(x ^ salt for x in levels(windows(texts)[0]).values())
+                    size += sum(len(x) for x in held[block][-2 * (LONG - SHORT + 1):])
+                if size > HELD:
+                    size = merged()
+                if size > HELD // 2:
+                    yield from flush()
+                    size = 0
             pa.default_memory_pool().release_unused()
+        merged()
+        yield from flush()
 
-    return docs.mapInArrow(run, "model string, half int, block long, key long").distinct()
+    return docs.mapInArrow(run, "block int, key long")
 
 
 def scorer(held, marks: list[str]):
@@ -329,13 +382,14 @@ def scorer(held, marks: list[str]):
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         if not _TABLES or _TABLES[0][0] is not held.value:  # once per worker and pass
             _TABLES[:] = [(held.value, {k: Model(v) for k, v in held.value.items()}, class_sizes())]
-        base, sizes = _TABLES[0][1][texts.column("model")[0].as_py()], _TABLES[0][2]
+        base, sizes, salt = _TABLES[0][1][texts.column("model")[0].as_py()], _TABLES[0][2], texts.column("salt")[0].as_py()
         key = found.column("key").to_numpy()
         order = np.argsort(key)
         key = key[order]
         own, back = (np.append(np.nan_to_num(found.column(c).to_numpy().astype(np.float64)[order], nan=none), none) for c, none in (("own", 0.0), ("back", 1.0)))
 
         def place(k: np.ndarray) -> np.ndarray:
+            k = k ^ salt
             at = np.searchsorted(key, k)
             return np.where((at < len(key)) & (np.append(key, 0)[at] == k), at, len(key))
 
@@ -355,30 +409,36 @@ def scorer(held, marks: list[str]):
 
 
 def scored(docs: DataFrame, models: DataFrame, table: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, lang, text, half) with ``nll`` for text, the mean negative log-likelihood of a character (null without text).
+    """``docs`` (doc_id, lang, text, half, extra) with ``model`` and ``nll`` for text, the mean negative log-likelihood of a character (null without text).
 
     The documents of a model are dealt into blocks of about ``BLOCK`` characters.  A block's
     different n-grams are joined to the sharded table, and what was found returns to the block.
     """
     spark = docs.sparkSession
     names = sorted(r[0] for r in models.select("lang").collect())
-    marks = ["doc_id", "lang", "print", "length"]
-    docs = docs.select("doc_id", "lang", F.xxhash64("text").alias("print"), length_class(F.length("text")).alias("length"), "half", "text")
+    marks = ["doc_id", "model", "print", "chars", "half", "extra"]
+    model = F.when(F.col("lang").isin(names) & ~F.col("extra"), F.col("lang")).otherwise(POOLED).alias("model")
+    docs = docs.select("doc_id", model, F.xxhash64("text").alias("print"), F.length("text").alias("chars"), "half", "extra", "text")
     plain = docs.where("text <> ''") if names else docs.where("false")
     out = docs.where("coalesce(text, '') = ''") if names else docs
     out = out.select(*marks, F.lit(None).cast("double").alias("nll"))
-    blocks = max(1, -(-(plain.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK))
-    plain = plain.withColumn("model", F.when(F.col("lang").isin(names), F.col("lang")).otherwise(POOLED)).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", "print"), F.lit(blocks)))
-    types, of = dict(docs.dtypes), ["model", "half", "block"]
+    # blocks are numbered through, so many for each half of a model as it has text; a number for each, not for each document
+    total, dealt = 0, []
+    for r in plain.groupBy("model", "half").agg(F.sum("chars").alias("n")).sort("model", "half").collect():
+        dealt.append((r.model, r.half, total, -(-r.n // BLOCK)))
+        total += dealt[-1][-1]
+    dealt = F.broadcast(spark.createDataFrame(dealt, "model string, half int, first int, blocks int"))
+    plain = plain.join(dealt, ["model", "half"]).withColumn("salt", F.xxhash64("model", "half")).withColumn(
+        "block", (F.col("first") + F.pmod(F.xxhash64("doc_id", "print"), F.col("blocks"))).cast("int"))
+    types = dict(docs.dtypes)
     for i in range(0, len(names), MODELS_AT_ONCE):
         some = names[i: i + MODELS_AT_ONCE]
         held = spark.sparkContext.broadcast({r[0]: r[1] for r in models.where(F.col("lang").isin(some)).toLocalIterator()})
 
         # one exchange of the text serves both sides
-        mine = plain.where(F.col("model").isin(some)).repartition(*of)
-        found = asked(mine).join(table, ["model", "half", "key"]).select(*of, "key", "own", "back")
-        out = out.unionByName(mine.groupBy(*of).cogroup(found.groupBy(*of)).applyInArrow(
+        mine = plain.where(F.col("model").isin(some)).select(*marks, "salt", "block", "text").repartition("block")
+        found = asked(mine).hint("merge").join(table, "key").select("block", "key", "own", "back")
+        out = out.unionByName(mine.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
             scorer(held, marks), ", ".join(f"{c} {types[c]}" for c in marks) + ", nll double"))
     return out
 
@@ -388,14 +448,28 @@ def length_class(chars):
 
 
 def bands(trusted: DataFrame, low: float, high: float, least: int) -> DataFrame:
-    """(lang, length, lo, hi): quantiles of ``nll`` by language and length class, from counts of milli-units."""
-    cells = trusted.where("nll is not null").groupBy("lang", "length", F.round(F.col("nll") * 1000).cast("long").alias("cell")).agg(F.count("*").alias("n"))
-    by = Window.partitionBy("lang", "length")
+    """(model, length, lo, hi): quantiles of ``nll`` by model and length class, from counts of milli-units."""
+    cells = trusted.where("nll is not null").groupBy("model", "length", F.round(F.col("nll") * 1000).cast("long").alias("cell")).agg(F.count("*").alias("n"))
+    by = Window.partitionBy("model", "length")
     cum = cells.withColumn("upto", F.sum("n").over(by.orderBy("cell"))).withColumn("all", F.sum("n").over(by))
-    return (cum.groupBy("lang", "length").agg(
+    return (cum.groupBy("model", "length").agg(
         F.min(F.when(F.col("upto") >= F.col("all") * low, F.col("cell"))).alias("lo"),
         F.min(F.when(F.col("upto") >= F.col("all") * high, F.col("cell"))).alias("hi"), F.max("all").alias("all"))
-        .where(F.col("all") >= least).select("lang", "length", (F.col("lo") / 1000).alias("lo"), (F.col("hi") / 1000).alias("hi")))
+        .where(F.col("all") >= least).select("model", "length", (F.col("lo") / 1000).alias("lo"), (F.col("hi") / 1000).alias("hi")))
+
+
+def limits(marks: DataFrame, low: float, high: float, least: int) -> DataFrame:
+    """(model, length, lo, hi, spread) for every length class of ``marks`` whose model has trusted documents."""
+    trusted = marks.where("half < 2 and nll is not null")
+    own = bands(trusted, low, high, least).withColumnRenamed("length", "of")
+    whole = bands(trusted.withColumn("length", F.lit(None).cast("int")), low, high, 1).withColumnRenamed("length", "of")
+    centre = trusted.groupBy("model").agg(F.avg("nll").alias("centre"))
+    spread = trusted.join(F.broadcast(centre), "model").groupBy("model").agg(
+        (F.greatest(F.lit(SPREAD), F.sqrt(F.avg((F.col("nll") - F.col("centre")) ** 2 * F.col("chars")))) * (1 + 4 / F.count("*"))).alias("spread"))
+    # the nearest shorter class, else the nearest longer one, else all
+    first = Window.partitionBy("model", "length").orderBy(F.expr("if(of is null, 2, if(of <= length, 0, 1))"), F.expr("abs(of - length)"))
+    return (marks.select("model", "length").distinct().join(own.unionByName(whole), "model").withColumn("r", F.row_number().over(first)).where("r = 1")
+            .join(spread, "model").select("model", "length", "lo", "hi", F.expr("if(of <= length, 0D, spread)").alias("spread")))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, margin: float = 0.1,
@@ -405,26 +479,28 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, low: float = 0.002, h
         F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("doc_id")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(POOLED)).alias("lang")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, F.col("text").cast("string").alias("text"))
-    # merged, not broadcast: the labels grow with the documents
-    trusted = plain.where("text <> ''").hint("merge").join(sound, "doc_id", "left_semi")
+    # merged, not broadcast: the labels grow with the documents; a text among the trusted is scored by the half it is not in
+    marked = written(plain.hint("merge").join(sound.withColumn("known", F.lit(True)), "doc_id", "left").select(
+        "doc_id", "lang", "text", F.expr("if(known, int(pmod(xxhash64(text), 2)), 2)").alias("half")), "marked")
+    trusted = marked.where("half < 2 and text <> ''")
     counts = written(long_counts(trusted), "gram-counts")
-    models, table = trained(counts), long_model(counts)
-    discard(counts)
-    # a text that is among the trusted is scored by the half it is not in
-    half = plain.hint("merge").join(sound.withColumn("known", F.lit(True)), "doc_id", "left").select(
-        "doc_id", "lang", "text", F.expr("if(known, int(pmod(xxhash64(text), 2)), 2)").alias("half"))
-    marks = written(scored(half, models, table), "scores")
-    discard(models, table)
-    limits = bands(marks.join(sound, "doc_id", "left_semi"), low, high, least)
-    # a length class with too few trusted documents takes the language's nearest shorter one
-    nearest = Window.partitionBy("lang", "length").orderBy(F.desc("of"))
-    wanted = marks.select("lang", "length").distinct()
-    limits = (wanted.join(limits.withColumnRenamed("length", "of"), "lang").where("of <= length")
-              .withColumn("r", F.row_number().over(nearest)).where("r = 1").select("lang", "length", "lo", "hi"))
-    judged = marks.join(F.broadcast(limits) if limits.count() <= 10_000 else limits, ["lang", "length"], "left")
-    judged = judged.select("doc_id", "print", F.exp("nll").alias("perplexity"),
-                           F.coalesce(~((F.col("nll") < F.col("lo") - margin) | (F.col("nll") > F.col("hi") + margin)), F.lit(True)).alias("accepted"))
-    return judged
+    known = [r.lang for r in trusted.groupBy("lang").count().where((F.col("count") >= FEW) & (F.col("lang") != POOLED)).collect()]
+    own = counts.where(F.col("lang").isin(known))
+    # where a document needs the model of all trusted text, it is made, and its bands are of all trusted documents
+    rest = not marked.where((F.col("text") != "") & ~F.col("lang").isin(known)).isEmpty()
+    some = with_pooled(own.unionByName(counts.where(~F.col("lang").isin(known)).withColumn("lang", F.lit(POOLED)))) if rest else own
+    models, table = trained(some), long_model(some)
+    half = marked.withColumn("extra", F.lit(False))
+    if rest:
+        half = half.unionByName(half.where(F.col("lang").isin(known) & (F.col("half") < 2)).withColumn("extra", F.lit(True)))
+    marks = written(scored(half, models, table).withColumn("length", length_class(F.col("chars"))), "scores")
+    discard(marked, counts, models, table)
+    lines = limits(marks, low, high, least)
+    # a row for each length class of a model
+    judged = marks.where("not extra").join(F.broadcast(lines), ["model", "length"], "left")
+    wide = F.lit(margin) + WIDEN * F.col("spread") / F.sqrt("chars")
+    return judged.select("doc_id", "print", F.exp("nll").alias("perplexity"),
+                         F.coalesce((F.col("nll") >= F.col("lo") - wide) & (F.col("nll") <= F.col("hi") + wide), F.lit(True)).alias("accepted"))
 
 
 def apply_verdicts(docs: DataFrame, judged: DataFrame) -> DataFrame:

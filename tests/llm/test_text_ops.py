@@ -154,7 +154,7 @@ def test_unfolded_perplexity_equals_the_formula(spark):
     halves = dict(trusted.select("text", F.expr("int(pmod(xxhash64(text), 2))")).collect())
     counts = q.long_counts(trusted).cache()
     new = ["TCA het öse", "x", "日本日本 CAT"]
-    docs = spark.createDataFrame([(i, "en", t, halves.get(t, 2)) for i, t in enumerate(texts + new)], "doc_id long, lang string, text string, half int")
+    docs = spark.createDataFrame([(i, "en", t, halves.get(t, 2), False) for i, t in enumerate(texts + new)], "doc_id long, lang string, text string, half int, extra boolean")
     got = {r.doc_id: r.nll for r in q.scored(docs, q.trained(counts), q.long_model(counts)).collect()}
     base_grams, n = np.unique(np.concatenate([q.grams(t) for t in texts]), return_counts=True)
     k, gram, count, cur = [np.full(len(n), q.ORDER)], [base_grams], [n], base_grams
@@ -225,6 +225,18 @@ def test_quality_held_out(spark):
     assert got[got.quality == 0].accepted.mean() <= 0.5
 
 
+def test_quality_judges_every_document_of_small_tables(spark):
+    """With the production parameters: quality-0 documents are rejected, also of languages with little or no trusted text."""
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").where("doc_id % 3 <> 0")
+    labels = spark.read.parquet(f"{SF_CHECK}/labels.parquet")
+    noise = spark.createDataFrame([(10**6 + i, lang, "%%$$ ###\u4e00~~ {{}} |||| ^^^^ " * n, "x", 0) for i, (lang, n) in enumerate(
+        [("de", 1), ("es", 40), ("en", 600), ("xx", 20), (None, 20), ("", 3)])], docs.schema)
+    got = q.quality_classifier(docs.unionByName(noise), labels).join(labels, "doc_id", "left").toPandas()
+    assert not got[got.doc_id >= 10**6].accepted.any()
+    assert got[got.quality == 1].accepted.mean() >= 0.97
+    assert got[got.quality == 0].accepted.mean() <= 0.5
+
+
 def test_quality_odd_rows(spark):
     docs = frame(spark, [(1, "good text here"), (1, "good text here"), (None, "x"), (2, None), (3, "")]).withColumn("nll", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, None), (1, None, 0)], "doc_id long, quality int, toxic int")
