@@ -8,17 +8,19 @@ digits or are digits only.  The network reads the candidate and its context
 with three widths, maximum over positions inside the candidate and around it, a hidden
 layer, one logit.
 
-Training.  Labelled findings are drawn from a bounded sample of documents
-(``sample_docs``, the smallest hashes of the texts): base findings are positive,
-ordinary words, numbers and random substitutes that follow the shape of ordinary
+Training.  All documents are scanned for base findings; labelled findings of a
+bounded sample of documents with base findings and of as many of all documents
+(``sample_docs``, the smallest hashes of the texts) train the network: base findings are
+positive, ordinary words, numbers and random substitutes that follow the shape of ordinary
 words negative; copies of the positives without the assignment's name, with their own
-and with random values of the same shape, make the network judge the value.  A part of the findings is held out: a logistic map
-calibrates the logit on it, and each kind's threshold is one half, or lower where
-the recall on it asks for that.
+and with random values of the same shape, make the network judge the value.  Three tenths of
+all documents are held out: a logistic map calibrates the logit on every finding of theirs,
+and each kind's threshold is one half, or lower where the recall on them asks for that
+(from grouped counts of logits rounded to 1 / ``CELLS``).
 
 Spans are half-open, in code points.  Null or empty text has none.  Very long
-texts are scanned whole.  Rows that repeat give equal results.  If the sample has
-no positive findings, only base spans are returned.  Columns of the input pass
+texts are scanned whole.  Rows that repeat give equal results.  If no document has
+base findings, only base spans are returned.  Columns of the input pass
 through; ``spans`` (array of kind, start, end, base, score) is added.
 """
 
@@ -49,6 +51,8 @@ SPAN_CLASS = 97
 TRAIN_STEPS = 1500
 #: Random values put in a finding's place, beside its own.
 COPIES = 3
+#: Cells of a unit of logit, in which findings are counted.
+CELLS = 100
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -155,13 +159,13 @@ class CharNet:
         return np.concatenate([self.forward(x[i: i + 512]) for i in range(0, len(x), 512)]) if len(x) else np.empty(0, np.float32)
 
 
-def calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic map, by Newton's method with a small ridge."""
+def calibrated(logit: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic map over findings that count ``n`` times, by Newton's method with a small ridge."""
     a, b = 1.0, 0.0
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
-        w = q * (1 - q)
-        grad = np.array([((q - y) * logit).sum() + 1e-2 * (a - 1), (q - y).sum() + 1e-2 * b])
+        w, miss = n * q * (1 - q), n * (q - y)
+        grad = np.array([(miss * logit).sum() + 1e-2 * (a - 1), miss.sum() + 1e-2 * b])
         hess = np.array([[(w * logit * logit).sum() + 1e-2, (w * logit).sum()], [(w * logit).sum(), w.sum() + 1e-2]])
         da, db = np.linalg.solve(hess, grad)
         a, b = a - da, b - db
@@ -188,7 +192,7 @@ def alike(value: str, g: np.random.Generator) -> str:
     return "".join(of[c][int(g.integers(len(of[c])))] if c in of else c for c in value)
 
 
-def findings(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def findings(texts: list[str], seed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Labelled windows of the sampled texts: (windows, label, kind, number of the text)."""
     g = np.random.default_rng(seed)
     x, y, kinds, of = [], [], [], []
@@ -221,29 +225,70 @@ def findings(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return (np.concatenate(x) if x else np.zeros((0, 2, WIDTH), np.uint8)), np.array(y, np.float64), np.array(kinds), np.array(of)
 
 
-def fitted(docs: DataFrame, sample_docs: int, recall: float, seed: int) -> SecretModel | None:
-    """The model of at most ``sample_docs`` whole documents, those with the smallest hashes."""
-    t = docs.select(F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("h", F.xxhash64("text"))
+def sampled(t: DataFrame, sample_docs: int) -> list[str]:
+    """The texts of ``t`` (h, text) with the smallest hashes, at most ``sample_docs`` different ones."""
     hashes = [r.h for r in t.select("h").distinct().orderBy("h").limit(sample_docs).collect()]
     rows = t.where(F.col("h") <= max(hashes)).groupBy("h").agg(F.min("text").alias("text")).collect() if hashes else []
-    picked = [r.text for r in sorted(rows, key=lambda r: r.h)]
-    x, y, kinds, of = findings(picked, seed)
-    if not (y == 1).any() or not (y == 0).any():
+    return [r.text for r in sorted(rows, key=lambda r: r.h)]
+
+
+def held_counts(t: DataFrame, net: CharNet, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(logit, label, kind, n) over the findings of all texts of ``t``, from grouped counts of logits rounded to 1/CELLS."""
+    held = t.sparkSession.sparkContext.broadcast(net)
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in sliced(batch, rows=200, text="text"):
+            cells: dict[tuple, int] = {}
+            for h, text in zip(part.column("h").to_pylist(), part.column("text").to_pylist()):
+                x, y, kinds, _ = findings([text], [seed, h & (1 << 63) - 1])
+                for of in zip(np.rint(np.clip(held.value.logits(x), -30, 30) * CELLS).astype(int).tolist(), y.tolist(), kinds.tolist()):
+                    cells[of] = cells.get(of, 0) + 1
+            logit, y, kind = map(list, zip(*cells)) if cells else ([], [], [])
+            yield {"cell": logit, "y": y, "kind": kind, "n": list(cells.values())}
+
+    # at most 60 * CELLS cells for each label and kind
+    rows = mapped(t.select("h", "text"), run, "cell long, y double, kind string, n long").groupBy("cell", "y", "kind").agg(F.sum("n").alias("n")).sort("kind", "y", "cell").collect()
+    return tuple(np.array([r[i] for r in rows]) for i in (0, 1, 2, 3))
+
+
+def fitted(docs: DataFrame, sample_docs: int, recall: float, seed: int) -> SecretModel | None:
+    """The network of a bounded sample of documents, calibrated on the findings of all documents held out.
+
+    Every document is scanned for base findings.  Three tenths of the documents (by hash) are
+    held out, unless that leaves no labelled findings; of the others, the network sees at most
+    ``sample_docs`` with base findings and as many of all, those with the smallest hashes.
+    """
+    def found(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in sliced(batch, text="text"):
+            yield {"h": part.column("h"), "text": part.column("text"), "hit": [bool(base_spans(t)) for t in part.column("text").to_pylist()]}
+
+    t = docs.select(F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("h", F.xxhash64("text"))
+    hits = mapped(t, found, "h long, text string, hit boolean").where("hit").select("h", "text")
+    late, early = f"pmod(xxhash64(h, {int(seed)}), 10) < 3", f"pmod(xxhash64(h, {int(seed)}), 10) >= 3"
+    picked = sampled(hits.where(early), sample_docs)
+    if not picked:  # the only findings are held out
+        late, early = "true", "true"
+        picked = sampled(hits, sample_docs)
+    if not picked:
+        return None
+    x, y, _, _ = findings(list(dict.fromkeys(picked + sampled(t.where(early), sample_docs))), seed)
+    if not (y == 0).any():
         return None
-    held = (np.random.default_rng(seed + 1).random(len(picked)) < 0.3)[of]  # whole texts, as their findings are alike
-    if len(set(y[~held])) < 2:
-        held[:] = False
     net = CharNet(seed)
-    net.train(x[~held], y[~held], TRAIN_STEPS, seed)
-    if not 0 < y[held].sum() < held.sum():
-        held[:] = True
-    slope, offset = calibrated(net.logits(x[held]).astype(np.float64), y[held])
+    net.train(x, y, TRAIN_STEPS, seed)
+    cell, y, kinds, n = held_counts(t.where(late), net, seed)
+    if len(set(y)) < 2:
+        cell, y, kinds, n = held_counts(t, net, seed)
+    logit, n = cell / CELLS, n.astype(np.float64)
+    slope, offset = calibrated(logit, y, n)
     model = SecretModel(net, slope, offset, {})
-    score = model.scores(x[held])
+    score = 1 / (1 + np.exp(-np.clip(slope * (logit - 0.5 / CELLS) + offset, -30, 30)))  # a cell's lower end
     for kind in ("mixed", "digits"):
-        good = np.sort(score[(y[held] == 1) & (kinds[held] == kind)])
+        good = (y == 1) & (kinds == kind)
+        order = np.argsort(score[good])
+        upto = np.cumsum(n[good][order])
         # one half, or less if the recall asks for it; 0.99 for a kind without labelled secrets
-        model.thresholds[kind] = min(0.5, float(good[int(np.floor((1 - recall) * len(good)))])) if len(good) else 0.99
+        model.thresholds[kind] = min(0.5, float(score[good][order][np.searchsorted(upto, (1 - recall) * upto[-1], "right")])) if len(upto) else 0.99
     return model
 
 

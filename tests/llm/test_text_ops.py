@@ -286,6 +286,18 @@ def test_secret_network_on_held_out_findings(spark):
     assert hit[y == 1].mean() >= 0.95 and hit[y == 0].mean() <= 0.1
 
 
+def test_secret_fit_finds_rare_findings_and_counts_all_held_out(spark):
+    """One document in hundreds has a finding and the sample is small: the network is fitted all the same."""
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    clean = docs.where(~F.col("text").rlike("(?i)(pass|secret|token|api|AKIA|[0-9a-f]{24})"))
+    late = clean.orderBy(F.desc("h")).limit(2).withColumn("text", F.concat("text", F.lit(" token = 0641917ea4e9feb9cda83477b57ac2654884f485")))
+    assert sec.fitted(clean.select("text").unionByName(late.select("text")), 5, 0.98, 11) is not None
+    t = docs.where("text <> ''").limit(60)
+    cell, y, kinds, n = sec.held_counts(t, sec.CharNet(1), 3)
+    want = [len(sec.findings([r.text], [3, r.h & (1 << 63) - 1])[1]) for r in t.collect()]
+    assert n.sum() == sum(want) and len(cell) == len(y) == len(kinds)
+
+
 def test_redaction(spark):
     df = frame(spark, [(1, "a token = \"0641917ea4e9feb9cda83477b57ac2654884f485\" b"), (2, None), (3, "plain")])
     got = {r.doc_id: r.text for r in sec.redacted(sec.secret_scan(df)).collect()}
