@@ -498,7 +498,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, low: float = 0.002, h
     lines = limits(marks, low, high, least)
     # a row for each length class of a model
     judged = marks.where("not extra").join(F.broadcast(lines), ["model", "length"], "left")
-    wide = F.lit(margin) + WIDEN * F.col("spread") / F.sqrt("chars")
+    wide = F.lit(margin) + WIDEN * F.col("spread") / F.sqrt(F.greatest("chars", F.lit(1)))
     return judged.select("doc_id", "print", F.exp("nll").alias("perplexity"),
                          F.coalesce((F.col("nll") >= F.col("lo") - wide) & (F.col("nll") <= F.col("hi") + wide), F.lit(True)).alias("accepted"))
 
