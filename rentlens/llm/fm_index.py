@@ -100,7 +100,8 @@ class FMIndex:
             same[ok] = rank[a[ok]] == rank[b[ok]]
             out += np.where(same, span, 0)
             a, b = a + np.where(same, span, 0), b + np.where(same, span, 0)
-        return np.concatenate([[0], np.minimum(out, 255)]).astype(np.uint8)
+        kind = np.uint8 if self.depth < 256 else np.int32  # nothing longer than the depth is asked for
+        return np.concatenate([[0], np.minimum(out, np.iinfo(kind).max)]).astype(kind)
 
     def widen(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of all suffixes that share ``depth`` symbols with those in [lo, hi)."""

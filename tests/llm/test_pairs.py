@@ -124,6 +124,16 @@ def test_matching_statistics():
                 assert (n, b - a) == (best, count)
 
 
+def test_matches_longer_than_a_byte():
+    """Two segments share 300 symbols: both suffixes are found, not only one of them."""
+    rng = np.random.default_rng(2)
+    shared = rng.integers(1, 9, 300)
+    segments = [np.concatenate([shared, [9, 1]]), np.concatenate([[7], shared, [10, 2]])]
+    index = FMIndex(segments, 10, 300)
+    got = [(int(n), int(b - a)) for col, _, length, lo, hi, _ in index.matching_statistics([np.concatenate([shared, [9, 1]])]) for n, a, b in zip(length, lo, hi) if col == 0]
+    assert got == [(300, 2)]
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
