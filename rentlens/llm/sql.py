@@ -1,6 +1,6 @@
 """DuckDB oracles of the operators that SQL can express."""
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), w -> w <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 _COMPONENTS = """
 reach(a, b) AS (
   SELECT a, b FROM both_ways
@@ -12,18 +12,18 @@ least AS (SELECT a, min(b) AS low FROM reach GROUP BY a)"""
 SUBSTRING_DEDUP = rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 windows AS (
-  SELECT doc_id, at, md5(array_to_string(words[at:at + 49], ' ')) AS piece
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS at FROM w)
+  SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) AS piece
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM w)
 ),
 firsts AS (SELECT piece, min(doc_id) AS first FROM windows GROUP BY piece HAVING min(doc_id) < max(doc_id)),
 gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 50)) AS at
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos
   FROM windows JOIN firsts USING (piece) WHERE first < doc_id
 ),
 kept AS (
-  SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS body, count(*) AS n
-  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM w) p
-  ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS body, count(*) AS n
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w) p
+  ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(body, '')) AS kept_sha256
@@ -33,8 +33,8 @@ FROM w LEFT JOIN kept USING (doc_id)
 EMBEDDING_NEAR_DEDUP = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
 both_ways AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y
@@ -49,8 +49,8 @@ FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN links ON vec_id =
 
 EXACT_TOP_K = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
@@ -64,11 +64,11 @@ WHERE rank <= 10
 NGRAM_JACCARD_JOIN = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                             '[ \t\n\x0B\f\r]+'), w -> w <> '') AS words FROM documents
+                             '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words FROM documents
 ),
 grams AS (
-  SELECT DISTINCT doc_id, md5(array_to_string(words[at:at + 3], ' ')) AS gram
-  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS at FROM w WHERE len(words) > 0)
+  SELECT DISTINCT doc_id, md5(array_to_string(words[pos:pos + 3], ' ')) AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS pos FROM w WHERE len(words) > 0)
 ),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
