@@ -12,14 +12,17 @@ from rentlens.llm import sql
 from rentlens.llm.bpe import bpe_decode, bpe_encode
 from rentlens.llm.common import documents, table
 from rentlens.llm.embedding_dedup import embedding_near_dedup
+from rentlens.llm.html_extract import html_main_text
 from rentlens.llm.language_id import language_id
 from rentlens.llm.ngram_join import ngram_jaccard_join
 from rentlens.llm.packing import best_fit_packing
 from rentlens.llm.quality import quality_classifier
 from rentlens.llm.secrets import secret_scan
+from rentlens.llm.spelling_variants import spelling_variants
 from rentlens.llm.substring_dedup import substring_dedup
 from rentlens.llm.topk_search import exact_top_k
 from rentlens.llm.url_filter import url_filter
+from rentlens.llm.vector_codes import train_codebooks, vector_codes, with_group_error
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +96,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "pages"), documents(spark, sf_dir))
+
+
+@query("op11_spelling_variants", sql.SPELLING_VARIANTS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), shortest=7, least=2, every=31, ratio=10)
+
+
+@query("op12_vector_codes", sql.vector_codes())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = train_codebooks(vectors, parts=8, entries=16, rounds=6, scale=4096)
+    coded = with_group_error(vector_codes(vectors, books))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query("op13_html_main_text", sql.HTML_MAIN_TEXT)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
