@@ -24,7 +24,9 @@ def duck(sql: str, sf_dir: str) -> pd.DataFrame:
     con = duckdb.connect()
     for t in DRIVER_TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
-    return con.execute(sql).df()
+    out = con.execute(sql).df()
+    # nullable integers as Spark's toPandas gives them: floats where one is null
+    return out.astype({c: "float64" if out[c].hasnans else "int64" for c, t in out.dtypes.items() if isinstance(t, pd.Int64Dtype)})
 
 
 def _norm(v):
@@ -115,9 +117,7 @@ def main(argv: list[str]) -> int:
     names = argv[1:]
     import os
     extra = {"spark.sql.session.timeZone": os.environ["CHECK_TZ"]} if os.environ.get("CHECK_TZ") else None
-    spark = build_session(shuffle_partitions=8, extra=extra)
-    if extra:
-        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
+    spark = build_session(master="local[*]", extra={"spark.sql.shuffle.partitions": "8", **(extra or {})})
     qs, orc = E.queries(), E.oracle_sql()
     bad = 0
     for n in (names or list(qs)):
