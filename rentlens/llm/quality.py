@@ -11,19 +11,23 @@ capitals, eight classes of other letters, digits, blank, line end, common
 marks), each shared evenly by its code points, order ``ORDER``, at most 12.4 MB
 a language; it is a floor for text that has not been seen.
 
-Scoring joins.  Documents are dealt into blocks; a block's different n-grams are
-joined to the sharded table, what was found returns to the block, and each
-document's log-probabilities are summed.  A trusted document is scored by the
-unfolded n-grams of the other half of the trusted documents (halves by the text's
-hash), so that it is not its own evidence; all others by those of all of them.
+Cross-fitting.  Trusted documents are halved by their text's hash, and a model is
+made of each half.  Every document, trusted or not, is scored by the model of the
+half that its own text's hash does not fall into: no text is its own evidence, and
+equal texts of a language have one perplexity and one verdict, labelled or not.
+
+Scoring joins.  Documents are dealt into blocks; the text travels in parcels,
+compressed batches of one block's rows.  A block's different n-grams are joined to
+the sharded table, what was found returns to the block, and each document's
+log-probabilities are summed.  The labels are joined within the blocks.
 
 Score.  A document's perplexity is over all of its characters.  A document is
 rejected if it lies outside the band between two quantiles of the perplexity of
 the trusted documents of its language and length class (doubling lengths, as
 short texts scatter more), widened by a margin on the log scale.  The quantiles
 are exact to 0.001 in the mean negative log-likelihood, from grouped counts.
-Trusted documents count with their held-out perplexity, so a band holds for text
-that has not been seen and the margin is only for the quantiles' own error.
+All perplexities are held out, so a band holds for text that has not been seen and
+the margin is only for the quantiles' own error.
 
 Every document with text is judged.  A length class with fewer than ``least``
 trusted documents has the language's nearest shorter band, else its nearest longer
@@ -48,10 +52,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlens.llm.common import BASE, discard, mapped, mix, sliced, unused, written
+from rentlens.llm.common import runs as runs_of
 
 ORDER = 4
 SYMBOLS = 42
@@ -61,7 +67,11 @@ POOLED = ""
 #: Highest and lowest order of the unfolded n-grams, and what stands before a text (no code point).
 LONG, SHORT, PAD = 5, 4, 0x110000
 #: Characters of a block (its n-grams are looked up once) and bytes of text that a task works on at a time.
-BLOCK, SLICE = 16 << 20, 2 << 20
+BLOCK, SLICE = 32 << 20, 2 << 20
+#: Blocks that share a hash of the doc_id; a document's text says in which of them it is, so that one doc_id fills none.
+SALTS = 8
+#: Bytes of rows that a task gathers before it makes parcels of them.
+PARCEL = 32 << 20
 #: Keys that a task holds before it merges or sends them.
 HELD = 8 << 20
 #: Trusted documents from which a language has a model of its own; standard errors and least spread of borrowed bands.
@@ -180,33 +190,117 @@ def unpacked(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return np.stack([(hi >> 21 * (LONG - 4 - i)) & mask for i in range(LONG - 3)] + [(lo >> 21 * i) & mask for i in (2, 1, 0)], axis=1)
 
 
-def long_counts(trusted: DataFrame) -> DataFrame:
-    """(lang, half, hi, lo, n) of the different runs of ``trusted`` (lang, text)."""
+def parcels(df: DataFrame) -> DataFrame:
+    """(block, parcel): the rows of ``df`` as compressed batches, each of one ``block`` of a task's rows."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in sliced(batch, text="text", chars=SLICE):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packets() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            block = rows.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            at, count = runs_of(block[order])
+            for start, n in zip(at.tolist(), count.tolist()):
+                sink = pa.BufferOutputStream()
+                mine = rows.take(pa.array(order[start:start + n])).combine_chunks()
+                with pa.ipc.new_stream(sink, mine.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(mine)
+                yield pa.RecordBatch.from_arrays([pa.array([block[order[start]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                                 ["block", "parcel"])
+
+        for batch in batches:
+            for part in sliced(batch, text="text", chars=PARCEL // 4):
+                held.append(part)
+                if sum(p.nbytes for p in held) >= PARCEL:
+                    yield from packets()
+        if held:
+            yield from packets()
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, "block int, parcel binary")
+
+
+def unpacked_parcels(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The batches of a block's parcels, in slices of ``SLICE`` bytes of text."""
+    for parcel in rows.column("parcel"):
+        for batch in pa.ipc.open_stream(parcel.as_buffer()).read_all().combine_chunks().to_batches():
+            yield from sliced(batch, text="text", chars=SLICE)
+
+
+def printed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, lang, text) with the text's hash, its number of characters and the half that the hash falls into."""
+    return docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("print"), F.length("text").alias("chars"),
+                       F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+
+
+def in_blocks(docs: DataFrame, chars: int) -> tuple[DataFrame, int]:
+    """``docs`` (doc_id, print, ...) with ``block``, and the number of different hashes of doc_ids."""
+    ids = max(1, -(-chars // (BLOCK * SALTS)))
+    of = F.pmod(F.xxhash64(F.coalesce("doc_id", "print")), F.lit(ids)) * SALTS + F.pmod("print", F.lit(SALTS))
+    return docs.withColumn("block", of.cast("int")), ids
+
+
+def label_blocks(sound: DataFrame, ids: int) -> DataFrame:
+    """(block, doc_id): trusted doc_ids in every block that may hold them."""
+    every = sound.select("doc_id", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    return every.select((F.pmod(F.xxhash64("doc_id"), F.lit(ids)) * SALTS + F.col("salt")).cast("int").alias("block"), "doc_id")
+
+
+def merged_counts(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hi, lo, n) with equal runs added up."""
+    hi, lo, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((lo, hi))
+    hi, lo, n = hi[order], lo[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
+    return hi[first], lo[first], np.add.reduceat(n, first)
+
+
+def long_counts(docs: DataFrame, sound: DataFrame) -> DataFrame:
+    """(lang, half, hi, lo, n) of the different runs of the documents of ``docs`` (doc_id, lang, half, print, chars, text) whose doc_id is in ``sound``.
+
+    A row with hi = -1 has the number of these documents.
+    """
+    known = docs.where("doc_id is not null and text <> ''")
+    dealt, ids = in_blocks(known, known.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0])
+
+    def count(rows: pa.Table, labels: pa.Table) -> pa.Table:
+        held: dict[tuple, list] = {}
+        number: dict[tuple, int] = {}
+        trusted = labels.column("doc_id").combine_chunks().unique()
+        for part in unpacked_parcels(rows) if len(trusted) else ():
             by: dict[tuple, list] = {}
-            for of in zip(part.column("lang").to_pylist(), part.column("half").to_pylist(), part.column("text").to_pylist()):
-                by.setdefault(of[:2], []).append(of[2])
-            for (lang, half), texts in by.items():
-                runs, code, _ = windows(texts)
-                hi, lo = packed(runs)
-                yield {"lang": [lang] * len(runs), "half": np.full(len(runs), half), "hi": hi, "lo": lo, "n": np.bincount(code, minlength=len(runs))}
-
-    part = mapped(trusted.select("lang", F.expr("int(pmod(xxhash64(text), 2))").alias("half"), "text"), run,
-                  "lang string, half int, hi long, lo long, n long")
+            part = part.filter(pc.is_in(part.column("doc_id"), trusted))
+            for lang, half, text in zip(*(part.column(c).to_pylist() for c in ("lang", "half", "text"))):
+                by.setdefault((lang, half), []).append(text)
+            for of, texts in by.items():
+                found, code, _ = windows(texts)
+                mine = held.setdefault(of, [])
+                mine.append((*packed(found), np.bincount(code, minlength=len(found))))
+                number[of] = number.get(of, 0) + len(texts)
+                if sum(len(x[0]) for x in mine[1:]) > max(HELD // 8, len(mine[0][0])):
+                    held[of] = [merged_counts(mine)]
+        out = [(of, *merged_counts(mine)) for of, mine in held.items()]
+        out += [(of, np.array([-1]), np.array([-1]), np.array([n])) for of, n in number.items()]
+        cols = [[x[0][i] for x in out for _ in range(len(x[1]))] for i in (0, 1)]
+        return pa.table({"lang": pa.array(cols[0], pa.string()), "half": pa.array(cols[1], pa.int32()),
+                         **{c: pa.array(np.concatenate([x[i] for x in out]) if out else [], pa.int64()) for i, c in ((1, "hi"), (2, "lo"), (3, "n"))}})
+
+    rows = parcels(dealt.select("block", "doc_id", "lang", "half", "text"))
+    part = rows.groupBy("block").cogroup(label_blocks(sound, ids).groupBy("block")).applyInArrow(count, "lang string, half int, hi long, lo long, n long")
     return part.groupBy("lang", "half", "hi", "lo").agg(F.sum("n").alias("n"))
 
 
 def long_model(counts: DataFrame) -> DataFrame:
     """(key, own, back): discounted share of an n-gram, weight of the lower order after a context.
 
-    A key is that of the characters, crossed with the hash of (model, half).  ``half`` 0 and 1
-    are of the other half of the trusted documents, 2 of all.  Below the highest order the
+    A key is that of the characters, crossed with the hash of (model, half).  The model for
+    texts of a half is of the trusted documents of the other.  Below the highest order the
     counts are continuation counts.
     """
     of, out = ["model", "half"], None
-    cur = counts.withColumnRenamed("lang", "model").withColumn("half", F.explode(F.array(1 - F.col("half"), F.lit(2))))
+    cur = counts.withColumnRenamed("lang", "model").withColumn("half", 1 - F.col("half"))
     for k in range(LONG, SHORT - 1, -1):
         cur = cur.withColumn("hi", F.col("hi").bitwiseAND(F.lit((1 << 21 * (k - 3)) - 1)))
         cur = cur.groupBy(*of, "hi", "lo").agg((F.sum("n") if k == LONG else F.count("*")).alias("n"))
@@ -240,11 +334,6 @@ def long_model(counts: DataFrame) -> DataFrame:
     return model
 
 
-def gram_counts(trusted: DataFrame) -> DataFrame:
-    """(lang, gram, n) of the folded n-grams over all documents of ``trusted`` (lang, text)."""
-    return folded_counts(long_counts(trusted))
-
-
 def folded_counts(counts: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"lang": batch.column("lang"), "n": batch.column("n"), "gram": folded(unpacked(*(batch.column(c).to_numpy() for c in ("hi", "lo"))))}
@@ -338,108 +427,113 @@ def trained(counts: DataFrame) -> DataFrame:
     return models
 
 
-def asked(docs: DataFrame) -> DataFrame:
-    """(block, key): the different n-grams and contexts of each block of ``docs`` (a block in several batches may repeat some)."""
+def asked(rows: pa.Table) -> pa.Table:
+    """(block, key): the different n-grams and contexts of a block's parcels, for each model that may score them."""
+    import pandas as pd
+    held: list[np.ndarray] = [np.empty(0, np.int64)]
+    for part in unpacked_parcels(rows):
+        for salts, texts in grouped(part, ["salt", "wide"]):
+            keyed = list(levels(windows(texts.column("text").to_pylist())[0]).values())
+            held += [x ^ salt for salt in salts if salt is not None for x in keyed]
+        if sum(map(len, held[1:])) > max(HELD, len(held[0])):
+            held = [pd.unique(np.concatenate(held))]
+    key = pd.unique(np.concatenate(held))
+    return pa.table({"block": pa.array(np.full(len(key), rows.column("block")[0].as_py(), np.int32)), "key": pa.array(key)})
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-        held: dict[int, list] = {}
-        size = 0
+def grouped(part: pa.RecordBatch, by: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The rows of a batch that agree in ``by``."""
+    at: dict[tuple, list[int]] = {}
+    for i, of in enumerate(zip(*(part.column(c).to_pylist() for c in by))):
+        at.setdefault(of, []).append(i)
+    for of, some in at.items():
+        yield of, part.take(pa.array(some))
 
-        def merged() -> int:
-            for block, arrays in held.items():
-                held[block] = [pd.unique(np.concatenate(arrays))]
-            return sum(len(x[0]) for x in held.values())
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, arrays in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(arrays[0]), block, np.int32)), pa.array(arrays[0])], ["block", "key"])
-            held.clear()
+#: Columns of a scored row.
+MARKS = "doc_id long, model string, print long, chars int, half int, extra boolean, known boolean, nll double"
 
-        for batch in batches:
-            for part in sliced(batch, text="text", chars=SLICE):
-                by: dict[tuple, list] = {}
-                for block, salt, text in zip(*[part.column(c).to_pylist() for c in ("block", "salt", "text")]):
-                    by.setdefault((block, salt), []).append(text)
-                for (block, salt), texts in by.items():
-                    held.setdefault(block, []).extend(x ^ salt for x in levels(windows(texts)[0]).values())
-                    size += sum(len(x) for x in held[block][-2 * (LONG - SHORT + 1):])
-                if size > HELD:
-                    size = merged()
-                if size > HELD // 2:
-                    yield from flush()
-                    size = 0
-            pa.default_memory_pool().release_unused()
-        merged()
-        yield from flush()
-
-    return docs.mapInArrow(run, "block int, key long")
-
-
-def scorer(held, marks: list[str]):
-    """Scores a block (texts) with what was found of its n-grams."""
-
-    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+
+def scorer(held):
+    """Scores a block's parcels with what was found of its n-grams; rows of ``found`` with a label are trusted doc_ids."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    schema = to_arrow_schema(StructType.fromDDL(MARKS))
+
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
         if not _TABLES or _TABLES[0][0] is not held.value:  # once per worker and pass
             _TABLES[:] = [(held.value, {k: Model(v) for k, v in held.value.items()}, class_sizes())]
-        base, sizes, salt = _TABLES[0][1][texts.column("model")[0].as_py()], _TABLES[0][2], texts.column("salt")[0].as_py()
+        models, sizes = _TABLES[0][1:]
+        label = found.column("label").to_numpy()
+        trusted = found.column("key").filter(pa.array(label)).combine_chunks().unique()
+        found = found.filter(pa.array(~label))
         key = found.column("key").to_numpy()
         order = np.argsort(key)
         key = key[order]
         own, back = (np.append(np.nan_to_num(found.column(c).to_numpy().astype(np.float64)[order], nan=none), none) for c, none in (("own", 0.0), ("back", 1.0)))
 
-        def place(k: np.ndarray) -> np.ndarray:
+        def place(k: np.ndarray, salt: int) -> np.ndarray:
             k = k ^ salt
             at = np.searchsorted(key, k)
             return np.where((at < len(key)) & (np.append(key, 0)[at] == k), at, len(key))
 
-        nll = []
-        for batch in texts.select(["text"]).combine_chunks().to_batches():
-            for part in sliced(batch, text="text", chars=SLICE):
-                runs, code, lengths = windows(part.column("text").to_pylist())
-                gram, at = folded(runs), levels(runs)
-                p = np.exp(base.log_probability(gram).astype(np.float64)) / sizes[gram % SYMBOLS]
-                for k in range(SHORT, LONG + 1):
-                    p = own[place(at[f"g{k}"])] + back[place(at[f"c{k}"])] * p
-                ends = np.cumsum(lengths)
-                nll.append(-np.add.reduceat(np.log(p)[code], ends - lengths) / lengths)
-        return texts.select(marks).append_column("nll", pa.array(np.concatenate(nll)))
+        def nll(texts: list[str], model: str, salt: int) -> np.ndarray:
+            some, code, lengths = windows(texts)
+            gram, at = folded(some), levels(some)
+            p = np.exp(models[model].log_probability(gram).astype(np.float64)) / sizes[gram % SYMBOLS]
+            for k in range(SHORT, LONG + 1):
+                p = own[place(at[f"g{k}"], salt)] + back[place(at[f"c{k}"], salt)] * p
+            ends = np.cumsum(lengths)
+            return -np.add.reduceat(np.log(p)[code], ends - lengths) / lengths
+
+        out = []
+
+        def add(mine: pa.RecordBatch, model: str, salt: int, extra: bool) -> None:
+            known = pc.fill_null(pc.is_in(mine.column("doc_id"), trusted), False)
+            out.append(pa.RecordBatch.from_arrays(
+                [mine.column("doc_id"), pa.array([model] * mine.num_rows, pa.string()), mine.column("print"), mine.column("chars"), mine.column("half"),
+                 pa.array([extra] * mine.num_rows), known, pa.array(nll(mine.column("text").to_pylist(), model, salt))], schema=schema))
+
+        for part in unpacked_parcels(rows):
+            for (model, salt, wide), mine in grouped(part, ["model", "salt", "wide"]):
+                add(mine, model, salt, False)
+                if wide is not None:  # trusted documents also under the model of all trusted text
+                    mine = mine.filter(pc.is_in(mine.column("doc_id"), trusted))
+                    if mine.num_rows:
+                        add(mine, POOLED, wide, True)
+        return pa.Table.from_batches(out, schema)
 
     return score
 
 
-def scored(docs: DataFrame, models: DataFrame, table: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, lang, text, half, extra) with ``model`` and ``nll`` for text, the mean negative log-likelihood of a character (null without text).
+def scored(docs: DataFrame, sound: DataFrame, models: DataFrame, table: DataFrame, rest: bool) -> DataFrame:
+    """``MARKS`` of ``docs`` (doc_id, lang, half, print, chars, text): nll is the mean negative log-likelihood of a character (null without text).
 
-    The documents of a model are dealt into blocks of about ``BLOCK`` characters.  A block's
-    different n-grams are joined to the sharded table, and what was found returns to the block.
+    ``known`` says that the doc_id is in ``sound``.  With ``rest``, such documents of a language
+    with a model of its own have a second row, ``extra``, under the model of all trusted text.
     """
     spark = docs.sparkSession
     names = sorted(r[0] for r in models.select("lang").collect())
-    marks = ["doc_id", "model", "print", "chars", "half", "extra"]
-    model = F.when(F.col("lang").isin(names) & ~F.col("extra"), F.col("lang")).otherwise(POOLED).alias("model")
-    docs = docs.select("doc_id", model, F.xxhash64("text").alias("print"), F.length("text").alias("chars"), "half", "extra", "text")
+    model = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(POOLED)
+    salt = lambda m: F.xxhash64(m, F.col("half"))
+    docs = docs.withColumn("model", model)
+    docs = docs.withColumn("salt", salt(F.col("model"))).withColumn("wide", F.when(F.lit(rest) & (F.col("model") != POOLED), salt(F.lit(POOLED))))
     plain = docs.where("text <> ''") if names else docs.where("false")
     out = docs.where("coalesce(text, '') = ''") if names else docs
-    out = out.select(*marks, F.lit(None).cast("double").alias("nll"))
-    # blocks are numbered through, so many for each half of a model as it has text; a number for each, not for each document
-    total, dealt = 0, []
-    for r in plain.groupBy("model", "half").agg(F.sum("chars").alias("n")).sort("model", "half").collect():
-        dealt.append((r.model, r.half, total, -(-r.n // BLOCK)))
-        total += dealt[-1][-1]
-    dealt = F.broadcast(spark.createDataFrame(dealt, "model string, half int, first int, blocks int"))
-    plain = plain.join(dealt, ["model", "half"]).withColumn("salt", F.xxhash64("model", "half")).withColumn(
-        "block", (F.col("first") + F.pmod(F.xxhash64("doc_id", "print"), F.col("blocks"))).cast("int"))
-    types = dict(docs.dtypes)
-    for i in range(0, len(names), MODELS_AT_ONCE):
-        some = names[i: i + MODELS_AT_ONCE]
+    out = out.select("doc_id", "model", "print", "chars", "half", F.lit(False).alias("extra"), F.lit(False).alias("known"), F.lit(None).cast("double").alias("nll"))
+    plain, ids = in_blocks(plain, plain.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0])
+    labels = label_blocks(sound, ids).select("block", F.col("doc_id").alias("key"), F.lit(None).cast("float").alias("own"),
+                                             F.lit(None).cast("float").alias("back"), F.lit(True).alias("label"))
+    plain = plain.select("block", "doc_id", "model", "print", "chars", "half", "salt", "wide", "text")
+    own = [n for n in names if n != POOLED] or names
+    for i in range(0, len(own), MODELS_AT_ONCE):
+        some = own[i: i + MODELS_AT_ONCE] + ([POOLED] if POOLED in names and POOLED not in own else [])
         held = spark.sparkContext.broadcast({r[0]: r[1] for r in models.where(F.col("lang").isin(some)).toLocalIterator()})
-
-        # one exchange of the text serves both sides
-        mine = plain.where(F.col("model").isin(some)).select(*marks, "salt", "block", "text").repartition("block")
-        found = asked(mine).hint("merge").join(table, "key").select("block", "key", "own", "back")
-        out = out.unionByName(mine.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-            scorer(held, marks), ", ".join(f"{c} {types[c]}" for c in marks) + ", nll double"))
+        # one exchange of the text serves both sides; text of no own model goes with the first models
+        mine = parcels(plain.where(F.col("model").isin([n for n in some if n != POOLED or not i]))).repartition("block")
+        found = mine.groupBy("block").applyInArrow(asked, "block int, key long").hint("merge").join(table, "key")
+        found = found.select("block", "key", "own", "back", F.lit(False).alias("label")).unionByName(labels)
+        out = out.unionByName(mine.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scorer(held), MARKS))
     return out
 
 
@@ -460,7 +554,7 @@ def bands(trusted: DataFrame, low: float, high: float, least: int) -> DataFrame:
 
 def limits(marks: DataFrame, low: float, high: float, least: int) -> DataFrame:
     """(model, length, lo, hi, spread) for every length class of ``marks`` whose model has trusted documents."""
-    trusted = marks.where("half < 2 and nll is not null")
+    trusted = marks.where("known and nll is not null")
     own = bands(trusted, low, high, least).withColumnRenamed("length", "of")
     whole = bands(trusted.withColumn("length", F.lit(None).cast("int")), low, high, 1).withColumnRenamed("length", "of")
     centre = trusted.groupBy("model").agg(F.avg("nll").alias("centre"))
@@ -479,22 +573,18 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, low: float = 0.002, h
         F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("doc_id")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(POOLED)).alias("lang")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, F.col("text").cast("string").alias("text"))
-    # merged, not broadcast: the labels grow with the documents; a text among the trusted is scored by the half it is not in
-    marked = written(plain.hint("merge").join(sound.withColumn("known", F.lit(True)), "doc_id", "left").select(
-        "doc_id", "lang", "text", F.expr("if(known, int(pmod(xxhash64(text), 2)), 2)").alias("half")), "marked")
-    trusted = marked.where("half < 2 and text <> ''")
-    counts = written(long_counts(trusted), "gram-counts")
-    known = [r.lang for r in trusted.groupBy("lang").count().where((F.col("count") >= FEW) & (F.col("lang") != POOLED)).collect()]
-    own = counts.where(F.col("lang").isin(known))
+    whole = printed(plain)
+    counts = written(long_counts(whole, sound), "gram-counts")
+    number = counts.where("hi = -1").groupBy("lang").agg(F.sum("n").alias("n"))
+    known = [r.lang for r in number.where((F.col("n") >= FEW) & (F.col("lang") != POOLED)).collect()]
+    grams = counts.where("hi >= 0")
+    own = grams.where(F.col("lang").isin(known))
     # where a document needs the model of all trusted text, it is made, and its bands are of all trusted documents
-    rest = not marked.where((F.col("text") != "") & ~F.col("lang").isin(known)).isEmpty()
-    some = with_pooled(own.unionByName(counts.where(~F.col("lang").isin(known)).withColumn("lang", F.lit(POOLED)))) if rest else own
+    rest = not whole.where((F.col("text") != "") & ~F.col("lang").isin(known)).isEmpty()
+    some = with_pooled(own.unionByName(grams.where(~F.col("lang").isin(known)).withColumn("lang", F.lit(POOLED)))) if rest else own
     models, table = trained(some), long_model(some)
-    half = marked.withColumn("extra", F.lit(False))
-    if rest:
-        half = half.unionByName(half.where(F.col("lang").isin(known) & (F.col("half") < 2)).withColumn("extra", F.lit(True)))
-    marks = written(scored(half, models, table).withColumn("length", length_class(F.col("chars"))), "scores")
-    discard(marked, counts, models, table)
+    marks = written(scored(whole, sound, models, table, rest).withColumn("length", length_class(F.col("chars"))), "scores")
+    discard(counts, models, table)
     lines = limits(marks, low, high, least)
     # a row for each length class of a model
     judged = marks.where("not extra").join(F.broadcast(lines), ["model", "length"], "left")
