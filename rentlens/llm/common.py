@@ -57,11 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing reads any more (what was made of them is written itself).
-
-    The driver's garbage is collected then, as Spark deletes the shuffle files of
-    finished steps only when their plans have been collected.
-    """
+    """Delete tables made by ``written`` that nothing reads any more (what was made of them is written itself)."""
     for df in tables:
         _, path = _PATHS.pop(id(df), (None, None))
         jvm = df.sparkSession.sparkContext._jvm
@@ -69,8 +65,13 @@ def discard(*tables: DataFrame) -> None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     if tables:
-        gc.collect()
-        jvm.System.gc()
+        free_shuffles(tables[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark deletes the shuffle files of finished steps only when their plans have been collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:

@@ -56,7 +56,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import BASE, discard, mapped, mix, sliced, unused, written
+from rentlens.llm.common import BASE, discard, free_shuffles, mapped, mix, sliced, unused, written
 from rentlens.llm.common import runs as runs_of
 
 ORDER = 4
@@ -293,7 +293,7 @@ def long_counts(docs: DataFrame, sound: DataFrame) -> DataFrame:
 
 
 def long_model(counts: DataFrame) -> DataFrame:
-    """(key, own, back): discounted share of an n-gram, weight of the lower order after a context.
+    """(half, key, own, back): discounted share of an n-gram, weight of the lower order after a context.
 
     A key is that of the characters, crossed with the hash of (model, half).  The model for
     texts of a half is of the trusted documents of the other.  Below the highest order the
@@ -315,8 +315,8 @@ def long_model(counts: DataFrame) -> DataFrame:
     after = cut.groupBy(*of, "k", "hi", "at").agg(F.sum("n").alias("total"), F.sum("cut").alias("back"))
     own = cut.join(after.drop("back"), [*of, "k", "hi", "at"])
     salt, nothing = F.xxhash64("model", "half").alias("salt"), F.lit(None).cast("float")
-    table = own.select(salt, "k", "hi", "lo", ((F.col("n") - F.col("cut")) / F.col("total")).cast("float").alias("own"), nothing.alias("back"))
-    table = table.unionByName(after.select(salt, "k", "hi", F.shiftleft("at", 21).alias("lo"), nothing.alias("own"), (F.col("back") / F.col("total")).cast("float").alias("back")))
+    table = own.select(salt, "half", "k", "hi", "lo", ((F.col("n") - F.col("cut")) / F.col("total")).cast("float").alias("own"), nothing.alias("back"))
+    table = table.unionByName(after.select(salt, "half", "k", "hi", F.shiftleft("at", 21).alias("lo"), nothing.alias("own"), (F.col("back") / F.col("total")).cast("float").alias("back")))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         runs, k = unpacked(*(batch.column(c).to_numpy() for c in ("hi", "lo"))), batch.column("k").to_numpy()
@@ -326,10 +326,10 @@ def long_model(counts: DataFrame) -> DataFrame:
             for end in (0, 1):
                 some = (k == order) & (context == bool(end))
                 key[some] = keys([runs[some, i] for i in range(LONG - order, LONG - end)])
-        yield {"key": key ^ batch.column("salt").to_numpy(), "own": batch.column("own"), "back": batch.column("back")}
+        yield {"half": batch.column("half"), "key": key ^ batch.column("salt").to_numpy(), "own": batch.column("own"), "back": batch.column("back")}
 
-    keyed = mapped(table, run, "key long, own float, back float")
-    model = written(keyed.groupBy("key").agg(F.max("own").alias("own"), F.max("back").alias("back")), "long-model")
+    keyed = mapped(table, run, "half int, key long, own float, back float")
+    model = written(keyed.groupBy("half", "key").agg(F.max("own").alias("own"), F.max("back").alias("back")), "long-model")
     discard(seen)
     return model
 
@@ -521,19 +521,24 @@ def scored(docs: DataFrame, sound: DataFrame, models: DataFrame, table: DataFram
     plain = docs.where("text <> ''") if names else docs.where("false")
     out = docs.where("coalesce(text, '') = ''") if names else docs
     out = out.select("doc_id", "model", "print", "chars", "half", F.lit(False).alias("extra"), F.lit(False).alias("known"), F.lit(None).cast("double").alias("nll"))
-    plain, ids = in_blocks(plain, plain.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0])
+    # each half of the texts has a pass of its own, with its own part of the table, so that half as much text moves at a time
+    plain, ids = in_blocks(plain, (plain.agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0] + 1) // 2)
     labels = label_blocks(sound, ids).select("block", F.col("doc_id").alias("key"), F.lit(None).cast("float").alias("own"),
                                              F.lit(None).cast("float").alias("back"), F.lit(True).alias("label"))
-    plain = plain.select("block", "doc_id", "model", "print", "chars", "half", "salt", "wide", "text")
     own = [n for n in names if n != POOLED] or names
-    for i in range(0, len(own), MODELS_AT_ONCE):
+    for i, half in ((i, half) for i in range(0, len(own), MODELS_AT_ONCE) for half in (0, 1)):
         some = own[i: i + MODELS_AT_ONCE] + ([POOLED] if POOLED in names and POOLED not in own else [])
         held = spark.sparkContext.broadcast({r[0]: r[1] for r in models.where(F.col("lang").isin(some)).toLocalIterator()})
-        # one exchange of the text serves both sides; text of no own model goes with the first models
-        mine = parcels(plain.where(F.col("model").isin([n for n in some if n != POOLED or not i]))).repartition("block")
-        found = mine.groupBy("block").applyInArrow(asked, "block int, key long").hint("merge").join(table, "key")
+        # text of no own model goes with the first models
+        mine = plain.where((F.col("half") == half) & F.col("model").isin([n for n in some if n != POOLED or not i]))
+        # one exchange of the text serves both sides
+        mine = parcels(mine.select("block", "doc_id", "model", "print", "chars", "half", "salt", "wide", "text")).repartition("block")
+        found = mine.groupBy("block").applyInArrow(asked, "block int, key long").hint("merge").join(table.where(F.col("half") == half), "key")
         found = found.select("block", "key", "own", "back", F.lit(False).alias("label")).unionByName(labels)
-        out = out.unionByName(mine.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scorer(held), MARKS))
+        part = written(mine.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scorer(held), MARKS), "scored")
+        del mine, found
+        free_shuffles(spark)
+        out = out.unionByName(part)
     return out
 
 
@@ -583,8 +588,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, low: float = 0.002, h
     rest = not whole.where((F.col("text") != "") & ~F.col("lang").isin(known)).isEmpty()
     some = with_pooled(own.unionByName(grams.where(~F.col("lang").isin(known)).withColumn("lang", F.lit(POOLED)))) if rest else own
     models, table = trained(some), long_model(some)
+    discard(counts)
     marks = written(scored(whole, sound, models, table, rest).withColumn("length", length_class(F.col("chars"))), "scores")
-    discard(counts, models, table)
+    discard(models, table)
     lines = limits(marks, low, high, least)
     # a row for each length class of a model
     judged = marks.where("not extra").join(F.broadcast(lines), ["model", "length"], "left")
