@@ -209,9 +209,14 @@ def repeated_intervals(docs: DataFrame, window: int, anchor: int, hot_segments:
     lone = alone.join(whole, "seg").select("seg", F.lit(0).alias("at"), F.col("windows").alias("count"), F.col("owner").alias("first"))
     whole_hot = own.join(hot, "anchor").join(whole, "seg").select("seg", F.lit(0).alias("at"), F.col("windows").alias("count"), F.col("owner").alias("first"))
     found = plain.unionByName(back).unionByName(lone).unionByName(whole_hot)
-    return (segs.select("seg", "doc_id", "row", "start").join(found, "seg").where("first < doc_id")
+    cuts = (segs.select("seg", "doc_id", "row", "start").join(found, "seg").where("first < doc_id")
             .groupBy("doc_id", "row").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("at"),
                                                                   (F.col("count") + window - 1).alias("count"))).alias("cuts")))
+    # written, so that the segments and their shuffles are gone before the documents move
+    cuts = written(cuts, "cuts")
+    del plain, pieces, counted, single, back, alone, lone, whole_hot, found
+    discard(segs, own)
+    return cuts
 
 
 def cut_words(docs: DataFrame, names: list[str], cuts_column: str) -> DataFrame:
