@@ -63,7 +63,7 @@ QUALIFIERS = frozenset("has with without no not enabled disabled open closed on
 BONUS = {"article": 30, "main": 25, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ul": -3, "ol": -3, "dl": -3, "form": -3}
 #: Points of a container whose name is one of ``TEXTUAL``.
 NAMED = 20
-#: A sibling is kept from this share of the best score on.
+#: A sibling is kept from this share of the points that the best container's paragraphs have earned on.
 SIBLING = 0.25
 #: Length from which a paragraph beside the best container needs no full stop, and its largest share of links.
 LONG, LINKS = 80, 0.25
@@ -80,12 +80,12 @@ _ENDED = (".", "!", "?", "…", "。", "！", "？", ":", ";")
 class Element:
     """An element: its children are elements and strings."""
 
-    __slots__ = ("tag", "attrs", "children", "parent", "depth", "points", "chars", "linked")
+    __slots__ = ("tag", "attrs", "children", "parent", "depth", "earned", "points", "chars", "linked")
 
     def __init__(self, tag: str, attrs: str, parent: "Element | None"):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
         self.depth = parent.depth + 1 if parent else 0
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.earned, self.points, self.chars, self.linked = 0.0, 0.0, 0, 0
 
     def attributes(self) -> dict[str, str]:
         return {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(self.attrs)} if "=" in self.attrs or self.attrs.strip() else {}
@@ -266,13 +266,13 @@ def scored(root: Element) -> list[Element]:
         first = block.parent if block.tag in PARAGRAPHS and block.parent is not None else block
         earned = points(text, linked)
         for depth, a in enumerate((first, *first.up())):
-            a.points += earned / (1, 2)[depth] if depth < 2 else earned / (3 * depth)
+            a.earned += earned / (1, 2)[depth] if depth < 2 else earned / (3 * depth)
             found.setdefault(id(a), a)
         for a in (block, *block.up()):
             a.chars += len(text)
             a.linked += linked
     for e in found.values():
-        e.points += BONUS.get(e.tag, 0)
+        e.points = e.earned + BONUS.get(e.tag, 0)
         if any(TEXTUAL.intersection(words) for words in names(e, e.attributes())):
             e.points += NAMED
         e.points *= 1 - e.linked / max(e.chars, 1)
@@ -282,7 +282,7 @@ def scored(root: Element) -> list[Element]:
 def more(e: Element, best: Element, chosen: set[int]) -> bool:
     """Whether a sibling of the best container belongs to the text."""
     density = e.linked / max(e.chars, 1)
-    if id(e) in chosen and e.points >= SIBLING * best.points:
+    if id(e) in chosen and e.earned * (1 - density) >= SIBLING * best.earned:
         return True
     if best.tag in ("article", "main"):
         return e.tag == "h1" and density == 0
