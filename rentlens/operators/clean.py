@@ -51,19 +51,27 @@ def clean_listings(df: DataFrame, mode: str = "fail") -> DataFrame:
     return df.where(F.col("sqr_m").isNotNull()).select(*cols)
 
 
-def clean_with_rejects(df: DataFrame) -> DataFrame:
-    """Permissive clean plus ``rejected`` = names of fields whose text did not parse.
+#: Cleaned column -> raw column whose text it is parsed from.
+SOURCES = {"sqr_m": "sqr_m", "year_built": "year_built", "floor": "floor", "eki_walk": "nearest_eki",
+           **{m: m for m in ["rent_price", *MONEY]}}
 
-    Split downstream with ``where(size('rejected') == 0)``; both halves come
-    from one scan.
-    """
+
+def judged_listings(df: DataFrame) -> DataFrame:
+    """Permissive clean of every row plus ``rejected``: names of the fields whose text did not parse, and ``sqr_m`` where there is none."""
     s = _stripped(df)
     exprs = _parsed(s, "permissive")
-    sources = {"sqr_m": "sqr_m", "year_built": "year_built", "floor": "floor",
-               "eki_walk": "nearest_eki", **{m: m for m in ["rent_price", *MONEY]}}
-    flags = [F.when(exprs[c].isNull() & s[src].isNotNull(), F.lit(c)) for c, src in sources.items()]
+    flags = [F.when(exprs[c].isNull() & (s[src].isNotNull() | F.lit(c == "sqr_m")), F.lit(c)) for c, src in SOURCES.items()]
     rejected = F.filter(F.array(*flags), lambda x: x.isNotNull())
     passthrough = [c for c in df.columns if c not in RAW_COLUMNS and c not in DROP_IF_PRESENT]
     cols = [s[c].alias(c) for c in passthrough]
     cols += [exprs[c].alias(c) for c in CLEAN_COLUMNS if c in exprs]
-    return df.where(F.col("sqr_m").isNotNull()).select(*cols, rejected.alias("rejected"))
+    return df.select(*cols, rejected.alias("rejected"))
+
+
+def clean_with_rejects(df: DataFrame) -> DataFrame:
+    """Permissive clean plus ``rejected`` = names of fields whose text did not parse.
+
+    Split downstream with ``where(size('rejected') == 0)``; both halves come
+    from one scan.
+    """
+    return judged_listings(df.where(F.col("sqr_m").isNotNull()))

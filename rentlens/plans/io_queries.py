@@ -12,7 +12,7 @@ from rentlens.plans.registry import query
 from rentlens.plans.sql import with_listings
 from rentlens.schema import CLEAN_COLUMNS, CLEAN_TYPES, KEYED_RAW_SCHEMA, RAW_COLUMNS
 from rentlens.session import scratch_path
-from rentlens.sources.files import page_url_frontier, scan_csv, write_csv, write_dated
+from rentlens.sources.files import page_url_frontier, scan_csv, scan_csv_by_name, write_csv, write_dated
 from rentlens.sources.tables import read_table
 
 CLEAN_KEYED_SCHEMA = T.StructType(
@@ -44,6 +44,36 @@ def q_scan_csv_directory(spark, sf_dir):
     return scan_csv(spark, path, KEYED_RAW_SCHEMA, glob="*.csv")
 
 
+#: Three versions of a scraper: listings by key, the columns that each writes, in its order.
+VERSIONS = [["listing_id", "scraped_at", *RAW_COLUMNS],
+            [*reversed(RAW_COLUMNS), "listing_id", "scraped_at"],
+            ["Lat", "floor", "listing_id", *[c for c in RAW_COLUMNS if c not in ("floor", "house_type")], "agent"]]
+
+
+def write_versions(df, path: str) -> None:
+    """The listings as CSV files with the headers of ``VERSIONS``, dealt by key."""
+    df = df.withColumns({"Lat": F.lit("35.6"), "agent": F.concat(F.lit("a,"), F.col("listing_id") % 7)})
+    for i, names in enumerate(VERSIONS):
+        write_csv(df.where(F.col("listing_id") % len(VERSIONS) == i).select(*names), path, mode="append")
+
+
+def by_version(column: str) -> str:
+    """SQL of a column that a by-name scan of ``write_versions`` finds."""
+    has = [str(i) for i, names in enumerate(VERSIONS) if column in names]
+    return column if len(has) == len(VERSIONS) else f"CASE WHEN listing_id % {len(VERSIONS)} IN ({', '.join(has)}) THEN {column} END AS {column}"
+
+
+@query("scan_csv_by_name", with_listings(
+    "SELECT " + ", ".join(by_version(f.name) for f in KEYED_RAW_SCHEMA)
+    + f", CASE WHEN listing_id % {len(VERSIONS)} = 2 THEN '35.6' END AS \"Lat\""
+    + f", CASE WHEN listing_id % {len(VERSIONS)} = 2 THEN 'a,' || CAST(listing_id % 7 AS VARCHAR) END AS agent FROM raw_listings"))
+def q_scan_csv_by_name(spark, sf_dir):
+    """Files with reordered, missing and extra columns, stacked by name."""
+    path = scratch_path(spark, "versions")
+    write_versions(raw(spark, sf_dir), path)
+    return scan_csv_by_name(spark, path, KEYED_RAW_SCHEMA, glob="*.csv", extras=True)
+
+
 @query("sink_csv_roundtrip", with_listings("SELECT * FROM clean_listings"))
 def q_sink_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "clean-csv")

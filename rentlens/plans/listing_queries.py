@@ -53,7 +53,7 @@ def q_bargain_topk(spark, sf_dir):
     return bargain_topk(listings(spark, sf_dir), k=3)
 
 
-_PERMISSIVE_CTE = CLEAN_CTE.replace("clean_listings AS (", "permissive AS (", 1).replace("CAST(", "TRY_CAST(").replace("FROM raw_listings", "FROM odd_listings")
+PERMISSIVE_CTE = CLEAN_CTE.replace("clean_listings AS (", "permissive AS (", 1).replace("CAST(", "TRY_CAST(").replace("FROM raw_listings", "FROM odd_listings")
 _REJECT_SOURCES = {"sqr_m": "sqr_m", "year_built": "year_built", "floor": "floor", "eki_walk": "nearest_eki",
                    "rent_price": "rent_price", "rei_price": "rei_price", "shikikin": "shikikin",
                    "maintenence_price": "maintenence_price"}
@@ -63,7 +63,7 @@ _REJECT_SOURCES = {"sqr_m": "sqr_m", "year_built": "year_built", "floor": "floor
     "SELECT p.* REPLACE (CAST(p.year_built AS DOUBLE) AS year_built, CAST(p.floor AS DOUBLE) AS floor, CAST(p.eki_walk AS DOUBLE) AS eki_walk), " + " + ".join(f"CASE WHEN r.{src} IS NOT NULL AND p.{c} IS NULL THEN 1 ELSE 0 END"
                                 for c, src in _REJECT_SOURCES.items())
     + " AS n_rejected FROM permissive p JOIN odd_listings r ON p.listing_id = r.listing_id",
-    ODD_CTE + ",\n" + _PERMISSIVE_CTE))
+    ODD_CTE + ",\n" + PERMISSIVE_CTE))
 def q_clean_listings_permissive(spark, sf_dir):
     """Permissive clean; unparsable fields become null and are counted per row."""
     df = clean_with_rejects(odd_listings(spark, sf_dir))

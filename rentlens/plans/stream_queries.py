@@ -5,13 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rentlens.operators.clean import SOURCES
 from rentlens.plans.common import raw
+from rentlens.plans.io_queries import by_version, write_versions
+from rentlens.plans.listing_queries import PERMISSIVE_CTE
 from rentlens.plans.model_queries import SPLIT_CTE, RECORD_SQL, champion, scoring_records
 from rentlens.plans.registry import query
-from rentlens.plans.sql import with_listings
+from rentlens.plans.sql import ODD_CTE, with_listings
 from rentlens.session import scratch_path
 from rentlens.sources.files import write_csv
-from rentlens.streaming.ingest import ingest_listings
+from rentlens.sources.tables import RAW_ORDER, odd_listings
+from rentlens.streaming.ingest import ingest_listings, ingest_with_rejects
 from rentlens.streaming.metrics import daily_metrics
 from rentlens.streaming.runner import newest, run_available_now, run_updates
 from rentlens.streaming.scoring import score_stream
@@ -31,6 +35,37 @@ def q_stream_clean_listings(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+# odd listings as the files of three scraper versions have them, their permissive clean, and each row's reasons
+_LANDED = (ODD_CTE + ",\nlanded AS (SELECT " + ", ".join(by_version(c) for c in RAW_ORDER) + " FROM odd_listings),\n"
+           + PERMISSIVE_CTE.replace("FROM odd_listings WHERE sqr_m IS NOT NULL", "FROM landed")
+           + ",\njudged AS (SELECT p.*, concat_ws(',', " + ", ".join(
+               f"CASE WHEN p.{c} IS NULL AND {'true' if c == 'sqr_m' else f'r.{src} IS NOT NULL'} THEN '{c}' END" for c, src in SOURCES.items())
+           + ") AS reasons FROM permissive p JOIN landed r ON p.listing_id = r.listing_id)")
+
+
+def _ingested(spark, sf_dir):
+    """(good, rejects): odd listings in files of three headers, landed in two runs."""
+    landing, good, rejects, ck = (scratch_path(spark, n) for n in ("odd-landing", "good", "rejects", "odd-ck"))
+    df = odd_listings(spark, sf_dir)
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    for some in (df.where(F.col("scraped_at") < cut), df.where(F.col("scraped_at") >= cut)):
+        write_versions(some, landing)
+        ingest_with_rejects(spark, landing, good, rejects, ck)
+    return spark.read.parquet(good).drop("batch"), spark.read.parquet(rejects).drop("batch")
+
+
+@query("stream_ingest_good", with_listings("SELECT * EXCLUDE (reasons) FROM judged WHERE reasons = ''", _LANDED))
+def q_stream_ingest_good(spark, sf_dir):
+    """The listings that parse, whatever their file's header."""
+    return _ingested(spark, sf_dir)[0]
+
+
+@query("stream_ingest_rejects", with_listings("SELECT listing_id, reasons FROM judged WHERE reasons <> ''", _LANDED))
+def q_stream_ingest_rejects(spark, sf_dir):
+    """The others, with the fields that do not parse."""
+    return _ingested(spark, sf_dir)[1].select("listing_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 _METRICS = """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS chunk, event_type, count(*) AS n,
        round(sum(value), 4) AS value_sum, round(avg(value), 8) AS value_avg
