@@ -2,21 +2,25 @@
 
 Base spans come from three rules (assignments to a secret's name, access keys,
 long hex runs) and always stay.  Candidates of the network are the base spans and
-all other runs of 16 or more characters of keys and tokens that mix letters and
-digits or are digits only.  The network reads the candidate and its context
-(``SIDE`` characters each side), character by character: embedding, convolution
-with three widths, maximum over positions inside the candidate and around it, a hidden
-layer, one logit.
-
-Training.  All documents are scanned for base findings; labelled findings of a
-bounded sample of documents with base findings and of as many of all documents
-(``sample_docs``, the smallest hashes of the texts) train the network: base findings are
-positive, ordinary words, numbers and random substitutes that follow the shape of ordinary
-words negative; copies of the positives without the assignment's name, with their own
-and with random values of the same shape, make the network judge the value.  Three tenths of
-all documents are held out: a logistic map calibrates the logit on every finding of theirs,
-and each kind's threshold is one half, or lower where the recall on them asks for that
-(from grouped counts of logits rounded to 1 / ``CELLS``).
+all other runs of ``SHORTEST`` or more letters, digits and signs of keys, whatever
+their alphabet.  The network reads the candidate and its context (``SIDE``
+characters each side), character by character: embedding, convolution with three
+widths, maximum over positions inside the candidate and around it, a hidden layer,
+one logit.  Of a value longer than ``ROOM`` it reads overlapping windows, and the
+highest score counts.
+
+Training.  Positive findings are the base findings as they stand, their values and
+random ones of their shape without the name before them, and, in their place and that of an
+ordinary run, random letters, random mixed values, and random values of each kind (letters,
+digits, mixed) after a secret's name with other words or signs between.  Negative ones are ordinary runs of the text,
+words joined by signs, numbers, and ordinary words after a secret's name; a number
+is a secret only after such a name, and a run soon after one in the text has no label.  One scan of all documents makes them: of
+documents with base findings all, of the others those of a sample by hash of about
+``sample_docs``; at most ``sample_rows`` of each label, chosen by hash, train the network.
+Three tenths of all documents are held out: a logistic map calibrates the logit on every
+finding of theirs, and a kind's threshold is the highest that ``recall`` of their positive
+findings of the kind reach, or lower, down to where ``FALSE_ALARMS`` of their negative
+ones are beyond it (from grouped counts of logits rounded to 1 / ``CELLS``).
 
 Spans are half-open, in code points.  Null or empty text has none.  Very long
 texts are scanned whole.  Rows that repeat give equal results.  If no document has
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import carried, mapped, sliced
+from rentlens.llm.common import carried, discard, mapped, sliced, written
 
 #: The rules, in the order that breaks ties.
 KINDS = ("assign", "access", "hex", "net")
@@ -42,15 +46,26 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+#: Names and what may stand between a name and a value, for made findings.
+NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "credential")
+BETWEEN = (" ", " is ", " -> ", " => ", ": <", "\t", " was ", " (", " := '", "\n")
+NAMED = re.compile("|".join(NAMES), re.I)
+VALUE_KINDS = ("letters", "digits", "mixed")
+
+#: Shortest run that is a candidate; shortest ordinary run of the training.
+SHORTEST, ORDINARY = 12, 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 
 SIDE = 20
 WIDTH = 88
+#: Characters of a value in a window.
+ROOM = WIDTH - 2 * SIDE
 SPAN_CLASS = 97
 TRAIN_STEPS = 1500
 #: Random values put in a finding's place, beside its own.
 COPIES = 3
+#: Where so small a share of the negative findings of a kind is beyond a lower threshold, that one is taken.
+FALSE_ALARMS = 0.0005
 #: Cells of a unit of logit, in which findings are counted.
 CELLS = 100
 
@@ -71,22 +86,27 @@ def further_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tupl
     out, taken = [], sorted((s, e) for _, s, e in base)
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if DIGIT.search(text, s, e) and not any(a < e and s < b for a, b in taken):
+        if not any(a < e and s < b for a, b in taken):
             out.append((s, e))
     return out
 
 
-def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Character codes around each span, the span's characters marked by the second plane; long spans keep both ends."""
-    out = np.zeros((len(spans), 2, WIDTH), np.uint8)
-    for i, (s, e) in enumerate(spans):
-        room = WIDTH - 2 * SIDE
-        body = text[s:e] if e - s <= room else text[s: s + room // 2] + text[e - room // 2: e]
-        line = text[max(0, s - SIDE): s].rjust(SIDE, "\0") + body + text[e: e + SIDE]
+def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, number of the span) of each window: characters in and around it, those of the span marked by the second plane."""
+    views = [(i, at, min(at + ROOM, e)) for i, (s, e) in enumerate(spans)
+             for at in ([s] if e - s <= ROOM else [*range(s, e - ROOM, ROOM // 2), e - ROOM])]
+    out = np.zeros((len(views), 2, WIDTH), np.uint8)
+    for j, (_, s, e) in enumerate(views):
+        line = text[max(0, s - SIDE): s].rjust(SIDE, "\0") + text[s: e + SIDE]
         raw = np.frombuffer(line.encode("ascii", "replace"), np.uint8)[:WIDTH]
-        out[i, 0, : len(raw)] = np.where((raw >= 32) & (raw < 127), raw - 31, 0)
-        out[i, 1, SIDE: SIDE + len(body)] = 1
-    return out
+        out[j, 0, : len(raw)] = np.where((raw >= 32) & (raw < 127), raw - 31, 0)
+        out[j, 1, SIDE: SIDE + e - s] = 1
+    return out, np.array([v[0] for v in views], np.int64)
+
+
+def highest(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The highest of the values of each span; ``of`` ascends and misses none."""
+    return np.maximum.reduceat(values, np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))) if len(of) else values
 
 
 class CharNet:
@@ -152,7 +172,8 @@ class CharNet:
             g[f"b{w}"] = g.get(f"b{w}", 0) + db.sum(axis=0)
             dz = db[:, :, None] * p[f"w{w}"].T[None]
             for j in range(w):
-                np.add.at(g["embed"], chars[rows[:, None], at + j], dz[:, :, j * e: j * e + self.EMBED])
+                cell = chars[rows[:, None], at + j][:, :, None] * self.EMBED + np.arange(self.EMBED)
+                g["embed"] += np.bincount(cell.ravel(), dz[:, :, j * e: j * e + self.EMBED].ravel(), SPAN_CLASS * self.EMBED).reshape(SPAN_CLASS, self.EMBED)
         return g
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -160,15 +181,24 @@ class CharNet:
 
 
 def calibrated(logit: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic map over findings that count ``n`` times, by Newton's method with a small ridge."""
+    """Slope and offset of a logistic map over findings that count ``n`` times, by damped Newton steps with a small ridge."""
+    def loss(a: float, b: float) -> float:
+        z = a * logit + b
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + 5e-3 * ((a - 1) ** 2 + b * b))
+
     a, b = 1.0, 0.0
-    for _ in range(30):
+    for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
         w, miss = n * q * (1 - q), n * (q - y)
         grad = np.array([(miss * logit).sum() + 1e-2 * (a - 1), miss.sum() + 1e-2 * b])
         hess = np.array([[(w * logit * logit).sum() + 1e-2, (w * logit).sum()], [(w * logit).sum(), w.sum() + 1e-2]])
         da, db = np.linalg.solve(hess, grad)
-        a, b = a - da, b - db
+        step, before = 1.0, loss(a, b)
+        while step > 1e-6 and not loss(a - step * da, b - step * db) <= before:
+            step /= 2
+        if step <= 1e-6 or max(abs(da), abs(db)) < 1e-9:
+            break
+        a, b = a - step * da, b - step * db
     return float(a), float(b)
 
 
@@ -176,13 +206,23 @@ class SecretModel:
     def __init__(self, net: CharNet, slope: float, offset: float, thresholds: dict[str, float]):
         self.net, self.slope, self.offset, self.thresholds = net, slope, offset, thresholds
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.net.logits(x) + self.offset, -30, 30)))
+    def scores(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The score of each span whose windows are ``x``."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * highest(self.net.logits(x), of).astype(np.float64) + self.offset, -30, 30)))
 
 
 def kind_of(value: str) -> str:
     """The kind whose threshold judges a further candidate: what its characters look like."""
-    return "digits" if value.strip("+/_=-").isdigit() else "mixed"
+    plain = value.strip("+/_=-").replace("-", "").replace("_", "").replace("/", "")
+    return "digits" if plain.isdigit() else "letters" if plain.isalpha() else "mixed"
+
+
+def made(kind: str, g: np.random.Generator) -> str:
+    """A random value of a kind."""
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    sets = {"digits": [digits], "letters": [lower, upper, lower + upper], "mixed": [lower + digits, upper + digits, lower + upper + digits, lower + upper + digits + "+/_-"]}[kind]
+    some = sets[int(g.integers(len(sets)))]
+    return "".join(some[int(i)] for i in g.integers(0, len(some), int(g.integers(SHORTEST, 41))))
 
 
 def alike(value: str, g: np.random.Generator) -> str:
@@ -192,44 +232,92 @@ def alike(value: str, g: np.random.Generator) -> str:
     return "".join(of[c][int(g.integers(len(of[c])))] if c in of else c for c in value)
 
 
-def findings(texts: list[str], seed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labelled windows of the sampled texts: (windows, label, kind, number of the text)."""
+def findings(text: str, seed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labelled findings of a text: (windows, number of a window's finding, label, kind)."""
     g = np.random.default_rng(seed)
-    x, y, kinds, of = [], [], [], []
-
-    def add(text: str, spans: list[tuple[int, int]], label: int, kind: str) -> None:
-        if spans:
-            x.append(windows(text, spans))
-            y.extend([label] * len(spans))
-            kinds.extend([kind] * len(spans))
-            of.extend([number] * len(spans))
-
-    for number, t in enumerate(texts):
-        base = base_spans(t)
-        for kind, s, e in base:
-            add(t, [(s, e)], 1, "mixed")
-            value = ASSIGN.match(t, s).group(2) if kind == 0 else t[s:e]
-            before, after, at = t[max(0, s - SIDE): s], t[e: e + SIDE], min(s, SIDE)
+    x, of, y, kinds = [], [], [], []
+
+    def add(line: str, s: int, e: int, label: int) -> None:
+        some, _ = windows(line, [(s, e)])
+        x.append(some)
+        of.extend([len(y)] * len(some))
+        y.append(label)
+        kinds.append(kind_of(line[s:e]))
+
+    def put(s: int, e: int, value: str, label: int, name: str = "") -> None:
+        """``value`` in the place of text[s:e], after ``name``."""
+        before, after = text[max(0, s - SIDE): s] + name, text[e: e + SIDE]
+        add(before + value + after, len(before), len(before) + len(value), label)
+
+    def named() -> str:
+        return NAMES[int(g.integers(len(NAMES)))] + BETWEEN[int(g.integers(len(BETWEEN)))]
+
+    base = base_spans(text)
+    for kind, s, e in base:
+        add(text, s, e, 1)
+        value = ASSIGN.match(text, s).group(2) if kind == 0 else text[s:e]
+        if kind_of(value) != "digits":  # without its name, a number is a number
             for v in (value, *(alike(value, g) for _ in range(COPIES))):
-                add(before + v + after, [(at, at + len(v))], 1, "mixed")
-            add(t[:s] + t[s:e].replace(value, alike(value, g)) + t[e:], [(s, e)], 1, "mixed")
-        taken = [(s, e) for _, s, e in base]
-        free = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{6,}", t) if not any(a < m.end() and m.start() < b for a, b in taken)]
-        pick = [free[i] for i in sorted(g.permutation(len(free))[:3])]
-        add(t, pick, 0, "mixed")
-        for s, e in pick[:1]:  # a number in its place, and words with a number, as in references
-            digits = "".join(map(str, g.integers(0, 10, 16)))
-            add(t[:s] + digits + t[e:], [(s, s + 16)], 0, "digits")
-            joined = t[s:e] + "-" + t[s:e] + "-" + digits[:3]
-            add(t[:s] + joined + t[e:], [(s, s + len(joined))], 0, "mixed")
-    return (np.concatenate(x) if x else np.zeros((0, 2, WIDTH), np.uint8)), np.array(y, np.float64), np.array(kinds), np.array(of)
-
-
-def sampled(t: DataFrame, sample_docs: int) -> list[str]:
-    """The texts of ``t`` (h, text) with the smallest hashes, at most ``sample_docs`` different ones."""
-    hashes = [r.h for r in t.select("h").distinct().orderBy("h").limit(sample_docs).collect()]
-    rows = t.where(F.col("h") <= max(hashes)).groupBy("h").agg(F.min("text").alias("text")).collect() if hashes else []
-    return [r.text for r in sorted(rows, key=lambda r: r.h)]
+                put(s, e, v, 1)
+        put(s, e, text[s:e].replace(value, alike(value, g)), 1)
+    taken = [(s, e) for _, s, e in base]
+    # a run soon after a secret's name may be one that no rule finds, and has no label
+    free = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % ORDINARY, text)
+            if not NAMED.search(text, max(0, m.start() - SIDE), m.start()) and not any(a < m.end() and m.start() < b for a, b in taken)]
+    long = [f for f in free if f[1] - f[0] >= SHORTEST]
+    picked = [some[i] for some in (free, long) for i in sorted(g.permutation(len(some))[:3])]
+    for s, e in picked:
+        add(text, s, e, 0)
+    for s, e in [*((s, e) for _, s, e in base), *picked[:1]]:
+        for of_kind in VALUE_KINDS:
+            put(s, e, made(of_kind, g), 1, named())
+            if of_kind != "digits":
+                put(s, e, made(of_kind, g), 1)
+    for s, e in picked[:1]:  # in its place a number, words joined as in references and paths, and a word after a name
+        other = free[int(g.integers(len(free)))]
+        word = text[other[0]:other[1]]
+        digits = "".join(map(str, g.integers(0, 10, int(g.integers(SHORTEST, 21)))))
+        put(s, e, digits, 0)
+        for sign in "-_/":
+            put(s, e, text[s:e] + sign + word + sign + digits[:3], 0)
+            put(s, e, text[s:e] + sign + word, 0)
+        put(s, e, text[s:e] + word, 0)
+        put(s, e, word, 0, named())
+        put(s, e, text[s:e] + word, 0, named())
+    return (np.concatenate(x) if x else np.zeros((0, 2, WIDTH), np.uint8)), np.array(of, np.int64), np.array(y, np.float64), np.array(kinds)
+
+
+def training_rows(t: DataFrame, sample_docs: int, sample_rows: int, seed: int, early: str) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, label): at most ``sample_rows`` windows of each label of documents of ``t`` (h, text), from one scan.
+
+    All documents with base findings and a hash sample of about ``sample_docs`` of all are in it.
+    """
+    every = max(1, t.count() // max(sample_docs, 1))
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in sliced(batch, rows=200, text="text"):
+            out: dict[str, list] = {"place": [], "early": [], "y": [], "hit": [], "x": []}
+            for h, use, text in zip(*(part.column(c).to_pylist() for c in ("h", "early", "text"))):
+                hit = bool(base_spans(text))
+                if hit or h % every == 0:
+                    x, of, y, _ = findings(text, [seed, h & (1 << 63) - 1])
+                    out["x"] += [w.tobytes() for w in x]
+                    out["y"] += [int(v) for v in y[of]]
+                    out["place"] += np.random.default_rng([h & (1 << 63) - 1, seed]).integers(0, 1 << 62, len(x)).tolist()
+                    out["early"] += [use] * len(x)
+                    out["hit"] += [hit] * len(x)
+            yield out
+
+    rows = mapped(t.select("h", F.expr(early).alias("early"), "text"), run, "place long, early boolean, y int, hit boolean, x binary")
+    rows = written(rows, "findings")
+    some = rows.where("early")
+    if some.where("hit").isEmpty():  # the only base findings are held out
+        some = rows
+    got = [] if some.where("hit").isEmpty() else [
+        r for label in (1, 0) for r in some.where(F.col("y") == label).select("place", "x", "y").orderBy("place", "x").limit(sample_rows).collect()]
+    discard(rows)
+    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.uint8).reshape(len(got), 2, WIDTH)
+    return x, np.array([r.y for r in got], np.float64)
 
 
 def held_counts(t: DataFrame, net: CharNet, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -240,9 +328,10 @@ def held_counts(t: DataFrame, net: CharNet, seed: int) -> tuple[np.ndarray, np.n
         for part in sliced(batch, rows=200, text="text"):
             cells: dict[tuple, int] = {}
             for h, text in zip(part.column("h").to_pylist(), part.column("text").to_pylist()):
-                x, y, kinds, _ = findings([text], [seed, h & (1 << 63) - 1])
-                for of in zip(np.rint(np.clip(held.value.logits(x), -30, 30) * CELLS).astype(int).tolist(), y.tolist(), kinds.tolist()):
-                    cells[of] = cells.get(of, 0) + 1
+                x, of, y, kinds = findings(text, [seed, h & (1 << 63) - 1])
+                logit = highest(held.value.logits(x), of)
+                for cell in zip(np.rint(np.clip(logit, -30, 30) * CELLS).astype(int).tolist(), y.tolist(), kinds.tolist()):
+                    cells[cell] = cells.get(cell, 0) + 1
             logit, y, kind = map(list, zip(*cells)) if cells else ([], [], [])
             yield {"cell": logit, "y": y, "kind": kind, "n": list(cells.values())}
 
@@ -251,44 +340,36 @@ def held_counts(t: DataFrame, net: CharNet, seed: int) -> tuple[np.ndarray, np.n
     return tuple(np.array([r[i] for r in rows]) for i in (0, 1, 2, 3))
 
 
-def fitted(docs: DataFrame, sample_docs: int, recall: float, seed: int) -> SecretModel | None:
-    """The network of a bounded sample of documents, calibrated on the findings of all documents held out.
+def fitted(docs: DataFrame, sample_docs: int, recall: float, seed: int, sample_rows: int = 40_000) -> SecretModel | None:
+    """The network of a bounded sample of labelled findings, calibrated on the findings of all documents held out.
 
-    Every document is scanned for base findings.  Three tenths of the documents (by hash) are
-    held out, unless that leaves no labelled findings; of the others, the network sees at most
-    ``sample_docs`` with base findings and as many of all, those with the smallest hashes.
+    Three tenths of the documents (by hash) are held out, unless that leaves no base findings to
+    train on or no findings to calibrate with; then all documents serve.  None without base findings.
     """
-    def found(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in sliced(batch, text="text"):
-            yield {"h": part.column("h"), "text": part.column("text"), "hit": [bool(base_spans(t)) for t in part.column("text").to_pylist()]}
-
     t = docs.select(F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("h", F.xxhash64("text"))
-    hits = mapped(t, found, "h long, text string, hit boolean").where("hit").select("h", "text")
-    late, early = f"pmod(xxhash64(h, {int(seed)}), 10) < 3", f"pmod(xxhash64(h, {int(seed)}), 10) >= 3"
-    picked = sampled(hits.where(early), sample_docs)
-    if not picked:  # the only findings are held out
-        late, early = "true", "true"
-        picked = sampled(hits, sample_docs)
-    if not picked:
-        return None
-    x, y, _, _ = findings(list(dict.fromkeys(picked + sampled(t.where(early), sample_docs))), seed)
-    if not (y == 0).any():
+    late, early = (f"pmod(xxhash64(h, {int(seed)}), 10) {sign} 3" for sign in ("<", ">="))
+    x, y = training_rows(t, sample_docs, sample_rows, seed, early)
+    if len(set(y)) < 2:
         return None
     net = CharNet(seed)
     net.train(x, y, TRAIN_STEPS, seed)
     cell, y, kinds, n = held_counts(t.where(late), net, seed)
-    if len(set(y)) < 2:
+    if any(not ((y == 1) & (kinds == kind)).any() for kind in VALUE_KINDS) or len(set(y)) < 2:
         cell, y, kinds, n = held_counts(t, net, seed)
     logit, n = cell / CELLS, n.astype(np.float64)
     slope, offset = calibrated(logit, y, n)
     model = SecretModel(net, slope, offset, {})
     score = 1 / (1 + np.exp(-np.clip(slope * (logit - 0.5 / CELLS) + offset, -30, 30)))  # a cell's lower end
-    for kind in ("mixed", "digits"):
+    for kind in VALUE_KINDS:
         good = (y == 1) & (kinds == kind)
         order = np.argsort(score[good])
         upto = np.cumsum(n[good][order])
-        # one half, or less if the recall asks for it; 0.99 for a kind without labelled secrets
-        model.thresholds[kind] = min(0.5, float(score[good][order][np.searchsorted(upto, (1 - recall) * upto[-1], "right")])) if len(upto) else 0.99
+        needed = float(score[good][order][np.searchsorted(upto, (1 - recall) * upto[-1], "right")])
+        bad = (y == 0) & (kinds == kind)
+        order = np.argsort(-score[bad])
+        above = np.searchsorted(np.cumsum(n[bad][order]), FALSE_ALARMS * n[bad].sum(), "right")
+        quiet = np.nextafter(score[bad][order][above], 1) if above < len(order) else 0.5
+        model.thresholds[kind] = min(needed, float(quiet))
     return model
 
 
@@ -309,8 +390,13 @@ def secret_scan(docs: DataFrame, sample_docs: int = 4000, recall: float = 0.98,
             every = [[(s, e) for _, s, e in b] + m for b, m in zip(base, more)]
             score = iter(())
             if net and any(every):
-                x = np.concatenate([windows(t, e) for t, e in zip(texts, every) if e])
-                score = iter(net.scores(x).tolist())
+                parts, first = [], 0
+                for t, e in zip(texts, every):
+                    if e:
+                        x, of = windows(t, e)
+                        parts.append((x, of + first))
+                        first += len(e)
+                score = iter(net.scores(*(np.concatenate(p) for p in zip(*parts))).tolist())
             out = []
             for t, b, m in zip(texts, base, more):
                 spans = [{"kind": KINDS[k], "start": s, "end": e, "base": True, "score": next(score, None)} for k, s, e in b]

@@ -301,10 +301,48 @@ def test_secret_base_spans(spark):
 def test_secret_network_on_held_out_findings(spark):
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
     model = sec.fitted(docs.where("doc_id % 2 = 0"), 2000, 0.98, 11)
-    texts = [r.text for r in docs.where("doc_id % 2 = 1").select("text").collect()]
-    x, y, *_ = sec.findings(texts, 5)
-    hit = model.scores(x) >= model.thresholds["mixed"]
-    assert hit[y == 1].mean() >= 0.95 and hit[y == 0].mean() <= 0.1
+    hit, label, kind = [], [], []
+    for r in docs.where("doc_id % 2 = 1 and text <> ''").select("doc_id", "text").collect():
+        x, of, y, kinds = sec.findings(r.text, [5, r.doc_id])
+        if len(y):
+            hit += [s >= model.thresholds[k] for s, k in zip(model.scores(x, of), kinds)]
+            label, kind = label + y.tolist(), kind + kinds.tolist()
+    hit, label, kind = np.array(hit), np.array(label), np.array(kind)
+    for k in sec.VALUE_KINDS:
+        assert hit[(label == 1) & (kind == k)].mean() >= 0.9 and hit[(label == 0) & (kind == k)].mean() <= 0.1
+
+
+def test_secret_planted_keys_of_each_kind(spark):
+    """Letters, digits and a value beyond the network's window, which no rule finds; ordinary text stays."""
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text")
+    line = "the of and with " * 6
+    planted = {"letters": "the token is QxvTzKwpRgJmBdYhLc", "digits": "my password is 849302718465 ok", "long": "key " + "aB3x9Kq7" * 12, "plain": line}
+    rows = spark.createDataFrame([(10**6 + i, f"{line}{t} {line}") for i, t in enumerate(planted.values())], "doc_id long, text string")
+    got = {r.doc_id - 10**6: r for r in sec.secret_scan(docs.unionByName(rows)).where("doc_id >= 1000000").collect()}
+    for i, (name, t) in enumerate(planted.items()):
+        spans = [got[i].text[s.start:s.end] for s in got[i].spans]
+        assert spans == ({"letters": ["QxvTzKwpRgJmBdYhLc"], "digits": ["849302718465"], "long": ["aB3x9Kq7" * 12], "plain": []}[name]), name
+
+
+def test_calibration_settles():
+    rng = np.random.default_rng(3)
+    logit = rng.normal(0, 12, 4000)
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(0.4 * logit - 1)))).astype(float)
+    a, b = sec.calibrated(logit, y, np.ones(4000))
+    assert 0.35 < a < 0.45 and -1.3 < b < -0.7
+    a, b = sec.calibrated(np.array([-20.0, 25.0, 30.0]), np.array([0.0, 1, 1]), np.array([500.0, 20, 30]))
+    assert 0 < a < 10 and abs(b) < 10
+
+
+def test_secret_windows_cover_long_values():
+    text = "x " + "".join(chr(97 + i % 26) for i in range(131)) + " y"
+    x, of = sec.windows(text, [(0, 1), (2, 133)])
+    assert of.tolist() == [0] + [1] * (len(x) - 1)
+    seen = set()
+    for w in x[1:]:
+        at = "".join(chr(c + 31) for c in w[0][sec.SIDE: sec.SIDE + int(w[1].sum())])
+        seen |= {i for i in range(132) if text[2 + i: 2 + i + len(at)] == at for i in range(i, i + len(at))}
+    assert set(range(131)) <= seen and sec.highest(np.array([1.0, 2, 5, 3, 4][: len(x)]), of).tolist()[0] == 1.0
 
 
 def test_secret_fit_finds_rare_findings_and_counts_all_held_out(spark):
@@ -315,7 +353,7 @@ def test_secret_fit_finds_rare_findings_and_counts_all_held_out(spark):
     assert sec.fitted(clean.select("text").unionByName(late.select("text")), 5, 0.98, 11) is not None
     t = docs.where("text <> ''").limit(60)
     cell, y, kinds, n = sec.held_counts(t, sec.CharNet(1), 3)
-    want = [len(sec.findings([r.text], [3, r.h & (1 << 63) - 1])[1]) for r in t.collect()]
+    want = [len(sec.findings(r.text, [3, r.h & (1 << 63) - 1])[2]) for r in t.collect()]
     assert n.sum() == sum(want) and len(cell) == len(y) == len(kinds)
 
 
