@@ -178,8 +178,9 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     Alternates the large-star and small-star steps: each links a node's
     neighbours to the smallest of them, so that the graph becomes a forest of
-    stars in O(log n) rounds.  A round is two joins on the node; a hot centre is
-    a skewed join, which AQE splits.  Each round's edges are written to the
+    stars in O(log n) rounds.  A round is two joins on the node.  A hot centre's
+    rows are narrow, but they meet in one task: the aggregate and the join on the node
+    share a shuffle, which AQE then does not split.  Each round's edges are written to the
     shared folder.  Nothing but a count and a checksum reaches the driver.
     """
     e = written(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
