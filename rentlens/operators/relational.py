@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,17 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
+def distinct_in_order(files: DataFrame, value: Column) -> DataFrame:
+    """U2 as a list is read: each distinct value (null included) with the place where it comes first, in that order.
+
+    ``files`` is a scan of Parquet files, whose hidden columns name file and row; files come in the order of their
+    paths.  One grouped minimum, combined before the exchange; only the distinct values are sorted.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    first = files.select(value.alias("value"), place.alias("place")).groupBy("value").agg(F.min("place").alias("place"))
+    return first.orderBy("place").select("value", F.col("place.file").alias("first_file"), F.col("place.row").alias("first_row"))
+
+
 def head_rows(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> DataFrame:
     """First n rows in key order (a global top-n, partial per partition)."""
     return df.orderBy(*(order_by or [df.columns[0]])).limit(n)

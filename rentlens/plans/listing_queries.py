@@ -12,7 +12,7 @@ from rentlens.plans.common import listings, raw
 from rentlens.plans.registry import query
 from rentlens.operators.clean import clean_with_rejects
 from rentlens.plans.sql import CLEAN_CTE, FIT_ALL, ODD_CTE, _money, _rent, _s, with_listings
-from rentlens.sources.tables import odd_listings
+from rentlens.sources.tables import odd_listings, read_table
 
 # The columns that the models do not use.
 MODEL_DROP = ["name_place", "address", "eki_name", "apartment_type", "house_type", "ku_name"]
@@ -279,6 +279,15 @@ def q_union_by_name(spark, sf_dir):
     return R.union_by_name([early, late])
 
 
+@query("distinct_in_order", """
+SELECT value, min(row) AS first_row FROM (SELECT o_orderpriority || ' ' || CAST(o_custkey % 997 AS VARCHAR) AS value, row_number() OVER () - 1 AS row FROM orders) o
+GROUP BY value""")
+def q_distinct_in_order(spark, sf_dir):
+    """Over the rows of the orders file as they lie in it."""
+    value = F.concat_ws(" ", "o_orderpriority", (F.col("o_custkey") % 997).cast("string"))
+    return R.distinct_in_order(read_table(spark, sf_dir, "orders"), value).select("value", "first_row")
+
+
 @query("distinct_values", with_listings("SELECT DISTINCT ku_name FROM clean_listings"))
 def q_distinct_values(spark, sf_dir):
     return R.distinct_values(listings(spark, sf_dir), "ku_name")

@@ -13,7 +13,7 @@ from rentlens.operators import evaluate as E
 from rentlens.operators import features as Fe
 from rentlens.operators import models as M
 from rentlens.operators.leafwise import fit_leafwise
-from rentlens.operators.score import RANGES, score, score_many, validate_scoring_input
+from rentlens.operators.score import RANGES, score, score_many, score_positional, validate_scoring_input
 from rentlens.plans.common import fitted_once, listings, split_listings
 from rentlens.plans.registry import query
 from rentlens.plans.sql import coefficient_sql, residualised, summary_sql, with_listings
@@ -288,6 +288,41 @@ def q_model_roundtrip_score(spark, sf_dir):
     return score(M.load_model(spark, root, "passed"), _test(spark, sf_dir), out="champion").withColumn("champion", F.round("champion", 6))
 
 
+@query("model_registry_scores")
+def q_model_registry_scores(spark, sf_dir):
+    """K3, M7, M8: both models saved and their runs logged; the challenger loaded by its alias and the best run's model, which
+    the gate lets pass, score the test split (null where none passes)."""
+    root, runs, test = scratch_path(spark, "models"), scratch_path(spark, "runs"), _test(spark, sf_dir)
+    models = {"champion": champion(spark, sf_dir), "challenger": challenger(spark, sf_dir)}
+    scored = score_many(models, test, keep=[TARGET])
+    saved = {name: M.save_version(model, root) for name, model in models.items()}
+    M.set_alias(spark, root, "challenger", saved["challenger"])
+    mse = scored.agg(*[F.avg((F.col(TARGET) - F.col(n)) ** 2).alias(n) for n in models]).first()
+    for name, model in models.items():
+        M.log_run(spark, runs, name, M.model_params(model), {"mse": mse[name]}, saved[name])
+    best, _ = M.reload_if_passed(spark, root, runs)
+    loaded = {"challenger": M.load_model(spark, root, "challenger")} | ({"passed": best} if best else {})
+    out = score_many(loaded, test, keep=[TARGET])
+    return out if best else out.withColumn("passed", F.lit(None).cast("double"))
+
+
+#: The test split as arrays by position: some too short, some too long, some with an element missing.
+_WIDTHS = {"listing_id % 13 = 0": "record:width 6", "listing_id % 17 = 0": "record:width 8", "listing_id % 19 = 0": "year_built:missing"}
+
+
+@query("positional_records_score", with_listings(
+    "SELECT listing_id, CASE WHEN r IS NULL THEN round(predicted, 6) END AS prediction, r AS reason FROM (SELECT listing_id, predicted, CASE "
+    + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _WIDTHS.items()) + " END AS r FROM scored WHERE split = 'test') p",
+    SPLIT_CTE + ",\n" + CHAMPION_SQL))
+def q_positional_records_score(spark, sf_dir):
+    """Records bound by position, width and type enforced."""
+    x = [F.col(c).cast("double") for c in FEATURES]
+    holes = [F.when(F.expr("listing_id % 19 <> 0"), v) if c == "year_built" else v for c, v in zip(FEATURES, x)]
+    record = (F.when(F.expr("listing_id % 13 = 0"), F.array(*x[:-1])).when(F.expr("listing_id % 17 = 0"), F.array(*x, F.lit(1.0))).otherwise(F.array(*holes)))
+    rows = _test(spark, sf_dir).select("listing_id", record.alias("record"))
+    return score_positional(champion(spark, sf_dir), rows).withColumn("prediction", F.round("prediction", 6))
+
+
 # Scoring records as they may arrive: text, a word for a number, yen for 万円, a missing field.
 RECORDS = {c: f"CAST({c} AS STRING)" for c in FEATURES} | {
     "eki_walk": "CASE WHEN listing_id % 13 = 0 THEN 'near' ELSE CAST(eki_walk AS STRING) END",
