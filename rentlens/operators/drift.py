@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rentlens.operators.evaluate import fit_linear
 from rentlens.operators.models import fit_gbt
 from rentlens.operators.quantiles import exact_quantiles
 
@@ -81,20 +82,47 @@ def realised_mae_daily(df: DataFrame, ts: str, label: str, pred: str) -> DataFra
               .select(F.col("chunk").cast("string").alias("chunk"), "n", "mae"))
 
 
+def out_of_fold(df: DataFrame, y: str, xs: list[str], key: str, folds: int = 5, out: str = "predicted") -> DataFrame:
+    """``out``: for each row the prediction of the linear model fitted on the rows of the other folds.
+
+    Folds follow from the hash of ``key``, so equal keys share one.  One aggregate a fold; the predictions are expressions.
+    """
+    fold = F.pmod(F.xxhash64(key), F.lit(folds))
+    predicted = F.lit(None).cast("double")
+    for k in range(folds):
+        predicted = F.when(fold == k, fit_linear(df.where(fold != k), y, xs).predict()).otherwise(predicted)
+    return df.withColumn(out, predicted)
+
+
 def fit_loss_estimator(reference: DataFrame, features: list[str], label: str, pred: str,
                        **gbt) -> PipelineModel:
-    """Learn |label − pred| from the features and the prediction on reference rows."""
+    """Learn |label − pred| from the features and the prediction on reference rows.
+
+    ``pred`` should come from a model that has not seen the row (``out_of_fold``): errors of rows that were fitted are too small.
+    """
     train = reference.withColumn("abs_error", F.abs(F.col(label) - F.col(pred)))
     params = {"maxIter": 20, "maxDepth": 4, "maxBins": 64, "minInstancesPerNode": 20, **gbt}
     return fit_gbt(train, [*features, pred], "abs_error", **params)
 
 
+def sampling_error(reference: DataFrame, label: str, pred: str) -> float:
+    """Standard deviation of |label − pred| over the reference rows; of a mean over n rows it is this by the root of n."""
+    return float(reference.agg(F.stddev_samp(F.abs(F.col(label) - F.col(pred)))).first()[0] or 0.0)
+
+
 def estimated_mae_daily(analysis: DataFrame, estimator: PipelineModel, ts: str, label: str,
-                        pred: str) -> DataFrame:
-    """Estimated MAE per day (no labels used) next to the realised MAE."""
+                        pred: str, deviation: float | None = None, width: float = 3.0) -> DataFrame:
+    """Estimated MAE per day (no labels used) next to the realised MAE.
+
+    With the ``deviation`` of one error, ``lower`` and ``upper`` are ``width`` standard errors of the day's mean away.
+    """
     scored = estimator.transform(analysis)
-    return (scored.groupBy(F.to_date(F.col(ts)).alias("chunk"))
-                  .agg(F.count(F.lit(1)).alias("n"),
-                       F.avg(F.greatest(F.col("prediction"), F.lit(0.0))).alias("estimated_mae"),
+    estimate = F.avg(F.greatest(F.col("prediction"), F.lit(0.0)))
+    days = (scored.groupBy(F.to_date(F.col(ts)).alias("chunk"))
+                  .agg(F.count(F.lit(1)).alias("n"), estimate.alias("estimated_mae"),
                        F.avg(F.abs(F.col(label) - F.col(pred))).alias("realised_mae"))
                   .select(F.col("chunk").cast("string").alias("chunk"), "n", "estimated_mae", "realised_mae"))
+    if deviation is None:
+        return days
+    half = F.lit(width * deviation) / F.sqrt("n")
+    return days.withColumns({"lower": F.greatest(F.col("estimated_mae") - half, F.lit(0.0)), "upper": F.col("estimated_mae") + half})

@@ -151,7 +151,9 @@ def q_realised_mae_daily(spark, sf_dir):
 
 @query("estimated_mae_daily")
 def q_estimated_mae_daily(spark, sf_dir):
+    """Learned from errors out of fold, with the sampling band of each day."""
     s = _scored(spark, sf_dir)
-    ref = _reference(s).select(*NOTEBOOK_FEATURES, TARGET, "predicted").dropna(subset=[TARGET])
+    known = _reference(s).select("listing_id", *NOTEBOOK_FEATURES, TARGET).dropna(subset=[TARGET])
+    ref = D.out_of_fold(known, TARGET, NOTEBOOK_FEATURES, "listing_id")
     est = fitted_once("loss_estimator", ref, lambda: D.fit_loss_estimator(ref, NOTEBOOK_FEATURES, TARGET, "predicted"))
-    return D.estimated_mae_daily(_analysis(s), est, "scraped_at", TARGET, "predicted")
+    return D.estimated_mae_daily(_analysis(s), est, "scraped_at", TARGET, "predicted", D.sampling_error(ref, TARGET, "predicted"))
