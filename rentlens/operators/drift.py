@@ -57,6 +57,58 @@ def js_distance_daily(df: DataFrame, ts: str, value: str, reference_end: str, wi
                .withColumn("alert", F.col("js_distance") > F.lit(alert_above))
 
 
+def reference_edges(df: DataFrame, ts: str, value: str, reference_end: str, n_bins: int = 10) -> list[float]:
+    """Edges between ``n_bins`` bins that hold equally many reference values: their exact quantiles, repeats left out."""
+    before = F.to_date(F.col(ts)) < F.lit(reference_end).cast("date")
+    v = F.col(value).cast("double")
+    known = df.where(before & ~F.isnan(v)).select(F.lit(0).alias("all"), v.alias("value"))
+    found = exact_quantiles(known, ["all"], "value", [k / n_bins for k in range(1, n_bins)]).first()
+    return sorted(set(found["q"])) if found else []
+
+
+def edge_bin(value: Column, edges: list[float]) -> Column:
+    """Bin k is [edge k-1, edge k), the outer ones open; missing values have a bin of their own."""
+    out = F.when(value.isNull() | F.isnan(value), F.lit(MISSING))
+    for k, e in enumerate(edges):
+        out = out.when(value < F.lit(e), F.lit(k))
+    return out.otherwise(F.lit(len(edges)))
+
+
+def js_drift_calibrated(df: DataFrame, ts: str, value: str, reference_end: str, n_bins: int = 10, deviations: float = 3.0,
+                        edges: list[float] | None = None, alert_above: float | None = None) -> DataFrame:
+    """R5 with bins and alert limit learned from the reference period (days before ``reference_end``).
+
+    Bins hold equally many reference values (``reference_edges``).  Each reference day is measured against the
+    other reference days, each later day against all of them; ``alert_limit`` is the reference days' mean distance plus
+    ``deviations`` standard deviations, 1 at most.  ``edges`` and ``alert_above`` fix bins and limit instead.
+    Only later days are reported.  Without a reference the distance, and with fewer than two reference days the
+    limit and the alert, are null.
+    """
+    edges = reference_edges(df, ts, value, reference_end, n_bins) if edges is None else edges
+    b = edge_bin(F.col(value).cast("double"), edges)
+    kinds = [MISSING, *range(len(edges) + 1)]
+    days = df.where(F.col(ts).isNotNull()).groupBy(F.to_date(F.col(ts)).alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(b == k).alias(f"b{i}") for i, k in enumerate(kinds)])
+    # a row a day: the reference is the sum of its days, less the day itself where that is one of them
+    before, all_days = F.col("chunk") < F.lit(reference_end).cast("date"), Window.partitionBy(F.lit(0))
+    own = lambda c: F.when(before, F.col(c)).otherwise(F.lit(0))
+    days = days.withColumns({f"r{c}": F.sum(own(c)).over(all_days) - own(c) for c in ["n", *[f"b{i}" for i in range(len(kinds))]]})
+    js = F.lit(0.0)
+    for i in range(len(kinds)):
+        p, q = F.col(f"b{i}") / F.col("n"), F.try_divide(F.col(f"rb{i}"), F.col("rn"))
+        js = js + _plogp_half(p, (p + q) / 2) + _plogp_half(q, (p + q) / 2)
+    days = days.withColumn("js_distance", F.when(F.col("rn") > 0, F.sqrt(F.greatest(js, F.lit(0.0)))))
+    if alert_above is None:
+        known = F.when(before, F.col("js_distance"))
+        limit = F.avg(known).over(all_days) + F.lit(deviations) * F.stddev_samp(known).over(all_days)
+        limit = F.when(limit.isNotNull(), F.least(limit, F.lit(1.0)))
+    else:
+        limit = F.lit(alert_above)
+    return (days.withColumn("alert_limit", limit).where(~before)
+                .select(F.col("chunk").cast("string").alias("chunk"), "n", "js_distance", "alert_limit")
+                .withColumn("alert", F.col("js_distance") > F.col("alert_limit")))
+
+
 def distribution_daily(df: DataFrame, ts: str, value: str, accuracy: int | None = None) -> DataFrame:
     """Per-day count, mean, standard deviation and quantiles of ``value``.
 

@@ -1,6 +1,7 @@
 """Geocode lookup and distances to facilities.
 
-J1 is an equi-join to a geocode dimension; Catalyst's byte threshold and AQE
+J1 is an equi-join to a geocode dimension (by ward) or to the places of a
+gazetteer (by address, longest place first); Catalyst's byte threshold and AQE
 choose between broadcast and shuffle.  J2 and J3 are spatial equi-joins: points
 on the unit sphere fall into cubic cells, and all facilities within one cell
 width (as a straight line through the sphere) of a point lie in the point's
@@ -29,6 +30,33 @@ def geocode(df: DataFrame, geo: DataFrame, key: str = "ku_name") -> DataFrame:
     return df.join(geo, key, "left")
 
 
+def address_key(address: Column) -> Column:
+    """An address without white space, full-width digits and hyphens as ASCII ones."""
+    return F.regexp_replace(F.translate(address.cast("string"), "０１２３４５６７８９－−", "0123456789--"), r"[\s\u3000]+", "")
+
+
+def geocode_addresses(df: DataFrame, gazetteer: DataFrame, address: str = "address") -> DataFrame:
+    """J1 by address: ``df`` with place, lat, lon of the longest gazetteer ``place`` that the address starts with.
+
+    Distinct addresses give one key for each length that a place has (so a very long address gives no more than a
+    short one); the keys are joined to the places by equality and the longest hit of an address wins.  Only the places'
+    lengths reach the driver.  Both sides are compared by ``address_key``.  A place that the gazetteer lists more
+    than once has the smallest (place, lat, lon); blank places fit nothing.  Addresses that are null, blank or fit
+    no place keep their row with nulls.  Columns of ``df`` named place, lat or lon are replaced.
+    """
+    df = df.drop(*[c for c in df.columns if c.lower() in ("place", "lat", "lon")])
+    places = (gazetteer.select(address_key(F.col("place")).alias("place_key"), F.struct("place", "lat", "lon").alias("at"))
+              .where(F.col("place_key") != "").groupBy("place_key").agg(F.min("at").alias("at")))
+    sizes = sorted(r[0] for r in places.select(F.length("place_key")).distinct().collect())
+    known = df.select(F.col(address).alias("found_address")).where(F.col("found_address").isNotNull()).distinct()
+    key = known.withColumn("whole", address_key(F.col("found_address")))
+    lengths = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length("whole"))
+    keys = key.withColumn("size", F.explode(lengths)).select("found_address", "size", F.expr("substr(whole, 1, size)").alias("place_key"))
+    best = keys.join(places, "place_key").groupBy("found_address").agg(F.max_by("at", "size").alias("at"))
+    joined = df.join(best, F.col(address) == F.col("found_address"), "left")
+    return joined.select(*df.columns, "at.place", "at.lat", "at.lon")
+
+
 def _chord(km: float) -> float:
     """Straight-line distance on the unit sphere of a great-circle distance."""
     return 2 * math.sin(min(km, EVERYWHERE_KM) / (2 * EARTH_RADIUS_KM))

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from rentlens.operators import drift as D
 from rentlens.operators import evaluate as E
-from rentlens.operators.enrich import facility_distances, geocode, nearest_facility
+from rentlens.operators.enrich import facility_distances, geocode, geocode_addresses, nearest_facility
 from rentlens.plans.common import fitted_once, listings
 from rentlens.plans.registry import query
 from rentlens.plans.sql import residualised, with_listings
 from rentlens.schema import NOTEBOOK_FEATURES, TARGET
-from rentlens.sources.tables import FACILITY_SQL, GEO_SQL, facility_dim, geo_dim, read_table
+from rentlens.sources.tables import FACILITY_SQL, GAZETTEER_SQL, GEO_SQL, facility_dim, gazetteer, geo_dim, read_table
 
 # Drift settings.  Events before 2024-01-08 are the reference
 # period; listings scraped before 1996 are the listing reference period.
@@ -19,6 +19,8 @@ EVENTS_REFERENCE_END = "2024-01-08"
 LISTINGS_REFERENCE_END = "1996-01-01"
 JS_WIDTH, JS_BINS, JS_ALERT = 10.0, 10, 0.1
 PREDICTION_WIDTH, PREDICTION_BINS = 1.0, 30
+# Calibrated drift: bins of equal reference counts, limit in standard deviations of the reference days.
+CALIBRATED_BINS, CALIBRATED_DEVIATIONS = 10, 3.0
 # Facilities further away than this are not listed.
 RADIUS_KM = 20.0
 # Events with missing and negative readings put in (shared by Spark and the oracles).
@@ -40,6 +42,18 @@ def q_geocode_left_join(spark, sf_dir):
     return _geocoded(spark, sf_dir).select("listing_id", "ku_name", "lat", "lon")
 
 
+@query("geocode_by_address", with_listings("""
+SELECT listing_id, address, place, round(lat, 8) AS lat, round(lon, 8) AS lon FROM (
+  SELECT c.listing_id, c.address, g.place, g.lat, g.lon, row_number() OVER (PARTITION BY c.listing_id ORDER BY length(g.place) DESC) AS rk
+  FROM clean_listings c LEFT JOIN gazetteer g ON starts_with(c.address, g.place)) t WHERE rk = 1""",
+    f"gazetteer AS ({GAZETTEER_SQL.replace('STRING', 'VARCHAR')})"))
+def q_geocode_by_address(spark, sf_dir):
+    """The listing's own address against places of three sizes; the longest that fits."""
+    found = geocode_addresses(listings(spark, sf_dir), gazetteer(spark, sf_dir))
+    return found.select("listing_id", "address", "place",
+                        F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
+
+
 @query("facility_distance_matrix", with_listings(
     f"SELECT c.listing_id, CAST(f.facility_id AS VARCHAR) AS facility_id, f.facility, round({_HAV}, 6) AS km "
     "FROM clean_listings c LEFT JOIN geo g ON c.ku_name = g.ku_name "
@@ -89,6 +103,46 @@ def q_drift_js_daily(spark, sf_dir):
     return r.select("chunk", "n", F.round("js_distance", 6).alias("js_distance"), "alert")
 
 
+def _calibrated_sql(day: str, value: str, source: str, end: str, bins: int, deviations: float) -> str:
+    """Distances over bins of equal reference counts; the limit comes from each reference day against the others."""
+    shares = ", ".join(f"{k / bins}" for k in range(1, bins))
+    return f"""v AS (SELECT CAST({day} AS DATE) AS d, CAST({value} AS DOUBLE) AS x FROM {source}),
+edge AS (SELECT DISTINCT unnest(quantile_disc(x, [{shares}])) AS e FROM v WHERE d < DATE '{end}' AND x IS NOT NULL),
+numbered AS (SELECT e, row_number() OVER (ORDER BY e) AS k, lead(e) OVER (ORDER BY e) AS up FROM edge),
+kinds AS (SELECT -2 AS bin UNION ALL SELECT 0 UNION ALL SELECT k FROM numbered),
+cells AS (SELECT v.d, CASE WHEN v.x IS NULL THEN -2 ELSE coalesce(m.k, 0) END AS bin, count(*) AS c
+          FROM v LEFT JOIN numbered m ON v.x >= m.e AND (m.up IS NULL OR v.x < m.up) GROUP BY 1, 2),
+tot AS (SELECT d, sum(c) AS n FROM cells GROUP BY d),
+full_ref AS (SELECT bin, sum(c) AS c FROM cells WHERE d < DATE '{end}' GROUP BY bin),
+ref_n AS (SELECT coalesce(sum(c), 0) AS n FROM full_ref),
+pq AS (SELECT t.d, t.n, coalesce(c.c, 0) * 1.0 / t.n AS p,
+              (coalesce(f.c, 0) - CASE WHEN t.d < DATE '{end}' THEN coalesce(c.c, 0) ELSE 0 END) * 1.0
+              / nullif(r.n - CASE WHEN t.d < DATE '{end}' THEN t.n ELSE 0 END, 0) AS q
+       FROM tot t CROSS JOIN kinds k CROSS JOIN ref_n r
+       LEFT JOIN cells c ON c.d = t.d AND c.bin = k.bin LEFT JOIN full_ref f ON f.bin = k.bin),
+js AS (SELECT d, n, CASE WHEN count(q) > 0 THEN sqrt(greatest(sum(
+         CASE WHEN p > 0 THEN 0.5 * p * log2(p / ((p + q) / 2)) ELSE 0 END +
+         CASE WHEN q > 0 THEN 0.5 * q * log2(q / ((p + q) / 2)) ELSE 0 END), 0)) END AS jsd FROM pq GROUP BY d, n),
+lim AS (SELECT least(avg(jsd) + {deviations} * stddev_samp(jsd), 1.0) AS alert_limit FROM js WHERE d < DATE '{end}')"""
+
+
+_CALIBRATED_SELECT = ("SELECT CAST(d AS VARCHAR) AS chunk, CAST(n AS BIGINT) AS n, round(jsd, 6) AS js_distance, "
+                      "round(alert_limit, 6) AS alert_limit, jsd > alert_limit AS alert FROM js CROSS JOIN lim WHERE d >= DATE '{}'")
+
+
+def _calibrated_row(r):
+    return r.select("chunk", "n", F.round("js_distance", 6).alias("js_distance"), F.round("alert_limit", 6).alias("alert_limit"), "alert")
+
+
+@query("drift_js_calibrated", f"WITH readings AS (SELECT ts, {EVENT_VALUE} AS value FROM events),\n"
+       + _calibrated_sql("ts", "value", "readings", EVENTS_REFERENCE_END, CALIBRATED_BINS, CALIBRATED_DEVIATIONS)
+       + "\n" + _CALIBRATED_SELECT.format(EVENTS_REFERENCE_END))
+def q_drift_js_calibrated(spark, sf_dir):
+    """R5 with bins and alert limit from the reference."""
+    ev = read_table(spark, sf_dir, "events").selectExpr("ts", f"{EVENT_VALUE} AS value")
+    return _calibrated_row(D.js_drift_calibrated(ev, "ts", "value", EVENTS_REFERENCE_END, CALIBRATED_BINS, CALIBRATED_DEVIATIONS))
+
+
 #: Every listing's prediction by the four-feature model of the reference period.
 _PREDICTED = residualised("clean_listings", ["listing_id", "scraped_at", "rent_price"], NOTEBOOK_FEATURES, "rent_price",
                           f"scraped_at < TIMESTAMP '{LISTINGS_REFERENCE_END}'")
@@ -103,6 +157,15 @@ def q_prediction_drift_js_daily(spark, sf_dir):
     return r.select("chunk", "n", F.round("js_distance", 6).alias("js_distance"), "alert")
 
 
+@query("prediction_drift_calibrated", with_listings(
+    _CALIBRATED_SELECT.format(LISTINGS_REFERENCE_END), _PREDICTED + ",\n" + _calibrated_sql(
+        "scraped_at", "round(predicted, 6)", "scored", LISTINGS_REFERENCE_END, CALIBRATED_BINS, CALIBRATED_DEVIATIONS)))
+def q_prediction_drift_calibrated(spark, sf_dir):
+    """R5 on the model's predictions, with bins and alert limit from the reference."""
+    df = _scored(spark, sf_dir).select("scraped_at", F.round("predicted", 6).alias("predicted"))
+    return _calibrated_row(D.js_drift_calibrated(df, "scraped_at", "predicted", LISTINGS_REFERENCE_END, CALIBRATED_BINS, CALIBRATED_DEVIATIONS))
+
+
 @query("prediction_distribution_daily", with_listings("""
 SELECT CAST(CAST(scraped_at AS DATE) AS VARCHAR) AS chunk, count(*) AS n, round(avg(predicted), 6) AS mean,
        round(quantile_disc(predicted, 0.05), 4) AS p05, round(quantile_disc(predicted, 0.5), 4) AS p50,

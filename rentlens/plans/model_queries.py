@@ -76,6 +76,21 @@ def q_one_hot_columns(spark, sf_dir):
     return Fe.one_hot_columns(listings(spark, sf_dir), list(_LEVELS), keep=["listing_id"])
 
 
+@query("one_hot_sparse", with_listings("""
+SELECT c.listing_id, coalesce(string_agg(CAST(l.slot AS VARCHAR), ',' ORDER BY l.slot), '') AS slots, (SELECT CAST(count(*) AS INTEGER) FROM levels) AS width
+FROM clean_listings c LEFT JOIN levels l
+  ON (l.pos = 0 AND l.level = c.apartment_type) OR (l.pos = 1 AND l.level = c.house_type) OR (l.pos = 2 AND l.level = c.ku_name) OR (l.pos = 3 AND l.level = c.name_place)
+GROUP BY c.listing_id""", """pairs AS (
+SELECT 0 AS pos, apartment_type AS level FROM clean_listings UNION SELECT 1, house_type FROM clean_listings
+UNION SELECT 2, ku_name FROM clean_listings UNION SELECT 3, name_place FROM clean_listings),
+levels AS (SELECT pos, level, row_number() OVER (ORDER BY pos, level) - 1 AS slot FROM pairs WHERE level IS NOT NULL)"""))
+def q_one_hot_sparse(spark, sf_dir):
+    """F1 with a column that has a level for every listing."""
+    cols = ["apartment_type", "house_type", "ku_name", "name_place"]
+    hot = Fe.one_hot_sparse(listings(spark, sf_dir), cols, keep=["listing_id"])
+    return hot.select("listing_id", F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots"), "width")
+
+
 @query("train_test_split_hash", with_listings(
     f"SELECT listing_id, {SPLIT_SQL} AS split FROM clean_listings"))
 def q_train_test_split_hash(spark, sf_dir):

@@ -120,6 +120,31 @@ FACILITY_SQL = ("SELECT r_regionkey AS facility_id, r_name AS facility, "
                 "35.55 + 0.05 * r_regionkey AS flat, 139.85 - 0.06 * r_regionkey AS flon FROM region")
 
 
+# Gazetteer from nation, places of three sizes: the metropolis, five in six of its wards,
+# and three districts of every second ward (the addresses name six).
+GAZETTEER_SQL = (
+    "SELECT '東京都' AS place, 35.68 AS lat, 139.69 AS lon FROM nation WHERE n_nationkey = 0 UNION ALL "
+    "SELECT '東京都' || n_name || '区', 35.5 + 0.01 * n_nationkey, 139.5 + 0.015 * n_nationkey FROM nation WHERE n_nationkey % 6 <> 5 UNION ALL "
+    "SELECT '東京都' || n_name || '区' || CAST(r_regionkey AS STRING), 35.5 + 0.01 * n_nationkey + 0.001 * r_regionkey, "
+    "139.5 + 0.015 * n_nationkey - 0.001 * r_regionkey FROM nation JOIN region ON r_regionkey <> n_nationkey "
+    "WHERE n_nationkey % 2 = 0 AND r_regionkey < 3")
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(place, lat, lon): the three parts of ``GAZETTEER_SQL``."""
+    nation, region = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
+    ward = F.concat(F.lit("東京都"), F.col("n_name"), F.lit("区"))
+    lat, lon = F.lit(35.5) + F.lit(0.01) * F.col("n_nationkey"), F.lit(139.5) + F.lit(0.015) * F.col("n_nationkey")
+    whole = nation.where("n_nationkey = 0").select(F.lit("東京都").alias("place"), F.lit(35.68).alias("lat"), F.lit(139.69).alias("lon"))
+    wards = nation.where("n_nationkey % 6 <> 5").select(ward.alias("place"), lat.alias("lat"), lon.alias("lon"))
+    numbers = F.filter(F.array(*[F.lit(k) for k in range(3)]), lambda k: k != F.col("n_nationkey"))
+    district = nation.where("n_nationkey % 2 = 0").withColumn("k", F.explode(numbers)).join(
+        region.select(F.col("r_regionkey").cast("int").alias("k")), "k")
+    districts = district.select(F.concat(ward, F.col("k").cast("string")).alias("place"),
+                                (lat + F.lit(0.001) * F.col("k")).alias("lat"), (lon - F.lit(0.001) * F.col("k")).alias("lon"))
+    return whole.unionByName(wards).unionByName(districts)
+
+
 def geo_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "nation")
     return (n.where(F.col("n_nationkey") % 6 != 5)
