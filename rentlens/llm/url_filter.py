@@ -1,22 +1,27 @@
 """URL filters: host and path rules, and a ratio of two character models for the rest.
 
 Rules decide by the longest that fits.  Every other URL is judged by two smoothed
-variable-order Markov models of its characters, one of the URLs that the rules
+variable-order Markov models of its UTF-8 bytes, one of the URLs that the rules
 allow and one of those they block: orders 0 to ``ORDER`` are blended by
 Witten-Bell weights, so a context weighs as much as its counts support.  The
-difference of the two log-likelihoods, divided by the number of characters, is
+difference of the two log-likelihoods, divided by the number of bytes, is
 mapped to a probability by a logistic calibration on counts of held-out labelled
 URLs (a fifth, by hash), and compared with one half.
 
-The models see all labelled URLs: each task counts its batches, the counts are
-summed by a grouped aggregation.  Characters fold to ``SYMBOLS`` symbols (digits
-are one), so a class has at most SYMBOLS ** (ORDER + 1) counts whatever the
-input, which bounds what is gathered and broadcast.
+The models are one table, a row for each string of up to ORDER + 1 bytes that the
+labelled URLs hold, made by grouped sums over all of them; it grows with the input
+and stays sharded.  URLs are dealt to blocks; each block asks for its
+different strings once by a count join, so a string that all URLs share is asked for
+once a block, not once a URL.  What comes back meets the block's URLs in a
+cogroup.  A block is a slice of at most ``BLOCK_ROWS`` rows and about ``BLOCK_BYTES``
+bytes of the table as it was read; a very long URL is a block of its own and
+needs memory in proportion to its length.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and is
-allowed: there is nothing to judge it by.  Without labelled URLs of both classes
-every URL outside the rules is allowed.  Repeated rows are judged alike.  An
-empty table gives an empty result.  Other columns are ignored.
+allowed: there is nothing to judge it by.  A probability of exactly one half
+allows.  Without labelled URLs of both classes every URL outside the rules is
+allowed.  Repeated rows are judged alike.  An empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,35 +33,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import mapped, sliced
+from rentlens.llm.common import discard, mapped, sliced, written
 
 #: The rules (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-MARKS = "/.-_?=&#%:@+~,"
-SYMBOLS = 27 + 1 + len(MARKS) + 1  # start, a-z, digit, marks, other
-ORDER = 3
-
-
-def _fold_table() -> np.ndarray:
-    t = np.full(256, SYMBOLS - 1, np.uint8)
-    for c in range(26):
-        t[97 + c] = t[65 + c] = 1 + c
-    t[48:58] = 27
-    for i, c in enumerate(MARKS):
-        t[ord(c)] = 28 + i
-    return t
-
-
-FOLD = _fold_table()
+#: Longest context in bytes; a string of ORDER + 1 bytes and its size fit one long.
+ORDER = 6
+BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 18
+SIZE_SHIFT = 56
+COUNTS = ("n_allow", "n_block", "total_allow", "total_block", "kinds_allow", "kinds_block")
+
+
+def windows(url: str) -> np.ndarray:
+    """The ORDER + 1 bytes before the URL (zeros), then those that end at each of its bytes, as numbers."""
+    b = np.concatenate([np.zeros(ORDER + 1, np.int64), np.frombuffer(url.encode("utf-8", "surrogatepass"), np.uint8)])
+    n = len(b) - ORDER
+    w = np.zeros(n, np.int64)
+    for i in range(ORDER + 1):
+        w = (w << 8) | b[i: i + n]
+    return w
 
 
-def grams(url: str) -> np.ndarray:
-    """The (ORDER + 1)-gram that ends at each character; symbol 0 stands before the URL."""
-    s = np.concatenate([np.zeros(ORDER, np.int64), FOLD[np.frombuffer(url.encode("utf-8", "surrogatepass"), np.uint8)]])
-    g = np.zeros(len(s) - ORDER, np.int64)
-    for i in range(ORDER + 1):
-        g = g * SYMBOLS + s[i: len(s) - ORDER + i]
-    return g
+def keys(w: np.ndarray, size: int) -> np.ndarray:
+    """The last ``size`` bytes of each window, marked with the size."""
+    return (w & ((1 << 8 * size) - 1)) | (size << SIZE_SHIFT)
 
 
 def split_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
@@ -77,60 +77,121 @@ def split_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFram
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(ruled, gram, n) of all URLs, counted per batch, then summed."""
+    """(gram, n_allow, n_block): windows at all bytes of all URLs, counted per batch, then summed."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in sliced(batch, BLOCK_ROWS, BLOCK_BYTES, "url"):
+            by: dict[str, list] = {}
+            for verdict, url in zip(part.column("ruled").to_pylist(), part.column("url").to_pylist()):
+                by.setdefault(verdict, []).append(windows(url)[1:])
+            for verdict, w in by.items():
+                at, n = np.unique(np.concatenate(w), return_counts=True)
+                yield {"gram": at, **{f"n_{v}": n if v == verdict else np.zeros_like(n) for v in ("allow", "block")}}
+
+    part = mapped(labelled.select("ruled", "url"), run, "gram long, n_allow long, n_block long")
+    return part.groupBy("gram").agg(F.sum("n_allow").alias("n_allow"), F.sum("n_block").alias("n_block"))
+
+
+def model_table(grams: DataFrame) -> DataFrame:
+    """(key, ``COUNTS``): of each string its occurrences in either class and, as a context, the bytes and kinds of bytes that follow."""
+    sized = F.explode(F.array(*[F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1)).bitwiseOR(F.lit(size << SIZE_SHIFT))
+                                for size in range(ORDER + 2)]))
+    strings = (grams.select(sized.alias("key"), "n_allow", "n_block").groupBy("key")
+               .agg(F.sum("n_allow").alias("n_allow"), F.sum("n_block").alias("n_block")))
+    size = F.shiftright("key", SIZE_SHIFT)
+    context = F.shiftright(F.col("key").bitwiseAND(F.lit((1 << SIZE_SHIFT) - 1)), 8).bitwiseOR(F.shiftleft(size - 1, SIZE_SHIFT))
+    zero = lambda names: [F.lit(0).cast("long").alias(c) for c in names]
+    followed = strings.where(size > 0).select(
+        context.alias("key"), *zero(COUNTS[:2]), F.col("n_allow").alias(COUNTS[2]), F.col("n_block").alias(COUNTS[3]),
+        (F.col("n_allow") > 0).cast("long").alias(COUNTS[4]), (F.col("n_block") > 0).cast("long").alias(COUNTS[5]))
+    both = strings.select("key", *COUNTS[:2], *zero(COUNTS[2:])).unionByName(followed)
+    return both.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def in_blocks(urls: DataFrame) -> DataFrame:
+    """``urls`` as a written table with ``block``, the number of the first row of the row's slice."""
+    numbered = urls.withColumn("block", F.monotonically_increasing_id())
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        by: dict[str, list] = {}
-        for verdict, url in zip(batch.column("ruled").to_pylist(), batch.column("url").to_pylist()):
-            by.setdefault(verdict, []).append(grams(url))
-        for verdict, g in by.items():
-            at, n = np.unique(np.concatenate(g), return_counts=True)
-            yield {"ruled": [verdict] * len(at), "gram": at, "n": n}
-
-    part = mapped(labelled.select("ruled", "url"), run, "ruled string, gram long, n long")
-    return part.groupBy("ruled", "gram").agg(F.sum("n").alias("n"))
-
-
-def markov_table(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Log-probability of each gram's last symbol after the others, blended over the orders by Witten-Bell weights."""
-    dense = np.zeros(SYMBOLS ** (ORDER + 1))
-    dense[gram] = n
-    lower = np.full((1, SYMBOLS), 1.0 / SYMBOLS)
-    for order in range(ORDER + 1):
-        table = dense.reshape(-1, SYMBOLS ** (order + 1)).sum(axis=0).reshape(-1, SYMBOLS)
-        total, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-        low = np.tile(lower, (len(table) // len(lower), 1))
-        lower = np.where(total > 0, (table + kinds * low) / np.maximum(total + kinds, 1), low)
-    return np.log(lower).ravel().astype(np.float32)
+        for part in sliced(batch, BLOCK_ROWS, BLOCK_BYTES, "url"):
+            first = part.column("block")[0].as_py()
+            yield {**{c: part.column(c) for c in part.schema.names}, "block": np.full(part.num_rows, first)}
+
+    return written(mapped(numbered, run, ", ".join(f"`{c}` {t}" for c, t in numbered.dtypes)), "url-blocks")
+
+
+def wanted_keys(blocks: DataFrame) -> DataFrame:
+    """(block, key): the different strings that each block's URLs need."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in sliced(batch, BLOCK_ROWS, BLOCK_BYTES, "url"):
+            by: dict[int, list] = {}
+            for block, url in zip(part.column("block").to_pylist(), part.column("url").to_pylist()):
+                by.setdefault(block, []).append(windows(url))
+            for block, w in by.items():
+                w = np.unique(np.concatenate(w))
+                key = np.concatenate([np.unique(keys(w, size)) for size in range(ORDER + 2)])
+                yield {"block": np.full(len(key), block), "key": key}
+
+    return mapped(blocks.select("block", "url"), run, "block long, key long")
+
+
+def log_ratios(urls: list[str], key: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Difference of the two models' log-likelihoods a byte; ``key`` sorted, ``counts`` a row of ``COUNTS`` for each."""
+    w = [windows(u) for u in urls]
+    size = np.array([len(x) for x in w])
+    w = np.concatenate(w)
+    first = np.zeros(len(w), bool)
+    first[np.cumsum(size) - size] = True  # the window before each URL is a context only
+    counts = np.vstack([counts, np.zeros((1, len(COUNTS)))])
+    here = np.flatnonzero(~first)
+    chance = np.full((2, len(here)), 1 / 256)
+    for length in range(ORDER + 1):
+        at = []
+        for wanted in (keys(w, length + 1)[here], keys(w, length)[here - 1]):
+            i = np.searchsorted(key, wanted)
+            at.append(np.where((i < len(key)) & (key[np.minimum(i, len(key) - 1)] == wanted), i, len(key)) if len(key) else np.zeros(len(wanted), int))
+        for c in range(2):
+            n, total, kinds = counts[at[0], c], counts[at[1], 2 + c], counts[at[1], 4 + c]
+            chance[c] = np.where(total > 0, (n + kinds * chance[c]) / np.maximum(total + kinds, 1), chance[c])
+    ratio = np.log(chance[0]) - np.log(chance[1])
+    ends = np.cumsum(size - 1)
+    return np.array([ratio[e - n: e].mean() for e, n in zip(ends, size - 1)])
+
+
+def rated_blocks(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, ruled, held, ratio (null for URLs that need none)."""
+    passed = ["page_id", "host", "path", "rule", "ruled", "held"]
+    kinds = dict(blocks.dtypes)
+
+    def rate(rows: pa.Table, strings: pa.Table) -> pa.Table:
+        key = strings.column("key").to_numpy()
+        key, at = np.unique(key, return_index=True)  # a block may have asked in two batches
+        counts = np.column_stack([strings.column(c).to_numpy().astype(np.float64)[at] for c in COUNTS])
+        judged = np.flatnonzero(rows.column("judged").to_numpy())
+        ratio: list = [None] * rows.num_rows
+        if len(judged):
+            for i, r in zip(judged, log_ratios(rows.column("url").take(judged).to_pylist(), key, counts)):
+                ratio[i] = float(r)
+        return rows.select(passed).append_column("ratio", pa.array(ratio, pa.float64()))
+
+    return (blocks.groupBy("block").cogroup(found.groupBy("block"))
+            .applyInArrow(rate, ", ".join(f"`{c}` {kinds[c]}" for c in passed) + ", ratio double"))
 
 
 def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, held_out: int = 5) -> DataFrame:
     """page_id, host, path, rule, verdict, score (calibrated probability of acceptance; null where a rule decides)."""
-    spark = pages.sparkSession
-    urls = split_urls(pages, rules)
-    labelled = urls.where("ruled is not null").withColumn("held", F.expr(f"pmod(xxhash64(url), {held_out}) = 0"))
-    counts = {"allow": [], "block": []}
-    # at most SYMBOLS ** (ORDER + 1) rows a class
-    for verdict, gram, n in gram_counts(labelled.where("not held")).collect():
-        counts[verdict].append((gram, n))
-    tables = {}
-    for verdict, rows in counts.items():
-        if rows:
-            a = np.array(rows, np.int64)
-            tables[verdict] = markov_table(a[:, 0], a[:, 1])
-    if len(tables) < 2:
+    urls = split_urls(pages, rules).withColumn("held", F.expr(f"pmod(xxhash64(url), {held_out}) = 0"))
+    grams = written(gram_counts(urls.where("ruled is not null and not held")), "url-grams")
+    seen = grams.agg(F.sum("n_allow"), F.sum("n_block")).first()
+    if not (seen[0] and seen[1]):
         return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    held = spark.sparkContext.broadcast(tables["allow"] - tables["block"])
-
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        ratio = held.value
-        for part in sliced(batch, text="url"):
-            yield {**{c: part.column(c) for c in ("page_id", "host", "path", "rule", "ruled", "held")},
-                   "ratio": [float(ratio[grams(u)].mean(dtype=np.float64)) if u else None for u in part.column("url").to_pylist()]}
-
-    kind = dict(urls.dtypes)["page_id"]
-    rated = mapped(urls.withColumn("held", F.expr(f"pmod(xxhash64(url), {held_out}) = 0")), run,
-                   f"page_id {kind}, host string, path string, rule string, ruled string, held boolean, ratio double")
+    model = written(model_table(grams), "url-model")
+    open_url = F.when(F.col("ruled").isNull(), F.col("host") != "").otherwise(F.col("held"))
+    blocks = in_blocks(urls.withColumn("judged", open_url))
+    found = wanted_keys(blocks.where("judged")).join(model, "key")
+    rated = written(rated_blocks(blocks, found), "url-ratios")
+    discard(grams, model, blocks)
     slope, offset = calibration(rated)
     chance = 1 / (1 + F.exp(-(F.lit(slope) * F.col("ratio") + F.lit(offset))))
     rated = rated.withColumn("score", F.when((F.col("ruled").isNull()) & (F.col("host") != ""), chance))
