@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.feature import RFormula
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 from rentlens.functions.split import is_train
 from rentlens.session import scratch_path
@@ -94,16 +96,32 @@ def with_split(df: DataFrame, key: str = "listing_id", train_tenths: int = 8,
     return df.withColumn(col, F.when(is_train(F.col(key), train_tenths), "train").otherwise("test"))
 
 
+#: A formula of names added up, which needs no fitted transformer.
+_SUM_OF_NAMES = re.compile(r"\s*\w+\s*~\s*[A-Za-z_]\w*(\s*\+\s*[A-Za-z_]\w*)*\s*")
+
+
 def formula_design_matrix(df: DataFrame, formula: str, keep: list[str] | None = None) -> DataFrame:
     """treatment-coded design matrix; the alphabetically first level is the base.
 
     Rows with nulls in the formula's columns are dropped first, as formula
-    fitting does by default.
+    fitting does by default.  A sum of numeric and text columns takes one pass for the
+    levels of all text columns, and its matrix is an expression; any other formula is left to
+    RFormula, which makes a pass for each text column.
     """
-    rf = RFormula(formula=formula, featuresCol="features", labelCol="label",
-                  stringIndexerOrderType="alphabetDesc", handleInvalid="error")
     used = [c.strip() for c in formula.replace("~", "+").split("+") if c.strip() and c.strip() != "."]
     clean = df.dropna(subset=used)
+    kinds = {c: df.schema[c].dataType for c in used if c in df.columns}
+    simple = (_SUM_OF_NAMES.fullmatch(formula) and set(kinds) == set(used) and isinstance(kinds[used[0]], NumericType)
+              and all(isinstance(t, (NumericType, StringType)) for t in kinds.values()))
+    if simple:
+        texts = [c for c in used[1:] if isinstance(kinds[c], StringType)]
+        levels = category_levels(clean, texts) if texts else {}
+        cells = []
+        for c in used[1:]:
+            cells += ([(F.col(c) == F.lit(v)).cast("double") for v in levels[c][:0:-1]] if c in levels else [F.col(c).cast("double")])
+        return clean.select(*(keep or []), F.col(used[0]).cast("double").alias("label"), F.array(*cells).alias("features"))
+    rf = RFormula(formula=formula, featuresCol="features", labelCol="label",
+                  stringIndexerOrderType="alphabetDesc", handleInvalid="error")
     model = rf.fit(clean)
     return model.transform(clean).select(*(keep or []), "label",
                                          vector_to_array("features").alias("features"))

@@ -19,6 +19,7 @@ from rentlens.plans.registry import query
 from rentlens.plans.sql import coefficient_sql, residualised, summary_sql, with_listings
 from rentlens.schema import FEATURES, NOTEBOOK_FEATURES, TARGET
 from rentlens.session import scratch_path
+from rentlens.sources.tables import land
 
 SPLIT_SQL = ("CASE WHEN CAST('0x' || substr(md5(CAST(listing_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 < 8 "
              "THEN 'train' ELSE 'test' END")
@@ -33,6 +34,11 @@ def _test(spark, sf_dir) -> DataFrame:
     return split_listings(spark, sf_dir).where(F.col("split") == "test")
 
 
+def _landed(spark, sf_dir, *cols: str) -> DataFrame:
+    """The split listings with ``cols``, written once: a query that fits and then diagnoses reads this, not the text again."""
+    return land(split_listings(spark, sf_dir).select("listing_id", "split", *cols), scratch_path(spark, "split"))
+
+
 def champion(spark: SparkSession, sf_dir: str):
     """M1: OLS on the seven features, fitted on the train split."""
     data = _train(spark, sf_dir).select(*FEATURES, TARGET)
@@ -53,7 +59,7 @@ def notebook_fit(df: DataFrame) -> E.LinearFit:
 
 def _on_test(spark, sf_dir) -> DataFrame:
     """The test split with the four-feature model's prediction and residual."""
-    s = split_listings(spark, sf_dir)
+    s = _landed(spark, sf_dir, TARGET, *NOTEBOOK_FEATURES)
     return E.with_residual(s.where("split = 'test'"), notebook_fit(s.where("split = 'train'")))
 
 
@@ -100,6 +106,7 @@ def q_train_test_split_hash(spark, sf_dir):
 # Fixed value: the notebook's formula.
 FORMULA = ("rent_price ~ rei_price + shikikin + maintenence_price + sqr_m + floor + "
            "apartment_type + ku_name")
+_FORMULA_COLUMNS = ["rent_price", "rei_price", "shikikin", "maintenence_price", "sqr_m", "floor", "apartment_type", "ku_name"]
 
 
 def _design_sql() -> str:
@@ -117,7 +124,7 @@ def _design_sql() -> str:
 
 @query("formula_design_matrix", _design_sql())
 def q_formula_design_matrix(spark, sf_dir):
-    train = split_listings(spark, sf_dir).where(F.col("split") == "train")
+    train = _landed(spark, sf_dir, *_FORMULA_COLUMNS).where("split = 'train'")
     return Fe.formula_design_matrix(train, FORMULA, keep=["listing_id"])
 
 
@@ -202,7 +209,8 @@ _SUMMARY_CTE, _SUMMARY_SELECT = summary_sql("design", {t: f"t{i}" for i, t in en
     + " FROM split_listings WHERE split = 'train' AND ku_name IS NOT NULL AND rent_price IS NOT NULL),\n" + _SUMMARY_CTE))
 def q_ols_summary_table(spark, sf_dir):
     """M3: the formula model's terms (treatment-coded layout and ward); the operator's table has the other figures too."""
-    model, names = M.fit_formula_ols(_train(spark, sf_dir), FORMULA)
+    train = _landed(spark, sf_dir, *_FORMULA_COLUMNS).where("split = 'train'")
+    model, names = M.fit_formula_ols(train, FORMULA)
     t = M.ols_coefficient_table(spark, model, names).where("term <> 'intercept'")
     return t.select("term", F.round("coef", 5).alias("coef"), F.round("std_err", 5).alias("std_err"), F.round("t_value", 3).alias("t_value"),
                     "n", F.round("r2", 6).alias("r2"))
@@ -271,7 +279,7 @@ params AS (SELECT n, h, a - 3 * h AS lo, (z - a + 6 * h) / 24 AS step FROM momen
 bins AS (SELECT (floor(residual / (h / 4)) + 0.5) * (h / 4) AS c, count(*) AS m FROM scored CROSS JOIN params
          WHERE split = 'train' AND residual IS NOT NULL GROUP BY 1)"""))
 def q_residual_density(spark, sf_dir):
-    train = _train(spark, sf_dir)
+    train = _landed(spark, sf_dir, TARGET, *NOTEBOOK_FEATURES).where("split = 'train'")
     d = E.residual_density(E.with_residual(train, notebook_fit(train)))
     return d.select("i", F.round("x", 4).alias("x"), F.round("density", 4).alias("density"))
 
@@ -286,7 +294,7 @@ FROM scored WHERE used""",
     + residualised("squares", ["listing_id", "e2"], NOTEBOOK_FEATURES, "e2", "true")))
 def q_breusch_pagan_lm(spark, sf_dir):
     """Over the four-feature design, with the F variant and both p-values in the operator."""
-    train = _train(spark, sf_dir)
+    train = _landed(spark, sf_dir, TARGET, *NOTEBOOK_FEATURES).where("split = 'train'")
     bp = E.breusch_pagan(train, notebook_fit(train))
     return spark.createDataFrame([(bp["n"], round(bp["r2_aux"], 6), round(bp["lm"], 4))], "n long, r2_aux double, lm double")
 
