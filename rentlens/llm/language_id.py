@@ -18,7 +18,8 @@ row of a page.
 
 Null or empty html has no text and no declared language; a null or odd URL has no
 suffix, section or host: such evidence is neutral.  Without labelled documents
-the language is the declared one.  Repeated rows are judged alike.  An empty
+the language is the declared one.  Equal posteriors take the first language by
+name.  Texts are read whole, however long.  Repeated rows are judged alike.  An empty
 table gives an empty result.  Other columns are ignored.
 """
 
