@@ -54,8 +54,11 @@ def render_listing_pages(raw: DataFrame, per_page: int = 20) -> DataFrame:
         F.lit("</li></ul></td></tr></tbody><tbody><tr><td><ul><li><span>second body</span>"
               "</li></ul></td></tr></tbody></table></div>"),
     )
-    page = F.floor(c("listing_id") / per_page).cast("long")
-    return (raw.select(page.alias("page_id"), c("listing_id"), container.alias("container"))
+    # the rows are dealt to their pages before they are rendered, as text they are many times larger; the number is
+    # fixed, as partitions joined by their few bytes would leave few tasks for the rendering and what reads the pages
+    page = F.floor(c("listing_id") / per_page).cast("long").alias("page_id")
+    dealt = raw.select("*", page).repartition(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    return (dealt.select("page_id", c("listing_id"), container.alias("container"))
                .groupBy("page_id")
                .agg(F.array_sort(F.collect_list(F.struct("listing_id", "container"))).alias("items"))
                .select("page_id", F.concat(
