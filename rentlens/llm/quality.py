@@ -137,7 +137,8 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         lengths.append(len(points))
     s = np.concatenate(parts)
     at = np.flatnonzero(s[LONG - 1:] != PAD)
-    code, found = pd.factorize(keys([s[i: len(s) - LONG + 1 + i] for i in range(LONG)])[at])
+    m = mixed(s)
+    code, found = pd.factorize(joined([m[i: len(s) - LONG + 1 + i] for i in range(LONG)])[at])
     first = np.empty(len(found), np.int64)
     first[code[::-1]] = at[::-1]
     return s[first[:, None] + np.arange(LONG)], code, lengths
@@ -145,19 +146,31 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
 
 def keys(columns: list[np.ndarray]) -> np.ndarray:
     """64-bit key of each run of characters, one column for each place."""
-    h = np.zeros(len(columns[0]), np.uint64)
+    return joined([mixed(c) for c in columns])
+
+
+def mixed(characters: np.ndarray) -> np.ndarray:
+    """What each character adds to a key; those of overlapping runs are computed once."""
+    with np.errstate(over="ignore"):
+        return mix(characters.astype(np.uint64) + np.uint64(1))
+
+
+def joined(columns: list[np.ndarray]) -> np.ndarray:
+    """``keys`` of columns that are ``mixed``."""
     with np.errstate(over="ignore"):
-        for c in columns:
-            h = (h + mix(c.astype(np.uint64) + np.uint64(1))) * np.uint64(BASE)
+        h = columns[0] * np.uint64(BASE)
+        for c in columns[1:]:
+            h += c
+            h *= np.uint64(BASE)
         return mix(h).view(np.int64)
 
 
 def levels(runs: np.ndarray) -> dict[str, np.ndarray]:
     """Keys of the n-gram (g) and the context (c) of each unfolded order that end at the last character of ``runs``."""
-    out = {}
+    out, every = {}, [mixed(runs[:, i]) for i in range(LONG)]
     for k in range(LONG, SHORT - 1, -1):
-        columns = [runs[:, i] for i in range(LONG - k, LONG)]
-        out |= {f"g{k}": keys(columns), f"c{k}": keys(columns[:-1])}
+        columns = every[LONG - k:]
+        out |= {f"g{k}": joined(columns), f"c{k}": joined(columns[:-1])}
     return out
 
 

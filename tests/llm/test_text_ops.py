@@ -495,3 +495,20 @@ def test_visible_text():
     assert visible_text(None) == "" and visible_text("<script>never closed").strip() == ""
 
 
+
+
+def test_quality_mixes_a_character_once(monkeypatch):
+    """Keys of runs that overlap used to mix each character again for each run it is in."""
+    from rentlens.llm import quality as q
+    done, mix = [], q.mix
+    texts = ["the quick brown fox", "jumps over", "", "the quick brown fix\U0001F600"]
+    s = np.concatenate([x for t in texts for x in (np.full(q.LONG - 1, q.PAD, np.uint32), np.array([ord(c) for c in t], np.uint32))])
+    columns = [s[i: len(s) - q.LONG + 1 + i] for i in range(q.LONG)]
+    want = q.keys(columns)
+    monkeypatch.setattr(q, "mix", lambda x: done.append(len(x)) or mix(x))
+    found, code, lengths = q.windows(texts)
+    assert lengths == [len(t) for t in texts] and sum(done) < 2 * len(s)
+    at = np.flatnonzero(s[q.LONG - 1:] != q.PAD)
+    assert (q.keys([found[:, i] for i in range(q.LONG)])[code] == want[at]).all()
+    runs = found.astype(np.uint32)
+    assert (q.levels(runs)["c4"] == q.keys([runs[:, i] for i in (1, 2, 3)])).all()
