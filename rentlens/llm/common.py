@@ -69,7 +69,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Collect the driver's garbage: Spark deletes the shuffle files of finished steps only when their plans have been collected."""
+    """Collect the driver's garbage: Spark deletes the shuffle files of finished steps only when their plans have been collected.
+
+    A small job goes first: until the next one, the scheduler holds the last task that it saw, and through a cogroup's task its tables.
+    """
+    spark.range(0, 1, 1, 1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

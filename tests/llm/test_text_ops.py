@@ -512,3 +512,30 @@ def test_quality_mixes_a_character_once(monkeypatch):
     assert (q.keys([found[:, i] for i in range(q.LONG)])[code] == want[at]).all()
     runs = found.astype(np.uint32)
     assert (q.levels(runs)["c4"] == q.keys([runs[:, i] for i in (1, 2, 3)])).all()
+
+
+def test_shuffle_files_of_a_finished_cogroup_are_freed(spark):
+    """The scheduler held the last task of a cogroup, and with it the shuffle files of both tables, until another job ran."""
+    import time
+    from pathlib import Path
+
+    from rentlens.llm.common import free_shuffles
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for d in manager.localDirs() for f in Path(d.toString()).rglob("shuffle_*.data")}
+    free_shuffles(spark)
+    time.sleep(1)
+    before = files()
+
+    def step():
+        a, b = (spark.range(2000).repartition(7, "id") for _ in range(2))
+        a.groupBy("id").cogroup(b.groupBy("id")).applyInArrow(lambda x, y: x, "id long").write.format("noop").mode("overwrite").save()
+
+    step()
+    made = files() - before
+    assert made
+    free_shuffles(spark)
+    for _ in range(30):
+        if not made & files():
+            break
+        time.sleep(0.2)
+    assert not made & files()
