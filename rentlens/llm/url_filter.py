@@ -136,6 +136,14 @@ def wanted_keys(blocks: DataFrame) -> DataFrame:
     return mapped(blocks.select("block", "url"), run, "block long, key long")
 
 
+def asked(blocks: DataFrame, model: DataFrame) -> DataFrame:
+    """(key, block, ``COUNTS``): the model's rows that each block asks for.
+
+    Counts are small as Parquet and many times larger in memory: by its files' size the model would be broadcast through the driver.
+    """
+    return wanted_keys(blocks).hint("merge").join(model, "key")
+
+
 def log_ratios(urls: list[str], key: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Difference of the two models' log-likelihoods a byte; ``key`` sorted, ``counts`` a row of ``COUNTS`` for each."""
     w = [windows(u) for u in urls]
@@ -189,7 +197,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, hel
     model = written(model_table(grams), "url-model")
     open_url = F.when(F.col("ruled").isNull(), F.col("host") != "").otherwise(F.col("held"))
     blocks = in_blocks(urls.withColumn("judged", open_url))
-    found = wanted_keys(blocks.where("judged")).join(model, "key")
+    found = asked(blocks.where("judged"), model)
     rated = written(rated_blocks(blocks, found), "url-ratios")
     discard(grams, model, blocks)
     slope, offset = calibration(rated)
