@@ -3,6 +3,8 @@
 import numpy as np
 
 from rentlens.operators import leafwise as L
+from rentlens.plans import model_queries as MQ
+from tests.conftest import SF_SMALL
 
 
 def grown(rng, leaves):
@@ -43,3 +45,15 @@ def test_small_trees_compare_columns_and_pick_no_rows():
     tree = grown(rng, L.LEAVES)
     bins = rng.integers(0, 10, (3, 50)).astype(np.int16)
     assert L.routed(tree, bins.view(Column)).tolist() == L.routed(tree, bins).tolist()
+
+
+def test_listings_are_derived_once_for_fit_and_records(spark, monkeypatch):
+    """The records to score were derived from the text again."""
+    derived = []
+    split = MQ.split_listings
+    monkeypatch.setattr(MQ, "split_listings", lambda *a: (derived.append(a), split(*a))[1])
+    rows = MQ._model_rows(spark, SF_SMALL)
+    assert sorted(MQ.scoring_records(spark, SF_SMALL, rows).collect(), key=str) == sorted(MQ.scoring_records(spark, SF_SMALL).collect(), key=str)
+    derived.clear()
+    monkeypatch.setattr(MQ, "challenger", lambda *a: MQ.champion(*a))
+    assert MQ.q_batch_score_challenger(spark, SF_SMALL).columns == ["listing_id", "prediction"] and len(derived) == 1
